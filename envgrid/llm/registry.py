@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from envgrid.llm import media
+from envgrid.llm import media, pieces_bpe
 
 QUERIES = {}
 ORACLES = {}
-for _m in (media,):
+for _m in (pieces_bpe, media):
     QUERIES |= _m.QUERIES
     ORACLES |= getattr(_m, "ORACLES", {})
