@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -208,10 +209,16 @@ class MergeVocabulary:
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=1)
+def loaded(model_path: str) -> tuple[MergeVocabulary, dict[str, tuple[str, int, bytes]]]:
+    """The vocabulary and the known segments of a Python worker; later tasks of the worker go on with them."""
+    return MergeVocabulary(model_path), {}
+
+
 def encode_texts(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", checked: bool = True) -> DataFrame:
     """(id, ids array<int>, decoded string) of each text."""
     def make():
-        vocab = MergeVocabulary(model_path)
+        vocab, _ = loaded(model_path)
 
         def run(texts: list) -> dict:
             ids = vocab.encode([t or "" for t in texts])
@@ -228,8 +235,7 @@ def encode_texts(df: DataFrame, model_path: str, id_col: str = "doc_id", text_co
 def encode_digests(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256): what encode_texts gives, without moving the ids out of the task."""
     def make():
-        vocab = MergeVocabulary(model_path)
-        known: dict[str, tuple[str, int, bytes]] = {}
+        vocab, known = loaded(model_path)
 
         def run(texts: list) -> dict:
             split = [vocab.segments(t or "") for t in texts]

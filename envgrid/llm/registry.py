@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from envgrid.llm import media, pieces_bpe
+from envgrid.llm import media, pieces_bpe, token_counts
 
 QUERIES = {}
 ORACLES = {}
-for _m in (pieces_bpe, media):
+for _m in (pieces_bpe, media, token_counts):
     QUERIES |= _m.QUERIES
     ORACLES |= getattr(_m, "ORACLES", {})
