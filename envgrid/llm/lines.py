@@ -3,11 +3,13 @@
 A line's path in the tree has a fixed depth: its number of tokens, then its first DEPTH tokens, those with digits written
 as a variable. At the leaf it has up to three templates: the whole line, and for lines of LONG tokens or more its first
 and its second half with the other half variable, so lines that differ in fields of one half share a template. A template
-recurs if it is found in at least DOCS different documents, and in at least SHARE as many different surroundings (the
-leaves of the lines before and after): copied documents repeat their lines in the same surroundings and are left to
-document dedup. Lines with a recurring template are dropped from every document, the other lines stay as they are.
+recurs if at least DOCS different documents have it, if they are at least SHARE of all documents that have it, and if it
+is found in that many different surroundings (the leaves of the lines before and after). Documents are told apart by
+their least other long line, as copies with few edits mostly have the same: copied documents repeat their lines in the
+same company and are left to document dedup. Lines with a recurring template are dropped from every document, the other
+lines stay as they are.
 
-Documents with the same lines count as one. Null texts stay null, empty texts and lines without a word stay as they are;
+Null texts stay null, empty texts and lines of no or one word stay as they are;
 a template is compared by 64-bit hashes. Counts are aggregated before each shuffle, by template and never within one task
 by document, so a line that a third of the documents has is a few rows for each task. Repeated rows are cut alike; extra
 columns are kept.
@@ -25,16 +27,16 @@ DOCS, SHARE = 5, 0.5
 
 
 def parse_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(rid, i, around, doc, keys array<long>) of each line with a word; rid stands for the row, doc for its set of lines."""
+    """(rid, i, around, doc, keys array<long>) of each line of two or more words; rid stands for the row, doc for the rest of its lines."""
     lines = df.where(F.col(text_col).isNotNull()).selectExpr(
         f"xxhash64({id_col}, {text_col}) AS rid",
         f"transform(split({text_col}, '\\n'), l -> transform(array_remove(split(l, '[\\\\x20\\\\x09-\\\\x0D]+'), ''), t -> xxhash64(if(t rlike '[0-9]', '<*>', t)))) AS lines",
     )
     first = ", ".join(f"get(t, {k})" for k in range(DEPTH))
     whole = lines.selectExpr("rid", f"transform(lines, t -> struct(size(t) AS n, xxhash64(size(t), {first}) AS leaf, xxhash64(t) AS all, CASE WHEN size(t) >= {LONG} THEN xxhash64(slice(t, 1, size(t) div 2)) END AS a, CASE WHEN size(t) >= {LONG} THEN xxhash64(slice(t, size(t) div 2 + 1, size(t))) END AS b)) AS s")
-    rows = whole.selectExpr("rid", "s", "xxhash64(array_sort(array_distinct(s.all))) AS doc").selectExpr("rid", "s", "doc", "posexplode(s) AS (i, x)").where("x.n > 0")
+    rows = whole.selectExpr("rid", "s", f"slice(sort_array(array_distinct(transform(filter(s, x -> x.n >= {LONG}), x -> x.all))), 1, 2) AS least").selectExpr("rid", "s", "least", "posexplode(s) AS (i, x)").where("x.n > 1")
     return rows.selectExpr(
-        "rid", "i", "xxhash64(get(s, i - 1).leaf, get(s, i + 1).leaf) AS around", "doc",
+        "rid", "i", "xxhash64(get(s, i - 1).leaf, get(s, i + 1).leaf) AS around", "coalesce(CASE WHEN get(least, 0) = x.all THEN get(least, 1) ELSE get(least, 0) END, 0L) AS doc",
         "array_compact(array(xxhash64(0, x.leaf, x.all), CASE WHEN x.a IS NOT NULL THEN xxhash64(1, x.leaf, x.a) END, CASE WHEN x.b IS NOT NULL THEN xxhash64(2, x.leaf, x.b) END)) AS keys",
     )
 
@@ -43,9 +45,10 @@ def recurring(parsed: DataFrame, docs: int = DOCS, share: float = SHARE) -> Data
     """(key, n_docs, n_around) of the templates that recur."""
     rows = parsed.select(F.explode("keys").alias("key"), "doc", "around")
     often = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("a"), F.max("doc").alias("b")).where((F.col("n") >= docs) & (F.col("a") < F.col("b"))).select("key")
-    by_doc = rows.join(often, "key").groupBy("key", "doc").agg(F.min("around").alias("around"))
-    by_place = by_doc.groupBy("key", "around").agg(F.count("*").alias("m"))
-    return by_place.groupBy("key").agg(F.sum("m").alias("n_docs"), F.count("*").alias("n_around")).where((F.col("n_docs") >= docs) & (F.col("n_around") >= docs) & (F.col("n_around") >= share * F.col("n_docs")))
+    by_doc = rows.join(often, "key").groupBy("key", "doc").agg(F.min("around").alias("around"), F.count("*").alias("rows"))
+    by_place = by_doc.groupBy("key", "around").agg(F.count("*").alias("m"), F.sum("rows").alias("rows"))
+    counted = by_place.groupBy("key").agg(F.sum("rows").alias("n"), F.sum("m").alias("n_docs"), F.count("*").alias("n_around"))
+    return counted.where((F.least("n_docs", "n_around") >= docs) & (F.least("n_docs", "n_around") >= share * F.col("n")))
 
 
 def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs: int = DOCS, share: float = SHARE) -> DataFrame:
