@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from envgrid.llm import html_text, lines, media, near, packing, pieces_bpe, quality, token_counts, toxicity
+from envgrid.llm import html_text, lines, media, near, packing, pieces_bpe, quality, repeats, token_counts, toxicity
 
 QUERIES = {}
 ORACLES = {}
-for _m in (pieces_bpe, media, quality, token_counts, toxicity, html_text, lines, packing, near):
+for _m in (pieces_bpe, media, quality, token_counts, toxicity, html_text, lines, packing, near, repeats):
     QUERIES |= _m.QUERIES
     ORACLES |= getattr(_m, "ORACLES", {})
