@@ -286,8 +286,8 @@ def train(documents: DataFrame, labels: DataFrame, **names: str) -> Model:
     found = training_rows(documents, labels, **names).collect()
     return fit_model([r["text"] or "" for r in found], [r["y"] for r in found])
 
-def score_texts(df: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """Keeps the columns in keep and adds score (0 to 1) and predicted (score of 0.5 or more)."""
+def score_texts(df: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", carry_text: bool = False) -> DataFrame:
+    """Keeps the columns in keep (and the text, with carry_text) and adds score (0 to 1) and predicted (score of 0.5 or more)."""
     types = {f.name: f.dataType.simpleString() for f in df.schema}
 
     def make():
@@ -296,11 +296,12 @@ def score_texts(df: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)
         def run(texts: list) -> dict:
             values = of([t or "" for t in texts]) if of else np.zeros((len(texts), 0))
             s = model.scores(values)
-            return {"score": pa.array(s, pa.float64()), "predicted": pa.array((s >= 0.5).astype(np.int32), pa.int32())}
+            out = {text_col: pa.array(texts, pa.string())} if carry_text else {}
+            return out | {"score": pa.array(s, pa.float64()), "predicted": pa.array((s >= 0.5).astype(np.int32), pa.int32())}
 
         return run
 
-    return map_texts(df, make, "".join(f"`{k}` {types[k]}, " for k in keep) + "score double, predicted int", text_col, keep)
+    return map_texts(df, make, "".join(f"`{k}` {types[k]}, " for k in keep) + (f"`{text_col}` string, " if carry_text else "") + "score double, predicted int", text_col, keep)
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents")
