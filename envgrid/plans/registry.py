@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from envgrid.plans import climate, fields, verification
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _m in (verification, fields, climate):
+    QUERIES |= _m.reg.queries
+    ORACLES |= _m.reg.oracles
