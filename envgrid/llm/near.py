@@ -6,10 +6,14 @@ bits, packed. Classes that share a band key are candidates; the share of equal p
 corrected for chance collisions, estimates their similarity, and pairs far below the threshold (MARGIN, over six
 standard errors) go no further. What is left is confirmed on the full sets of both texts.
 
-Within a band's bucket each class is first held against the bucket's smallest; confirmed links give components. Then
-classes of a bucket that are still in different components are held against each other, so a link is lost only where no
-band finds it (a chance below 1e-5 at similarity 0.75), and large groups of copies cost one pair for each member.
-Components spread by joining each class with the least id near it until nothing changes, staged after each round.
+Each class takes as its hub the bucket head most like it (of a similarity of HUB or more by estimate), and the hubs'
+hubs lead to a root. A class is confirmed against its root alone, which gives the link and how its set differs from the
+root's: the root's shingles that it lacks, as bits, and its own ones. From these differences the exact similarity of two
+classes of one root follows without their texts. So the classes that are not linked with their root are held against all
+others of the root in blocks of BLOCK by BLOCK, as arrays in tasks; only links leave them. Pairs of a bucket with
+different roots are confirmed one by one. A link is lost only where no band finds it (a chance below 1e-5 at similarity
+0.75), and a group of copies costs a row for each member and block. Components spread by joining each class with the
+least id near it until nothing changes, staged after each round.
 
 Documents without words have an empty set and are linked with nothing; with fewer than five words the whole sequence is
 the one shingle. Null texts have no words. Rows with the same id are taken as one document each; ties go to the smallest
@@ -34,6 +38,8 @@ WINDOW = 5
 PERCENT = 75
 BANDS, ROWS, BITS = 32, 4, 2
 MARGIN = 0.2
+HUB = 0.4
+BLOCK = 4096
 SEED = 20240601
 WORD = re.compile(r"[^ \t-\r]+")
 UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -140,6 +146,104 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def roots(hubs: DataFrame) -> DataFrame:
+    """(rep, root) from (rep, hub), hubs being smaller than what they serve; the ways halve in each round."""
+    at = stage(hubs.select("rep", F.col("hub").alias("root")), "roots")
+    while True:
+        up = at.select(F.col("rep").alias("root"), F.col("root").alias("next"))
+        new = stage(at.join(up, "root", "left").select("rep", F.col("root").alias("old"), F.coalesce("next", "root").alias("root")), "roots")
+        at = new.select("rep", "root")
+        if new.where("old <> root").isEmpty():
+            return at
+
+
+def hashed(text: str) -> np.ndarray:
+    s = shingles(text)
+    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, s), np.uint64, len(s)))
+
+
+def differences(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(rep, root, n, m, linked, lacks, own) of (rep, root): sizes of the two sets, whether they are similar enough, the root's shingles that rep lacks (bits), rep's own (hashes)."""
+    both = pairs.join(texts, "rep").join(texts.select(F.col("rep").alias("root"), F.col("text").alias("of")), "root")
+
+    def run(batches):
+        last, hub = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            n, m, ok, lacks, own = [], [], [], [], []
+            for r, x, y in zip(batch.column("root"), batch.column("text"), batch.column("of"), strict=True):
+                if r != last:
+                    last, hub = r, hashed(y.as_py())
+                mine = hashed(x.as_py())
+                out = ~np.isin(hub, mine, assume_unique=True)
+                shared = len(hub) - int(out.sum())
+                n.append(len(mine))
+                m.append(len(hub))
+                ok.append(100 * shared >= PERCENT * (len(mine) + len(hub) - shared))
+                bits = np.packbits(out)
+                lacks.append(bits.tobytes() + b"\0" * (-len(bits) % 8))
+                own.append(mine[~np.isin(mine, hub, assume_unique=True)].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("root"), pa.array(n, pa.int32()), pa.array(m, pa.int32()), pa.array(ok, pa.bool_()), pa.array(lacks, pa.binary()), pa.array(own, pa.list_(pa.int64()))], names=["rep", "root", "n", "m", "linked", "lacks", "own"])
+
+    kind = pairs.schema["rep"].dataType.simpleString()
+    return both.sortWithinPartitions("root").select("rep", "root", "text", "of").mapInArrow(run, f"rep {kind}, root {kind}, n int, m int, linked boolean, lacks binary, own array<long>")
+
+
+def links_by_difference(xs: list[dict], ys: list[dict]) -> list[tuple]:
+    """Exact links of each x with each other y of the same root."""
+    bits = np.frombuffer(b"".join(y["lacks"] for y in ys), np.uint64).reshape(len(ys), -1)
+    gone = np.bitwise_count(bits).sum(axis=1).astype(np.int64)
+    size = np.array([y["n"] for y in ys], np.int64)
+    owners: dict[int, list[int]] = {}
+    for i, y in enumerate(ys):
+        for h in y["own"]:
+            owners.setdefault(h, []).append(i)
+    out = []
+    for x in xs:
+        mine = np.frombuffer(x["lacks"], np.uint64)
+        both = np.bitwise_count(bits & mine).sum(axis=1).astype(np.int64)
+        shared = x["m"] - int(np.bitwise_count(mine).sum()) - gone + both
+        for h in x["own"]:
+            if h in owners:
+                shared[owners[h]] += 1
+        for i in np.flatnonzero(100 * shared >= PERCENT * (x["n"] + size - shared)).tolist():
+            if ys[i]["rep"] != x["rep"]:
+                out.append((x["rep"], ys[i]["rep"]))
+    return out
+
+
+def links_within_roots(told: DataFrame) -> DataFrame:
+    """(a, b): links between classes of one root of which one at least is not linked with it; told is differences()."""
+    kind = told.schema["rep"].dataType.simpleString()
+    counts = told.groupBy("root").agg(F.sum(F.when(F.col("linked"), 0).otherwise(1)).alias("nx"), F.count("*").alias("ny")).where("nx > 0 AND ny > 1")
+    rows = told.join(counts, "root").withColumn("bx", F.ceil(F.col("nx") / BLOCK)).withColumn("by", F.ceil(F.col("ny") / BLOCK))
+    part = lambda c, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(c))
+    xs = rows.where(~F.col("linked")).select("*", part("bx", 1).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("by") - 1)).alias("j"), F.lit(0).alias("side"))
+    ys = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bx") - 1)).alias("i"), part("by", 2).alias("j"), F.lit(1).alias("side"))
+    both = xs.unionByName(ys).select("root", "i", "j", "side", "rep", "n", "m", "lacks", "own")
+
+    def run(batches):
+        key, xs, ys = None, [], []
+
+        def solved():
+            found = links_by_difference(xs, ys) if xs and ys else []
+            return pa.RecordBatch.from_pydict({"a": [max(p) for p in found], "b": [min(p) for p in found]}, schema=schema)
+
+        schema = None
+        for batch in batches:
+            schema = schema or pa.schema([("a", batch.schema.field("rep").type), ("b", batch.schema.field("rep").type)])
+            for r in batch.to_pylist():
+                k = (r["root"], r["i"], r["j"])
+                if k != key:
+                    if xs and ys:
+                        yield solved()
+                    key, xs, ys = k, [], []
+                (ys if r["side"] else xs).append(r)
+        if xs and ys:
+            yield solved()
+
+    return both.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "side", "rep").mapInArrow(run, f"a {kind}, b {kind}").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least id reachable, for each node that an edge (a, b) has."""
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("near")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("near")))
@@ -165,25 +269,23 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     buckets = reps.select(F.posexplode("bands").alias("band", "key"), "rep", "low")
     heads = buckets.groupBy("band", "key").agg(F.min(F.struct("rep", "low")).alias("h"), F.count("*").alias("n")).where("n > 1").select("band", "key", F.col("h.rep").alias("head"), F.col("h.low").alias("head_low"))
     shared = stage(buckets.join(heads, ["band", "key"]), "buckets")
-    # 1: each class against the smallest of its buckets
-    likely = similarity_estimate("low", "head_low") >= PERCENT / 100 - MARGIN
-    stars = shared.where("rep <> head").where(likely).select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
-    stars = stage(stars, "stars")
-    # texts move once; the pairs are joined to those of classes that share a bucket
+    likely = similarity_estimate("low", "head_low")
+    near = shared.where("rep <> head").withColumn("e", likely).where(F.col("e") >= HUB)
+    hubs = roots(near.groupBy("rep").agg(F.max_by("head", F.struct("e", F.negative(F.col("head").cast("long")) if dict(df.dtypes)[id_col] in ("int", "bigint", "smallint", "tinyint") else "head")).alias("hub")))
+    # texts move once; pairs are joined to those of classes that share a bucket
     texts = stage(df.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(shared.select("rep").distinct(), "rep", "left_semi"), "texts")
-    first = stage(confirm(stars, texts), "links")
-    found = components(first)
-    # 2: what shares a bucket and is still apart
-    named = shared.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    apart = named.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "key")
-    rest = stage(named.join(apart, ["band", "key"]).select("band", "key", "rep", "low", "component"), "apart")
-    one = rest.select("band", "key", F.col("rep").alias("a"), F.col("low").alias("la"), F.col("component").alias("ca"))
-    two = rest.select("band", "key", F.col("rep").alias("b"), F.col("low").alias("lb"), F.col("component").alias("cb"))
-    pairs = one.join(two, ["band", "key"]).where("ca < cb").where(similarity_estimate("la", "lb") >= PERCENT / 100 - MARGIN).select("a", "b").distinct()
-    pairs = stage(pairs.join(stars.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti").join(stars, ["a", "b"], "left_anti"), "pairs")
-    second = confirm(pairs, texts)
-    links = stage(first.unionByName(second), "links")
-    final = components(links)
+    told = stage(differences(hubs, texts), "differences")
+    first = told.where("linked").select(F.col("rep").alias("a"), F.col("root").alias("b"))
+    second = links_within_roots(told)
+    # what shares a bucket and has different roots
+    named = shared.select("band", "key", "rep", "low").join(hubs, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    apart = named.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band", "key")
+    rest = stage(named.join(apart, ["band", "key"]), "apart")
+    one = rest.select("band", "key", F.col("rep").alias("a"), F.col("low").alias("la"), F.col("root").alias("ra"))
+    two = rest.select("band", "key", F.col("rep").alias("b"), F.col("low").alias("lb"), F.col("root").alias("rb"))
+    pairs = one.join(two, ["band", "key"]).where("ra < rb").where(similarity_estimate("la", "lb") >= PERCENT / 100 - MARGIN).select("a", "b").distinct()
+    third = confirm(stage(pairs, "pairs"), texts)
+    final = components(stage(first.unionByName(second).unionByName(third), "links"))
     named = reps.select("set_key", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     out = sig.select(id_col, "n_shingles", "set_key").join(named, "set_key", "left")
     return out.select(id_col, "n_shingles", F.coalesce("component_id", F.col(id_col)).alias("component_id")).withColumn("kept", F.col(id_col) == F.col("component_id"))
