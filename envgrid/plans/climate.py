@@ -21,7 +21,7 @@ SPECIES = (
     ("chicken", 196, 227, 288, 309, 0.15, 0.55, None, None),
     ("hen", 244, 258, 298, 319, 0.20, 0.60, 18.0, 13.0),
 )
-_SP = ", ".join(f"('{n}', {a}, {b}, {c}, {e}, {lo}, {hi}, {'NULL::DOUBLE' if x is None else x}, {'NULL::DOUBLE' if y is None else y})" for n, a, b, c, e, lo, hi, x, y in SPECIES)
+_SP = ", ".join(f"('{n}', {a}, {b}, {c}, {e}, {lo}::DOUBLE, {hi}::DOUBLE, {'NULL::DOUBLE' if x is None else x}, {'NULL::DOUBLE' if y is None else y})" for n, a, b, c, e, lo, hi, x, y in SPECIES)
 SPECIES_SQL = f"sp AS (SELECT * FROM (VALUES {_SP}) t(species, a, b, c, d, lo, hi, none_at, full_at))"
 
 
@@ -44,15 +44,15 @@ def wn04(spark, d):
     return t.select("user_id", "day", moisture.days_since((F.col("rain") >= 12.7) & (F.col("n") >= 5), "n", "user_id").alias("since_soak"), moisture.days_since(F.col("rain") <= 0, "n", "user_id").alias("since_frost"))
 
 
-@reg.add("wn07_soil_fold", f"""WITH RECURSIVE {DAILY}, c AS (SELECT unnest([30.0, 80.0]) AS cap), f AS (SELECT user_id, cap, -1 AS n, 0.5 * cap AS s, TRUE AS armed, CAST(NULL AS INTEGER) AS wet, CAST(NULL AS INTEGER) AS soak FROM (SELECT DISTINCT user_id FROM da), c
- UNION ALL SELECT f.user_id, f.cap, d.n, greatest(least(f.s + 0.85 * d.rain, f.cap) - 3.0 * least(f.s + 0.85 * d.rain, f.cap) / f.cap, 0), CASE WHEN d.rain >= 12.7 AND (f.armed OR f.s / f.cap < 0.3) THEN FALSE ELSE f.armed OR f.s / f.cap < 0.3 END,
+@reg.add("wn07_soil_fold", f"""WITH RECURSIVE {DAILY}, c AS (SELECT unnest([30.0::DOUBLE, 80.0::DOUBLE]) AS cap), f AS (SELECT user_id, cap, -1 AS n, 0.5::DOUBLE * cap AS s, TRUE AS armed, CAST(NULL AS INTEGER) AS wet, CAST(NULL AS INTEGER) AS soak FROM (SELECT DISTINCT user_id FROM da), c
+ UNION ALL SELECT f.user_id, f.cap, d.n, greatest(least(f.s + 0.85::DOUBLE * d.rain, f.cap) - 3.0::DOUBLE * least(f.s + 0.85::DOUBLE * d.rain, f.cap) / f.cap, 0), CASE WHEN d.rain >= 12.7 AND (f.armed OR f.s / f.cap < 0.3) THEN FALSE ELSE f.armed OR f.s / f.cap < 0.3 END,
  CASE WHEN d.rain >= 12.7 AND (f.armed OR f.s / f.cap < 0.3) THEN d.n ELSE f.wet END, CASE WHEN d.rain >= 12.7 AND d.n >= 5 THEN d.n ELSE f.soak END FROM f JOIN da d ON d.user_id = f.user_id AND d.n = f.n + 1)
- SELECT user_id, CAST(cap AS DOUBLE) AS cap, round(CAST(s / cap AS DOUBLE), 4) AS sm, CAST(29 - wet AS INTEGER) AS days_since_wetup, CAST(29 - soak AS INTEGER) AS days_since_soak, round((SELECT avg(CAST(g.s / g.cap AS DOUBLE)) FROM f g WHERE g.user_id = f.user_id AND g.cap = f.cap AND g.n > 22), 4) AS mean_7 FROM f WHERE n = 29""")
+ SELECT user_id, CAST(cap AS DOUBLE) AS cap, round(CAST(s / cap AS DOUBLE), 7) AS sm, CAST(29 - wet AS INTEGER) AS days_since_wetup, CAST(29 - soak AS INTEGER) AS days_since_soak, round((SELECT avg(CAST(g.s / g.cap AS DOUBLE)) FROM f g WHERE g.user_id = f.user_id AND g.cap = f.cap AND g.n > 22), 7) AS mean_7 FROM f WHERE n = 29""")
 def wn07(spark, d):
     forcing = daily(spark, d).select("user_id", "n", F.col("rain").alias("p"), F.lit(3.0).alias("pet"))
     caps = forcing.select("user_id").distinct().withColumn("cap", F.explode(F.array(F.lit(30.0), F.lit(80.0))))
     out = moisture.soil_state(forcing, caps, ["user_id"], spin_up=5)
-    return out.select("user_id", "cap", F.round("sm", 4).alias("sm"), "days_since_wetup", "days_since_soak", F.round("mean_7", 4).alias("mean_7"))
+    return out.select("user_id", "cap", F.round("sm", 7).alias("sm"), "days_since_wetup", "days_since_soak", F.round("mean_7", 7).alias("mean_7"))
 
 
 @reg.add("ag03_complete_days", f"WITH {EVENTS}, x AS (SELECT CAST(ts AS DATE) AS day, station AS i, CASE WHEN value > 5 THEN value END AS v FROM ev), g AS (SELECT day, i, coalesce(sum(v), 0) AS total, count(v) AS n FROM x GROUP BY ALL) SELECT day, i, round(total, 4) AS total, n FROM g WHERE day IN (SELECT day FROM g GROUP BY day HAVING max(n) >= 24)")
@@ -95,7 +95,7 @@ _LAYERS = "l AS (SELECT o_orderkey AS cell, max(l_discount) * 8 AS oak, CASE WHE
 _RAMP = "greatest(0, least(1, ({x} - {lo}) / ({hi} - {lo})))"
 _TERMS = f"""t AS (SELECT species, cell, canopy, {_RAMP.format(x="oak", lo="lo", hi="hi")} * (1 - least(1, coalesce(wet, 0))) AS host,
  CASE WHEN coalesce(frost, 9999) <= doy - 244 THEN 0.0 ELSE {_SEASON} END * CASE WHEN none_at IS NULL OR tmin7 IS NULL THEN 1.0 ELSE greatest(0, least(1, (none_at - tmin7) / (none_at - full_at))) END AS season,
- {_RAMP.format(x="sm", lo="0.2", hi="0.6")} AS damp, CASE WHEN wetup IS NULL THEN NULL ELSE 1 - {_RAMP.format(x="wetup", lo="10.0", hi="30.0")} END AS lag FROM l, sp)"""
+ {_RAMP.format(x="sm", lo="0.2::DOUBLE", hi="0.6::DOUBLE")} AS damp, CASE WHEN wetup IS NULL THEN NULL ELSE 1 - {_RAMP.format(x="wetup", lo="10.0::DOUBLE", hi="30.0::DOUBLE")} END AS lag FROM l, sp)"""
 _SCORED = "s AS (SELECT *, CASE WHEN host IS NULL OR season IS NULL OR damp IS NULL OR lag IS NULL THEN NULL ELSE least(host, season, damp, lag) END AS score FROM t), k AS (SELECT *, CASE WHEN NOT canopy THEN 0 WHEN score >= 0.6 THEN 3 WHEN score >= 0.35 THEN 2 ELSE 1 END AS class FROM s), li AS (SELECT *, CASE WHEN class IN (1, 2) THEN CASE WHEN host IS NULL THEN 1 WHEN season IS NULL THEN 2 WHEN damp IS NULL THEN 3 WHEN lag IS NULL THEN 4 WHEN host = least(host, season, damp, lag) THEN 1 WHEN season = least(host, season, damp, lag) THEN 2 WHEN damp = least(host, season, damp, lag) THEN 3 ELSE 4 END ELSE 0 END AS limiter FROM k)"
 
 
@@ -142,13 +142,13 @@ def sc17(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", scalars.twin_byte(v, 0.0, 0.1).alias("twin"), scalars.map_byte(v, 0.0, 0.1).alias("map"), scalars.palette_index(v, 0.0, 0.1, 8).alias("palette"))
 
 
-@reg.add("pf09_conversions", "SELECT event_id, round(value * 3600, 3) AS mm_h, round(value / 25.4, 7) AS inch, round(CASE WHEN event_type IN ('click', 'view') THEN value * 3600 ELSE value END, 3) AS by_unit, round(greatest(coalesce(CASE WHEN user_id % 2 = 0 THEN value * 10 END, value * 10 * 0.3), 8), 4) AS capacity, round(value / 1000 * 9e6 / (24 * 3600), 5) AS flux FROM events")
+@reg.add("pf09_conversions", "SELECT event_id, round(value * 3600, 3) AS mm_h, round(value / 25.4, 7) AS inch, round(CASE WHEN event_type IN ('click', 'view') THEN value * 3600 ELSE value END, 3) AS by_unit, round(greatest(coalesce(CASE WHEN user_id % 2 = 0 THEN value * 10 END, value * 10 * 0.3), 8), 4) AS capacity, round(value / 1000 * 9e6 / (24 * 3600), 8) AS flux FROM events")
 def pf09(spark, d):
     v = F.col("value")
     unit = F.when(F.col("event_type").isin("click", "view"), "mm/s").otherwise("mm")
     return table(spark, d, "events").select(
         "event_id", F.round(scalars.rate_to_mm(v, 3600), 3).alias("mm_h"), F.round(scalars.mm_to_in(v), 7).alias("inch"), F.round(scalars.depth_in(v, unit), 3).alias("by_unit"),
-        F.round(scalars.capacity_mm(v, F.when(F.col("user_id") % 2 == 0, v)), 4).alias("capacity"), F.round(scalars.flux_m3s(scalars.volume_m3(v, F.lit(9e6)), F.lit(24)), 5).alias("flux"),
+        F.round(scalars.capacity_mm(v, F.when(F.col("user_id") % 2 == 0, v)), 4).alias("capacity"), F.round(scalars.flux_m3s(scalars.volume_m3(v, F.lit(9e6)), F.lit(24)), 8).alias("flux"),
     )
 
 

@@ -44,10 +44,10 @@ def jn19(spark, d):
 
 
 @reg.add("jn18_bilinear", f"""WITH {LAYER}, p AS (SELECT c_custkey AS id, (c_custkey * 31 % 590) / 10.0 AS fy, (c_custkey * 17 % 590) / 10.0 AS fx FROM customer), c AS (SELECT id, CAST(floor(fy) AS INTEGER) + a AS row, CAST(floor(fx) AS INTEGER) + b AS col, (CASE WHEN a = 1 THEN fy - floor(fy) ELSE 1 - (fy - floor(fy)) END) * (CASE WHEN b = 1 THEN fx - floor(fx) ELSE 1 - (fx - floor(fx)) END) AS w FROM p, (VALUES (0), (1)) t(a), (VALUES (0), (1)) u(b))
- SELECT id, round(sum(w * value) / nullif(sum(w), 0), 4) AS value FROM c JOIN la USING (row, col) GROUP BY id""")
+ SELECT id, round(sum(w * value) / nullif(sum(w), 0), 7) AS value FROM c JOIN la USING (row, col) GROUP BY id""")
 def jn18(spark, d):
     p = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), ((F.col("c_custkey") * 31 % 590) / 10.0).alias("fy"), ((F.col("c_custkey") * 17 % 590) / 10.0).alias("fx"))
-    return rounded(grid.bilinear(p, layer(spark, d)))
+    return rounded(grid.bilinear(p, layer(spark, d)), 7)
 
 
 @reg.add("jn14_burn_latest", f"WITH {BOXES} SELECT y AS row, x AS col, max(basin_id) AS value FROM (SELECT basin_id, unnest(range(y0, y0 + 12)) AS yy, x0 FROM bo) t, range(60) g(x), (SELECT unnest(range(60)) AS y) h WHERE 59 - y = yy AND x BETWEEN x0 AND x0 + 11 GROUP BY ALL")

@@ -32,7 +32,7 @@ def write_series(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str = GAUGE_DAILY) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).option("dateFormat", "yyyy-MM-dd").csv(path)
+    return spark.read.schema(schema).option("header", True).option("escape", "\"").option("dateFormat", "yyyy-MM-dd").csv(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
