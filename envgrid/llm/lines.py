@@ -55,11 +55,11 @@ def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", do
     """df with recurring lines cut from the text, and n_lines, n_dropped."""
     parsed = stage(parse_lines(df, id_col, text_col), "lines")
     keys = stage(recurring(parsed, docs, share), "templates").select("key")
-    gone = parsed.select("rid", "i", F.explode("keys").alias("key")).join(keys, "key").groupBy("rid").agg(F.collect_set("i").alias("_gone"))
-    marked = df.withColumn("_rid", F.xxhash64(id_col, text_col)).join(gone.withColumnRenamed("rid", "_rid"), "_rid", "left").drop("_rid")
-    cut = marked.withColumn("n_lines", F.coalesce(F.size(F.split(text_col, "\n")), F.lit(0))).withColumn("n_dropped", F.coalesce(F.size("_gone"), F.lit(0)))
-    kept = F.expr(f"CASE WHEN _gone IS NULL THEN `{text_col}` ELSE array_join(filter(split(`{text_col}`, '\\n'), (l, i) -> NOT array_contains(_gone, i)), '\\n') END")
-    return cut.withColumn(text_col, kept).drop("_gone")
+    gone = parsed.select("rid", "i", F.explode("keys").alias("key")).join(keys, "key").groupBy("rid").agg(F.collect_set("i").alias("__gone"))
+    marked = df.withColumn("__rid", F.xxhash64(id_col, text_col)).join(gone.withColumnRenamed("rid", "__rid"), "__rid", "left").drop("__rid")
+    cut = marked.withColumn("n_lines", F.coalesce(F.size(F.split(text_col, "\n")), F.lit(0))).withColumn("n_dropped", F.coalesce(F.size("__gone"), F.lit(0)))
+    kept = F.expr(f"CASE WHEN __gone IS NULL THEN `{text_col}` ELSE array_join(filter(split(`{text_col}`, '\\n'), (l, i) -> NOT array_contains(__gone, i)), '\\n') END")
+    return cut.withColumn(text_col, kept).drop("__gone")
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -232,24 +232,25 @@ def cut(raw: bytes, spans: list) -> tuple[bytes, int, int]:
 def remove_repeats(df: DataFrame, keep: str = "none", id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """df with n_bytes, n_removed, n_spans, and the remaining text (characters that lost a byte go too) or, with digest, the SHA-256 of the remaining bytes instead of it."""
     small_batches(df.sparkSession)
-    spans = repeat_spans(df, keep, id_col, text_col).withColumnRenamed("rid", "_rid")
-    joined = df.withColumn("_rid", F.xxhash64(id_col, text_col)).join(spans, "_rid", "left").drop("_rid")
-    rest = [c for c in df.columns if c != text_col]
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in rest) + f", {'kept_sha256' if digest else f'`{text_col}`'} string, n_bytes long, n_removed long, n_spans long"
+    out = "kept_sha256" if digest else text_col
+    rest = [c for c in df.columns if c not in (text_col, out, "n_bytes", "n_removed", "n_spans")]  # columns of these names give way
+    spans = repeat_spans(df, keep, id_col, text_col).select(F.col("rid").alias("__rid"), F.col("spans").alias("__spans"))
+    joined = df.withColumn("__rid", F.xxhash64(id_col, text_col)).join(spans, "__rid", "left").drop("__rid")
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in rest) + f", `{out}` string, n_bytes long, n_removed long, n_spans long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, n, gone, runs = [], [], [], []
-            for t, found in zip(batch.column(text_col), batch.column("spans"), strict=True):
+            for t, found in zip(batch.column(text_col), batch.column("__spans"), strict=True):
                 raw = (t.as_py() or "").encode()
                 left, removed, k = cut(raw, [(x["s"], x["e"]) for x in found.as_py()]) if found.is_valid else (raw, 0, 0)
                 texts.append(hashlib.sha256(left).hexdigest() if digest else left.decode("utf-8", "ignore") if t.is_valid else None)
                 n.append(len(raw))
                 gone.append(removed)
                 runs.append(k)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64())], names=[*rest, "kept_sha256" if digest else text_col, "n_bytes", "n_removed", "n_spans"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64())], names=[*rest, out, "n_bytes", "n_removed", "n_spans"])
 
-    return joined.select(*rest, text_col, "spans").mapInArrow(run, schema)
+    return joined.select(*rest, text_col, "__spans").mapInArrow(run, schema)
 
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
