@@ -26,8 +26,9 @@ def _recounted(df: DataFrame, docs: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under 0.5; the model learns from the labels of the documents given."""
     model = toxicity.train(docs, read(spark, sf_dir, "labels"))
-    scored = toxicity.score_texts(docs, model, keep=tuple(c for c in docs.columns if c != "text"), carry_text=True)
-    return scored.where("predicted = 0").select(docs.columns)
+    rows = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), "text")
+    scored = toxicity.score_texts(rows, model, keep=("row",), carry_text=True)
+    return scored.where("predicted = 0").select("row.*", "text").select(docs.columns)
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
