@@ -68,7 +68,7 @@ def ag12(spark, d):
     return rounded(zonal.polygon_means(layer(spark, d), zonal.cell_weights(boxes(spark, d, 0.5), SPEC, "basin_id"), [], "basin_id"))
 
 
-_SERIES = f"""{CELLS}, {BOXES}, se AS (SELECT day AS report_date, basin_id, any_value(kind) AS kind, count(*) AS n_hours, 3 AS n_hours_expected, sum(value) AS mm FROM ce JOIN bo ON col BETWEEN x0 AND x0 + 11 AND 59 - row BETWEEN y0 AND y0 + 11 GROUP BY ALL)"""
+SERIES = f"""{CELLS}, {BOXES}, se AS (SELECT day AS report_date, basin_id, any_value(kind) AS kind, count(*) AS n_hours, 3 AS n_hours_expected, sum(value) AS mm FROM ce JOIN bo ON col BETWEEN x0 AND x0 + 11 AND 59 - row BETWEEN y0 AND y0 + 11 GROUP BY ALL)"""
 
 
 def basin_series(spark, d):
@@ -79,19 +79,19 @@ def basin_series(spark, d):
     return c.join(F.broadcast(kinds), "basin_id").withColumn("n_hours_expected", F.lit(3)).withColumn("precip_in", scalars.mm_to_in(F.col("precip_mm"))).withColumn("volume_m3", scalars.volume_m3(F.col("precip_mm"), F.lit(144.0e6))).withColumn("volume_flux_m3s", scalars.flux_m3s(F.col("volume_m3"), F.lit(24)))
 
 
-@reg.add("pl05_basin_series", f"WITH {_SERIES} SELECT report_date, basin_id, n_hours, round(mm, 4) AS precip_mm, round(mm / 25.4, 4) AS precip_in, round(mm / 1000 * 144e6, 1) AS volume_m3, round(mm / 1000 * 144e6 / 86400, 2) AS volume_flux_m3s FROM se")
+@reg.add("pl05_basin_series", f"WITH {SERIES} SELECT report_date, basin_id, n_hours, round(mm, 4) AS precip_mm, round(mm / 25.4, 4) AS precip_in, round(mm / 1000 * 144e6, 1) AS volume_m3, round(mm / 1000 * 144e6 / 86400, 2) AS volume_flux_m3s FROM se")
 def pl05(spark, d):
     s = basin_series(spark, d)
     return s.select("report_date", "basin_id", "n_hours", F.round("precip_mm", 4).alias("precip_mm"), F.round("precip_in", 4).alias("precip_in"), F.round("volume_m3", 1).alias("volume_m3"), F.round("volume_flux_m3s", 2).alias("volume_flux_m3s"))
 
 
-@reg.add("ag29_basin_period", f"WITH {_SERIES} SELECT basin_id, count(*) AS n_days, CAST(sum(CASE WHEN n_hours = 3 THEN 0 ELSE 1 END) AS BIGINT) AS n_partial, round(avg(mm), 4) AS mean_mm, round(sum(mm), 4) AS total_mm, round(sum(mm) / 25.4, 3) AS total_in, arg_max(report_date, (mm, -epoch(report_date))) AS wettest FROM se WHERE report_date BETWEEN DATE '1995-01-01' AND DATE '1996-12-31' GROUP BY basin_id")
+@reg.add("ag29_basin_period", f"WITH {SERIES} SELECT basin_id, count(*) AS n_days, CAST(sum(CASE WHEN n_hours = 3 THEN 0 ELSE 1 END) AS BIGINT) AS n_partial, round(avg(mm), 4) AS mean_mm, round(sum(mm), 4) AS total_mm, round(sum(mm) / 25.4, 3) AS total_in, arg_max(report_date, (mm, -epoch(report_date))) AS wettest FROM se WHERE report_date BETWEEN DATE '1995-01-01' AND DATE '1996-12-31' GROUP BY basin_id")
 def ag29(spark, d):
     out = series.basin_period(basin_series(spark, d), F.lit("1995-01-01").cast("date"), F.lit("1996-12-31").cast("date"))
     return out.select("basin_id", "n_days", "n_partial", F.round("mean_mm", 4).alias("mean_mm"), F.round("total_mm", 4).alias("total_mm"), F.round("total_in", 3).alias("total_in"), "wettest")
 
 
-@reg.add("jn04_keyed_range_join", f"WITH {_SERIES} SELECT concat(n_nationkey, '_', n_regionkey) AS basin_key, report_date, round(mm, 4) AS precip_mm, n_name AS name FROM nation n JOIN se ON concat(n_nationkey, '_', n_regionkey) = concat(se.basin_id, '_', se.kind) WHERE report_date BETWEEN DATE '1995-03-01' AND DATE '1995-03-31' AND n_regionkey = 1")
+@reg.add("jn04_keyed_range_join", f"WITH {SERIES} SELECT concat(n_nationkey, '_', n_regionkey) AS basin_key, report_date, round(mm, 4) AS precip_mm, n_name AS name FROM nation n JOIN se ON concat(n_nationkey, '_', n_regionkey) = concat(se.basin_id, '_', se.kind) WHERE report_date BETWEEN DATE '1995-03-01' AND DATE '1995-03-31' AND n_regionkey = 1")
 def jn04(spark, d):
     basin_series(spark, d).createOrReplaceTempView("envgrid_series")
     table(spark, d, "nation").createOrReplaceTempView("envgrid_basins")
@@ -99,29 +99,29 @@ def jn04(spark, d):
       JOIN envgrid_series s ON concat_ws('_', n_nationkey, n_regionkey) = concat_ws('_', s.basin_id, s.kind) WHERE report_date BETWEEN DATE '1995-03-01' AND DATE '1995-03-31' AND n_regionkey = 1""")
 
 
-@reg.add("ag28_completeness", f"WITH {_SERIES} SELECT CAST(year(report_date) AS INTEGER) AS year, round(100 * avg(CASE WHEN n_hours = 3 THEN 1.0 ELSE 0.0 END), 4) AS pct_complete FROM se GROUP BY 1")
+@reg.add("ag28_completeness", f"WITH {SERIES} SELECT CAST(year(report_date) AS INTEGER) AS year, round(100 * avg(CASE WHEN n_hours = 3 THEN 1.0 ELSE 0.0 END), 4) AS pct_complete FROM se GROUP BY 1")
 def ag28(spark, d):
     return rounded(basin_series(spark, d).groupBy(F.year("report_date").alias("year")).agg((100 * F.avg(F.when(series.complete(), 1.0).otherwise(0.0))).alias("pct_complete")))
 
 
-@reg.add("ag36_totals_by_kind", f"WITH {_SERIES} SELECT report_date, round(sum(CASE WHEN kind = 0 THEN mm END) / 1e3, 5) AS land, round(sum(CASE WHEN kind = 1 THEN mm END) / 1e3, 5) AS water FROM se GROUP BY report_date")
+@reg.add("ag36_totals_by_kind", f"WITH {SERIES} SELECT report_date, round(sum(CASE WHEN kind = 0 THEN mm END) / 1e3, 5) AS land, round(sum(CASE WHEN kind = 1 THEN mm END) / 1e3, 5) AS water FROM se GROUP BY report_date")
 def ag36(spark, d):
     w = basin_series(spark, d).groupBy("report_date").pivot("kind", [0, 1]).agg(F.sum("precip_mm"))
     return w.select("report_date", F.round(F.col("0") / 1e3, 5).alias("land"), F.round(F.col("1") / 1e3, 5).alias("water"))
 
 
-@reg.add("ag38_default_period", f"WITH {_SERIES} SELECT min(report_date) AS first, max(report_date) AS last, count(DISTINCT basin_id) AS n_basins, count(DISTINCT report_date) AS n_dates, greatest(max(report_date) - 364, min(report_date)) AS default_first FROM se")
+@reg.add("ag38_default_period", f"WITH {SERIES} SELECT min(report_date) AS first, max(report_date) AS last, count(DISTINCT basin_id) AS n_basins, count(DISTINCT report_date) AS n_dates, greatest(max(report_date) - 364, min(report_date)) AS default_first FROM se")
 def ag38(spark, d):
     return series.default_period(basin_series(spark, d))
 
 
-@reg.add("wn11_latest_date", f"WITH {_SERIES} SELECT basin_id, report_date, round(mm, 4) AS precip_mm FROM se WHERE report_date = (SELECT max(report_date) FROM se)")
+@reg.add("wn11_latest_date", f"WITH {SERIES} SELECT basin_id, report_date, round(mm, 4) AS precip_mm FROM se WHERE report_date = (SELECT max(report_date) FROM se)")
 def wn11(spark, d):
     s = basin_series(spark, d)
     return rounded(s.join(F.broadcast(s.agg(F.max("report_date").alias("report_date"))), "report_date").select("basin_id", "report_date", "precip_mm"))
 
 
-@reg.add("jn05_upsert", f"WITH {_SERIES}, o AS (SELECT report_date, basin_id, round(mm, 4) AS v FROM se WHERE report_date < DATE '1996-01-01'), n AS (SELECT report_date, basin_id, round(2 * mm, 4) AS v FROM se WHERE report_date >= DATE '1995-12-01' AND basin_id % 2 = 0) SELECT * FROM o WHERE report_date NOT IN (SELECT report_date FROM n) UNION ALL SELECT * FROM n")
+@reg.add("jn05_upsert", f"WITH {SERIES}, o AS (SELECT report_date, basin_id, round(mm, 4) AS v FROM se WHERE report_date < DATE '1996-01-01'), n AS (SELECT report_date, basin_id, round(2 * mm, 4) AS v FROM se WHERE report_date >= DATE '1995-12-01' AND basin_id % 2 = 0) SELECT * FROM o WHERE report_date NOT IN (SELECT report_date FROM n) UNION ALL SELECT * FROM n")
 def jn05(spark, d):
     s = basin_series(spark, d)
     old = s.where("report_date < DATE '1996-01-01'").select("report_date", "basin_id", F.round("precip_mm", 4).alias("v"))

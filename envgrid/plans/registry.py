@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from envgrid.plans import climate, fields, verification
+from envgrid.plans import climate, fields, pipelines, verification
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _m in (verification, fields, climate):
+for _m in (verification, fields, climate, pipelines):
     QUERIES |= _m.reg.queries
     ORACLES |= _m.reg.oracles
