@@ -26,14 +26,20 @@ def scene_filter(catalogue: DataFrame, bbox: tuple[float, float, float, float],
 
 
 def quantiles(value: str, points: Sequence[float]) -> list[Column]:
-    """Exact percentiles with linear interpolation."""
-    return [F.percentile(value, F.lit(p)).alias(f"p{round(p * 100):02d}") for p in points]
+    """Exact percentiles with linear interpolation; all points from one count of the values."""
+    return [c.alias(f"p{round(p * 100):02d}") for p, c in zip(points, percentiles(F.col(value), points), strict=True)]
+
+
+def percentiles(value: Column, points: Sequence[float]) -> list[Column]:
+    """The points of one array percentile: equal aggregates of a plan are computed once."""
+    whole = F.percentile(value, F.array(*map(F.lit, points)))
+    return [whole[k] for k in range(len(points))]
 
 
 def separability(df: DataFrame, value: str, one: str, two: str, by: Sequence[str] = (), label: str = "label") -> DataFrame:
     """Gap of the medians of two classes, the gap over their mean half-spread, and the share of the first above the other's median."""
     stats = df.groupBy(*by).agg(
-        *[F.percentile(F.when(F.col(label) == c, F.col(value)), F.lit(p)).alias(f"{n}{round(p * 100)}") for c, n in ((one, "a"), (two, "b")) for p in (0.25, 0.5, 0.75)]
+        *[x.alias(f"{n}{q}") for c, n in ((one, "a"), (two, "b")) for q, x in zip((25, 50, 75), percentiles(F.when(F.col(label) == c, F.col(value)), (0.25, 0.5, 0.75)), strict=True)]
     )
     joined = df.where(F.col(label) == one).crossJoin(F.broadcast(stats)) if not by else df.where(F.col(label) == one).join(stats, list(by))
     skill = joined.groupBy(*by).agg(F.avg(F.when(F.col(value) > F.col("b50"), 1.0).otherwise(0.0)).alias("skill"), F.first("a50").alias("a50"), F.first("b50").alias("b50"), F.first(F.col("a75") - F.col("a25")).alias("ra"), F.first(F.col("b75") - F.col("b25")).alias("rb"))
@@ -71,7 +77,7 @@ def verdict(site: Column, good: Column, bad: Column) -> tuple[Column, Column]:
 
 
 def describe(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    return df.groupBy(*by).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), *[F.percentile(value, F.lit(p)).alias(n) for p, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))], F.max(value).alias("max"))
+    return df.groupBy(*by).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), *[x.alias(n) for n, x in zip(("p25", "p50", "p75"), percentiles(F.col(value), (0.25, 0.5, 0.75)), strict=True)], F.max(value).alias("max"))
 
 
 def season_medians(curve: DataFrame, windows: Sequence[tuple[str, Sequence[int]]], value: str, date: str = "date", by: Sequence[str] = ("site",)) -> DataFrame:

@@ -86,7 +86,8 @@ def ag21(spark, d):
 @reg.add("sc18_stretch", "WITH q AS (SELECT quantile_cont(l_extendedprice, 0.02) AS lo, quantile_cont(l_extendedprice, 0.98) AS hi FROM lineitem) SELECT l_orderkey, l_linenumber, round(greatest(0, least(1, (l_extendedprice - lo) / (hi - lo))), 6) AS v FROM lineitem, q")
 def sc18(spark, d):
     li = table(spark, d, "lineitem")
-    q = li.agg(F.percentile("l_extendedprice", F.lit(0.02)).alias("lo"), F.percentile("l_extendedprice", F.lit(0.98)).alias("hi"))
+    lo, hi = index.percentiles(F.col("l_extendedprice"), (0.02, 0.98))
+    q = li.agg(lo.alias("lo"), hi.alias("hi"))
     return li.crossJoin(F.broadcast(q)).select("l_orderkey", "l_linenumber", F.round(scalars.stretch(F.col("l_extendedprice"), F.col("lo"), F.col("hi")), 6).alias("v"))  # one row
 
 
