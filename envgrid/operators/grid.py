@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from envgrid.sources.stages import stage
+from envgrid.sources.stages import stage, unstage
 
 
 @dataclass(frozen=True)
@@ -157,13 +157,14 @@ def components(cells: DataFrame) -> DataFrame:
     lower = runs.select((F.col("row") - 1).alias("row"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("run").alias("near"))
     touch = runs.join(lower, "row").where("a <= b2 AND a2 <= b").select("run", "near")
     edges = stage(touch.unionByName(touch.select(F.col("near").alias("run"), F.col("run").alias("near"))), "touch")
-    labels = stage(runs.select("run", F.col("run").alias("label")), "labels")
+    at = labels = stage(runs.select("run", F.col("run").alias("label")), "labels")
     while True:
         heard = edges.join(labels.select(F.col("run").alias("near"), "label"), "near").groupBy("run").agg(F.min("label").alias("heard"))
         moved = labels.join(heard, "run", "left").select("run", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
         own = labels.select(F.col("run").alias("label"), F.col("label").alias("next"))
         jumped = stage(moved.join(own, "label").select("run", "old", F.col("next").alias("label")), "labels")
-        labels = jumped.select("run", "label")
+        unstage(at)
+        at, labels = jumped, jumped.select("run", "label")
         if jumped.where("old <> label").isEmpty():
             break
     return runs.join(labels, "run").select("row", F.explode(F.sequence("a", "b")).alias("col"), "label")

@@ -21,7 +21,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back, which ends its lineage."""
     path = f"{shared_dir(df.sparkSession)}/grid-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def unstage(df: DataFrame) -> None:
+    """Deletes the files of a staged table that a later one has taken the place of."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage_once(spark: SparkSession, path: str, make) -> DataFrame:
