@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from envgrid.llm.common import map_texts, read, stage
+from envgrid.llm.common import map_texts, read, stage, unstage
 
 WINDOW = 5
 PERCENT = 75
@@ -148,11 +148,12 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def roots(hubs: DataFrame) -> DataFrame:
     """(rep, root) from (rep, hub), hubs being smaller than what they serve; the ways halve in each round."""
-    at = stage(hubs.select("rep", F.col("hub").alias("root")), "roots")
+    held = at = stage(hubs.select("rep", F.col("hub").alias("root")), "roots")
     while True:
         up = at.select(F.col("rep").alias("root"), F.col("root").alias("next"))
         new = stage(at.join(up, "root", "left").select("rep", F.col("root").alias("old"), F.coalesce("next", "root").alias("root")), "roots")
-        at = new.select("rep", "root")
+        unstage(held)
+        held, at = new, new.select("rep", "root")
         if new.where("old <> root").isEmpty():
             return at
 
@@ -248,14 +249,15 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least id reachable, for each node that an edge (a, b) has."""
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("near")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("near")))
     both = stage(both.distinct(), "edges")
-    labels = stage(both.groupBy("node").agg(F.least(F.col("node"), F.min("near")).alias("component")), "labels")
+    at = labels = stage(both.groupBy("node").agg(F.least(F.col("node"), F.min("near")).alias("component")), "labels")
     while True:
         # the least label among the neighbours, then the label's own label: paths halve in each round
         heard = both.join(labels.select(F.col("node").alias("near"), "component"), "near").groupBy("node").agg(F.min("component").alias("heard"))
         moved = labels.join(heard, "node").select("node", F.col("component").alias("old"), F.least("component", "heard").alias("component"))
         own = labels.select(F.col("node").alias("component"), F.col("component").alias("next"))
         jumped = stage(moved.join(own, "component", "left").select("node", "old", F.coalesce("next", "component").alias("component")), "labels")
-        labels = jumped.select("node", "component")
+        unstage(at)
+        at, labels = jumped, jumped.select("node", "component")
         if jumped.where("old <> component").isEmpty():
             return labels
 
