@@ -111,6 +111,7 @@ def solid_cells(layer: DataFrame, mask: Column, k: int, stride: tuple[int, int]
     return box_counts(layer, mask, k).where((F.col("n_box") == n) & (F.col("row") % stride[0] == 0) & (F.col("col") % stride[1] == 0))
 
 
+STRETCH = 64
 CROSS = ((0, 0), (0, 1), (1, 0), (0, -1), (-1, 0))
 
 
@@ -154,8 +155,11 @@ def components(cells: DataFrame) -> DataFrame:
     w = Window.partitionBy("row").orderBy("col")
     runs = cells.select("row", "col", (F.col("col") - F.row_number().over(w)).alias("g")).groupBy("row", "g").agg(F.min("col").alias("a"), F.max("col").alias("b"))
     runs = stage(runs.select("row", "a", "b", (F.col("row").cast("long") * (1 << 31) + F.col("a")).alias("run")), "runs")
-    lower = runs.select((F.col("row") - 1).alias("row"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("run").alias("near"))
-    touch = runs.join(lower, "row").where("a <= b2 AND a2 <= b").select("run", "near")
+    # runs meet where they share a stretch of columns, so a row of many runs isn't paired with all of the next
+    part = F.explode(F.sequence(F.expr(f"a div {STRETCH}"), F.expr(f"b div {STRETCH}"))).alias("part")
+    upper = runs.select("row", part, "a", "b", "run")
+    lower = runs.select((F.col("row") - 1).alias("row"), part, F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("run").alias("near"))
+    touch = upper.join(lower, ["row", "part"]).where("a <= b2 AND a2 <= b").select("run", "near").distinct()
     edges = stage(touch.unionByName(touch.select(F.col("near").alias("run"), F.col("run").alias("near"))), "touch")
     at = labels = stage(runs.select("run", F.col("run").alias("label")), "labels")
     while True:

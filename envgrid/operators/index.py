@@ -109,3 +109,20 @@ def capped_sample(df: DataFrame, by: Sequence[str], cap: int, key: Column, seed:
 
     w = Window.partitionBy(*by).orderBy(F.xxhash64(F.lit(seed), key), key)
     return df.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= cap).drop("_k")
+
+
+def numbered(df: DataFrame, *order: str, name: str = "k") -> DataFrame:
+    """Adds the row's place in the whole order, from 1: places within range partitions, and the sizes of those before."""
+    from pyspark.sql import Window
+
+    from envgrid.sources.stages import stage
+
+    dealt = stage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    before = dealt.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_skip", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))  # one row for each partition on the other side
+    return dealt.join(F.broadcast(before.select("_part", "_skip")), "_part").withColumn(name, within + F.col("_skip")).drop("_part", "_skip")
+
+
+def strided(df: DataFrame, step: int, *order: str) -> DataFrame:
+    """Every step-th row of the order, beginning with the first."""
+    return numbered(df, *order, name="_k").where(F.col("_k") % step == 1).drop("_k")

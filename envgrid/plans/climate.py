@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from envgrid.functions import geo, scalars
@@ -69,7 +67,6 @@ def ag04(spark, d):
 
 
 _RA = f"24 * 60 * 0.0820 / pi() * (1 + 0.033 * cos(2 * pi() * doy / 365)) * (acos(-tan(radians(41.7)) * tan(0.409 * sin(2 * pi() * doy / 365 - 1.39))) * sin(radians(41.7)) * sin(0.409 * sin(2 * pi() * doy / 365 - 1.39)) + cos(radians(41.7)) * cos(0.409 * sin(2 * pi() * doy / 365 - 1.39)) * sin(acos(-tan(radians(41.7)) * tan(0.409 * sin(2 * pi() * doy / 365 - 1.39)))))"
-_ = math  # the oracle repeats the formulas in SQL
 
 
 @reg.add("sc06_pet", f"WITH t AS (SELECT CAST(o_orderdate AS DATE) AS day, o_orderstatus AS cell, dayofyear(o_orderdate) AS doy, max(o_totalprice) / 15000 AS hi, CASE WHEN count(*) > 1 THEN min(o_totalprice) / 15000 END AS lo FROM orders WHERE year(o_orderdate) = 1995 GROUP BY ALL), w AS (SELECT day, bool_and(hi IS NOT NULL AND lo IS NOT NULL) AS whole FROM t GROUP BY day) SELECT t.day, cell, round(CASE WHEN whole THEN greatest(0.0023 * 0.408 * {_RA} * ((hi + lo) / 2 + 17.8) * sqrt(hi - lo), 0) ELSE 2.35 + 2.05 * cos(2 * pi() * (doy - 196) / 365.25) END, 4) AS pet FROM t JOIN w ON t.day = w.day")

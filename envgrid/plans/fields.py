@@ -335,9 +335,7 @@ def jn20(spark, d):
 
 @reg.add("sl03_strided", "WITH r AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS k FROM supplier) SELECT s_suppkey FROM r WHERE k % 13 = 1")
 def sl03(spark, d):
-    from pyspark.sql import Window
-
-    return table(spark, d, "supplier").withColumn("k", F.row_number().over(Window.orderBy("s_suppkey"))).where("k % 13 = 1").select("s_suppkey")
+    return index.strided(table(spark, d, "supplier").select("s_suppkey"), 13, "s_suppkey")
 
 
 @reg.add("sl04_capped_sample", "WITH r AS (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey * 2654435761 % 1000003, o_orderkey) AS k FROM orders) SELECT o_orderpriority, o_orderkey FROM r WHERE k <= 40")
