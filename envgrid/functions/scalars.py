@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from envgrid.functions import codes
+
 MM_PER_INCH = 25.4
 
 
@@ -42,13 +44,13 @@ def season_score(doy: Column, a: Column, b: Column, c: Column, d: Column) -> Col
 
 def season_phase(doy: Column, a: Column, b: Column, c: Column, d: Column) -> Column:
     """Where the day lies in the season, in words."""
-    return F.when((doy <= a) | (doy >= d), "out of season").when(doy < b, "coming into season").when(doy <= c, "peak").otherwise("winding down")
+    return F.when((doy <= a) | (doy >= d), "out of season").when(doy < b, "season just starting").when(doy <= c, "in season").otherwise("season winding down")
 
 
 def phase_now(phase: Column, frost_free: Column, tmin7: Column, full_at: Column) -> Column:
-    """The phase, unless frost has ended the season on half of the cells or nights are warmer than a season that needs cool ones allows."""
-    warm = F.concat(F.lit("waiting for cool nights ("), F.format_string("%.0f", tmin7), F.lit(" C)"))
-    return F.when(frost_free < 0.5, "ended by frost").when((phase != "out of season") & full_at.isNotNull() & (tmin7 > full_at), warm).otherwise(phase)
+    """The phase, unless frost has ended the season on half of the canopy or nights are warmer than full credit needs."""
+    warm = F.concat(F.lit("waiting for cooler nights (7-day mean low "), F.format_string("%.0f", tmin7), F.lit(" C, full credit at "), F.format_string("%.0f", full_at), F.lit(" C)"))
+    return F.when(phase == "out of season", phase).when(frost_free < 0.5, "season ended by frost").when(full_at.isNotNull() & (tmin7 > full_at), warm).otherwise(phase)
 
 
 def pet_climatology(doy: Column) -> Column:
@@ -214,3 +216,17 @@ def series_key(*parts: Column) -> Column:
 
 def stretch(x: Column, p2: Column, p98: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(x - p2, p98 - p2)))
+
+
+def public_owner(name: Column) -> Column:
+    """The owner's name matches one of the public patterns."""
+    return like_any(name, codes.PUBLIC_OWNERS)
+
+
+def drainage_ordinal(name: Column) -> Column:
+    """1 (dry) to 7 (wet); NULL for other names."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in codes.DRAINAGE.items() for x in kv]), name)
+
+
+def forest_group(code: Column) -> Column:
+    return code_label(code, codes.FOREST_TYPE_GROUPS)

@@ -4,27 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from envgrid.functions import geo, scalars
-from envgrid.operators import hosts, index, moisture
+from envgrid.functions import codes, geo, scalars
+from envgrid.operators import hosts, index, moisture, score
 from envgrid.plans.views import DAILY, EVENTS, Registry, daily, events, rounded, table
 from envgrid.sources import io
 
 reg = Registry()
 
-# Seasons (days of the year), canopy ramps and cool-night limits of the species.
-SPECIES = (
-    ("black_trumpet", 182, 196, 262, 283, 0.10, 0.45, None, None),
-    ("bolete", 196, 213, 273, 293, 0.10, 0.45, None, None),
-    ("chanterelle", 171, 185, 244, 273, 0.10, 0.45, None, None),
-    ("chicken", 196, 227, 288, 309, 0.15, 0.55, None, None),
-    ("hen", 244, 258, 298, 319, 0.20, 0.60, 18.0, 13.0),
-)
-_SP = ", ".join(f"('{n}', {a}, {b}, {c}, {e}, {lo}::DOUBLE, {hi}::DOUBLE, {'NULL::DOUBLE' if x is None else x}, {'NULL::DOUBLE' if y is None else y})" for n, a, b, c, e, lo, hi, x, y in SPECIES)
-SPECIES_SQL = f"sp AS (SELECT * FROM (VALUES {_SP}) t(species, a, b, c, d, lo, hi, none_at, full_at))"
-
-
-def species(spark):
-    return spark.createDataFrame([tuple(s) for s in SPECIES], "species string, a int, b int, c int, d int, lo double, hi double, none_at double, full_at double")
+_VALUES = ", ".join("(" + ", ".join("NULL::DOUBLE" if v is None else f"'{v}'" if isinstance(v, str) else f"{v}::DOUBLE" if isinstance(v, float) else str(v) for v in row) + ")" for row in codes.SPECIES)
+SPECIES_SQL = f"sp AS (SELECT * FROM (VALUES {_VALUES}) t(species, host_kind, oak_lo, oak_hi, a, b, c, d, none_at, full_at, win, sm_lo, sm_hi, rain_lo, rain_hi, lag_days))"
 
 
 _W = "OVER (PARTITION BY user_id ORDER BY day ROWS BETWEEN {} PRECEDING AND CURRENT ROW)"
@@ -78,38 +66,43 @@ def sc06(spark, d):
 
 
 _SEASON = "CASE WHEN doy <= a OR doy >= d THEN 0.0 WHEN doy < b THEN (doy - a) * 1.0 / (b - a) WHEN doy <= c THEN 1.0 ELSE (d - doy) * 1.0 / (d - c) END"
-_PHASE = "CASE WHEN doy <= a OR doy >= d THEN 'out of season' WHEN doy < b THEN 'coming into season' WHEN doy <= c THEN 'peak' ELSE 'winding down' END"
+_PHASE = "CASE WHEN doy <= a OR doy >= d THEN 'out of season' WHEN doy < b THEN 'season just starting' WHEN doy <= c THEN 'in season' ELSE 'season winding down' END"
 
 
 @reg.add("sc02_season", f"WITH {SPECIES_SQL}, o AS (SELECT dayofyear(o_orderdate) AS doy, count(*) AS n FROM orders GROUP BY 1) SELECT species, CAST(doy AS INTEGER) AS doy, n, round(CAST({_SEASON} AS DOUBLE), 5) AS season, {_PHASE} AS phase FROM o, sp")
 def sc02(spark, d):
     o = table(spark, d, "orders").groupBy(F.dayofyear("o_orderdate").alias("doy")).agg(F.count("*").alias("n"))
     s = [F.col(c) for c in "abcd"]
-    return o.crossJoin(F.broadcast(species(spark))).select("species", "doy", "n", F.round(scalars.season_score(F.col("doy"), *s), 5).alias("season"), scalars.season_phase(F.col("doy"), *s).alias("phase"))
+    return o.crossJoin(F.broadcast(score.species_table(spark))).select("species", "doy", "n", F.round(scalars.season_score(F.col("doy"), *s), 5).alias("season"), scalars.season_phase(F.col("doy"), *s).alias("phase"))
 
 
-_LAYERS = "l AS (SELECT o_orderkey AS cell, max(l_discount) * 8 AS oak, CASE WHEN count(*) > 1 THEN min(l_tax) * 8 END AS wet, avg(l_quantity) / 50 AS sm, CASE WHEN count(*) > 2 THEN CAST(o_orderkey % 40 AS INTEGER) END AS wetup, CASE WHEN o_orderkey % 11 > 0 THEN o_orderkey % 23 END AS tmin7, CASE WHEN o_orderkey % 7 = 0 THEN CAST(o_orderkey % 60 AS INTEGER) END AS frost, o_orderkey % 3 > 0 AS canopy, 278 AS doy FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey)"
-_RAMP = "greatest(0, least(1, ({x} - {lo}) / ({hi} - {lo})))"
-_TERMS = f"""t AS (SELECT species, cell, canopy, {_RAMP.format(x="oak", lo="lo", hi="hi")} * (1 - least(1, coalesce(wet, 0))) AS host,
- CASE WHEN coalesce(frost, 9999) <= doy - 244 THEN 0.0 ELSE {_SEASON} END * CASE WHEN none_at IS NULL OR tmin7 IS NULL THEN 1.0 ELSE greatest(0, least(1, (none_at - tmin7) / (none_at - full_at))) END AS season,
- {_RAMP.format(x="sm", lo="0.2::DOUBLE", hi="0.6::DOUBLE")} AS damp, CASE WHEN wetup IS NULL THEN NULL ELSE 1 - {_RAMP.format(x="wetup", lo="10.0::DOUBLE", hi="30.0::DOUBLE")} END AS lag FROM l, sp)"""
-_SCORED = "s AS (SELECT *, CASE WHEN host IS NULL OR season IS NULL OR damp IS NULL OR lag IS NULL THEN NULL ELSE least(host, season, damp, lag) END AS score FROM t), k AS (SELECT *, CASE WHEN NOT canopy THEN 0 WHEN score >= 0.6 THEN 3 WHEN score >= 0.35 THEN 2 ELSE 1 END AS class FROM s), li AS (SELECT *, CASE WHEN class IN (1, 2) THEN CASE WHEN host IS NULL THEN 1 WHEN season IS NULL THEN 2 WHEN damp IS NULL THEN 3 WHEN lag IS NULL THEN 4 WHEN host = least(host, season, damp, lag) THEN 1 WHEN season = least(host, season, damp, lag) THEN 2 WHEN damp = least(host, season, damp, lag) THEN 3 ELSE 4 END ELSE 0 END AS limiter FROM k)"
+_LAYERS = """l AS (SELECT o_orderkey AS cell, max(l_discount) * 4 AS oak, CASE WHEN count(*) > 1 THEN least(1, min(l_tax) * 8) END AS nonhost, max(l_tax) * 10 AS evergreen, min(l_quantity) / 50 AS sm_14, avg(l_quantity) / 50 AS sm_21, max(l_quantity) AS rain_14,
+ CASE WHEN o_orderkey % 13 > 0 THEN sum(l_quantity) END AS rain_21, CASE WHEN count(*) > 2 THEN CAST(o_orderkey % 12 AS INTEGER) END AS wetup, CASE WHEN o_orderkey % 11 > 0 THEN o_orderkey % 23 END AS tmin7,
+ CASE WHEN o_orderkey % 7 = 0 THEN CAST(o_orderkey % 60 AS INTEGER) END AS frost, o_orderkey % 3 > 0 AS canopy, 278 AS doy FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey)"""
+_RAMP = "CASE WHEN {x} IS NOT NULL THEN greatest(0::DOUBLE, least(1::DOUBLE, ({x} - {lo}) / ({hi} - {lo}))) END"
+_OAK = f"({_RAMP.format(x='oak', lo='oak_lo', hi='oak_hi')}) * (1 - coalesce(nonhost, 0))"
+_CONIFER = f"CASE WHEN nonhost IS NOT NULL THEN {_RAMP.format(x='evergreen', lo='0.3::DOUBLE', hi='0.7::DOUBLE')} ELSE 1 - ({_RAMP.format(x='oak', lo='0.04::DOUBLE', hi='0.22::DOUBLE')}) END"
+_TERMS = f"""w AS (SELECT *, CASE WHEN win = 14 THEN sm_14 ELSE sm_21 END AS sm, CASE WHEN win = 14 THEN rain_14 ELSE rain_21 END AS rain, coalesce(wetup, 9999) AS wet FROM l, sp), t AS (SELECT species, cell, canopy, CASE WHEN host_kind = 'oak_or_conifer' THEN greatest({_OAK}, {_CONIFER}) ELSE {_OAK} END AS host,
+ least(CASE WHEN coalesce(frost, 9999) <= doy - 244 THEN 0.0 ELSE {_SEASON} END, CASE WHEN none_at IS NULL OR tmin7 IS NULL THEN 1.0 ELSE greatest(0, least(1, (none_at - tmin7) / (none_at - full_at))) END) AS season,
+ CASE WHEN sm IS NOT NULL AND rain IS NOT NULL THEN least({_RAMP.format(x="sm", lo="sm_lo", hi="sm_hi")}, {_RAMP.format(x="rain", lo="rain_lo", hi="rain_hi")}) END AS sustained, {_RAMP.format(x="wet", lo="0::DOUBLE", hi="lag_days")} AS lag FROM w)"""
+_LEAST = "least(host, season, sustained, lag)"
+_SCORED = f"""s AS (SELECT *, CASE WHEN host IS NULL OR season IS NULL OR sustained IS NULL OR lag IS NULL OR NOT canopy THEN NULL ELSE {_LEAST} END AS score FROM t), k AS (SELECT *, CASE WHEN NOT canopy THEN 0 WHEN score >= 0.6 THEN 3 WHEN score >= 0.35 THEN 2 ELSE 1 END AS class FROM s),
+ li AS (SELECT *, CASE WHEN class IN (1, 2) THEN CASE WHEN host IS NULL THEN 1 WHEN season IS NULL THEN 2 WHEN sustained IS NULL THEN 3 WHEN lag IS NULL THEN 4 WHEN host = {_LEAST} THEN 1 WHEN season = {_LEAST} THEN 2 WHEN sustained = {_LEAST} THEN 3 ELSE 4 END ELSE 0 END AS limiter FROM k)"""
 
 
 def scored(spark, d):
     """Score, class and limiting term of each cell (an order) and species."""
     o, li = table(spark, d, "orders").select("o_orderkey"), table(spark, d, "lineitem").select("l_orderkey", "l_discount", "l_tax", "l_quantity")
-    key = F.col("o_orderkey")
-    la = o.join(li, o.o_orderkey == li.l_orderkey).groupBy("o_orderkey").agg((F.max("l_discount") * 8).alias("oak"), F.when(F.count("*") > 1, F.min("l_tax") * 8).alias("wet"), (F.avg("l_quantity") / 50).alias("sm"), F.count("*").alias("n"))
-    la = la.select(key.alias("cell"), "oak", "wet", "sm", F.when(F.col("n") > 2, key % 40).alias("wetup"), F.when(key % 11 > 0, key % 23).alias("tmin7"), F.when(key % 7 == 0, key % 60).alias("frost"), (key % 3 > 0).alias("canopy"), F.lit(278).alias("doy"))
-    t = la.crossJoin(F.broadcast(species(spark)))  # five species
-    oak = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("oak") - F.col("lo")) / (F.col("hi") - F.col("lo"))))
-    host = oak * (1 - F.least(F.lit(1.0), F.coalesce("wet", F.lit(0.0))))
-    season = scalars.frost_gate(scalars.season_score(F.col("doy"), *[F.col(c) for c in "abcd"]), F.col("frost"), F.col("doy")) * scalars.cool_nights(F.col("tmin7"), F.col("none_at"), F.col("full_at"))
-    t = t.select("species", "cell", "canopy", host.alias("host"), season.alias("season"), scalars.ramp(F.col("sm"), 0.2, 0.6).alias("damp"), (1 - scalars.ramp(F.col("wetup"), 10.0, 30.0)).alias("lag"))
-    terms = [F.col(c) for c in ("host", "season", "damp", "lag")]
-    k = t.withColumn("score", scalars.pmin(*terms)).withColumn("class", scalars.score_class(F.col("score"), F.col("canopy")))
-    return k.withColumn("limiter", F.when(F.col("class").isin(1, 2), scalars.limiter(*terms)).otherwise(0))
+    key, many = F.col("o_orderkey"), F.count("*")
+    la = o.join(li, o.o_orderkey == li.l_orderkey).groupBy("o_orderkey").agg(
+        (F.max("l_discount") * 4).alias("oak"), F.when(many > 1, F.least(F.lit(1.0), F.min("l_tax") * 8)).alias("nonhost"), (F.max("l_tax") * 10).alias("evergreen"), (F.min("l_quantity") / 50).alias("sm_14"), (F.avg("l_quantity") / 50).alias("sm_21"),
+        F.max("l_quantity").alias("rain_14"), F.sum("l_quantity").alias("rain"), many.alias("n"),
+    )
+    cells = la.select(
+        key.alias("cell"), "oak", "nonhost", "evergreen", "sm_14", "sm_21", "rain_14", F.when(key % 13 > 0, F.col("rain")).alias("rain_21"), F.when(F.col("n") > 2, key % 12).alias("wetup"), F.when(key % 11 > 0, key % 23).alias("tmin7"),
+        F.when(key % 7 == 0, key % 60).alias("frost"), (key % 3 > 0).alias("canopy"), F.lit(278).alias("doy"),
+    )
+    return score.score_species(cells, score.species_table(spark))
 
 
 @reg.add("pl13_score_species", f"WITH {SPECIES_SQL}, {_LAYERS}, {_TERMS}, {_SCORED} SELECT species, cell, round(CAST(score AS DOUBLE), 7) AS score, class, limiter FROM li")
@@ -123,12 +116,12 @@ def ag30(spark, d):
     return scored(spark, d).groupBy("species").agg(area(3).alias("good"), area(2).alias("fair"), area(1).alias("poor"), F.round(100 * F.sum(F.when(F.col("limiter") == 3, 1).otherwise(0)) / F.sum(F.when(F.col("canopy"), 1).otherwise(0)), 4).alias("pct_dry"))
 
 
-@reg.add("sc04_phase_now", f"WITH {SPECIES_SQL}, {_LAYERS}, f AS (SELECT avg(CASE WHEN frost IS NULL THEN 1.0 ELSE 0.0 END) AS frac, median(tmin7) AS t FROM l) SELECT species, CASE WHEN frac < 0.5 THEN 'ended by frost' WHEN {_PHASE} <> 'out of season' AND full_at IS NOT NULL AND t > full_at THEN 'waiting for cool nights (' || CAST(CAST(round(t) AS INTEGER) AS VARCHAR) || ' C)' ELSE {_PHASE} END AS phase FROM f, (SELECT *, 260 AS doy FROM sp)")
+@reg.add("sc04_phase_now", f"WITH {SPECIES_SQL}, {_LAYERS}, f AS (SELECT avg(CASE WHEN frost IS NULL THEN 1.0 ELSE 0.0 END) AS frac, median(tmin7) AS t FROM l) SELECT species, CASE WHEN {_PHASE} = 'out of season' THEN {_PHASE} WHEN frac < 0.5 THEN 'season ended by frost' WHEN full_at IS NOT NULL AND t > full_at THEN 'waiting for cooler nights (7-day mean low ' || CAST(CAST(round(t) AS INTEGER) AS VARCHAR) || ' C, full credit at ' || CAST(CAST(full_at AS INTEGER) AS VARCHAR) || ' C)' ELSE {_PHASE} END AS phase FROM f, (SELECT *, 260 AS doy FROM sp)")
 def sc04(spark, d):
     key = F.col("o_orderkey")
     o = table(spark, d, "orders").select("o_orderkey").join(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).distinct(), "o_orderkey")
     f = o.agg(F.avg(F.when(key % 7 == 0, 0.0).otherwise(1.0)).alias("frac"), F.median(F.when(key % 11 > 0, key % 23)).alias("t"))
-    s = species(spark).crossJoin(F.broadcast(f))
+    s = score.species_table(spark).crossJoin(F.broadcast(f))
     phase = scalars.season_phase(F.lit(260), *[F.col(c) for c in "abcd"])
     return s.select("species", scalars.phase_now(phase, F.col("frac"), F.col("t"), F.col("full_at")).alias("phase"))
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from envgrid.functions import geo, scalars
+from envgrid.functions import codes, geo, scalars
 from envgrid.functions.timebuckets import expected_hours, lead_day, report_day
 from envgrid.operators import grid, hosts, index, moisture, series, verify, zonal
 from envgrid.sources import io, stages
@@ -45,7 +45,8 @@ def test_missing_values_propagate(spark):
 def test_season_goldens(spark):
     one = spark.range(1)
     s = lambda *x: round(one.select(scalars.season_score(F.lit(278), *map(F.lit, x))).first()[0], 2)
-    assert (s(182, 196, 262, 283), s(196, 213, 273, 293), s(196, 227, 288, 309), s(171, 185, 244, 273)) == (0.24, 0.75, 1.0, 0.0)
+    got = {name: s(*rest[:4]) for name, _, _, _, *rest in codes.SPECIES}
+    assert got == {"black_trumpet": 0.24, "bolete": 0.75, "chicken": 1.0, "hen": 1.0, "chanterelle": 0.0}
 
 
 def test_lead_classes(spark):
@@ -229,3 +230,19 @@ def test_sampling_is_repeatable(spark):
     df = spark.range(100).withColumn("g", F.col("id") % 2)
     a, b = (sorted(r["id"] for r in index.capped_sample(df, ["g"], 7, F.col("id")).collect()) for _ in range(2))
     assert a == b and len(a) == 14
+
+
+def test_code_lists(spark):
+    df = spark.createDataFrame([("TOWN OF X", "Well drained", 500), ("J. DOE", "none", 77)], "o string, d string, c int")
+    got = [tuple(r) for r in df.select(scalars.public_owner(F.col("o")), scalars.drainage_ordinal(F.col("d")), scalars.forest_group(F.col("c"))).collect()]
+    assert got == [(True, 3, "Oak/hickory"), (False, None, "unmapped 77")]
+
+
+def test_score_with_missing_terms(spark):
+    from envgrid.operators import score
+
+    cell = "cell int, canopy boolean, oak double, nonhost double, evergreen double, doy int, tmin7 double, frost int, wetup int, sm_14 double, sm_21 double, rain_14 double, rain_21 double"
+    rows = [(1, True, 0.3, None, None, 200, None, None, None, 0.9, 0.9, 90.0, 90.0), (2, True, 0.3, 0.0, 0.0, 200, 20.0, 100, 2, None, None, 90.0, 90.0), (3, False, 0.3, None, None, 200, None, None, None, 0.9, 0.9, 90.0, 90.0)]
+    got = {(r["species"], r["cell"]): (r["score"], r["class"], r["limiter"]) for r in score.score_species(spark.createDataFrame(rows, cell), score.species_table(spark)).collect()}
+    assert got["chanterelle", 1] == (1.0, 3, 0) and got["chanterelle", 2] == (None, 1, 3) and got["chanterelle", 3] == (None, 0, 0)
+    assert got["hen", 1][1:] == (1, 2)
