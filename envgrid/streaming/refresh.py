@@ -28,10 +28,10 @@ def report_day_totals(stream: DataFrame, key: str, time: str = "time", value: st
     return ended.groupBy("window_end", key).agg(F.sum(value).alias("total"), F.count(value).alias("n_hours"))
 
 
-def trailing_totals(stream: DataFrame, key: str, days: int = 21, day: str = "day", value: str = "value", late: str = "2 days") -> DataFrame:
-    """Sliding totals of the last days."""
+def trailing_totals(stream: DataFrame, key: str, days: int = 21, day: str = "day", value: str = "value", late: str | None = "2 days") -> DataFrame:
+    """Sliding totals of the last days; late is None where the stream has its watermark already."""
     w = F.window(day, f"{days} days", "1 day")
-    return stream.withWatermark(day, late).groupBy(w, key).agg(F.sum(value).alias("total"))
+    return (stream.withWatermark(day, late) if late else stream).groupBy(w, key).agg(F.sum(value).alias("total"))
 
 
 def gap_alerts(totals: DataFrame, tz: str = TZ) -> DataFrame:

@@ -246,3 +246,30 @@ def test_score_with_missing_terms(spark):
     got = {(r["species"], r["cell"]): (r["score"], r["class"], r["limiter"]) for r in score.score_species(spark.createDataFrame(rows, cell), score.species_table(spark)).collect()}
     assert got["chanterelle", 1] == (1.0, 3, 0) and got["chanterelle", 2] == (None, 1, 3) and got["chanterelle", 3] == (None, 0, 0)
     assert got["hen", 1][1:] == (1, 2)
+
+
+def test_trailing_and_unique_streams(spark, tmp_path):
+    day = lambda n: dt.datetime(2024, 1, n)
+    spark.createDataFrame([(day(1), 1, 2.0), (day(1), 1, 2.0), (day(2), 1, 3.0), (day(30), 1, 0.0)], "day timestamp, cell int, value double").coalesce(1).write.parquet(str(tmp_path / "d"))
+    stream = spark.readStream.schema("day timestamp, cell int, value double").parquet(str(tmp_path / "d"))
+    q = refresh.trailing_totals(refresh.unique_reports(stream, ["day", "cell"], "day"), "cell", days=2, late=None).writeStream.format("memory").queryName("trail").option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {r["start"]: r["total"] for r in spark.table("trail").select("window.start", "total").collect()}
+    assert got[day(1)] == 5.0 and got[day(2)] == 3.0
+
+
+def test_numbered_rows(spark):
+    df = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("v"))
+    assert index.numbered(df.repartition(7), "v").where("k <> v + 1").count() == 0
+    assert [r["v"] for r in index.strided(df, 250, "v").orderBy("v").collect()] == [0, 250, 500, 750]
+
+
+def test_scene_days_and_layers(spark):
+    s = spark.createDataFrame([(dt.datetime(2024, 1, 1, 15), 0.0, 0.0, 5.0, 5.0, 10.0), (dt.datetime(2024, 1, 1, 16), 0.0, 0.0, 5.0, 5.0, 10.0), (dt.datetime(2024, 1, 2), 0.0, 0.0, 5.0, 5.0, 60.0), (dt.datetime(2024, 1, 3), 9.0, 9.0, 10.0, 10.0, 1.0)], "datetime timestamp, x0 double, y0 double, x1 double, y1 double, cloud_cover double")
+    assert [r[0] for r in index.scene_filter(s, (1, 1, 2, 2), "2024-01-01", "2024-12-31", 40).collect()] == [dt.date(2024, 1, 1)]
+    hourly = spark.createDataFrame([(dt.date(2024, 1, 1), h, 1.0 if h % 2 else None) for h in range(24)] + [(dt.date(2024, 1, 2), 1, 1.0)], "day date, h int, value double").withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
+    assert moisture.complete_day_totals(hourly, 12).count() == 1
+    areas = spark.createDataFrame([(1, 1.0e6)], "basin_id int, area_m2 double")
+    m = spark.createDataFrame([(dt.date(2024, 3, 10), 1, 25.4, 0.5)], "report_date date, basin_id int, mean double, cover_frac double")
+    r = series.day_records(m, m.select("report_date", "basin_id", F.lit(23).alias("n_hours")), areas).first()
+    assert (r["precip_in"], r["volume_m3"], r["n_hours_expected"], r["volume_flux_m3s"]) == (1.0, 25400.0, 23, round(25400 / 23 / 3600, 4))
