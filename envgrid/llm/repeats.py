@@ -198,7 +198,8 @@ def repeat_spans(df: DataFrame, keep: str = "none", id_col: str = "doc_id", text
     """(rid, spans array<struct<s,e>>) of the texts with repeats: stretches of bytes to remove, sorted, possibly overlapping; rid is xxhash64(id, text)."""
     found = anchor_rows(df, id_col, text_col)
     shared = found.groupBy("anchor").agg(F.count("*").alias("c"), F.min("context").alias("a"), F.max("context").alias("b")).where("c > 1").select("anchor", (F.col("a") < F.col("b")).alias("mixed"))
-    rows = stage(found.join(shared, "anchor"), "anchors")
+    # both sides of the join come from tables, so that a frequent anchor's partition can be split
+    rows = stage(found.join(stage(shared, "shared"), "anchor"), "anchors")
     whole = rows.groupBy("anchor", "context").agg(F.count("*").alias("c"), F.min(F.struct("id", "rid", "lo")).alias("f"))
     told = stage(rows.join(whole, ["anchor", "context"]).withColumn("first", F.struct("id", "rid", "lo") == F.col("f")).select("id", "rid", "lo", "n", "anchor", "mixed", "c", "first"), "contexts")
     copies = told.where(F.col("c") > 1 if keep == "none" else ~F.col("first")).select("rid", F.col("lo").alias("s"), (F.col("lo") + F.col("n") + LENGTH).cast("int").alias("e"))
@@ -258,3 +259,13 @@ def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_repeats": op8_repeats}
+ORACLES = {
+    "op8_repeats": r"""WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), k AS (SELECT doc_id, h, len(h) // 2 AS n FROM d),
+ t AS (SELECT doc_id, s, md5_number(substr(h, 2 * s + 1, 400)) AS g FROM (SELECT doc_id, h, unnest(range(n - 199)) AS s FROM k WHERE n >= 200)),
+ r AS (SELECT doc_id, s, s + 200 AS e FROM t WHERE g IN (SELECT g FROM t GROUP BY g HAVING count(*) > 1)),
+ i AS (SELECT doc_id, s, e, CASE WHEN s > max(e) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS f FROM r),
+ j AS (SELECT doc_id, s, e, sum(f) OVER (PARTITION BY doc_id ORDER BY s) AS f FROM i), m AS (SELECT doc_id, min(s) AS s, max(e) AS e FROM j GROUP BY doc_id, f),
+ x AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS b FROM m),
+ o AS (SELECT x.doc_id, sum(e - s) AS gone, count(*) AS spans, string_agg(substr(h, 2 * b + 1, 2 * (s - b)), '' ORDER BY s) || substr(any_value(h), 2 * max(e) + 1) AS left_ FROM x JOIN k ON k.doc_id = x.doc_id GROUP BY x.doc_id)
+ SELECT k.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(left_, h))) AS kept_sha256 FROM k LEFT JOIN o ON o.doc_id = k.doc_id""",
+}
