@@ -3,7 +3,7 @@
 A document's set holds its distinct five-word shingles. Documents with the same set form a class at once; one row for
 each class goes on. Minima of ROWS * BANDS hash functions give BANDS band keys and, of every minimum, the lowest BITS
 bits, packed. Classes that share a band key are candidates; the share of equal packed values, counted by bits and
-corrected for chance collisions, estimates their similarity, and pairs far below the threshold (MARGIN, over six
+corrected for chance collisions, estimates their similarity, and pairs far below the threshold (MARGIN, over four
 standard errors) go no further. What is left is confirmed on the full sets of both texts.
 
 Each class takes as its hub the bucket head most like it (of a similarity of HUB or more by estimate), and the hubs'
@@ -11,18 +11,17 @@ hubs lead to a root. A class is confirmed against its root alone, which gives th
 root's: the root's shingles that it lacks, as bits, and its own ones. From these differences the exact similarity of two
 classes of one root follows without their texts. So the classes that are not linked with their root are held against all
 others of the root in blocks of BLOCK by BLOCK, as arrays in tasks; only links leave them. Pairs of a bucket with
-different roots are confirmed one by one. A link is lost only where no band finds it (a chance below 1e-5 at similarity
-0.75), and a group of copies costs a row for each member and block. Components spread by joining each class with the
+different roots are confirmed one by one. A link is lost only where no band finds it or its estimate is that far off (chances
+below 1e-5 each at similarity 0.75, less above), and a group of copies costs a row for each member and block. Components spread by joining each class with the
 least id near it until nothing changes, staged after each round.
 
 Documents without words have an empty set and are linked with nothing; with fewer than five words the whole sequence is
-the one shingle. Null texts have no words. Rows with the same id are taken as one document each; ties go to the smallest
-id. Texts of any length are read in whole; extra columns are ignored.
+the one shingle. Null texts have no words. Ids are those of documents: a row that is given twice adds nothing but itself;
+ties go to the smallest id. Texts of any length are read in whole; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-
 import re
 from functools import lru_cache
 
