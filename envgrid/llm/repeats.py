@@ -201,7 +201,7 @@ def repeat_spans(df: DataFrame, keep: str = "none", id_col: str = "doc_id", text
     # both sides of the join come from tables, so that a frequent anchor's partition can be split
     rows = stage(found.join(stage(shared, "shared"), "anchor"), "anchors")
     whole = rows.groupBy("anchor", "context").agg(F.count("*").alias("c"), F.min(F.struct("id", "rid", "lo")).alias("f"))
-    told = stage(rows.join(whole, ["anchor", "context"]).withColumn("first", F.struct("id", "rid", "lo") == F.col("f")).select("id", "rid", "lo", "n", "anchor", "mixed", "c", "first"), "contexts")
+    told = stage(rows.join(stage(whole, "whole"), ["anchor", "context"]).withColumn("first", F.struct("id", "rid", "lo") == F.col("f")).select("id", "rid", "lo", "n", "anchor", "mixed", "c", "first"), "contexts")
     copies = told.where(F.col("c") > 1 if keep == "none" else ~F.col("first")).select("rid", F.col("lo").alias("s"), (F.col("lo") + F.col("n") + LENGTH).cast("int").alias("e"))
     # the bytes of each different context around a shared anchor
     edges = told.where("mixed AND first").groupBy("rid").agg(F.collect_set(F.struct("lo", "n", "anchor")).alias("edges"))
