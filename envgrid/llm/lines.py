@@ -3,11 +3,15 @@
 A line's path in the tree has a fixed depth: its number of tokens, then its first DEPTH tokens, those with digits written
 as a variable. At the leaf it has up to three templates: the whole line, and for lines of LONG tokens or more its first
 and its second half with the other half variable, so lines that differ in fields of one half share a template. A template
-recurs if at least DOCS different documents have it, if they are at least SHARE of all documents that have it, and if it
-is found in that many different surroundings (the leaves of the lines before and after). Documents are told apart by
-their least other long line, as copies with few edits mostly have the same: copied documents repeat their lines in the
-same company and are left to document dedup. Lines with a recurring template are dropped from every document, the other
-lines stay as they are.
+recurs if at least DOCS different documents have it; its lines are dropped from every document, the other lines stay.
+
+Documents are told apart by what they hold besides. Seen from a template, a document's own lines are those at most SHARE
+as common as the template, wherever they stand; a long line is as common as the most common of its templates and of
+two windows of WINDOW tokens, at its least and its greatest token, which mostly stay where a few words were edited. If they hold more than OWN of its tokens, the document counts as one
+divided by its number of copies, which is how common its own lines are (the median, weighted by tokens), so that copies
+count as one together, and few edits or other recurring lines change nothing. Documents with less of their own are near
+copies of each other from this template's view: together they count as one, and are left to document dedup. All of these
+compare counts of documents with counts of documents, so the rule is the same at every size.
 
 Null texts stay null, empty texts and lines of no or one word stay as they are;
 a template is compared by 64-bit hashes. Counts are aggregated before each shuffle, by template and never within one task
@@ -17,45 +21,91 @@ columns are kept.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from envgrid.llm.common import read, stage
+from envgrid.llm.common import read, small_batches, stage
 
-DEPTH, LONG = 3, 8
+DEPTH, LONG, WINDOW = 3, 8, 4
 DOCS, SHARE = 5, 0.5
+#: Documents that share all but a quarter of their tokens or less may be near copies at 0.75; with more of their own they are none.
+OWN = 0.25
+#: The low bits of a line's hash hold its number of tokens.
+SIZE = (1 << 16) - 1
 
 
 def parse_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(rid, i, around, doc, keys array<long>) of each line of two or more words; rid stands for the row, doc for the rest of its lines."""
+    """(rid, lines array<struct<w, keys>>, total) of each row; w has a line's hash and size, total is the tokens of its different lines.
+
+    Keys are even for templates, odd for windows.
+    """
     lines = df.where(F.col(text_col).isNotNull()).selectExpr(
         f"xxhash64({id_col}, {text_col}) AS rid",
         f"transform(split({text_col}, '\\n'), l -> transform(array_remove(split(l, '[\\\\x20\\\\x09-\\\\x0D]+'), ''), t -> xxhash64(if(t rlike '[0-9]', '<*>', t)))) AS lines",
     )
     first = ", ".join(f"get(t, {k})" for k in range(DEPTH))
-    whole = lines.selectExpr("rid", f"transform(lines, t -> struct(size(t) AS n, xxhash64(size(t), {first}) AS leaf, xxhash64(t) AS all, CASE WHEN size(t) >= {LONG} THEN xxhash64(slice(t, 1, size(t) div 2)) END AS a, CASE WHEN size(t) >= {LONG} THEN xxhash64(slice(t, size(t) div 2 + 1, size(t))) END AS b)) AS s")
-    rows = whole.selectExpr("rid", "s", f"slice(sort_array(array_distinct(transform(filter(s, x -> x.n >= {LONG}), x -> x.all))), 1, 2) AS least").selectExpr("rid", "s", "least", "posexplode(s) AS (i, x)").where("x.n > 1")
-    return rows.selectExpr(
-        "rid", "i", "xxhash64(get(s, i - 1).leaf, get(s, i + 1).leaf) AS around", "coalesce(CASE WHEN get(least, 0) = x.all THEN get(least, 1) ELSE get(least, 0) END, 0L) AS doc",
-        "array_compact(array(xxhash64(0, x.leaf, x.all), CASE WHEN x.a IS NOT NULL THEN xxhash64(1, x.leaf, x.a) END, CASE WHEN x.b IS NOT NULL THEN xxhash64(2, x.leaf, x.b) END)) AS keys",
+    whole = lines.selectExpr("rid", f"transform(lines, t -> struct(size(t) AS n, xxhash64(size(t), {first}) AS leaf, xxhash64(t) AS all, CASE WHEN size(t) >= {LONG} THEN xxhash64(slice(t, 1, size(t) div 2)) END AS a, CASE WHEN size(t) >= {LONG} THEN xxhash64(slice(t, size(t) div 2 + 1, size(t))) END AS b, CASE WHEN size(t) >= {LONG} THEN xxhash64(slice(t, int(array_position(t, array_min(t))), {WINDOW})) END AS c, CASE WHEN size(t) >= {LONG} THEN xxhash64(slice(t, int(array_position(t, array_max(t))), {WINDOW})) END AS d)) AS s")
+    keyed = whole.selectExpr(
+        "rid",
+        f"transform(s, x -> struct((x.all & ~{SIZE}L) | least(x.n, {SIZE}) AS w, CASE WHEN x.n > 1 THEN array_compact(array(xxhash64(0, x.leaf, x.all) & ~1L, CASE WHEN x.a IS NOT NULL THEN xxhash64(1, x.leaf, x.a) & ~1L END, CASE WHEN x.b IS NOT NULL THEN xxhash64(2, x.leaf, x.b) & ~1L END, x.c | 1L, x.d | 1L)) ELSE array() END AS keys)) AS lines",
     )
+    return keyed.withColumn("total", F.expr(f"aggregate(array_distinct(lines.w), 0L, (a, w) -> a + (w & {SIZE}L))"))
+
+
+def witnesses(batch: pa.RecordBatch, docs: int, share: float) -> pa.RecordBatch:
+    """(key, docs, rest): for each template of each document the documents that it counts as, or that it is one of the rest."""
+    found = batch.column("found").combine_chunks() if isinstance(batch.column("found"), pa.ChunkedArray) else batch.column("found")
+    total = batch.column("total").to_numpy(zero_copy_only=False).astype(np.int64)
+    doc = np.repeat(np.arange(batch.num_rows), np.diff(found.offsets.to_numpy()))
+    w, key, n = (x.to_numpy(zero_copy_only=False) for x in found.flatten().flatten())
+    # lines, as common as the most common of their keys, in order of that within their document
+    by_line = np.lexsort((w, doc))
+    starts = np.flatnonzero(np.r_[True, (np.diff(doc[by_line]) != 0) | (np.diff(w[by_line]) != 0)])
+    common, line_doc, size = np.maximum.reduceat(n[by_line], starts), doc[by_line][starts], w[by_line][starts] & SIZE
+    order = np.lexsort((common, line_doc))
+    common, line_doc, size = common[order], line_doc[order], size[order]
+    upto = np.r_[0, np.cumsum(size)]
+    begin = upto[np.searchsorted(line_doc, np.arange(batch.num_rows))]
+    alone = total - np.bincount(line_doc, size, batch.num_rows).astype(np.int64)  # tokens of lines that no other document has
+    # templates
+    often = np.flatnonzero((n >= docs) & (key & 1 == 0))
+    by_key = often[np.lexsort((key[often], doc[often]))]
+    by_key = by_key[np.r_[True, (np.diff(doc[by_key]) != 0) | (np.diff(key[by_key]) != 0)]] if len(by_key) else by_key
+    d, base = doc[by_key], int(n.max(initial=0)) + 1
+    end = upto[np.searchsorted(line_doc * base + common, d * base + np.floor(share * n[by_key]).astype(np.int64), "right")]
+    own = alone[d] + end - begin[d]
+    middle = np.searchsorted(upto[1:], own / 2 - alone[d] + begin[d])
+    copies = np.where(2 * alone[d] >= own, 1, common[np.minimum(middle, len(common) - 1)])
+    differs = own > OWN * total[d]
+    return pa.RecordBatch.from_arrays([pa.array(key[by_key]), pa.array(np.where(differs, 1 / copies, 0.0)), pa.array(~differs)], names=["key", "docs", "rest"])
 
 
 def recurring(parsed: DataFrame, docs: int = DOCS, share: float = SHARE) -> DataFrame:
-    """(key, n_docs, n_around) of the templates that recur."""
-    rows = parsed.select(F.explode("keys").alias("key"), "doc", "around")
-    often = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("a"), F.max("doc").alias("b")).where((F.col("n") >= docs) & (F.col("a") < F.col("b"))).select("key")
-    by_doc = rows.join(often, "key").groupBy("key", "doc").agg(F.min("around").alias("around"), F.count("*").alias("rows"))
-    by_place = by_doc.groupBy("key", "around").agg(F.count("*").alias("m"), F.sum("rows").alias("rows"))
-    counted = by_place.groupBy("key").agg(F.sum("rows").alias("n"), F.sum("m").alias("n_docs"), F.count("*").alias("n_around"))
-    return counted.where((F.least("n_docs", "n_around") >= docs) & (F.least("n_docs", "n_around") >= share * F.col("n")))
+    """(key, n_docs) of the templates that recur."""
+    small_batches(parsed.sparkSession)
+    counts = stage(parsed.select(F.explode(F.array_distinct(F.flatten("lines.keys"))).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+    rows = parsed.select("rid", "total", F.explode("lines").alias("x")).select("rid", "total", "x.w", F.explode("x.keys").alias("key")).join(counts, "key")
+    by_doc = rows.groupBy("rid").agg(F.max("total").alias("total"), F.max("n").alias("most"), F.collect_set(F.struct("w", "key", "n")).alias("found")).where(F.col("most") >= docs).select("total", "found")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield witnesses(batch, docs, share)
+
+    seen = by_doc.mapInArrow(run, "key bigint, docs double, rest boolean")
+    counted = seen.groupBy("key").agg((F.round(F.round(F.sum("docs"), 6)) + F.max(F.col("rest").cast("int"))).cast("long").alias("n_docs"))
+    return counted.where(F.col("n_docs") >= docs)
 
 
 def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs: int = DOCS, share: float = SHARE) -> DataFrame:
     """df with recurring lines cut from the text, and n_lines, n_dropped."""
     parsed = stage(parse_lines(df, id_col, text_col), "lines")
     keys = stage(recurring(parsed, docs, share), "templates").select("key")
-    gone = parsed.select("rid", "i", F.explode("keys").alias("key")).join(keys, "key").groupBy("rid").agg(F.collect_set("i").alias("__gone"))
+    gone = parsed.select("rid", F.posexplode("lines").alias("i", "x")).select("rid", "i", F.explode("x.keys").alias("key")).where("key & 1 = 0").join(keys, "key").groupBy("rid").agg(F.collect_set("i").alias("__gone"))
     marked = df.withColumn("__rid", F.xxhash64(id_col, text_col)).join(gone.withColumnRenamed("rid", "__rid"), "__rid", "left").drop("__rid")
     cut = marked.withColumn("n_lines", F.coalesce(F.size(F.split(text_col, "\n")), F.lit(0))).withColumn("n_dropped", F.coalesce(F.size("__gone"), F.lit(0)))
     kept = F.expr(f"CASE WHEN __gone IS NULL THEN `{text_col}` ELSE array_join(filter(split(`{text_col}`, '\\n'), (l, i) -> NOT array_contains(__gone, i)), '\\n') END")

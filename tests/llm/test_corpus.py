@@ -115,6 +115,27 @@ def test_lines(documents, empty, corpus):
     assert set(documents.columns) <= set(out.columns) and lines.drop_lines(empty).count() == 0
 
 
+def test_lines_of_blocks_short_documents_and_copies(spark, words):
+    r = random.Random(11)
+    line = lambda n: " ".join(r.choice(words) for _ in range(n))
+    block, fixed, often = [line(7), line(9), line(5)], [line(6), line(6)], line(8)
+    texts = ["\n".join([line(12) for _ in range(6)] + block) for _ in range(8)]  # footer of three lines
+    texts += ["\n".join(x for _ in range(4) for x in [line(14), ""]) + "\n" + fixed[0] + "\n\n" + fixed[1] for _ in range(8)]  # between blank lines
+    texts += [line(9) + "\n" + fixed[0] + "\n\n" + fixed[1] for _ in range(6)]  # short documents
+    texts += ["\n".join(x for _ in range(5) for x in [line(10), often]) for _ in range(6)]  # repeats in a document
+    whole = [[line(10) for _ in range(6)] + [block[0]] for _ in range(6)]
+    texts += ["\n".join(x) for x in whole for _ in range(7)]  # seven copies of each of six documents
+    gone = {*block, *fixed, often}
+    near = [line(10) for _ in range(12)]
+    edited = ["\n".join(line(10) if k % 12 == j else x for j, x in enumerate(near)) for k in range(40)]  # near copies: one line edited in each
+    seen = line(10)
+    few = ["\n".join([line(10), line(10), seen])] * 9 + ["\n".join([line(10), line(10), seen]) for _ in range(3)]  # four different documents
+    rows_in = [(i, t) for i, t in enumerate(texts + edited + few)]
+    got = rows(lines.drop_lines(spark.createDataFrame(rows_in, "doc_id bigint, text string").repartition(3)))
+    for i, t in rows_in:
+        assert got[i]["text"] == "\n".join(x for x in t.split("\n") if i >= len(texts) or x not in gone), (i, t)
+
+
 def test_packing(documents, empty, corpus):
     lengths = {i: len(WORD.findall(t or "")) for i, t in enumerate(corpus)}
     out = packing.pack_documents(documents, lengths=(64, 128, 256), shard=60).collect()
