@@ -9,6 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from envgrid.functions.scalars import embedding_valid
 from envgrid.operators.index import balanced_accuracy, confusion
 
 
@@ -51,6 +52,17 @@ def out_of_fold(df: DataFrame, folds: int = 5, c: float = 0.1, iterations: int =
     return out
 
 
+def predict_all(df: DataFrame, sample: DataFrame, c: float = 0.1, iterations: int = 100) -> DataFrame:
+    """df with pred and probability array from one fit on the labelled sample; both are NULL where the embedding is not valid."""
+    train = with_features(sample.where(embedding_valid(F.col("emb")) & F.col("y").isNotNull())).persist()
+    model = classifier(train.count(), c, iterations).fit(train)
+    train.unpersist()
+    valid = F.coalesce(embedding_valid(F.col("emb")), F.lit(False))
+    done = model.transform(with_features(df.where(valid))).withColumn("pred", F.col("prediction").cast("int")).withColumn("proba", vector_to_array("probability"))
+    rest = df.where(~valid).withColumn("pred", F.lit(None).cast("int")).withColumn("proba", F.lit(None).cast("array<double>"))
+    return done.select(*df.columns, "pred", "proba").unionByName(rest)
+
+
 def report(predicted: DataFrame) -> DataFrame:
     """One row of JSON: balanced accuracy, rows by class, confusion."""
     conf = confusion(predicted)

@@ -223,6 +223,7 @@ def ml03(spark, d):
 
 @reg.add("ml06_percent_bands")
 def ml06(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("emb"), F.col("label").cast("int").alias("y"), F.floor(F.col("vec_id") / 25).alias("block"))
-    out = hosts.out_of_fold(index.capped_sample(e, ["y"], 3000, F.col("vec_id")), iterations=50)
+    """Percent bytes of every embedding, from one fit on at most 3000 of each label."""
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("emb"), F.col("label").cast("int").alias("y"))
+    out = hosts.predict_all(e, index.capped_sample(e.where(F.col("y").isNotNull() & scalars.embedding_valid(F.col("emb"))), ["y"], 3000, F.col("vec_id")), iterations=50)
     return out.select("vec_id", "y", "pred", hosts.percent_bytes().alias("bands"))

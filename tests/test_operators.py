@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from envgrid.functions import codes, geo, scalars
 from envgrid.functions.timebuckets import expected_hours, lead_day, report_day
 from envgrid.operators import grid, hosts, index, moisture, series, verify, zonal
+from envgrid.plans import registry
 from envgrid.sources import io, stages
 from envgrid.streaming import refresh
 
@@ -226,6 +227,16 @@ def test_folds_are_disjoint_by_block(spark):
     assert '"balanced_accuracy"' in hosts.report(out).first()[0]
 
 
+def test_percent_bands_of_every_embedding(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    rows = [(k, k % 2, [float(k % 2) * 4 + float(x) for x in rng.normal(size=3)]) for k in range(7000)] + [(7000, None, [4.0, 4.0, 4.0]), (7001, 1, None)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r["vec_id"]: r for r in registry.QUERIES["ml06_percent_bands"](spark, str(tmp_path)).collect()}
+    assert len(got) == 7002 and got[7000]["pred"] == 1 and got[7001]["bands"] is None
+    assert all(abs(sum(r["bands"]) - 100) <= 1 for k, r in got.items() if k < 7001)
+    assert sum(got[k]["pred"] == k % 2 for k in range(7000)) > 6900
+
+
 def test_sampling_is_repeatable(spark):
     df = spark.range(100).withColumn("g", F.col("id") % 2)
     a, b = (sorted(r["id"] for r in index.capped_sample(df, ["g"], 7, F.col("id")).collect()) for _ in range(2))
