@@ -1,10 +1,10 @@
-"""Helpers that the corpus operators share: reading, staged tables, Arrow batches of bounded bytes."""
+"""Helpers that the corpus operators share: reading, staged tables, free names, Arrow batches of bounded bytes."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python step holds as objects at one time.
 PIECE_BYTES = 4 << 20
-#: Rows in an Arrow batch between the JVM and Python.
-BATCH_ROWS = 1000
+#: Rows and bytes in an Arrow batch between the JVM and Python; a longer row is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,15 +21,32 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(taken: Iterable[str], name: str) -> str:
+    """name, with underscores behind it until no column in taken has it (in any case); added columns give way to given ones."""
+    have = {c.lower() for c in taken}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the rows of an Arrow batch, so that long texts don't fill a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bounds the rows and bytes of an Arrow batch, so that long texts don't fill a Python worker.
+
+    Plans read these settings when they run, so they stay set in the session; smaller values of the user's are left.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key, None)
+        now = int(now) if now and now.lstrip("-").isdigit() else 0
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset a local one of this session."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session gets a local one and a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -45,11 +62,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def unstage(df: DataFrame) -> None:
-    """Deletes the files of a staged table that a later one has taken the place of."""
-    spark = df.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.staged_at)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def unstage(*tables: DataFrame) -> None:
+    """Deletes the files of staged tables that later ones have taken the place of."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def pieces(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:

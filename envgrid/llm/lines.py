@@ -1,59 +1,170 @@
 """Line dedup with a log-template tree.
 
-A line's path in the tree has a fixed depth: its number of tokens, then its first DEPTH tokens, those with digits written
-as a variable. At the leaf it has up to three templates: the whole line, and for lines of LONG tokens or more its first
-and its second half with the other half variable, so lines that differ in fields of one half share a template. A template
-recurs if at least DOCS different documents have it; its lines are dropped from every document, the other lines stay.
+A line goes down a tree of fixed depth: its number of tokens, its first token, its second token, where words with digits
+are variables from the start. At the leaf the rest of its tokens is cut into PARTS parts (single tokens in short lines).
+A template is a way down this tree with up to two of the steps and parts generalised to a variable (one in lines of
+under WIDE tokens, none in those of under SHORT), so that lines of at least three quarters of equal tokens, which may differ at the front
+as well as behind, share one. Lines are only held against templates if a third of their steps recurs in as many
+documents as a template needs; where no third does, no template can. A template with variables needs equal words (no variables) in half of its steps.
+A template recurs if at least DOCS different documents have it; its lines are dropped from every document, the others stay.
 
 Documents are told apart by what they hold besides. Seen from a template, a document's own lines are those at most SHARE
-as common as the template, wherever they stand; a long line is as common as the most common of its templates and of
-two windows of WINDOW tokens, at its least and its greatest token, which mostly stay where a few words were edited. If they hold more than OWN of its tokens, the document counts as one
-divided by its number of copies, which is how common its own lines are (the median, weighted by tokens), so that copies
-count as one together, and few edits or other recurring lines change nothing. Documents with less of their own are near
-copies of each other from this template's view: together they count as one, and are left to document dedup. All of these
-compare counts of documents with counts of documents, so the rule is the same at every size.
-
-Null texts stay null, empty texts and lines of no or one word stay as they are;
-a template is compared by 64-bit hashes. Counts are aggregated before each shuffle, by template and never within one task
-by document, so a line that a third of the documents has is a few rows for each task. Repeated rows are cut alike; extra
-columns are kept.
+as common as the template, wherever they stand; a line is as common as the most common of its templates and, if long, of
+two windows of WINDOW tokens, at its least and its greatest token, which mostly stay where a few words were edited. If
+they hold more than OWN of its tokens, the document counts as one divided by its number of copies, which is how common
+its own lines are (the median, weighted by tokens), so that copies count as one together, and few edits or other
+recurring lines change nothing. Documents with less of their own are near copies of each other from this template's view:
+together they count as one, and are left to document dedup. All of these compare counts of documents with counts of
+documents, so the rule is the same at every size.
+
+Null texts stay null; empty texts and lines without a word stay as they are, as do lines of variables alone. Lines and
+texts of any length are parsed in whole. Ties: a line that has several templates goes if one of them recurs. Rows that
+repeat an id with the same text are one document and are cut alike. An empty table gives an empty result. Extra columns
+are kept with their values; an added column whose name is taken gets an underscore behind it. Templates are compared by
+64-bit hashes (steps by 32-bit ones). Counts are aggregated before each shuffle, by template and never within one task
+by document, so a line that a third of the documents has is a few rows for each task.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from envgrid.llm.common import read, small_batches, stage
+from envgrid.llm.common import free_name, map_texts, read, small_batches, stage, unstage
 
-DEPTH, LONG, WINDOW = 3, 8, 4
+PARTS, WINDOW = 6, 4
+SHORT, WIDE = 5, PARTS + 2
 DOCS, SHARE = 5, 0.5
 #: Documents that share all but a quarter of their tokens or less may be near copies at 0.75; with more of their own they are none.
 OWN = 0.25
 #: The low bits of a line's hash hold its number of tokens.
 SIZE = (1 << 16) - 1
+#: The low two bits of a key: a whole line, a window of a line, a template with variables, a third of a line's steps.
+LINE, WINDOWS, TEMPLATE, THIRD = range(4)
+VARIABLE = b"<*>"
+DIGITS = re.compile(rb"[^ \t-\r]*[0-9][^ \t-\r]*")
+
+
+def key_of(raw: bytes, kind: int, n: int = 0) -> int:
+    return ((xxhash.xxh3_64_intdigest(raw, n) & ~3) | kind) - (1 << 63)
+
+
+def steps_of(tokens: list[bytes]) -> list[bytes]:
+    """A line's steps: each token of a short line, else the two leading tokens and the rest in PARTS parts."""
+    n = len(tokens)
+    if n <= WIDE:
+        return tokens
+    edges = [2 + (n - 2) * k // PARTS for k in range(PARTS + 1)]
+    return [*tokens[:2], *(b" ".join(tokens[i:j]) for i, j in zip(edges, edges[1:], strict=False))]
+
+
+def packed_steps(tokens: list[bytes]) -> bytes:
+    """The steps' hashes, four bytes each; 0 for steps of variables alone."""
+    if VARIABLE not in tokens:
+        return b"".join([xxhash.xxh32_digest(s) for s in steps_of(tokens)])
+    return b"".join([b"\0\0\0\0" if not s.replace(VARIABLE, b"").strip() else xxhash.xxh32_digest(s) for s in steps_of(tokens)])
+
+
+def line_keys(line: bytes) -> tuple[int, bytes, list[int]] | None:
+    """(hash and size, steps, keys of the whole line, its windows and thirds) of a line, or None for one without a constant word."""
+    tokens = line.split()
+    n = len(tokens)
+    if not n or all(t == VARIABLE for t in tokens):
+        return None
+    whole = b" ".join(tokens)
+    w = (xxhash.xxh3_64_intdigest(whole) & ~SIZE | min(n, SIZE)) - (1 << 63)
+    keys = [key_of(whole, LINE)]
+    if n >= WIDE:
+        for t in (min(tokens), max(tokens)):
+            i = tokens.index(t)
+            keys.append(key_of(b" ".join(tokens[i : i + WINDOW]), WINDOWS))
+    if n < SHORT:
+        return w, b"", keys
+    steps = packed_steps(tokens)
+    m = len(steps) // 4
+    for k in range(3):
+        keys.append(key_of(steps[4 * (m * k // 3) : 4 * (m * (k + 1) // 3)], THIRD, 3 * n + k))
+    return w, steps, keys
 
 
 def parse_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(rid, lines array<struct<w, keys>>, total) of each row; w has a line's hash and size, total is the tokens of its different lines.
-
-    Keys are even for templates, odd for windows.
-    """
-    lines = df.where(F.col(text_col).isNotNull()).selectExpr(
-        f"xxhash64({id_col}, {text_col}) AS rid",
-        f"transform(split({text_col}, '\\n'), l -> transform(array_remove(split(l, '[\\\\x20\\\\x09-\\\\x0D]+'), ''), t -> xxhash64(if(t rlike '[0-9]', '<*>', t)))) AS lines",
-    )
-    first = ", ".join(f"get(t, {k})" for k in range(DEPTH))
-    whole = lines.selectExpr("rid", f"transform(lines, t -> struct(size(t) AS n, xxhash64(size(t), {first}) AS leaf, xxhash64(t) AS all, CASE WHEN size(t) >= {LONG} THEN xxhash64(slice(t, 1, size(t) div 2)) END AS a, CASE WHEN size(t) >= {LONG} THEN xxhash64(slice(t, size(t) div 2 + 1, size(t))) END AS b, CASE WHEN size(t) >= {LONG} THEN xxhash64(slice(t, int(array_position(t, array_min(t))), {WINDOW})) END AS c, CASE WHEN size(t) >= {LONG} THEN xxhash64(slice(t, int(array_position(t, array_max(t))), {WINDOW})) END AS d)) AS s")
-    keyed = whole.selectExpr(
-        "rid",
-        f"transform(s, x -> struct((x.all & ~{SIZE}L) | least(x.n, {SIZE}) AS w, CASE WHEN x.n > 1 THEN array_compact(array(xxhash64(0, x.leaf, x.all) & ~1L, CASE WHEN x.a IS NOT NULL THEN xxhash64(1, x.leaf, x.a) & ~1L END, CASE WHEN x.b IS NOT NULL THEN xxhash64(2, x.leaf, x.b) & ~1L END, x.c | 1L, x.d | 1L)) ELSE array() END AS keys)) AS lines",
-    )
-    return keyed.withColumn("total", F.expr(f"aggregate(array_distinct(lines.w), 0L, (a, w) -> a + (w & {SIZE}L))"))
+    """(rid, lines array<struct<i, w, steps, keys>>, total) of each text; w has a line's hash and size, total is the tokens of its different lines."""
+    rows = df.where(F.col(text_col).isNotNull()).select(F.xxhash64(id_col, text_col).alias("rid"), F.col(text_col).alias("text"))
+
+    def make():
+        def run(texts: list) -> dict:
+            index, hashes, steps, keys, upto, ends, totals = [], [], [], [], [0], [0], []
+            for text in texts:
+                raw = text.encode()
+                if DIGITS.search(raw):
+                    raw = DIGITS.sub(VARIABLE, raw)
+                seen = {}
+                for i, line in enumerate(raw.split(b"\n")):
+                    if found := line_keys(line):
+                        w, s, k = found
+                        index.append(i)
+                        hashes.append(w)
+                        steps.append(s)
+                        keys += k
+                        upto.append(len(keys))
+                        seen[w] = (w + (1 << 63)) & SIZE
+                ends.append(len(index))
+                totals.append(sum(seen.values()))
+            each = pa.StructArray.from_arrays([pa.array(index, pa.int32()), pa.array(hashes, pa.int64()), pa.array(steps, pa.binary()), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(keys, pa.int64()))], ["i", "w", "steps", "keys"])
+            return {"lines": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each), "total": pa.array(totals, pa.int64())}
+
+        return run
+
+    return map_texts(rows, make, "rid long, lines array<struct<i:int,w:long,steps:binary,keys:array<long>>>, total long", "text", ("rid",))
+
+
+def template_keys(steps: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key) of the templates with variables of lines given by their steps and numbers of tokens."""
+    out_line, out_key = [], []
+    m = np.array([len(s) // 4 for s in steps])
+    odd = np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        for k in np.unique(m[m >= SHORT]):
+            rows = np.flatnonzero(m == k)
+            s = np.frombuffer(b"".join(steps[i] for i in rows), np.uint32).reshape(len(rows), k).astype(np.uint64)
+            place = (np.arange(1, k + 1, dtype=np.uint64) * odd) | np.uint64(1)
+            terms = (s + np.uint64(1)) * place
+            terms ^= terms >> np.uint64(29)
+            terms *= np.uint64(0xBF58476D1CE4E5B9)
+            whole, words = terms.sum(axis=1) + sizes[rows].astype(np.uint64) * odd, s > 0
+            for gone in combinations(range(k), 1 if k < WIDE else 2):
+                held = whole - terms[:, gone].sum(axis=1) + np.uint64(1 + sum((g + 1) << (8 * j) for j, g in enumerate(gone)))
+                held ^= held >> np.uint64(32)
+                held *= np.uint64(0xD6E8FEB86659FD93)
+                held ^= held >> np.uint64(32)
+                ok = words.sum(axis=1) - words[:, gone].sum(axis=1) >= k / 2
+                out_line.append(rows[ok])
+                out_key.append(((held[ok] & ~np.uint64(3)) | np.uint64(TEMPLATE)).view(np.int64))
+    if not out_line:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(out_line), np.concatenate(out_key)
+
+
+def template_rows(lines: DataFrame) -> DataFrame:
+    """(rid, total, i, w, key) of the templates with variables that lines (rid, total, i, w, steps) have."""
+    small_batches(lines.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                w = batch.column("w").to_numpy().view(np.uint64) ^ np.uint64(1 << 63)
+                line, key = template_keys(batch.column("steps").to_pylist(), (w & np.uint64(SIZE)).astype(np.int64))
+                take = pa.array(line)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("rid", "total", "i", "w")), pa.array(key)], names=["rid", "total", "i", "w", "key"])
+
+    return lines.select("rid", "total", "i", "w", "steps").mapInArrow(run, "rid long, total long, i int, w long, key long")
 
 
 def witnesses(batch: pa.RecordBatch, docs: int, share: float) -> pa.RecordBatch:
@@ -61,11 +172,13 @@ def witnesses(batch: pa.RecordBatch, docs: int, share: float) -> pa.RecordBatch:
     found = batch.column("found").combine_chunks() if isinstance(batch.column("found"), pa.ChunkedArray) else batch.column("found")
     total = batch.column("total").to_numpy(zero_copy_only=False).astype(np.int64)
     doc = np.repeat(np.arange(batch.num_rows), np.diff(found.offsets.to_numpy()))
-    w, key, n = (x.to_numpy(zero_copy_only=False) for x in found.flatten().flatten())
+    parts = found.flatten()
+    w, key, n = (parts.field(c).to_numpy(zero_copy_only=False) for c in ("w", "key", "n"))
     # lines, as common as the most common of their keys, in order of that within their document
     by_line = np.lexsort((w, doc))
     starts = np.flatnonzero(np.r_[True, (np.diff(doc[by_line]) != 0) | (np.diff(w[by_line]) != 0)])
-    common, line_doc, size = np.maximum.reduceat(n[by_line], starts), doc[by_line][starts], w[by_line][starts] & SIZE
+    tokens = ((w.view(np.uint64) ^ np.uint64(1 << 63)) & np.uint64(SIZE)).astype(np.int64)
+    common, line_doc, size = np.maximum.reduceat(n[by_line], starts), doc[by_line][starts], tokens[by_line][starts]
     order = np.lexsort((common, line_doc))
     common, line_doc, size = common[order], line_doc[order], size[order]
     upto = np.r_[0, np.cumsum(size)]
@@ -84,32 +197,65 @@ def witnesses(batch: pa.RecordBatch, docs: int, share: float) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(key[by_key]), pa.array(np.where(differs, 1 / copies, 0.0)), pa.array(~differs)], names=["key", "docs", "rest"])
 
 
-def recurring(parsed: DataFrame, docs: int = DOCS, share: float = SHARE) -> DataFrame:
+def keyed_lines(parsed: DataFrame, docs: int = DOCS) -> DataFrame:
+    """(rid, total, found array<struct<i, w, key, n>>), staged: the keys of each text's lines that n texts have (two or more; docs or more for templates with variables)."""
+    counts = stage(parsed.select(F.explode(F.array_distinct(F.flatten("lines.keys"))).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(f"n > 1 AND (n >= {docs} OR key & 3 <> {THIRD})"), "counts")
+    each = parsed.select("rid", "total", F.explode("lines").alias("x")).select("rid", "total", "x.i", "x.w", "x.steps", F.explode("x.keys").alias("key"))
+    met = stage(each.withColumn("steps", F.expr(f"CASE WHEN key & 3 = {THIRD} THEN steps END")).join(counts, "key"), "met")
+    likely = met.where(f"key & 3 = {THIRD}").groupBy("rid", "i").agg(F.any_value("total").alias("total"), F.any_value("w").alias("w"), F.any_value("steps").alias("steps"))
+    wide = stage(template_rows(likely).dropDuplicates(["rid", "key", "w"]), "wide")
+    often = stage(wide.select("rid", "key").distinct().groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= docs), "often")
+    rows = met.where(f"key & 3 <> {THIRD}").select("rid", "total", "i", "w", "key", "n").unionByName(wide.join(often, "key").select("rid", "total", "i", "w", "key", "n"))
+    out = stage(rows.groupBy("rid").agg(F.max("total").alias("total"), F.collect_set(F.struct("i", "w", "key", "n")).alias("found")), "keyed")
+    unstage(counts, met, wide, often)
+    return out
+
+
+def recurring(keyed: DataFrame, docs: int = DOCS, share: float = SHARE) -> DataFrame:
     """(key, n_docs) of the templates that recur."""
-    small_batches(parsed.sparkSession)
-    counts = stage(parsed.select(F.explode(F.array_distinct(F.flatten("lines.keys"))).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "counts")
-    rows = parsed.select("rid", "total", F.explode("lines").alias("x")).select("rid", "total", "x.w", F.explode("x.keys").alias("key")).join(counts, "key")
-    by_doc = rows.groupBy("rid").agg(F.max("total").alias("total"), F.max("n").alias("most"), F.collect_set(F.struct("w", "key", "n")).alias("found")).where(F.col("most") >= docs).select("total", "found")
+    small_batches(keyed.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 yield witnesses(batch, docs, share)
 
-    seen = by_doc.mapInArrow(run, "key bigint, docs double, rest boolean")
+    seen = keyed.where(F.exists("found", lambda x: x["n"] >= docs)).mapInArrow(run, "key bigint, docs double, rest boolean")
     counted = seen.groupBy("key").agg((F.round(F.round(F.sum("docs"), 6)) + F.max(F.col("rest").cast("int"))).cast("long").alias("n_docs"))
     return counted.where(F.col("n_docs") >= docs)
 
 
-def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs: int = DOCS, share: float = SHARE) -> DataFrame:
-    """df with recurring lines cut from the text, and n_lines, n_dropped."""
+def template_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs: int = DOCS, share: float = SHARE) -> tuple[DataFrame, DataFrame]:
+    """(lines to drop (rid, i, w, key, n_docs), keyed lines); rid is xxhash64(id, text), i a line's place."""
     parsed = stage(parse_lines(df, id_col, text_col), "lines")
-    keys = stage(recurring(parsed, docs, share), "templates").select("key")
-    gone = parsed.select("rid", F.posexplode("lines").alias("i", "x")).select("rid", "i", F.explode("x.keys").alias("key")).where("key & 1 = 0").join(keys, "key").groupBy("rid").agg(F.collect_set("i").alias("__gone"))
-    marked = df.withColumn("__rid", F.xxhash64(id_col, text_col)).join(gone.withColumnRenamed("rid", "__rid"), "__rid", "left").drop("__rid")
-    cut = marked.withColumn("n_lines", F.coalesce(F.size(F.split(text_col, "\n")), F.lit(0))).withColumn("n_dropped", F.coalesce(F.size("__gone"), F.lit(0)))
-    kept = F.expr(f"CASE WHEN __gone IS NULL THEN `{text_col}` ELSE array_join(filter(split(`{text_col}`, '\\n'), (l, i) -> NOT array_contains(__gone, i)), '\\n') END")
-    return cut.withColumn(text_col, kept).drop("__gone")
+    keyed = keyed_lines(parsed, docs)
+    unstage(parsed)
+    found = stage(recurring(keyed, docs, share), "templates")
+    return keyed.select("rid", F.explode("found").alias("x")).where("x.key & 1 = 0").select("rid", "x.i", "x.w", "x.key").join(found, "key"), keyed
+
+
+def templates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs: int = DOCS, share: float = SHARE) -> DataFrame:
+    """(template, n_docs): the recurring templates as texts, tokens that differ among a template's lines written as <*>."""
+    gone, _ = template_lines(df, id_col, text_col, docs, share)
+    texts = df.select(F.xxhash64(id_col, text_col).alias("rid"), F.split(text_col, "\n").alias("lines")).dropDuplicates(["rid"])
+    named = gone.join(texts, "rid").select("key", "n_docs", F.expr("array_remove(split(regexp_replace(lines[i], '[^\\\\x20\\\\x09-\\\\x0D]*[0-9][^\\\\x20\\\\x09-\\\\x0D]*', '<*>'), '[\\\\x20\\\\x09-\\\\x0D]+'), '')").alias("t"))
+    tokens = named.select("key", "n_docs", F.posexplode("t").alias("k", "t")).groupBy("key", "n_docs", "k").agg(F.when(F.min("t") == F.max("t"), F.min("t")).otherwise("<*>").alias("t"))
+    whole = tokens.groupBy("key", "n_docs").agg(F.array_join(F.array_sort(F.collect_list(F.struct("k", "t")))["t"], " ").alias("template"))
+    return whole.groupBy("template").agg(F.max("n_docs").alias("n_docs"))  # several ways down the tree may hold the same lines
+
+
+def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs: int = DOCS, share: float = SHARE, counts: bool = True) -> DataFrame:
+    """df with recurring lines cut from the text, and (with counts) n_lines and n_dropped."""
+    taken = [*df.columns]
+    rid, gone, n_lines, n_dropped = (free_name(taken, c) for c in ("rid", "gone", "n_lines", "n_dropped"))
+    found, _ = template_lines(df, id_col, text_col, docs, share)
+    cut = found.groupBy(F.col("rid").alias(rid)).agg(F.collect_set("i").alias(gone))
+    marked = df.withColumn(rid, F.xxhash64(id_col, text_col)).join(cut, rid, "left")
+    kept = F.expr(f"CASE WHEN `{gone}` IS NULL THEN `{text_col}` ELSE array_join(filter(split(`{text_col}`, '\\n'), (l, i) -> NOT array_contains(`{gone}`, i)), '\\n') END")
+    out = [kept.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns]
+    if counts:
+        out += [F.coalesce(F.size(F.split(text_col, "\n")), F.lit(0)).alias(n_lines), F.coalesce(F.size(gone), F.lit(0)).alias(n_dropped)]
+    return marked.select(*out)
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,8 +111,8 @@ def test_lines(documents, empty, corpus):
     for i, t in enumerate(corpus):
         cut = [x for x in (t or "").split("\n") if not x.startswith("All of the rights are reserved")]
         assert got[i]["text"] == (None if t is None else "\n".join(cut)), i
-        assert got[i]["n_dropped"] == (0 if t is None else len(t.split("\n")) - len(cut))
-    assert set(documents.columns) <= set(out.columns) and lines.drop_lines(empty).count() == 0
+        assert got[i]["n_dropped"] == (0 if t is None else len(t.split("\n")) - len(cut)) and got[i]["n_lines"] == 2
+    assert out.columns[: len(documents.columns)] == documents.columns and lines.drop_lines(empty).count() == 0
 
 
 def test_lines_of_blocks_short_documents_and_copies(spark, words):
@@ -136,6 +136,46 @@ def test_lines_of_blocks_short_documents_and_copies(spark, words):
         assert got[i]["text"] == "\n".join(x for x in t.split("\n") if i >= len(texts) or x not in gone), (i, t)
 
 
+def test_line_templates_with_variables(spark, words):
+    """Against brute force: a line goes if five texts have lines of its size that equal it in all steps but two (one below eight tokens)."""
+    r = random.Random(21)
+    line = lambda n: " ".join(r.choice(words) for _ in range(n))
+    name = lambda: r.choice(words).title()
+    ends = [lambda: f"User {name()} logged in from {name()} at noon", lambda: f"{name()}: job finished with status ok today", lambda: f"Page 12 of {name()}", lambda: f"Seen {name()} {name()} {name()} in town", lambda: f"{r.randrange(99)} 7 2024"]
+    texts = [line(30) + "\n" + line(12) + "\n" + ends[k % 5]() for k in range(60)]
+    few = [line(30) + "\n" + f"Dear {name()} thank you for your long letter" for _ in range(4)]  # four documents
+    got = rows(lines.drop_lines(spark.createDataFrame(list(enumerate(texts + few)), "doc_id bigint, text string")))
+    steps = {}
+    for i, t in enumerate(texts + few):
+        for j, x in enumerate(t.split("\n")):
+            steps[i, j] = tuple(lines.steps_of([b"<*>" if re.search(rb"[0-9]", w) else w for w in x.encode().split()])), len(x.split())
+    def same(a, b):
+        (s, n), (u, m) = a, b
+        if n != m or len(s) != len(u) or n < 5:
+            return (s, n) == (u, m) and any(x != b"<*>" for x in s)
+        held = [x for x, y in zip(s, u, strict=True) if x == y]
+        return len(held) >= len(s) - (1 if n < 8 else 2) and sum(x != b"<*>" for x in held) * 2 >= len(s)
+    for i, t in enumerate(texts + few):
+        left = [x for j, x in enumerate(t.split("\n")) if len({k for (k, _), v in steps.items() if same(v, steps[i, j])}) < 5]
+        assert got[i]["text"] == "\n".join(left), (i, t)
+    assert sum(r["n_dropped"] for r in got.values()) == 24
+    found = {r["template"]: r["n_docs"] for r in lines.templates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert found["User <*> logged in from <*> at noon"] == 12 and found["<*> job finished with status ok today"] == 12
+
+
+def test_lines_keep_given_columns(spark, words):
+    r = random.Random(22)
+    line = lambda n: " ".join(r.choice(words) for _ in range(n))
+    made = [(i, line(20) + "\nfixed words here at the end", 5, 6, 7, 8) for i in range(9)]
+    df = spark.createDataFrame([*made, made[0], (9, None, 5, 6, 7, 8), (10, "", 5, 6, 7, 8)], "doc_id bigint, text string, n_lines int, N_Dropped int, rid int, gone int")
+    got = lines.drop_lines(df)
+    assert got.columns == [*df.columns, "n_lines_", "n_dropped_"]
+    for x in got.collect():
+        assert (x["n_lines"], x["N_Dropped"], x["rid"], x["gone"]) == (5, 6, 7, 8)
+        assert x["n_dropped_"] == (x["doc_id"] < 9) and x["text"] == (None if x["doc_id"] == 9 else "" if x["doc_id"] == 10 else made[x["doc_id"]][1].split("\n")[0])
+    assert got.count() == 12 and lines.drop_lines(df, counts=False).columns == df.columns
+
+
 def test_packing(documents, empty, corpus):
     lengths = {i: len(WORD.findall(t or "")) for i, t in enumerate(corpus)}
     out = packing.pack_documents(documents, lengths=(64, 128, 256), shard=60).collect()
