@@ -1,20 +1,24 @@
-"""Removal of long repeated byte strings by suffix order and longest-previous-factor values.
+"""Removal of long repeated byte strings by suffix order and longest-previous-factor arrays.
 
 Every string of LENGTH bytes has an anchor: of its GRAM-byte substrings the one with the least hash, the leftmost of
 equals. Equal strings have equal anchors at the same place, so each string need only be held against those around the
 same anchor. The strings of a text that share an anchor are one run of starts, and the bytes that they cover are the
-anchor's context. Anchors and contexts are first compared by hashes, whose counts are aggregated before they are
-shuffled: contexts found twice or more are repeats as a whole, however many copies there are. Only of contexts that
-differ around a shared anchor, each once, the bytes are brought together: at most PIECE bytes at a time, in whole groups,
-are put in suffix order to a depth of LENGTH by prefix doubling. Within an interval of the order whose common prefixes
-reach LENGTH, a start has an earlier match (its longest previous factor is that long) if and only if it isn't the
-interval's least position, which is what previous and next smaller positions in suffix order give. Groups of more than
-HOT different contexts are not brought together; their strings are compared by 128-bit hashes, one row each.
+anchor's context. Copies of a whole context are found first, by 64-bit hashes within their anchor, whose counts are
+aggregated before they are shuffled. Of contexts that differ around a shared anchor, each once, the bytes are brought
+together, at most PIECE bytes at a time in whole groups. Their strings are put in suffix order to a depth of LENGTH by
+prefix doubling, with the common prefixes of neighbours; the previous and the next smaller place in this order give each
+string's longest previous factor, and it has an earlier match if and only if that reaches LENGTH.
+
+A group of more than BLOCK contexts is split before it is brought together, by longer prefixes of the order: the strings
+around an anchor are halved by how far they start before it, and each half is grouped by all bytes that its strings must
+have in common (the anchor and more on both sides). Equal pieces of a half are counted as one. Halving goes on while a
+group is too large, at the end down to the single strings, so no group is too large for a task, whatever its anchor.
 
 ``keep="none"`` marks every occurrence of a repeated string, ``keep="first"`` all but the first by id and place. Strings
-are judged on the input. Null texts are empty; texts under LENGTH bytes have no such string; texts of any length are read
-in whole, and matches never cross texts. Rows that repeat an id with the same text are occurrences like others (with
-``keep="first"`` they are the same occurrence). Extra columns are kept.
+are judged on the input. Null texts are empty (and stay null); texts under LENGTH bytes have no such string; texts of any
+length are read in whole, and matches never cross texts. Ties don't arise: places differ. Rows that repeat an id with the
+same text are occurrences like others (with ``keep="first"`` they are the same occurrence). An empty table gives an empty
+result. Extra columns are kept with their values; an added column whose name is taken gets an underscore behind it.
 """
 
 from __future__ import annotations
@@ -28,10 +32,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from envgrid.llm.common import pieces, read, small_batches, stage
+from envgrid.llm.common import free_name, pieces, read, small_batches, stage, unstage
 
 LENGTH, GRAM = 200, 64
-PIECE, HOT = 2 << 20, 5_000
+PIECE, BLOCK = 2 << 20, 512
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 PLACE = np.uint64((1 << 28) - 1)
 
@@ -89,11 +93,8 @@ def anchor_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, f"id {kind}, rid long, lo int, n smallint, anchor long, context long")
 
 
-def suffix_ranks(b: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Ranks of the LENGTH-byte strings at starts in their suffix order; equal strings have equal ranks."""
-    def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.unique(a.astype(np.int64) * (int(b.max()) + 1) + b, return_inverse=True)[1]
-
+def doubled_ranks(b: np.ndarray) -> tuple[dict[int, np.ndarray], np.ndarray]:
+    """(ranks of the substrings of 8, 16 … 128 bytes at each place, the first 8 bytes as numbers); behind the end stand zeros."""
     n = len(b)
     eight = np.zeros(n, np.uint64)
     for k in range(8):
@@ -104,6 +105,15 @@ def suffix_ranks(b: np.ndarray, starts: np.ndarray) -> np.ndarray:
         r = rank[d]
         rank[2 * d] = joined(r, np.r_[r[d:], np.zeros(d, r.dtype)])
         d *= 2
+    return rank, eight
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.unique(a.astype(np.int64) * (int(b.max()) + 1) + b, return_inverse=True)[1]
+
+
+def suffix_ranks(rank: dict[int, np.ndarray], starts: np.ndarray) -> np.ndarray:
+    """Ranks of the LENGTH-byte strings at starts in their suffix order; equal strings have equal ranks."""
     at, out = 0, None
     for d in sorted(rank, reverse=True):  # LENGTH as a sum of powers of two
         while at + d <= LENGTH:
@@ -113,14 +123,48 @@ def suffix_ranks(b: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def earlier_and_elsewhere(rank: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For starts with suffix ranks, and their order by id and place: (an equal string starts earlier, one starts elsewhere)."""
-    sa = np.lexsort((order, rank))
-    head = np.r_[True, rank[sa][1:] != rank[sa][:-1]]  # intervals of the suffix order with common prefixes of LENGTH
-    size = np.diff(np.r_[np.flatnonzero(head), len(sa)])
+def common_prefixes(rank: dict[int, np.ndarray], eight: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Lengths of the common prefixes of the LENGTH-byte strings at one and two."""
+    n = np.zeros(len(one), np.int64)
+    for d in sorted(rank, reverse=True):
+        fits = n + d <= LENGTH
+        n += d * (fits & (rank[d][np.where(fits, one + n, 0)] == rank[d][np.where(fits, two + n, 0)]))
+    rest = n < LENGTH
+    i, j = one[rest] + n[rest], two[rest] + n[rest]
+    differ = eight[i] ^ eight[j]
+    n[rest] += sum((differ < (np.uint64(1) << np.uint64(64 - 8 * k))).astype(np.int64) for k in range(1, 8))
+    return np.minimum(n, LENGTH)
+
+
+def smaller_before(place: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place of the suffix order (previous one with a smaller text place or -1, common prefix with it); common holds prefixes with the neighbour before.
+
+    All places jump at once: what lies between a place and where it points to is greater, so a pointer's pointer may be taken.
+    """
+    at, held = np.arange(len(place)) - 1, common.copy()
+    todo = np.flatnonzero(at >= 0)
+    while len(todo := todo[(at[todo] >= 0) & (place[at[todo]] > place[todo])]):
+        to = at[todo]
+        held[todo], at[todo] = np.minimum(held[todo], held[to]), at[to]
+    held[at < 0] = 0
+    return at, held
+
+
+def longest_previous_factors(place: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """LPF of each place of the suffix order: the longer of the prefixes shared with the previous and the next smaller text place."""
+    _, before = smaller_before(place, common)
+    _, after = smaller_before(place[::-1], np.r_[0, common[1:][::-1]])
+    return np.maximum(before, after[::-1])
+
+
+def earlier_and_elsewhere(b: np.ndarray, starts: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For strings at starts of b, and their order by id and place: (an equal string starts earlier, one starts elsewhere)."""
+    rank, eight = doubled_ranks(b)
+    sa = np.lexsort((order, suffix_ranks(rank, starts)))
+    common = np.r_[0, common_prefixes(rank, eight, starts[sa[:-1]], starts[sa[1:]])]
     earlier, elsewhere = np.empty(len(sa), bool), np.empty(len(sa), bool)
-    earlier[sa] = ~head
-    elsewhere[sa] = np.repeat(size > 1, size)
+    earlier[sa] = longest_previous_factors(order[sa], common) >= LENGTH
+    elsewhere[sa] = np.maximum(common, np.r_[common[1:], 0]) >= LENGTH
     return earlier, elsewhere
 
 
@@ -142,9 +186,8 @@ def compare_contexts(contexts: DataFrame, keep: str) -> DataFrame:
         n = np.array([x[3] + 1 for x in held])
         own = np.repeat(np.arange(len(held)), n)
         inner = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
-        rank = suffix_ranks(np.frombuffer(b"".join(x[5] for x in held), np.uint8), base[own] + inner)
         place = np.array([rank_of[i] for i in range(len(held))])
-        earlier, elsewhere = earlier_and_elsewhere(rank, place[own] * (1 << 20) + inner)
+        earlier, elsewhere = earlier_and_elsewhere(np.frombuffer(b"".join(x[5] for x in held), np.uint8), base[own] + inner, place[own] * (1 << 20) + inner)
         hit = np.flatnonzero(earlier if keep == "first" else elsewhere)
         rid, s, e = _spans(np.array([x[1] for x in held])[own[hit]], np.array([x[2] for x in held])[own[hit]] + inner[hit]) if len(hit) else (np.zeros(0, np.int64),) * 3
         return pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], names=["rid", "s", "e"])
@@ -169,29 +212,55 @@ def compare_contexts(contexts: DataFrame, keep: str) -> DataFrame:
     return contexts.repartition("anchor").sortWithinPartitions("anchor", "id", "rid", "lo").select("id", "rid", "lo", "n", "anchor", "bytes").mapInArrow(run, "rid long, s int, e int")
 
 
-def compare_hashes(contexts: DataFrame, keep: str) -> DataFrame:
-    """The same for contexts of very frequent anchors, by one hashed row for each string."""
+def anchor_place(raw: bytes, n: int, anchor: int) -> int:
+    """Where a context's anchor starts: the leftmost place with its hash that all n + 1 strings hold."""
+    with np.errstate(over="ignore"):
+        h = gram_hashes(np.frombuffer(raw[n : LENGTH], np.uint8)).view(np.int64)
+    return n + int(np.flatnonzero(h == anchor)[0])
+
+
+def halves(contexts: DataFrame) -> DataFrame:
+    """Contexts (id, rid, lo, n, anchor, bytes, p, x0, x1) of strings that start from x0 up to x1 - 1 bytes before the anchor at p, cut in two by that distance; anchor becomes a hash of the bytes that a half's strings have in common."""
     kind = contexts.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            who, at, one, two = [], [], [], []
-            for i, (lo, n, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("lo", "n", "bytes")), strict=True)):
-                for k in range(n + 1):
-                    d = xxhash.xxh3_128_intdigest(b[k : k + LENGTH])
-                    who.append(i)
-                    at.append(lo + k)
-                    one.append((d >> 64) - (1 << 63))
-                    two.append((d & ((1 << 64) - 1)) - (1 << 63))
-            take = pa.array(who, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("rid").take(take), pa.array(at, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64())], names=["id", "rid", "s", "one", "two"])
-
-    rows = contexts.select("id", "rid", "lo", "n", "bytes").mapInArrow(run, f"id {kind}, rid long, s int, one long, two long")
-    seen = rows.groupBy("one", "two").agg(F.count("*").alias("c"), F.min(F.struct("id", "rid", "s")).alias("f")).where("c > 1")
-    hit = rows.join(seen, ["one", "two"])
-    if keep == "first":
-        hit = hit.where(F.struct("id", "rid", "s") != F.col("f"))
-    return hit.select("rid", "s", (F.col("s") + LENGTH).alias("e"))
+            out: list[list] = [[] for _ in range(8)]
+            for k, (lo, n, anchor, raw, p, x0, x1) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("lo", "n", "anchor", "bytes", "p", "x0", "x1")), strict=True)):
+                at = p - lo if p >= 0 else anchor_place(raw, n, anchor)
+                middle = (x0 + x1) // 2
+                for a, b in ((x0, middle), (middle, x1)):
+                    least, most = max(a, at - n), min(b - 1, at)
+                    if least <= most:
+                        key = xxhash.xxh3_64_intdigest(raw[at - a : at + LENGTH + 1 - b], a << 8 | b) - (1 << 63)
+                        for x, v in zip(out, (k, lo + at - most, most - least, key, raw[at - most : at - least + LENGTH], lo + at, a, b), strict=True):
+                            x.append(v)
+            take = pa.array(out[0], pa.int64())
+            made = [pa.array(x, t) for x, t in zip(out[1:], (pa.int32(), pa.int16(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("rid").take(take), *made], names=["id", "rid", "lo", "n", "anchor", "bytes", "p", "x0", "x1"])
+
+    return contexts.select("id", "rid", "lo", "n", "anchor", "bytes", "p", "x0", "x1").mapInArrow(run, f"id {kind}, rid long, lo int, n smallint, anchor long, bytes binary, p int, x0 int, x1 int")
+
+
+def compare_groups(contexts: DataFrame, keep: str) -> DataFrame:
+    """(rid, s, e) of repeats in staged contexts (id, rid, lo, n, anchor, bytes), each of them different: groups of up to BLOCK at once, larger ones after halving."""
+    rows = contexts.selectExpr("*", "-1 AS p", "0 AS x0", f"{LENGTH - GRAM + 1} AS x1")
+    spans = None
+    while True:
+        sizes = stage(rows.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1"), "sizes")
+        # both sides of the join come from tables, so that a frequent anchor's partition can be split
+        few = compare_contexts(rows.join(sizes.where(F.col("k") <= BLOCK), "anchor"), keep)
+        spans = few if spans is None else spans.unionByName(few)
+        many = sizes.where(F.col("k") > BLOCK)
+        if many.isEmpty():
+            return spans
+        cut = stage(halves(rows.join(many, "anchor")), "halves")
+        same = stage(cut.groupBy("anchor", "bytes").agg(F.count("*").alias("c"), F.min(F.struct("id", "rid", "lo")).alias("f")), "same")
+        told = stage(cut.join(same, ["anchor", "bytes"]).withColumn("first", F.struct("id", "rid", "lo") == F.col("f")).drop("f"), "told")
+        unstage(cut, same)
+        copies = told.where(F.col("c") > 1 if keep == "none" else ~F.col("first")).select("rid", F.col("lo").alias("s"), (F.col("lo") + F.col("n") + LENGTH).cast("int").alias("e"))
+        spans = spans.unionByName(copies)
+        rows = told.where("first").drop("c", "first")
 
 
 def repeat_spans(df: DataFrame, keep: str = "none", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -207,11 +276,8 @@ def repeat_spans(df: DataFrame, keep: str = "none", id_col: str = "doc_id", text
     edges = told.where("mixed AND first").groupBy("rid").agg(F.collect_set(F.struct("lo", "n", "anchor")).alias("edges"))
     texts = df.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("rid"), F.col(text_col).alias("text")).where(F.octet_length("text") >= LENGTH).join(edges, "rid")
     parts = texts.select("id", "rid", F.encode("text", "UTF-8").alias("raw"), F.explode("edges").alias("x")).select("id", "rid", "x.lo", "x.n", "x.anchor", F.expr(f"substring(raw, x.lo + 1, x.n + {LENGTH})").alias("bytes")).dropDuplicates(["rid", "lo"])
-    contexts = stage(parts, "edges")
-    hot = contexts.groupBy("anchor").agg(F.count("*").alias("k")).where(F.col("k") > HOT).select("anchor")
-    fine = compare_contexts(contexts.join(hot, "anchor", "left_anti"), keep)
-    busy = compare_hashes(contexts.join(hot, "anchor"), keep)
-    return copies.unionByName(fine).unionByName(busy).groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans"))
+    fine = compare_groups(stage(parts, "edges"), keep)
+    return copies.unionByName(fine).groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans"))
 
 
 def cut(raw: bytes, spans: list) -> tuple[bytes, int, int]:
@@ -230,28 +296,35 @@ def cut(raw: bytes, spans: list) -> tuple[bytes, int, int]:
     return b"".join(out), removed, runs
 
 
-def remove_repeats(df: DataFrame, keep: str = "none", id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
-    """df with n_bytes, n_removed, n_spans, and the remaining text (characters that lost a byte go too) or, with digest, the SHA-256 of the remaining bytes instead of it."""
+def remove_repeats(df: DataFrame, keep: str = "none", id_col: str = "doc_id", text_col: str = "text", digest: bool = False, counts: bool = True) -> DataFrame:
+    """df with the remaining text (characters that lost a byte go too) or, with digest, kept_sha256 of the remaining bytes instead of it, and (with counts) n_bytes, n_removed, n_spans."""
     small_batches(df.sparkSession)
-    out = "kept_sha256" if digest else text_col
-    rest = [c for c in df.columns if c not in (text_col, out, "n_bytes", "n_removed", "n_spans")]  # columns of these names give way
-    spans = repeat_spans(df, keep, id_col, text_col).select(F.col("rid").alias("__rid"), F.col("spans").alias("__spans"))
-    joined = df.withColumn("__rid", F.xxhash64(id_col, text_col)).join(spans, "__rid", "left").drop("__rid")
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in rest) + f", `{out}` string, n_bytes long, n_removed long, n_spans long"
+    rest = [c for c in df.columns if c != text_col]
+    rid, found, n_bytes, n_removed, n_spans = (free_name(df.columns, c) for c in ("rid", "spans", "n_bytes", "n_removed", "n_spans"))
+    out = free_name(df.columns, "kept_sha256") if digest else text_col
+    spans = repeat_spans(df, keep, id_col, text_col).select(F.col("rid").alias(rid), F.col("spans").alias(found))
+    row = F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row")  # given columns travel as one, whatever their names
+    joined = df.withColumn(rid, F.xxhash64(id_col, text_col)).join(spans, rid, "left").select(row, F.col(f"`{text_col}`").alias("text"), F.col(found).alias("spans"))
+    kind = joined.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, n, gone, runs = [], [], [], []
-            for t, found in zip(batch.column(text_col), batch.column("__spans"), strict=True):
-                raw = (t.as_py() or "").encode()
-                left, removed, k = cut(raw, [(x["s"], x["e"]) for x in found.as_py()]) if found.is_valid else (raw, 0, 0)
-                texts.append(hashlib.sha256(left).hexdigest() if digest else left.decode("utf-8", "ignore") if t.is_valid else None)
-                n.append(len(raw))
-                gone.append(removed)
-                runs.append(k)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64())], names=[*rest, out, "n_bytes", "n_removed", "n_spans"])
-
-    return joined.select(*rest, text_col, "__spans").mapInArrow(run, schema)
+            for part in pieces(batch, "text"):
+                texts, n, gone, runs = [], [], [], []
+                for t, s in zip(part.column("text"), part.column("spans"), strict=True):
+                    raw = (t.as_py() or "").encode()
+                    left, removed, k = cut(raw, [(x["s"], x["e"]) for x in s.as_py()]) if s.is_valid else (raw, 0, 0)
+                    texts.append(hashlib.sha256(left).hexdigest() if digest else left.decode("utf-8", "ignore") if t.is_valid else None)
+                    n.append(len(raw))
+                    gone.append(removed)
+                    runs.append(k)
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64())], names=["row", "text", "n_bytes", "n_removed", "n_spans"])
+
+    done = joined.mapInArrow(run, f"row {kind}, text string, n_bytes long, n_removed long, n_spans long")
+    columns = [F.col("text").alias(out) if c == text_col else F.col(f"row.`{c}`") for c in df.columns if c != text_col or not digest]
+    columns += [F.col("text").alias(out)] if digest else []
+    columns += [F.col("n_bytes").alias(n_bytes), F.col("n_removed").alias(n_removed), F.col("n_spans").alias(n_spans)] if counts else []
+    return done.select(*columns)
 
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,9 +80,9 @@ def brute_repeats(raws, first):
 
 
 @pytest.mark.parametrize("keep", ["none", "first"])
-@pytest.mark.parametrize("hot", [5000, 2])
-def test_repeats(documents, corpus, empty, keep, hot, monkeypatch):
-    monkeypatch.setattr(repeats, "HOT", hot)
+@pytest.mark.parametrize("block", [512, 2])
+def test_repeats(documents, corpus, empty, keep, block, monkeypatch):
+    monkeypatch.setattr(repeats, "BLOCK", block)
     monkeypatch.setattr(repeats, "PIECE", 2000)
     raws = [(t or "").encode() for t in corpus]
     if keep == "none":
@@ -95,15 +95,49 @@ def test_repeats(documents, corpus, empty, keep, hot, monkeypatch):
     assert repeats.remove_repeats(empty, keep).count() == 0
 
 
-def test_suffix_ranks():
+def test_suffix_order_and_longest_previous_factors():
     r = random.Random(2)
     b = np.array([r.randrange(2) for _ in range(1500)], np.uint8)
     b[900:1200] = b[100:400]
+    b[400:640] = 1
     starts = np.arange(0, 1300, 3)
-    rank = repeats.suffix_ranks(b, starts)
+    ranks, eight = repeats.doubled_ranks(b)
+    rank = repeats.suffix_ranks(ranks, starts)
     cut = [b[k : k + repeats.LENGTH].tobytes() for k in starts]
     assert [sorted(set(cut)).index(c) for c in cut] == rank.tolist()
 
+    def shared(x, y):
+        return next((k for k in range(len(x)) if x[k] != y[k]), len(x))
+
+    order = np.array(r.sample(range(5000), len(starts)))
+    sa = np.lexsort((order, rank))
+    common = np.r_[0, repeats.common_prefixes(ranks, eight, starts[sa[:-1]], starts[sa[1:]])]
+    assert common[1:].tolist() == [shared(cut[i], cut[j]) for i, j in zip(sa, sa[1:], strict=False)]
+    place = order[sa]
+    before, held = repeats.smaller_before(place, common)
+    for k in range(len(sa)):
+        want = next((j for j in range(k - 1, -1, -1) if place[j] < place[k]), -1)
+        assert before[k] == want and held[k] == (shared(cut[sa[k]], cut[sa[want]]) if want >= 0 else 0)
+    longest = repeats.longest_previous_factors(place, common)
+    assert longest.tolist() == [max((shared(cut[sa[k]], cut[sa[j]]) for j in range(len(sa)) if place[j] < place[k]), default=0) for k in range(len(sa))]
+
+
+def test_a_large_group_is_halved(spark, words, monkeypatch):
+    """One passage between different neighbours in many texts, against brute force, with groups of up to three contexts."""
+    monkeypatch.setattr(repeats, "BLOCK", 3)
+    r = random.Random(17)
+    line = lambda n: " ".join(r.choice(words) for _ in range(n))
+    passage = line(70)
+    texts = [line(r.randrange(3, 40)) + passage[r.randrange(20) : len(passage) - r.randrange(20)] + line(r.randrange(3, 40)) for _ in range(40)] + ["ab" * 300, "ba" * 250, "a" * 900, None]
+    df = spark.createDataFrame([(i, t, 9, 9, 9, 9, 9) for i, t in enumerate(texts)], "doc_id int, text string, n_bytes int, n_removed int, rid int, spans int, row int")
+    for keep in ("none", "first"):
+        out = repeats.remove_repeats(df, keep)
+        assert out.columns == [*df.columns, "n_bytes_", "n_removed_", "n_spans"]
+        got = rows(out)
+        for i, (t, m) in enumerate(zip(texts, brute_repeats([(t or "").encode() for t in texts], keep == "first"), strict=True)):
+            left = None if t is None else np.frombuffer(t.encode(), np.uint8)[~m].tobytes().decode("utf-8", "ignore")
+            assert (got[i]["text"], got[i]["n_removed_"], got[i]["n_bytes"], got[i]["rid"], got[i]["row"]) == (left, int(m.sum()), 9, 9, 9), (keep, i)
+
 
 def test_lines(documents, empty, corpus):
     out = lines.drop_lines(documents)
@@ -148,13 +182,15 @@ def test_line_templates_with_variables(spark, words):
     steps = {}
     for i, t in enumerate(texts + few):
         for j, x in enumerate(t.split("\n")):
-            steps[i, j] = tuple(lines.steps_of([b"<*>" if re.search(rb"[0-9]", w) else w for w in x.encode().split()])), len(x.split())
+            w = ["<*>" if re.search("[0-9]", y) else y for y in x.split()]
+            edges = [0, 1, *(2 + (len(w) - 2) * k // 6 for k in range(7))]
+            steps[i, j] = tuple(w if len(w) <= 8 else (" ".join(w[a:b]) for a, b in zip(edges, edges[1:], strict=False))), len(w)
     def same(a, b):
         (s, n), (u, m) = a, b
         if n != m or len(s) != len(u) or n < 5:
-            return (s, n) == (u, m) and any(x != b"<*>" for x in s)
+            return (s, n) == (u, m) and any(x != "<*>" for x in s)
         held = [x for x, y in zip(s, u, strict=True) if x == y]
-        return len(held) >= len(s) - (1 if n < 8 else 2) and sum(x != b"<*>" for x in held) * 2 >= len(s)
+        return len(held) >= len(s) - (1 if n < 8 else 2) and sum(x != "<*>" for x in held) * 2 >= len(s)
     for i, t in enumerate(texts + few):
         left = [x for j, x in enumerate(t.split("\n")) if len({k for (k, _), v in steps.items() if same(v, steps[i, j])}) < 5]
         assert got[i]["text"] == "\n".join(left), (i, t)
@@ -163,6 +199,24 @@ def test_line_templates_with_variables(spark, words):
     assert found["User <*> logged in from <*> at noon"] == 12 and found["<*> job finished with status ok today"] == 12
 
 
+def test_line_table(words):
+    r = random.Random(23)
+    texts = ["", "\n\n", " a\tb  c\n\na b c\n1 22\nx1 y\r\n", "é ü\x0b ß"] + ["\n".join(" ".join(r.choice(words[:9]) for _ in range(r.randrange(0, 40))) for _ in range(r.randrange(6))) for _ in range(40)]
+    t = lines.line_table([x.encode() for x in texts])
+    want = []
+    for d, x in enumerate(texts):
+        for i, y in enumerate(x.split("\n")):
+            w = ["<*>" if re.search("[0-9]", z) else z for z in WORD.findall(y)]
+            if any(z != "<*>" for z in w):
+                want.append((d, i, tuple(w)))
+    assert list(zip(t["doc"].tolist(), t["i"].tolist(), t["n"].tolist(), strict=True)) == [(d, i, len(w)) for d, i, w in want]
+    hashes, seen = {}, set()
+    for k, (d, _, w) in enumerate(want):
+        assert hashes.setdefault(w, int(t["w"][k])) == int(t["w"][k]) and t["first"][k] == ((d, w) not in seen)
+        seen.add((d, w))
+    assert len(set(hashes.values())) == len(hashes)
+
+
 def test_lines_keep_given_columns(spark, words):
     r = random.Random(22)
     line = lambda n: " ".join(r.choice(words) for _ in range(n))
@@ -177,7 +231,8 @@ def test_lines_keep_given_columns(spark, words):
 
 
 def test_packing(documents, empty, corpus):
-    lengths = {i: len(WORD.findall(t or "")) for i, t in enumerate(corpus)}
+    encode = packing.encoder(packing.default_tokenizer())
+    lengths = {i: len(encode(t)) if t else 0 for i, t in enumerate(corpus)}
     out = packing.pack_documents(documents, lengths=(64, 128, 256), shard=60).collect()
     total = collections.Counter()
     held = collections.defaultdict(list)
@@ -192,9 +247,87 @@ def test_packing(documents, empty, corpus):
         for r in sorted(b, key=lambda r: (r["bin_start"], r["n_tokens"])):
             assert r["bin_start"] == at
             at += r["n_tokens"]
-    assert packing.pack_documents(empty).count() == 0
-    where, _, size = packing.pack([50, 50, 28, 100, 20], (64, 128), 4)
-    assert sum(size) == 256 and len(set(where)) == 2
+    assert packing.pack_documents(empty).count() == 0 and packing.pack_sequences(empty).count() == 0
+
+
+def test_packed_sequences_hold_the_tokens(documents, corpus):
+    encode = packing.encoder(packing.default_tokenizer())
+    seen = collections.defaultdict(list)
+    for r in packing.pack_sequences(documents.withColumnRenamed("label", "n"), lengths=(64, 128, 256), shard=60).collect():
+        assert len(r["tokens"]) == r["bin_tokens"] <= r["bin_length"]
+        ends = [*r["starts"][1:], len(r["tokens"])]
+        for i, k, a, b in zip(r["doc_ids"], r["pieces"], r["starts"], ends, strict=True):
+            seen[i].append((k, r["tokens"][a:b]))
+    for i, t in enumerate(corpus):
+        want = encode(t) if t else []
+        cut = [want[k : k + 256] for k in range(0, max(1, len(want)), 256)]
+        assert sorted(seen[i]) == sorted((k, c) for k, c in enumerate(cut) for _ in range(1 + (i == 2))), i
+
+
+def test_long_blanks_are_encoded_in_whole():
+    import base64
+
+    path = packing.default_tokenizer()
+    with open(path, "rb") as f:
+        pieces = {int(b): base64.b64decode(a) for a, b in map(bytes.split, f)}
+    text = "one two" + " " * 1_200_000 + "three\n" + "\t" * 30_000
+    encode = packing.encoder(path)
+    assert b"".join(pieces[i] for i in encode(text)).decode() == text
+    short = "it's 12  blanks,\n\n   and more" + " " * 9_000 + "x"
+    held = packing.BLANKS
+    try:
+        packing.BLANKS = re.compile(r"\s{3}")
+        assert encode(short) == encode("".join(short)) and b"".join(pieces[i] for i in encode(short)).decode() == short
+        slow = encode(short)
+        packing.BLANKS = held
+        assert slow == encode(short)
+    finally:
+        packing.BLANKS = held
+
+
+def least_cost(items, lengths):
+    best = [float("inf")]
+
+    def place(k, bins):
+        if k == len(items):
+            best[0] = min(best[0], sum(packing.cost(next(c for c in lengths if c >= b)) for b in bins))
+            return
+        for i in range(len(bins)):
+            if bins[i] + items[k] <= lengths[-1]:
+                place(k + 1, [*bins[:i], bins[i] + items[k], *bins[i + 1 :]])
+        place(k + 1, [*bins, items[k]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_lengths_are_chosen_jointly():
+    r = random.Random(12)
+    over = []
+    for _ in range(60):
+        items = [r.randrange(1, 4000) for _ in range(7)]
+        where, start, size = packing.pack(items)
+        assert len(where) == len(start) == 7 and max(where) + 1 == len(size)
+        over.append(sum(map(packing.cost, size)) / least_cost(items, packing.LENGTHS))
+    assert min(over) > 1 - 1e-9 and sum(over) / len(over) < 1.02 and max(over) < 1.2
+    items = [r.choice([130, 500, 1000, 2040, 4000]) for _ in range(2000)]
+    total = sum(map(packing.cost, packing.pack(items)[2]))
+    order = sorted(range(len(items)), key=lambda i: -items[i])
+    one = packing.pack_set(items, order, [4096], packing.cost)[2]
+    assert total < 0.98 * sum(packing.cost(next(c for c in packing.LENGTHS if c >= u)) for u in one)
+    assert set(packing.pack(items)[2]) == {1024, 2048, 4096} and set(packing.pack([1000] * 50)[2]) == {1024} and set(packing.pack([300] * 300)[2]) == {1024}
+    for _ in range(200):  # the filling of a room, one by one
+        left = sorted((r.randrange(0, 60) for _ in range(r.randrange(0, 12))), reverse=True)
+        room, held = r.randrange(0, 120), 0
+        rest = room
+        for x in left:
+            if x <= rest:
+                held, rest = held + x, rest - x
+        a = np.array(left, np.int64)
+        assert packing.fill(room, -a, np.r_[0, np.cumsum(a)], 0) == held
+    assert packing.pack([]) == ([], [], [])
+    with pytest.raises(ValueError):
+        packing.pack([5000])
 
 
 INSULTS = ["grobbler", "snarkfist", "wetnoodle"]
@@ -277,4 +410,5 @@ def test_pipeline(spark, labelled, words, tmp_path):
     assert sum(passage[100:200] in t for t in texts.values()) == 1 and passage in texts[6000]
     packed = collections.Counter(i for r in out["best_fit_packing"] for i in r["doc_ids"])
     assert set(packed) == set(texts)
-    assert sum(r["bin_tokens"] for r in out["best_fit_packing"]) == sum(len(t.split()) for t in texts.values())
+    encode = packing.encoder(packing.default_tokenizer())
+    assert collections.Counter(x for r in out["best_fit_packing"] for x in r["tokens"]) == collections.Counter(x for t in texts.values() for x in encode(t))
