@@ -1,14 +1,17 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags (and at two line breaks in a row). Blocks in zones that the markup names
-as no part of the article (menus, headers, footers, side bars, notices, adverts, forms, comments, hidden parts) are
-removed, as are blocks outside the article where a page has one. Pass one labels the rest by link density, length and
-stop-word density: good, bad, or undecided (short, or too few stop words for its length). In pass two undecided blocks
-take the label of the nearest decided block of the same section; of two equally near ones the good one counts. Where a
-section has none decided, blocks of an article are good and others bad.
-
-Null, empty and text-free pages give the empty text. Repeated rows give repeated results, extra columns are ignored, long
-pages are read in whole. Rows are independent, so nothing shuffles.
+A page is cut into blocks at block-level tags (and at two line breaks in a row). Pass one labels each by link density,
+length and stop-word density: good, bad, or undecided (short, or too few stop words for its length). Markup is a hint
+beside it: blocks in parts that it names as no part of the article (menus, headers, footers, side bars, notices, adverts,
+forms, comments, hidden parts) are bad, as are blocks outside the article where a page has one, and such blocks say
+nothing about others. In pass two undecided blocks take the label of the nearest decided block of the same section; of
+two equally near ones the good one counts. A heading takes the label of the next decided block. Inside an article a
+link-filled block is bad only next to another one, bad labels pass on to headings only, and where no block is decided
+all are good; outside of one such blocks are bad. Without any helpful markup the two passes decide alone.
+
+Null, empty and text-free pages give the empty text. Repeated rows give repeated results, extra columns are ignored
+(those to keep are named), ties are as said above, long pages, tags and attributes are read in whole in one linear scan,
+and an empty table gives an empty result. Rows are independent, so nothing shuffles.
 """
 
 from __future__ import annotations
@@ -21,9 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from envgrid.llm.common import map_texts, read
 
-SHORT, LONG = 70, 200
+SHORT, LONG = 70, 140
 LINKS, LINKS_IN_ARTICLE = 0.2, 0.5
-STOP_LOW, STOP_HIGH = 0.30, 0.32
+STOP_LOW, STOP_HIGH = 0.10, 0.15
 
 # Frequent function words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
@@ -45,36 +48,51 @@ WORDS = frozenset(
     recommended pagination pager toolbar search copyright complementary contentinfo navigation dialog""".split()
 )
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]{0,4096}"|'[^']{0,4096}')*+|[^>]*)>""", re.S)
+#: Words that may stand beside one of WORDS in a class, id or role of several words.
+BESIDE = frozenset(
+    """area article bar block blocks body bottom box btn button buttons center column container content desktop fixed float frame global group header icon icons inner item items left
+    link links list local main mobile module outer page panel post posts primary right row secondary section site slot small sticky tab tag text title top unit user view wide wrap wrapper""".split()
+)
+
+# quotes count only behind an equals sign; nothing backs up, so a tag of any length is one linear scan
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 WORD = re.compile(r"[^\W\d_]+")
 
 
+def _marks(value: str) -> bool:
+    """A name marks a part outside the text: a word of WORDS, alone or beside words that say nothing of the content."""
+    parts = [p for p in re.split(r"[_-]+", value) if p and not p.isdigit()]
+    return any(p in WORDS for p in parts) and all(p in WORDS or p in BESIDE for p in parts)
+
+
 def _named(name: str, attrs: str) -> tuple[bool, bool]:
     """(the element's attributes name a zone outside the text, they name a header)."""
     if "=" not in attrs and "hidden" not in attrs:
         return False, False
-    words: set[str] = set()
+    names: set[str] = set()
     for key, a, b, c in ATTRIBUTE.findall(attrs):
         key, value = key.lower(), (a or b or c).lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
             return name not in ("html", "body"), False
         if key in ("class", "id", "role"):
-            words.update(re.split(r"[\s_-]+", value))
-    if name in ("html", "body", "main") or (name == "article" and not words & {"comment", "comments", "reply"}):
+            names.update(value.split())
+    if name in ("html", "body", "main") or (name == "article" and not names & {"comment", "comments", "reply"}):
         return False, False
-    return bool(words & WORDS), "header" in words
+    return any(map(_marks, names)), any("header" in re.split(r"[_-]+", x) for x in names)
 
 
 class Block:
-    __slots__ = ("article", "links", "section", "text")
+    """A block's text, the length of its links, its section (0 outside articles), and whether it is a heading or in a part that markup names as no text."""
+
+    __slots__ = ("heading", "links", "section", "text", "zone")
 
-    def __init__(self, text: str, links: int, article: bool, section: int):
-        self.text, self.links, self.article, self.section = text, links, article, section
+    def __init__(self, text: str, links: int, section: int, heading: bool = False, zone: bool = False):
+        self.text, self.links, self.section, self.heading, self.zone = text, links, section, heading, zone
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The page's blocks in order, without those in zones outside the text."""
+    """The page's blocks in order."""
     out: list[Block] = []
     parts: list[str] = []
     stack: list[tuple[str, int, int]] = []  # name; 1: zone, 2: header; section
@@ -85,8 +103,8 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal links, breaks
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
-            if text and not zones and not (headers and not heading):
-                out.append(Block(text, links, section > 0, section))
+            if text:
+                out.append(Block(text, links, section, heading, zones > 0 or (headers > 0 and not heading)))
             parts.clear()
         links = breaks = 0
 
@@ -99,8 +117,9 @@ def blocks_of(page: str) -> list[Block]:
                 links += len(" ".join(html.unescape(raw).split()))
 
     at, n = 0, len(page)
+    last = n if page.rfind("<!--") > page.rfind("-->") else page.rfind(">") + 1  # no tag ends behind it
     while at < n:
-        m = TOKEN.search(page, at)
+        m = TOKEN.search(page, at, last) if at < last else None
         if not m:
             add(page[at:] if page.rfind("<!", at) < 0 and not re.search(r"<[a-zA-Z/][^<>]*\Z", page[at:]) else re.sub(r"<[a-zA-Z/!][^<>]*\Z", "", page[at:]))
             break
@@ -162,45 +181,78 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def label(block: Block) -> bool | None:
-    """Pass one: True is good, False bad, None undecided."""
-    n = len(block.text)
-    if block.links > (LINKS_IN_ARTICLE if block.article else LINKS) * n:
-        return False
-    if "©" in block.text and not block.article:
-        return False
-    if n < SHORT:
-        return False if block.links and not block.article else None
-    words = WORD.findall(block.text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if stops >= STOP_HIGH and n > LONG:
-        return True
-    if stops >= STOP_LOW or block.article:
-        return None
-    return False
+def first_pass(blocks: list[Block]) -> list[tuple[bool | None, str]]:
+    """(label, what decided it) of each block: good (True), bad (False) or undecided (None)."""
+    within = any(b.section and not b.zone for b in blocks)
+    filled = [b.links > (LINKS_IN_ARTICLE if b.section else LINKS) * len(b.text) for b in blocks]
+    out: list[tuple[bool | None, str]] = []
+    for i, b in enumerate(blocks):
+        n = len(b.text)
+        if b.zone or (within and not b.section):
+            out.append((False, "markup"))
+            continue
+        if filled[i]:
+            beside = any(0 <= j < len(blocks) and filled[j] and blocks[j].section == b.section and not blocks[j].zone for j in (i - 1, i + 1))
+            out.append((None, "") if b.section and not beside else (False, "links"))
+            continue
+        if not b.section and ("©" in b.text or (b.links and n < SHORT)):
+            out.append((False, "links"))
+            continue
+        if n < SHORT:
+            out.append((None, ""))
+            continue
+        words = WORD.findall(b.text.lower())
+        stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+        if stops >= STOP_HIGH and n > LONG:
+            out.append((True, "words"))
+        elif stops >= STOP_LOW or b.section:
+            out.append((None, ""))
+        else:
+            out.append((False, "words"))
+    return out
 
 
-def main_blocks(page: str) -> list[str]:
-    """The texts of the page's good blocks, in order."""
-    blocks = blocks_of(page)
-    if any(b.article for b in blocks):
-        blocks = [b for b in blocks if b.article]
-    labels = [label(b) for b in blocks]
+def second_pass(blocks: list[Block], labels: list[tuple[bool | None, str]]) -> list[tuple[bool, str]]:
+    """The labels, undecided blocks having taken that of a decided one of their section (what markup alone decided doesn't count)."""
     n = len(blocks)
-    before: list[int] = []
-    for i in range(n):
-        before.append(i if labels[i] is not None else before[-1] if i and blocks[i - 1].section == blocks[i].section else -1)
-    after = [-1] * n
-    for i in range(n - 1, -1, -1):
-        after[i] = i if labels[i] is not None else after[i + 1] if i + 1 < n and blocks[i + 1].section == blocks[i].section else -1
-    out = []
+    near: list[list[int]] = [[], []]  # the decided block before and behind each, or -1
+    for side, places in enumerate((range(n), range(n - 1, -1, -1))):
+        seen: dict[int, int] = {}
+        near[side] = [-1] * n
+        for i in places:
+            section, (label, why) = blocks[i].section, labels[i]
+            near[side][i] = seen.get(section, -1)
+            if label is not None and why != "markup" and (label or not section or why != "links"):
+                seen[section] = i
+    menu = {i for i in range(n) if labels[i] == (False, "links")}
+    out: list[tuple[bool, str]] = []
     for i, b in enumerate(blocks):
-        found = [(abs(j - i), not labels[j]) for j in (before[i], after[i]) if j >= 0]
-        if not min(found)[1] if found else b.article:
-            out.append(b.text)
+        if labels[i][0] is not None:
+            out.append(labels[i])
+            continue
+        before, after = near[0][i], near[1][i]
+        if b.heading and i + 1 in menu and blocks[i + 1].section == b.section:
+            out.append((False, "neighbour"))
+        elif b.heading and after >= 0:
+            out.append((labels[after][0], "neighbour"))
+        elif found := [(abs(j - i), not labels[j][0]) for j in (before, after) if j >= 0]:
+            out.append((not min(found)[1], "neighbour"))
+        else:
+            out.append((b.section > 0, "default"))
     return out
 
 
+def labelled_blocks(page: str) -> list[tuple[str, bool, str]]:
+    """(text, kept, what decided it: markup, links, words, neighbour or default) of each block in order."""
+    blocks = blocks_of(page)
+    return [(b.text, good, why) for b, (good, why) in zip(blocks, second_pass(blocks, first_pass(blocks)), strict=True)]
+
+
+def main_blocks(page: str) -> list[str]:
+    """The texts of the page's good blocks, in order."""
+    return [t for t, good, _ in labelled_blocks(page) if good]
+
+
 def extract_text(df: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html_col: str = "html") -> DataFrame:
     """Keeps the columns in keep and adds text and n_chars (code points)."""
     types = {f.name: f.dataType.simpleString() for f in df.schema}
