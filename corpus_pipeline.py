@@ -33,7 +33,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that recur across different ones."""
-    return _recounted(lines.drop_lines(docs), docs)
+    return _recounted(lines.drop_lines(docs, counts=False), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,12 +44,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without passages of 200 bytes or more that a document of smaller id, or the same one before, has."""
-    return _recounted(repeats.remove_repeats(docs, keep="first"), docs)
+    return _recounted(repeats.remove_repeats(docs, keep="first", counts=False), docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences with the ids, pieces and places of the documents that they hold."""
-    return packing.bins(packing.pack_documents(docs))
+    """Training sequences: their tokens, and the ids, pieces and places of the documents that they hold."""
+    return packing.pack_sequences(docs)
 
 
 STAGES = [
