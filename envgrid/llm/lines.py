@@ -27,144 +27,176 @@ by document, so a line that a third of the documents has is a few rows for each
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from envgrid.llm.common import free_name, map_texts, read, small_batches, stage, unstage
 
 PARTS, WINDOW = 6, 4
-SHORT, WIDE = 5, PARTS + 2
+STEPS = PARTS + 2
+SHORT, WIDE = 5, STEPS
 DOCS, SHARE = 5, 0.5
 #: Documents that share all but a quarter of their tokens or less may be near copies at 0.75; with more of their own they are none.
 OWN = 0.25
 #: The low bits of a line's hash hold its number of tokens.
 SIZE = (1 << 16) - 1
-#: The low two bits of a key: a whole line, a window of a line, a template with variables, a third of a line's steps.
-LINE, WINDOWS, TEMPLATE, THIRD = range(4)
-VARIABLE = b"<*>"
-DIGITS = re.compile(rb"[^ \t-\r]*[0-9][^ \t-\r]*")
-
-
-def key_of(raw: bytes, kind: int, n: int = 0) -> int:
-    return ((xxhash.xxh3_64_intdigest(raw, n) & ~3) | kind) - (1 << 63)
-
-
-def steps_of(tokens: list[bytes]) -> list[bytes]:
-    """A line's steps: each token of a short line, else the two leading tokens and the rest in PARTS parts."""
-    n = len(tokens)
-    if n <= WIDE:
-        return tokens
-    edges = [2 + (n - 2) * k // PARTS for k in range(PARTS + 1)]
-    return [*tokens[:2], *(b" ".join(tokens[i:j]) for i, j in zip(edges, edges[1:], strict=False))]
-
-
-def packed_steps(tokens: list[bytes]) -> bytes:
-    """The steps' hashes, four bytes each; 0 for steps of variables alone."""
-    if VARIABLE not in tokens:
-        return b"".join([xxhash.xxh32_digest(s) for s in steps_of(tokens)])
-    return b"".join([b"\0\0\0\0" if not s.replace(VARIABLE, b"").strip() else xxhash.xxh32_digest(s) for s in steps_of(tokens)])
-
-
-def line_keys(line: bytes) -> tuple[int, bytes, list[int]] | None:
-    """(hash and size, steps, keys of the whole line, its windows and thirds) of a line, or None for one without a constant word."""
-    tokens = line.split()
-    n = len(tokens)
-    if not n or all(t == VARIABLE for t in tokens):
-        return None
-    whole = b" ".join(tokens)
-    w = (xxhash.xxh3_64_intdigest(whole) & ~SIZE | min(n, SIZE)) - (1 << 63)
-    keys = [key_of(whole, LINE)]
-    if n >= WIDE:
-        for t in (min(tokens), max(tokens)):
-            i = tokens.index(t)
-            keys.append(key_of(b" ".join(tokens[i : i + WINDOW]), WINDOWS))
-    if n < SHORT:
-        return w, b"", keys
-    steps = packed_steps(tokens)
-    m = len(steps) // 4
-    for k in range(3):
-        keys.append(key_of(steps[4 * (m * k // 3) : 4 * (m * (k + 1) // 3)], THIRD, 3 * n + k))
-    return w, steps, keys
+#: The low two bits of a key: a whole line, a window of a line, a template with variables.
+LINE, WINDOWS, TEMPLATE = range(3)
+#: The steps in a third: any two variable steps leave one third whole.
+THIRDS = ((0, 3), (3, 6), (6, 8))
+SPACES = np.isin(np.arange(256), [*range(9, 14), 32])
+U = np.uint64
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> U(29))) * U(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> U(32))) * U(0x94D049BB133111EB)
+    return h ^ (h >> U(31))
+
+
+@lru_cache(maxsize=1)
+def byte_codes() -> np.ndarray:
+    return mixed(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
+
+
+#: The base of the hashes' powers, and its inverse modulo 2^64.
+BASE = 0xD1342543DE82EF95
+INVERSE = pow(BASE, -1, 1 << 64)
+POWERS = [np.ones(1, U), np.ones(1, U)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE and INVERSE to the powers of 0 up to n."""
+    if len(POWERS[0]) <= n:
+        m = 1 << int(n).bit_length()
+        for k, base in enumerate((BASE, INVERSE)):
+            POWERS[k] = np.multiply.accumulate(np.r_[U(1), np.full(m, base, U)])
+    return POWERS[0], POWERS[1]
+
+
+class Sums:
+    """Hashes of any stretch of a sequence of numbers, from its sums of powers."""
+
+    def __init__(self, values: np.ndarray):
+        up, self.down = powers(len(values))
+        self.upto = np.r_[U(0), np.cumsum(values * up[: len(values)])]
+
+    def between(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return (self.upto[j] - self.upto[i]) * self.down[i]
+
+
+def tokens_of(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, whether it is a variable, place of its first byte) of each token; tokens with digits are variables and have one hash."""
+    space = SPACES[b]
+    edge = np.flatnonzero(np.diff(np.r_[True, space, True].astype(np.int8)))
+    start, end = edge[::2], edge[1::2]
+    hashes = mixed(Sums(byte_codes()[b]).between(start, end))
+    digits = np.r_[0, np.cumsum((b >= 48) & (b <= 57))]
+    variable = digits[end] > digits[start]
+    hashes[variable] = U(0)
+    return hashes, variable, start
+
+
+def line_table(texts: list[bytes]) -> dict[str, np.ndarray]:
+    """The lines with a constant word of texts without line breaks at their ends: doc, i, n, w, steps (STEPS columns), thirds, windows (0: none), first (of its kind in its text)."""
+    with np.errstate(over="ignore"):
+        b = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        h, variable, at = tokens_of(b)
+        breaks = np.flatnonzero(b == 10)
+        line_of = np.searchsorted(breaks, at)  # of each token
+        head = np.flatnonzero(np.r_[True, np.diff(line_of) != 0]) if len(at) else np.zeros(0, np.int64)
+        n = np.diff(np.r_[head, len(at)])
+        words = np.r_[0, np.cumsum(~variable)]
+        some = words[head + n] > words[head]
+        head, n, line = head[some], n[some], line_of[head][some]
+        sums = Sums(h)
+        whole = mixed(sums.between(head, head + n) + n.astype(U))
+        w = (whole & ~U(SIZE)) | np.minimum(n, SIZE).astype(U)
+        # edges of the steps: each token of a short line, else the two leading tokens and the rest in parts
+        k = np.arange(STEPS + 1)
+        edges = np.where((n <= WIDE)[:, None], np.minimum(k, n[:, None]), np.where(k < 3, k, 2 + (n[:, None] - 2) * np.maximum(k - 2, 0) // PARTS)) + head[:, None]
+        left, right = edges[:, :-1], edges[:, 1:]
+        steps = (mixed(sums.between(left, right) + U(1)) >> U(32)).astype(np.uint32)
+        steps[words[right] == words[left]] = 0  # variables alone, or none
+        thirds = np.stack([mixed(sums.between(edges[:, x], edges[:, y]) + n.astype(U) * U(3) + U(j + 1)) for j, (x, y) in enumerate(THIRDS)], axis=1)
+        # windows at the tokens of least and of greatest hash
+        token_line = np.repeat(np.arange(len(head)), n)
+        mine = np.arange(len(token_line)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(head, n)
+        windows = np.zeros((len(head), 2), U)
+        if len(head):
+            first_token = np.r_[0, np.cumsum(n)[:-1]]
+            for j, best in enumerate((np.minimum, np.maximum)):
+                here = np.flatnonzero(h[mine] == np.repeat(best.reduceat(h[mine], first_token), n))
+                place = mine[here[np.r_[True, np.diff(token_line[here]) != 0]]]
+                windows[:, j] = mixed(sums.between(place, np.minimum(place + WINDOW, head + n))) | U(1)
+    starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    first_line = np.searchsorted(breaks, starts[:-1])
+    doc = np.searchsorted(first_line, line, "right") - 1
+    order = np.lexsort((np.arange(len(w)), w, doc))
+    first = np.zeros(len(w), bool)
+    first[order] = np.r_[True, (np.diff(doc[order]) != 0) | (w[order][1:] != w[order][:-1])] if len(w) else False
+    return {"doc": doc, "i": line - first_line[doc], "n": n, "w": w, "steps": steps, "thirds": thirds, "windows": windows, "first": first}
 
 
 def parse_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(rid, lines array<struct<i, w, steps, keys>>, total) of each text; w has a line's hash and size, total is the tokens of its different lines."""
+    """(rid, total, lines array<struct<i, w, n, first, s1..s4, t1..t3, a, b>>) of each text; w is a line's hash with its size, s its steps in pairs, t their thirds, a and b its windows; total is the tokens of its different lines."""
     rows = df.where(F.col(text_col).isNotNull()).select(F.xxhash64(id_col, text_col).alias("rid"), F.col(text_col).alias("text"))
 
     def make():
         def run(texts: list) -> dict:
-            index, hashes, steps, keys, upto, ends, totals = [], [], [], [], [0], [0], []
-            for text in texts:
-                raw = text.encode()
-                if DIGITS.search(raw):
-                    raw = DIGITS.sub(VARIABLE, raw)
-                seen = {}
-                for i, line in enumerate(raw.split(b"\n")):
-                    if found := line_keys(line):
-                        w, s, k = found
-                        index.append(i)
-                        hashes.append(w)
-                        steps.append(s)
-                        keys += k
-                        upto.append(len(keys))
-                        seen[w] = (w + (1 << 63)) & SIZE
-                ends.append(len(index))
-                totals.append(sum(seen.values()))
-            each = pa.StructArray.from_arrays([pa.array(index, pa.int32()), pa.array(hashes, pa.int64()), pa.array(steps, pa.binary()), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(keys, pa.int64()))], ["i", "w", "steps", "keys"])
-            return {"lines": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each), "total": pa.array(totals, pa.int64())}
+            found = line_table([t.encode() for t in texts])
+            n, wide = found["n"], found["n"] >= SHORT
+            pairs = np.ascontiguousarray(found["steps"]).view(np.int64)
+            total = np.bincount(found["doc"], np.where(found["first"], np.minimum(n, SIZE), 0), len(texts)).astype(np.int64)
+            columns = {"i": found["i"].astype(np.int32), "w": found["w"].view(np.int64), "n": np.minimum(n, SIZE).astype(np.int32), "first": found["first"]}
+            columns |= {f"s{j + 1}": np.where(wide, pairs[:, j], 0) for j in range(STEPS // 2)}
+            thirds, windows = (np.ascontiguousarray(found[c]).view(np.int64) for c in ("thirds", "windows"))
+            columns |= {f"t{j + 1}": thirds[:, j] for j in range(3)} | {"a": windows[:, 0], "b": windows[:, 1]}
+            each = pa.StructArray.from_arrays([pa.array(v) for v in columns.values()], list(columns))
+            ends = np.r_[0, np.cumsum(np.bincount(found["doc"], minlength=len(texts)))]
+            return {"total": pa.array(total), "lines": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)}
 
         return run
 
-    return map_texts(rows, make, "rid long, lines array<struct<i:int,w:long,steps:binary,keys:array<long>>>, total long", "text", ("rid",))
+    return map_texts(rows, make, "rid long, total long, lines array<struct<i:int,w:long,n:int,first:boolean,s1:long,s2:long,s3:long,s4:long,t1:long,t2:long,t3:long,a:long,b:long>>", "text", ("rid",))
 
 
-def template_keys(steps: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(line, key) of the templates with variables of lines given by their steps and numbers of tokens."""
+def template_keys(steps: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key) of the templates with variables of lines given by their steps (STEPS columns) and numbers of tokens."""
     out_line, out_key = [], []
-    m = np.array([len(s) // 4 for s in steps])
-    odd = np.uint64(0x9E3779B97F4A7C15)
     with np.errstate(over="ignore"):
-        for k in np.unique(m[m >= SHORT]):
-            rows = np.flatnonzero(m == k)
-            s = np.frombuffer(b"".join(steps[i] for i in rows), np.uint32).reshape(len(rows), k).astype(np.uint64)
-            place = (np.arange(1, k + 1, dtype=np.uint64) * odd) | np.uint64(1)
-            terms = (s + np.uint64(1)) * place
-            terms ^= terms >> np.uint64(29)
-            terms *= np.uint64(0xBF58476D1CE4E5B9)
-            whole, words = terms.sum(axis=1) + sizes[rows].astype(np.uint64) * odd, s > 0
+        for k in range(SHORT, WIDE + 1):
+            rows = np.flatnonzero(np.minimum(n, WIDE) == k)
+            s = steps[rows, :k].astype(U)
+            terms = mixed((s + U(1)) * (U(2) * np.arange(1, k + 1, dtype=U) + U(1)) * U(0x9E3779B97F4A7C15))
+            whole, words = terms.sum(axis=1) + n[rows].astype(U) * U(BASE), s > 0
             for gone in combinations(range(k), 1 if k < WIDE else 2):
-                held = whole - terms[:, gone].sum(axis=1) + np.uint64(1 + sum((g + 1) << (8 * j) for j, g in enumerate(gone)))
-                held ^= held >> np.uint64(32)
-                held *= np.uint64(0xD6E8FEB86659FD93)
-                held ^= held >> np.uint64(32)
+                held = mixed(whole - terms[:, gone].sum(axis=1) + U(1 + sum((g + 1) << (8 * j) for j, g in enumerate(gone))))
                 ok = words.sum(axis=1) - words[:, gone].sum(axis=1) >= k / 2
                 out_line.append(rows[ok])
-                out_key.append(((held[ok] & ~np.uint64(3)) | np.uint64(TEMPLATE)).view(np.int64))
-    if not out_line:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+                out_key.append(((held[ok] & ~U(3)) | U(TEMPLATE)).view(np.int64))
     return np.concatenate(out_line), np.concatenate(out_key)
 
 
-def template_rows(lines: DataFrame) -> DataFrame:
-    """(rid, total, i, w, key) of the templates with variables that lines (rid, total, i, w, steps) have."""
-    small_batches(lines.sparkSession)
+def template_rows(kinds: DataFrame) -> DataFrame:
+    """(w, docs, key) of the templates with variables of kinds of lines (w, n, docs, s1..s4)."""
+    small_batches(kinds.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                w = batch.column("w").to_numpy().view(np.uint64) ^ np.uint64(1 << 63)
-                line, key = template_keys(batch.column("steps").to_pylist(), (w & np.uint64(SIZE)).astype(np.int64))
+                pairs = np.stack([batch.column(f"s{j + 1}").to_numpy() for j in range(STEPS // 2)], axis=1)
+                line, key = template_keys(np.ascontiguousarray(pairs).view(np.uint32), batch.column("n").to_numpy())
                 take = pa.array(line)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("rid", "total", "i", "w")), pa.array(key)], names=["rid", "total", "i", "w", "key"])
+                yield pa.RecordBatch.from_arrays([batch.column("w").take(take), batch.column("docs").take(take), pa.array(key)], names=["w", "docs", "key"])
 
-    return lines.select("rid", "total", "i", "w", "steps").mapInArrow(run, "rid long, total long, i int, w long, key long")
+    return kinds.select("w", "docs", "n", "s1", "s2", "s3", "s4").mapInArrow(run, "w long, docs long, key long")
 
 
 def witnesses(batch: pa.RecordBatch, docs: int, share: float) -> pa.RecordBatch:
@@ -177,8 +209,7 @@ def witnesses(batch: pa.RecordBatch, docs: int, share: float) -> pa.RecordBatch:
     # lines, as common as the most common of their keys, in order of that within their document
     by_line = np.lexsort((w, doc))
     starts = np.flatnonzero(np.r_[True, (np.diff(doc[by_line]) != 0) | (np.diff(w[by_line]) != 0)])
-    tokens = ((w.view(np.uint64) ^ np.uint64(1 << 63)) & np.uint64(SIZE)).astype(np.int64)
-    common, line_doc, size = np.maximum.reduceat(n[by_line], starts), doc[by_line][starts], tokens[by_line][starts]
+    common, line_doc, size = np.maximum.reduceat(n[by_line], starts), doc[by_line][starts], w[by_line][starts] & SIZE
     order = np.lexsort((common, line_doc))
     common, line_doc, size = common[order], line_doc[order], size[order]
     upto = np.r_[0, np.cumsum(size)]
@@ -197,17 +228,34 @@ def witnesses(batch: pa.RecordBatch, docs: int, share: float) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(key[by_key]), pa.array(np.where(differs, 1 / copies, 0.0)), pa.array(~differs)], names=["key", "docs", "rest"])
 
 
+def wide_templates(kinds: DataFrame, docs: int = DOCS) -> DataFrame:
+    """(w, found array<struct<key, n>>): the templates with variables of kinds of lines (w, n, docs, steps, thirds) that at least docs documents have, and more than have the line itself."""
+    thirds = kinds.where(f"n >= {SHORT}").select("w", "docs", F.explode(F.array("t1", "t2", "t3")).alias("third"))
+    likely = stage(thirds.groupBy("third").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= docs).select("third"), "likely")
+    some = thirds.select("w", "third").join(likely, "third", "left_semi").select("w").distinct()
+    each = stage(template_rows(kinds.join(some, "w", "left_semi")), "wide")
+    often = stage(each.groupBy("key").agg(F.sum("docs").alias("n"), F.count("*").alias("lines")).where((F.col("n") >= docs) & (F.col("lines") > 1)).select("key", "n"), "often")
+    out = stage(each.join(often, "key").where("n > docs").groupBy("w").agg(F.collect_list(F.struct("key", "n")).alias("found")), "templates")
+    unstage(likely, each, often)
+    return out
+
+
 def keyed_lines(parsed: DataFrame, docs: int = DOCS) -> DataFrame:
     """(rid, total, found array<struct<i, w, key, n>>), staged: the keys of each text's lines that n texts have (two or more; docs or more for templates with variables)."""
-    counts = stage(parsed.select(F.explode(F.array_distinct(F.flatten("lines.keys"))).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(f"n > 1 AND (n >= {docs} OR key & 3 <> {THIRD})"), "counts")
-    each = parsed.select("rid", "total", F.explode("lines").alias("x")).select("rid", "total", "x.i", "x.w", "x.steps", F.explode("x.keys").alias("key"))
-    met = stage(each.withColumn("steps", F.expr(f"CASE WHEN key & 3 = {THIRD} THEN steps END")).join(counts, "key"), "met")
-    likely = met.where(f"key & 3 = {THIRD}").groupBy("rid", "i").agg(F.any_value("total").alias("total"), F.any_value("w").alias("w"), F.any_value("steps").alias("steps"))
-    wide = stage(template_rows(likely).dropDuplicates(["rid", "key", "w"]), "wide")
-    often = stage(wide.select("rid", "key").distinct().groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= docs), "often")
-    rows = met.where(f"key & 3 <> {THIRD}").select("rid", "total", "i", "w", "key", "n").unionByName(wide.join(often, "key").select("rid", "total", "i", "w", "key", "n"))
-    out = stage(rows.groupBy("rid").agg(F.max("total").alias("total"), F.collect_set(F.struct("i", "w", "key", "n")).alias("found")), "keyed")
-    unstage(counts, met, wide, often)
+    lines = parsed.select("rid", "total", F.explode("lines").alias("x")).select("rid", "total", "x.*")
+    values = ("n", "s1", "s2", "s3", "s4", "t1", "t2", "t3")
+    kinds = stage(lines.where("first").groupBy("w").agg(F.count("*").alias("docs"), *[F.max(c).alias(c) for c in values]), "kinds")
+    wide = wide_templates(kinds, docs)
+    whole = kinds.where("docs > 1").selectExpr("w", f"w & ~3L | {LINE}L AS key", "docs AS n").join(wide, "w", "full")
+    known = stage(whole.selectExpr("w", "concat(CASE WHEN key IS NOT NULL THEN array(struct(key, n)) ELSE array() END, coalesce(found, array())) AS found"), "known")
+    # windows are counted once a text
+    windows = parsed.select("rid", F.explode(F.array_distinct(F.flatten(F.transform(F.filter("lines", lambda x: x["n"] >= WIDE), lambda x: F.array(x["a"], x["b"]))))).alias("window"))
+    shared = stage(windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1"), "windows")
+    seen = lines.where(f"n >= {WIDE}").select("rid", "total", "i", "w", F.explode(F.array("a", "b")).alias("window")).join(shared, "window")
+    rows = lines.select("rid", "total", "i", "w").join(known, "w").select("rid", "total", "i", "w", F.explode("found").alias("x")).select("rid", "total", "i", "w", "x.key", "x.n")
+    both = rows.unionByName(seen.selectExpr("rid", "total", "i", "w", f"window & ~3L | {WINDOWS}L AS key", "n"))
+    out = stage(both.groupBy("rid").agg(F.max("total").alias("total"), F.collect_set(F.struct("i", "w", "key", "n")).alias("found")), "keyed")
+    unstage(kinds, wide, known, shared)
     return out
 
 
