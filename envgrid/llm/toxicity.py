@@ -6,34 +6,41 @@ mark; runs of single letters are read as one word. Landmarks are words and parts
 apart, picked so that each covers texts that the others leave. A text's value for a landmark is log(1 + sum) of the kernel
 values of its distinct words, related to the landmark's own and sharpened by a power; the Nyström map (inverse root of
 the landmarks' kernel matrix) makes these values the coordinates of a linear support vector machine with squared hinge
-loss, and a logistic curve fitted to its margins gives the score. Training instances are the labelled texts and, of
-toxic ones, the sentences that hold a strong landmark, as they are and with a letter put into each such word.
-
-The fit takes at most FIT_ROWS labelled rows, in the order of a hash of the id, whatever the size of the corpus; it runs
-on the driver. Scoring reads each text in whole, row by row, and shuffles nothing. Words that lack most of a landmark's
-letter pairs (up to GAP letters apart) have no value for it; the other values are computed for all words of a slice at
-once. Null and empty texts get the score of a text without words; without both labels in the training rows all scores
-are the share of label 1. Repeated rows give repeated results; extra columns are ignored; the labels of an id that is
-given twice count once, by the largest.
+loss, and a logistic curve fitted to its margins gives the score. Words that hold all letters of a strong landmark in
+their order also have the value of a second kernel, whose decay SLACK hardly counts gaps, and the greater one holds: a
+letter or digit put into every gap of an insult changes little. Training instances are the labelled texts and, of toxic
+ones, the sentences that hold a strong landmark, as they are and with a letter put into each such word.
+
+The fit takes at most FIT_ROWS labelled rows and FIT_BYTES of text, in the order of a hash of the id, whatever the size of
+the corpus; it runs on the driver. Scoring reads each text in whole, row by row, and shuffles nothing. Values of a third
+or less (in the second kernel, CUT) count as none, so that a long text doesn't add up to an insult from many words that
+are a little like one; nor have words a value that lack most of a landmark's letter pairs (up to GAP letters apart).
+Measured on held-out rows, values without these limits make far more mistakes. Null and empty texts get the score of a
+text without words; without both labels in the training rows all scores are the share of label 1. Repeated rows give
+repeated results; texts and words of any length are read in whole (words in overlapping windows); extra columns are
+ignored; the labels of an id that is given twice count once, by the largest; an empty table gives an empty result; ties
+between landmarks go to the longer one, then by letters.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from envgrid.llm.common import map_texts, read
 
-FIT_ROWS = 4000
+FIT_ROWS, FIT_BYTES = 4000, 32 << 20
 LANDMARKS = 48
 ORDER, DECAY, POWER = 3, 0.8, 3
-LEAST = 0.3  # smaller values count as none
+SLACK = 0.97  # the decay for words with all letters of a strong landmark
+LEAST, CUT = 0.3, 0.4  # smaller values count as none
 GAP, PAIRS = 3, 0.8  # share of a landmark's letter pairs that a word has, up to GAP letters apart
 FRONT = "^"  # stands before each word
 SHORTEST, LONGEST = 4, 10  # characters of a landmark
@@ -43,7 +50,6 @@ KNOWN = 300_000
 
 LETTERS = re.compile(r"[^\W_]+")
 SENTENCE = re.compile(r"[.!?\n]+")
-WITNESSES = 3  # sentences taken from a text
 BLANK = re.compile(r"[^ \t-\r]+")
 
 def words_of(text: str) -> set[str]:
@@ -76,10 +82,10 @@ def padded(words: list[str]) -> np.ndarray:
     out[np.arange(WIDTH)[None, :] < n[:, None]] = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
     return out
 
-def kernel(s: np.ndarray, t: np.ndarray) -> np.ndarray:
+def kernel(s: np.ndarray, t: np.ndarray, decay: float = DECAY) -> np.ndarray:
     """Subsequence kernels of ORDER of the rows of s with those of t, both padded by 0 (in t by columns that may be cut)."""
     n, m = s.shape[1], t.shape[1]
-    d2 = DECAY * DECAY
+    d2 = decay * decay
     equal = (s[:, :, None] == t[:, None, :]) & (s[:, :, None] > 0)
     below = np.ones((len(s), n + 1, m + 1))
     for _ in range(ORDER - 1):
@@ -87,18 +93,19 @@ def kernel(s: np.ndarray, t: np.ndarray) -> np.ndarray:
         for a in range(1, n + 1):
             row = np.zeros((len(s), m + 1))
             for b in range(1, m + 1):
-                row[:, b] = DECAY * row[:, b - 1] + d2 * equal[:, a - 1, b - 1] * below[:, a - 1, b - 1]
-            now[:, a] = DECAY * now[:, a - 1] + row
+                row[:, b] = decay * row[:, b - 1] + d2 * equal[:, a - 1, b - 1] * below[:, a - 1, b - 1]
+            now[:, a] = decay * now[:, a - 1] + row
         below = now
     return d2 * (equal * below[:, :-1, :-1]).sum(axis=(1, 2))
 
 class Landmarks:
     """Kernel values of words with a few landmark words."""
 
-    def __init__(self, landmarks: list[str]):
-        self.names = landmarks
+    def __init__(self, landmarks: list[str], strong: list[bool]):
+        self.names, self.strong = landmarks, strong
         self.codes = padded(landmarks)[:, :LONGEST]
         self.own = kernel(self.codes, self.codes)
+        self.own_slack = kernel(self.codes, self.codes, SLACK)
         pairs = sorted({p for w in landmarks for p in zip(w, w[1:], strict=False)})
         letters = sorted({c for p in pairs for c in p})
         self.letter = {ord(c): i + 1 for i, c in enumerate(letters)}
@@ -137,25 +144,44 @@ class Landmarks:
                 have[x] |= np.bitwise_or.reduce(self.bits[x][code], axis=1)
         out: list[list[tuple[int, float]]] = [[] for _ in words]
         rows, marks = [], []
+        # places of letters: a word has a landmark's letters in order only if it has each neighbouring pair in order
+        first, last = np.full((len(words), self.size), WIDTH, np.int8), np.full((len(words), self.size), -1, np.int8)
+        row = np.arange(len(words))
+        for c in range(WIDTH):
+            last[row, small[:, c]] = c
+            first[row, small[:, WIDTH - 1 - c]] = WIDTH - 1 - c
+        slack_rows, slack_marks = [], []
         for k in range(len(self.names)):
             shared = sum(np.bitwise_count(have[x] & self.needs[k, x]).astype(np.int64) for x in range(self.limbs))
             hit = np.flatnonzero(shared >= self.least[k])
             rows.append(hit)
             marks.append(np.full(len(hit), k))
-        row, mark = np.concatenate(rows), np.concatenate(marks)
-        for at in range(0, len(row), 4096):
-            r, k = row[at : at + 4096], mark[at : at + 4096]
-            value = np.minimum(1.0, kernel(chars[r], self.codes[k]) / self.own[k]) ** POWER
-            for i, j, v in zip(r.tolist(), k.tolist(), value.tolist(), strict=True):
-                if v > LEAST:
-                    out[i].append((j, v))
+            if not self.strong[k]:
+                continue
+            whole = np.ones(len(words), bool)
+            for a, b in zip(self.names[k], self.names[k][1:], strict=False):
+                whole &= first[:, self.letter[ord(a)]] < last[:, self.letter[ord(b)]]
+            hit = np.flatnonzero(whole)
+            slack_rows.append(hit)
+            slack_marks.append(np.full(len(hit), k))
+        found: dict[tuple[int, int], float] = {}
+        for hits, of, decay, own in ((rows, marks, DECAY, self.own), (slack_rows, slack_marks, SLACK, self.own_slack)):
+            row, mark = np.concatenate([np.zeros(0, np.int64), *hits]), np.concatenate([np.zeros(0, np.int64), *of])
+            for at in range(0, len(row), 4096):
+                r, k = row[at : at + 4096], mark[at : at + 4096]
+                value = np.minimum(1.0, kernel(chars[r], self.codes[k], decay) / own[k]) ** POWER
+                for i, j, v in zip(r.tolist(), k.tolist(), value.tolist(), strict=True):
+                    if v > (LEAST if decay == DECAY else CUT):
+                        found[i, j] = max(v, found.get((i, j), 0.0))
+        for (i, j), v in found.items():
+            out[i].append((j, v))
         return [tuple(x) for x in out]
 
 class TextValues:
     """Values of texts: for each landmark the largest over the text's words. Keeps the values of frequent words."""
 
-    def __init__(self, landmarks: list[str]):
-        self.marks, self.known = Landmarks(landmarks), {}
+    def __init__(self, landmarks: list[str], strong: list[bool]):
+        self.marks, self.known = Landmarks(landmarks, strong), {}
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         sets = [words_of(t) for t in texts]
@@ -196,30 +222,44 @@ def pick_landmarks(texts: list[str], labels: list[int]) -> tuple[list[str], list
         for p in parts(w) & likely:
             against[p] += k
     score = {p: seen[p] / n_toxic * math.log((seen[p] + 0.5) / (n_toxic + 1) / ((against[p] + 0.5) / (n_clean + 1))) for p in likely}
-    best = sorted((p for p in likely if score[p] > 0 and against[p] * n_toxic < 0.2 * seen[p] * n_clean), key=lambda p: (-score[p], -len(p), p))[:4000]
-    member = set(best)
-    holds: dict[str, set[int]] = {p: set() for p in best}
+    best = {p for p in likely if score[p] > 0 and against[p] * n_toxic < 0.2 * seen[p] * n_clean}
+    holds: dict[str, list[int]] = {p: [] for p in best}
     for i, s in enumerate(toxic):
-        for p in set().union(*(parts(w) & member for w in s)) if s else ():
-            holds[p].add(i)
-    covered = np.zeros(max(1, n_toxic))
+        for p in set().union(*(parts(w) & best for w in s)) if s else ():
+            holds[p].append(i)
+    covered = np.zeros(max(1, n_toxic), np.int64)
+
+    def gain(p: str) -> float:
+        """What a further landmark adds: a text counts a quarter for each landmark that it has."""
+        return round(float((0.25 ** covered[holds[p]]).sum()) * score[p] / seen[p], 9)
+
+    # gains only fall, so the first whose gain is up to date is the greatest
+    queue = [(-gain(p), -len(p), p) for p in best]
+    heapq.heapify(queue)
     out: list[str] = []
-    while best and len(out) < LANDMARKS:
-        gain = {p: sum(0.25 ** covered[i] for i in holds[p]) * score[p] / seen[p] for p in best}
-        p = max(best, key=lambda p: (round(gain[p], 9), len(p), p))
-        if sum(0.25 ** covered[i] for i in holds[p]) < 1.5:
+    while queue and len(out) < LANDMARKS:
+        g, _, p = heapq.heappop(queue)
+        if any(p in q or q in p for q in out):
+            continue
+        if (now := gain(p)) < -g:
+            heapq.heappush(queue, (-now, -len(p), p))
+            continue
+        if (0.25 ** covered[holds[p]]).sum() < 1.5:
             break
         out.append(p)
-        for i in holds[p]:
-            covered[i] += 1
-        best = [q for q in best if q not in p and p not in q]
+        covered[holds[p]] += 1
     return out, [seen[p] * n_clean >= STRONG * max(1, against[p]) * n_toxic for p in out]
 
+def disguised(word: str) -> tuple[str, str, str]:
+    """The word with a letter in its middle, with one in every gap, and with a letter left out behind its middle."""
+    m = len(word) // 2
+    return word[:m] + "x" + word[m:], "x".join(word), word[:m] + word[m + 1 :]
+
 class Model:
     """Landmarks, the weights of their values, and the logistic curve over the margin."""
 
-    def __init__(self, landmarks: list[str], weights: np.ndarray, bias: float, share: float):
-        self.landmarks, self.weights, self.bias, self.share = landmarks, weights, bias, share
+    def __init__(self, landmarks: list[str], strong: list[bool], weights: np.ndarray, bias: float, share: float):
+        self.landmarks, self.strong, self.weights, self.bias, self.share = landmarks, strong, weights, bias, share
 
     def scores(self, values: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(values @ self.weights + self.bias, -30, 30)))
@@ -231,13 +271,13 @@ def fit_model(texts: list[str], labels: list[int]) -> Model:
     landmarks, strong = pick_landmarks(texts, labels) if 0 < share < 1 else ([], [])
     if not landmarks:
         p = min(max(share, 1e-6), 1 - 1e-6)
-        return Model([], np.zeros(0), math.log(p / (1 - p)), share)
-    of = TextValues(landmarks)
+        return Model([], [], np.zeros(0), math.log(p / (1 - p)), share)
+    of = TextValues(landmarks, strong)
     firm, more = np.array(strong), []
     for t, l in zip(texts, labels, strict=True):
         parts = SENTENCE.split(t) if l else []
         hits = [p for p, v in zip(parts, of(parts), strict=True) if (v[firm] > 0.5).any()] if parts else []
-        for p in hits[:WITNESSES]:
+        for p in hits:
             words = p.split()
             near = of(words)[:, firm].max(axis=1) > 0.5
             more += [p, " ".join(w[: len(w) // 2] + "x" + w[len(w) // 2 :] if c else w for w, c in zip(words, near, strict=True))]
@@ -270,17 +310,21 @@ def fit_model(texts: list[str], labels: list[int]) -> Model:
         a, b = a - step[0], b - step[1]
         if np.abs(step).max() < 1e-9:
             break
-    return Model(landmarks, a * (root @ w[:-1]), float(a * w[-1] + b), share)
+    return Model(landmarks, strong, a * (root @ w[:-1]), float(a * w[-1] + b), share)
 
 def held_out(id_col: str) -> F.Column:
     return F.crc32(F.col(id_col).cast("string")) % 5 == 0
 
-def training_rows(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", rows: int = FIT_ROWS) -> DataFrame:
-    """At most ``rows`` labelled (text, y) outside the held-out fifth; the ids are picked first, so the join's small side is bounded."""
+def training_rows(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", rows: int = FIT_ROWS, size: int = FIT_BYTES) -> DataFrame:
+    """At most ``rows`` labelled (text, y) of ``size`` bytes outside the held-out fifth; the ids are picked first, so the join's small side is bounded."""
     marked = labels.where(F.col(label).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).cast("int").alias("y"))
     some = marked.orderBy(F.xxhash64("_id"), "_id").limit(rows)
     texts = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-    return texts.join(F.broadcast(some), "_id").orderBy("_id", "text").limit(rows).select("text", "y")
+    # sizes of these few ids in their order, until the bytes are used up
+    sizes = texts.join(F.broadcast(some), "_id").groupBy("_id").agg(F.max("y").alias("y"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("n"))
+    upto = sizes.withColumn("upto", F.sum("n").over(Window.orderBy(F.xxhash64("_id"), "_id"))).where(F.col("upto") <= size).select("_id", "y")
+    return texts.join(F.broadcast(upto), "_id").orderBy("_id", "text").limit(rows).select("text", "y")
+
 
 def train(documents: DataFrame, labels: DataFrame, **names: str) -> Model:
     found = training_rows(documents, labels, **names).collect()
@@ -291,7 +335,7 @@ def score_texts(df: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)
     types = {f.name: f.dataType.simpleString() for f in df.schema}
 
     def make():
-        of = TextValues(model.landmarks) if model.landmarks else None
+        of = TextValues(model.landmarks, model.strong) if model.landmarks else None
 
         def run(texts: list) -> dict:
             values = of([t or "" for t in texts]) if of else np.zeros((len(texts), 0))

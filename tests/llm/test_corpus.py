@@ -2,6 +2,8 @@
 
 import collections
 import hashlib
+import itertools
+import math
 import random
 import re
 
@@ -354,7 +356,7 @@ def test_toxicity(labelled, empty):
     held = [i for i in truth if got[i]["h"]]
     assert np.mean([got[i]["predicted"] == truth[i] for i in held]) > 0.97 and len(held) > 100
     assert got[9000]["score"] == got[9001]["score"] < 0.5
-    of = toxicity.TextValues(model.landmarks)
+    of = toxicity.TextValues(model.landmarks, model.strong)
     s = lambda *t: model.scores(of(list(t)))
     near_, far = s("a grobxbler and snark-fist here w e t n o o d l e"), s("a gentle snack and noble here wet day")
     assert near_[0] > 0.5 > far[0]
@@ -363,16 +365,48 @@ def test_toxicity(labelled, empty):
     assert toxicity.train(docs, labels.where(F.lit(False))).landmarks == []
 
 
+def plain(s, t, decay=toxicity.DECAY):
+    total = 0.0
+    for a in itertools.combinations(range(len(s)), toxicity.ORDER):
+        for b in itertools.combinations(range(len(t)), toxicity.ORDER):
+            if all(s[i] == t[j] for i, j in zip(a, b, strict=True)):
+                total += decay ** (a[-1] - a[0] + 1 + b[-1] - b[0] + 1)
+    return total
+
+
+def test_values_map_and_score_by_hand(labelled):
+    """Values, Nyström map, margin and score of a few texts, from sums over subsequences."""
+    docs, labels, _ = labelled
+    model = toxicity.train(docs, labels)
+    marks, strong = model.landmarks, model.strong
+    assert any(strong)
+
+    def value(word, k):
+        best = 0.0
+        for decay, least in ((toxicity.DECAY, toxicity.LEAST), (toxicity.SLACK, toxicity.CUT)):
+            v = min(1.0, plain(word, marks[k], decay) / plain(marks[k], marks[k], decay)) ** toxicity.POWER
+            if decay == toxicity.DECAY:
+                near = {p for d in range(1, toxicity.GAP + 1) for p in zip(word, word[d:], strict=False)}
+                pairs = set(zip(marks[k], marks[k][1:], strict=False))
+                ok = len(pairs & near) >= max(1, math.ceil(toxicity.PAIRS * len(pairs)))
+            else:
+                ok = strong[k] and all(word.find(a) >= 0 and word.find(a) < word.rfind(b) for a, b in zip(marks[k], marks[k][1:], strict=False))
+            best = max(best, v) if ok and v > least else best
+        return best
+
+    texts = ["a grobbler", "g1r1o1b1b1l1e1r and snarkfist", "w e t n o o d l e", "sxnxaxrxkxfxixsxt", "nothing near", ""]
+    got = toxicity.TextValues(marks, strong)(texts)
+    for t, row in zip(texts, got, strict=True):
+        words = toxicity.words_of(t)
+        assert row.tolist() == pytest.approx([math.log1p(sum(value(w, k) for w in words)) for k in range(len(marks))])
+    root_free = toxicity.Landmarks(marks, strong).matrix
+    for i, j in itertools.product(range(len(marks)), repeat=2):
+        assert root_free[i, j] == pytest.approx((plain(marks[i], marks[j]) / math.sqrt(plain(marks[i], marks[i]) * plain(marks[j], marks[j]))) ** toxicity.POWER)
+    assert model.scores(got).tolist() == pytest.approx([1 / (1 + math.exp(-(sum(x * w for x, w in zip(row, model.weights, strict=True)) + model.bias))) for row in got])
+    assert (model.scores(got)[[1, 3]] > 0.5).all() and (model.scores(got)[4:] < 0.5).all()
+
+
 def test_kernel_against_a_sum():
-    from itertools import combinations
-
-    def plain(s, t):
-        total = 0.0
-        for a in combinations(range(len(s)), toxicity.ORDER):
-            for b in combinations(range(len(t)), toxicity.ORDER):
-                if all(s[i] == t[j] for i, j in zip(a, b, strict=True)):
-                    total += toxicity.DECAY ** (a[-1] - a[0] + 1 + b[-1] - b[0] + 1)
-        return total
 
     words = ["idiot", "idxiot", "tiodi", "aaaa", "ab", "radio"]
     codes = toxicity.padded(words)
