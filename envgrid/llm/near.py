@@ -10,14 +10,17 @@ Each class takes as its hub the bucket head most like it (of a similarity of HUB
 hubs lead to a root. A class is confirmed against its root alone, which gives the link and how its set differs from the
 root's: the root's shingles that it lacks, as bits, and its own ones. From these differences the exact similarity of two
 classes of one root follows without their texts. So the classes that are not linked with their root are held against all
-others of the root in blocks of BLOCK by BLOCK, as arrays in tasks; only links leave them. Pairs of a bucket with
-different roots are confirmed one by one. A link is lost only where no band finds it or its estimate is that far off (chances
-below 1e-5 each at similarity 0.75, less above), and a group of copies costs a row for each member and block. Components spread by joining each class with the
-least id near it until nothing changes, staged after each round.
+others of the root in blocks of BLOCK by BLOCK, as arrays in tasks; a spanning forest of a block's links leaves it.
+Members of a bucket with different roots are compared by signature in such blocks too, and what is near enough is
+confirmed one by one. A root's text goes once to each block of its members. So no task holds more than a block, however
+many documents hang together, and a group of copies costs a row for each member and block. A link is lost only where no
+band finds it or its estimate is that far off (chances below 1e-5 each at similarity 0.75, less above). Components spread
+by joining each class with the least id near it until nothing changes, staged after each round.
 
 Documents without words have an empty set and are linked with nothing; with fewer than five words the whole sequence is
 the one shingle. Null texts have no words. Ids are those of documents: a row that is given twice adds nothing but itself;
-ties go to the smallest id. Texts of any length are read in whole; extra columns are ignored.
+ties go to the smallest id. Texts of any length are read in whole; extra columns are ignored; an empty table gives an
+empty result. Sets are compared by 64-bit hashes of their shingles within a root, as strings between roots.
 """
 
 from __future__ import annotations
@@ -31,14 +34,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from envgrid.llm.common import map_texts, read, stage, unstage
+from envgrid.llm.common import map_texts, read, small_batches, stage, unstage
 
 WINDOW = 5
 PERCENT = 75
 BANDS, ROWS, BITS = 32, 4, 2
 MARGIN = 0.2
 HUB = 0.4
-BLOCK = 4096
+BLOCK = 512
 SEED = 20240601
 WORD = re.compile(r"[^ \t-\r]+")
 UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -162,30 +165,45 @@ def hashed(text: str) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, s), np.uint64, len(s)))
 
 
+def dealt(*group: str) -> F.Column:
+    """A row's block of its group of ``size`` rows, in blocks of about BLOCK."""
+    return F.pmod(F.xxhash64("rep", *group), F.ceil(F.col("size") / BLOCK)).cast("int")
+
+
 def differences(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(rep, root, n, m, linked, lacks, own) of (rep, root): sizes of the two sets, whether they are similar enough, the root's shingles that rep lacks (bits), rep's own (hashes)."""
-    both = pairs.join(texts, "rep").join(texts.select(F.col("rep").alias("root"), F.col("text").alias("of")), "root")
+    """(rep, root, n, m, linked, lacks, own) of staged (rep, root): sizes of the two sets, whether they are similar enough, the root's shingles that rep lacks (bits), rep's own (hashes)."""
+    sizes = stage(pairs.groupBy("root").agg(F.count("*").alias("size")), "sizes")
+    members = pairs.join(sizes, "root").select("rep", "root", dealt("root").alias("block")).join(texts, "rep").select("root", "block", F.lit(1).alias("side"), "rep", "text")
+    heads = sizes.select(F.col("root").alias("rep"), F.explode(F.sequence(F.lit(0), (F.ceil(F.col("size") / BLOCK) - 1).cast("int"))).alias("block")).join(texts, "rep").select(F.col("rep").alias("root"), "block", F.lit(0).alias("side"), "rep", "text")
+    small_batches(pairs.sparkSession)
 
     def run(batches):
         last, hub = None, np.zeros(0, np.uint64)
         for batch in batches:
-            n, m, ok, lacks, own = [], [], [], [], []
-            for r, x, y in zip(batch.column("root"), batch.column("text"), batch.column("of"), strict=True):
-                if r != last:
-                    last, hub = r, hashed(y.as_py())
-                mine = hashed(x.as_py())
+            rep, root, n, m, ok, lacks, own = [], [], [], [], [], [], []
+            for r, block, side, x, t in zip(*(batch.column(c) for c in ("root", "block", "side", "rep", "text")), strict=True):
+                if not side.as_py():
+                    last, hub = (r, block), hashed(t.as_py())
+                    continue
+                if last != (r, block):
+                    raise ValueError("a block without its root")
+                mine = hashed(t.as_py())
                 out = ~np.isin(hub, mine, assume_unique=True)
                 shared = len(hub) - int(out.sum())
+                rep.append(x.as_py())
+                root.append(r.as_py())
                 n.append(len(mine))
                 m.append(len(hub))
                 ok.append(100 * shared >= PERCENT * (len(mine) + len(hub) - shared))
                 bits = np.packbits(out)
                 lacks.append(bits.tobytes() + b"\0" * (-len(bits) % 8))
                 own.append(mine[~np.isin(mine, hub, assume_unique=True)].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("root"), pa.array(n, pa.int32()), pa.array(m, pa.int32()), pa.array(ok, pa.bool_()), pa.array(lacks, pa.binary()), pa.array(own, pa.list_(pa.int64()))], names=["rep", "root", "n", "m", "linked", "lacks", "own"])
+            kind = batch.schema.field("rep").type
+            yield pa.RecordBatch.from_arrays([pa.array(rep, kind), pa.array(root, kind), pa.array(n, pa.int32()), pa.array(m, pa.int32()), pa.array(ok, pa.bool_()), pa.array(lacks, pa.binary()), pa.array(own, pa.list_(pa.int64()))], names=["rep", "root", "n", "m", "linked", "lacks", "own"])
 
     kind = pairs.schema["rep"].dataType.simpleString()
-    return both.sortWithinPartitions("root").select("rep", "root", "text", "of").mapInArrow(run, f"rep {kind}, root {kind}, n int, m int, linked boolean, lacks binary, own array<long>")
+    both = members.unionByName(heads).repartition("root", "block").sortWithinPartitions("root", "block", "side")
+    return both.mapInArrow(run, f"rep {kind}, root {kind}, n int, m int, linked boolean, lacks binary, own array<long>")
 
 
 def links_by_difference(xs: list[dict], ys: list[dict]) -> list[tuple]:
@@ -211,6 +229,24 @@ def links_by_difference(xs: list[dict], ys: list[dict]) -> list[tuple]:
     return out
 
 
+def forest(links: list[tuple]) -> list[tuple]:
+    """Links enough to hold together what the given ones do."""
+    parent: dict = {}
+
+    def top(a):
+        while parent.setdefault(a, a) != a:
+            parent[a] = a = parent[parent[a]]
+        return a
+
+    out = []
+    for a, b in links:
+        x, y = top(a), top(b)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append((max(a, b), min(a, b)))
+    return out
+
+
 def links_within_roots(told: DataFrame) -> DataFrame:
     """(a, b): links between classes of one root of which one at least is not linked with it; told is differences()."""
     kind = told.schema["rep"].dataType.simpleString()
@@ -225,8 +261,8 @@ def links_within_roots(told: DataFrame) -> DataFrame:
         key, xs, ys = None, [], []
 
         def solved():
-            found = links_by_difference(xs, ys) if xs and ys else []
-            return pa.RecordBatch.from_pydict({"a": [max(p) for p in found], "b": [min(p) for p in found]}, schema=schema)
+            found = forest(links_by_difference(xs, ys))
+            return pa.RecordBatch.from_pydict({"a": [p[0] for p in found], "b": [p[1] for p in found]}, schema=schema)
 
         schema = None
         for batch in batches:
@@ -244,6 +280,49 @@ def links_within_roots(told: DataFrame) -> DataFrame:
     return both.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "side", "rep").mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
+def near_by_estimate(bucketed: DataFrame) -> DataFrame:
+    """(a, b): members of a bucket with different roots whose estimate is not far below the threshold; bucketed is a staged (band, key, rep, low, root)."""
+    kind = bucketed.schema["rep"].dataType.simpleString()
+    sizes = stage(bucketed.groupBy("band", "key").agg(F.count("*").alias("size")), "sizes")
+    rows = bucketed.join(sizes, ["band", "key"]).withColumn("mine", dealt("band", "key")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    # a block meets itself and each other one once: i is the smaller of the two
+    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).alias("side"), "rep", "root", "low")
+    least = PERCENT / 100 - MARGIN
+    words, values = BANDS * ROWS * BITS // 64, BANDS * ROWS
+
+    def pairs(held: list[tuple]) -> list[tuple]:
+        side, rep, root = (np.array([h[k] for h in held]) for k in range(3))
+        low = np.array([h[3] for h in held], np.int64).view(np.uint64).reshape(len(held), words)
+        out = []
+        for k in range(len(held)):
+            other = np.flatnonzero((root != root[k]) & ((side & (not side[k])) if side.any() else (np.arange(len(held)) > k)))
+            if side[k] or not len(other):
+                continue
+            x = low[other] ^ low[k]
+            differ = np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(axis=1).astype(np.int64) if BITS == 2 else np.bitwise_count(x).sum(axis=1).astype(np.int64)
+            likely = ((values - differ) / values - 2.0**-BITS) / (1 - 2.0**-BITS)
+            for o in other[likely >= least].tolist():
+                out.append((held[k][1], held[o][1]) if held[k][2] < held[o][2] else (held[o][1], held[k][1]))
+        return out
+
+    def run(batches):
+        key, held = None, []
+        for batch in batches:
+            schema = pa.schema([("a", batch.schema.field("rep").type), ("b", batch.schema.field("rep").type)])
+            found = []
+            for *k, side, rep, root, low in zip(*(batch.column(c).to_pylist() for c in ("band", "key", "i", "j", "side", "rep", "root", "low")), strict=True):
+                if k != key:
+                    found += pairs(held) if held else []
+                    key, held = k, []
+                held.append((side, rep, root, low))
+            yield pa.RecordBatch.from_pydict({"a": [p[0] for p in found], "b": [p[1] for p in found]}, schema=schema)
+        if held:
+            found = pairs(held)
+            yield pa.RecordBatch.from_pydict({"a": [p[0] for p in found], "b": [p[1] for p in found]}, schema=schema)
+
+    return met.repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j").mapInArrow(run, f"a {kind}, b {kind}").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least id reachable, for each node that an edge (a, b) has."""
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("near")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("near")))
@@ -282,9 +361,7 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = shared.select("band", "key", "rep", "low").join(hubs, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     apart = named.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band", "key")
     rest = stage(named.join(apart, ["band", "key"]), "apart")
-    one = rest.select("band", "key", F.col("rep").alias("a"), F.col("low").alias("la"), F.col("root").alias("ra"))
-    two = rest.select("band", "key", F.col("rep").alias("b"), F.col("low").alias("lb"), F.col("root").alias("rb"))
-    pairs = one.join(two, ["band", "key"]).where("ra < rb").where(similarity_estimate("la", "lb") >= PERCENT / 100 - MARGIN).select("a", "b").distinct()
+    pairs = near_by_estimate(rest)
     third = confirm(stage(pairs, "pairs"), texts)
     final = components(stage(first.unionByName(second).unionByName(third), "links"))
     named = reps.select("set_key", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))

@@ -45,6 +45,25 @@ def test_near_copies(documents, empty, corpus):
     assert len(set(want)) < len(corpus) - 10 and near.near_components(empty).count() == 0
 
 
+def test_near_copies_in_small_blocks(spark, words, monkeypatch):
+    """A large group of near copies around one text, and texts of shared parts, with blocks of 3, against brute force."""
+    monkeypatch.setattr(near, "BLOCK", 3)
+    r = random.Random(31)
+    base, part, texts = [r.choice(words) for _ in range(60)], [r.choice(words) for _ in range(40)], []
+    for k in range(70):
+        w = list(base) if k % 3 else part + [r.choice(words) for _ in range(r.randrange(4, 40))]
+        for _ in range(r.randrange(4)):
+            w[r.randrange(len(w))] = r.choice(words)
+        texts.append(" ".join(w))
+    texts += [texts[0], None, "", texts[1]]
+    want = components([frozenset(near.shingles(t)) for t in texts])
+    got = rows(near.near_components(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)))
+    assert [got[i]["component_id"] for i in range(len(texts))] == want and len(set(want)) < 60
+    links = [(r.randrange(30), r.randrange(30)) for _ in range(40)]
+    held = near.forest(links)
+    assert len(held) < 30 and near.forest(held) == held and set(held) <= {(max(p), min(p)) for p in links}
+
+
 def test_differences_give_exact_links(words):
     r = random.Random(3)
     base = words[:200]
