@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last return the columns of documents. run()
 writes each stage as Parquet to the shared folder and reads it again as the next one's docs.
+
+Null and empty texts stay as they are up to the packing, which places them as empty items. Texts of any length are taken
+in whole. Ties between copies go to the least id; rows that repeat an id and its text are copies of each other, of which
+one stays. Extra columns keep their values, whatever their names, up to the packing. An empty table gives empty stages.
 """
 
 from __future__ import annotations
@@ -38,8 +42,13 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of each group of near copies."""
-    kept = near.near_components(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_id"], "left_semi")
+    kept = stage(near.near_components(docs).where("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n")), "kept")
+    of = docs["doc_id"] == kept["_id"]
+    again = kept.where("n > 1")
+    if again.isEmpty():
+        return docs.join(kept, of, "left_semi")
+    # ids that several rows have: of rows with the same text one stays
+    return docs.join(kept.where("n = 1"), of, "left_semi").unionByName(docs.join(again, of, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
