@@ -434,6 +434,29 @@ def test_kernel_against_a_sum():
             assert toxicity.kernel(codes[i : i + 1], codes[j : j + 1])[0] == pytest.approx(plain(words[i], words[j]))
 
 
+def test_pipeline_edges(spark, labelled, empty, words, tmp_path):
+    """Repeated rows, null and empty texts, a long text, clashing names, and an empty table."""
+    docs, labels, _ = labelled
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    r = random.Random(14)
+    line = lambda n: " ".join(r.choice(words) for _ in range(n))
+    made = [(i, line(30), 1, 2, 3, 4, 5) for i in range(12)] + [(20, None, 1, 2, 3, 4, 5), (21, "", 1, 2, 3, 4, 5), (22, line(9000), 1, 2, 3, 4, 5)]
+    df = spark.createDataFrame([*made, made[0], made[0], (3, line(25), 1, 2, 3, 4, 5)], "doc_id bigint, text string, n_chars int, n_lines int, n_bytes int, __gone int, __rid int")
+    model = [*corpus_pipeline.STAGES]
+    for table, n in ((df, 16), (df.limit(0), 0)):
+        d = table
+        for k, (name, step) in enumerate(model):
+            out = step(spark, d, str(tmp_path)) if k else d  # the labels of other texts say nothing here
+            out.write.parquet(str(tmp_path / f"{n}-{name}"))
+            d = spark.read.parquet(str(tmp_path / f"{n}-{name}"))
+            if name != "best_fit_packing":
+                assert d.columns == df.columns and all((x["n_lines"], x["n_bytes"], x["__gone"], x["__rid"]) == (2, 3, 4, 5) for x in d.collect())
+            if name == "minhash_near_dedup":
+                assert d.count() == n and sorted(x["doc_id"] for x in d.collect()) == ([*range(4), 3, *range(4, 12), 20, 21, 22] if n else [])
+        assert sorted({i for x in d.collect() for i in x["doc_ids"]}) == ([*range(12), 20, 21, 22] if n else [])
+    assert corpus_pipeline.drop_toxic(spark, df.limit(0), str(tmp_path)).count() == 0
+
+
 def test_pipeline(spark, labelled, words, tmp_path):
     docs, labels, truth = labelled
     r = random.Random(4)

@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import re
 import struct
+import time
 import zlib
 
 import public_tokenizers
@@ -85,6 +86,14 @@ def test_sniffing_and_carving():
         assert media.sniff(b[:-3], scan) == [] or kind == "image/bmp" and media.sniff(b[:-3], scan) == []
     both = media.wav_bytes(b"__" + png + b"_" + gif)
     assert [k for k, _, _ in media.sniff(both, scan)] == ["audio/wav", "image/png", "image/gif"]
+    pdf = b"%PDF-1.4 x startxref 9 %%EOF"
+    assert media.sniff(b"a" + pdf + b"b", scan) == [("application/pdf", 1, len(pdf))] and media.sniff(b"%PDF-1 %%EOF startxref %%EOF", scan) == []
+    big = gzip.compress(bytes(range(256)) * 40_000, 0)
+    assert media.sniff(b"-" + big + b"tail", scan) == [("application/gzip", 1, len(big))] and media.sniff(big[:-9], scan) == []
+    for hits in (b"%PDF-" * 200_000, b"GIF89a" * 50_000, (b"GIF89a" + b"\0" * 7 + b"!\0\1\0") * 30_000, b"\xff\xd8\xff\xe0\0\2" * 50_000, b"BM" * 200_000):  # many hits that lead nowhere
+        began = time.time()
+        assert media.sniff(hits, scan) == [] and time.time() - began < 5
+    assert media.sample_features(b"\x80\x80\x7f\x81") == (0, 0.7071, 2) and media.sample_features(b"") == (0, 0.0, 0)
     assert media.sniff(b"", scan) == [] and media.wav_chunks(b"RIFF") is None
 
 
@@ -127,6 +136,15 @@ def test_quality_estimate_against_a_loop(spark):
     assert prior == pytest.approx(p) and w == pytest.approx(weights)
 
 
+def test_media_of_many_types(spark):
+    """Declared types are corrected where the bytes say otherwise, by row."""
+    pdf, zipped, wav = b"%PDF-1.4 x startxref 9 %%EOF", gzip.compress(b"hello"), media.wav_bytes(b"\x80" * 64)
+    cases = [("application/pdf", pdf, "application/pdf", False), ("text/plain", pdf, "application/pdf", True), ("audio/wav", zipped, "application/gzip", True), ("audio/wav", wav, "audio/wav", False), ("text/plain", b"plain", None, False), (None, zipped, "application/gzip", False), ("x", None, None, False)]
+    df = spark.createDataFrame([(i, (d, b)) for i, (d, b, _, _) in enumerate(cases)] + [(7, None)], "doc_id int, media struct<declared:string,bytes:binary>")
+    got = rows(media.sniff_media(df, ("doc_id",)))
+    assert [(got[i]["detected"], got[i]["corrected"]) for i in range(7)] == [(k, c) for _, _, k, c in cases] and got[7]["media_bytes"] == 0
+
+
 PAGE = """<html><body class="x"><header><a href=1>Home</a> Site</header><div id="cookie-notice">We use cookies and the of to a in is for the user.</div><main><article><header><h1>T &amp; x</h1>
 <div>By Bob</div></header><p>One<b>two</b>  three<p>The end of it.<div class="share">Share</div><ul><li>the first</li><li class="ad">buy</li><li>second</li></ul><form>name</form></article>
 <section id="comments"><p>nice</p></section></main><aside>side</aside><script>var t="</p>";</script><footer>&copy; 1</footer>"""
