@@ -1,4 +1,4 @@
-"""Projections and ring functions as columns; polygon clipping in Arrow batches.
+"""Projections and ring functions as columns; exact areas and centres of cells as arrays.
 
 A polygon is array<array<struct<x,y>>>, each ring closed. Outer rings run clockwise, holes counter-clockwise.
 """
@@ -8,7 +8,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -132,39 +131,79 @@ def wkt_rings(wkt: str) -> Column:
     )
 
 
-def _clip(ring: np.ndarray, x0: float, y0: float, x1: float, y1: float) -> float:
-    """Area with sign of a ring within a box; each box edge cuts in turn."""
-    p = ring
-    for axis, bound, keep in ((0, x0, 1), (0, x1, -1), (1, y0, 1), (1, y1, -1)):
-        if not len(p):
-            return 0.0
-        q = np.roll(p, -1, axis=0)
-        a, b = keep * (p[:, axis] - bound), keep * (q[:, axis] - bound)
-        out = []
-        for s, t, u, v in zip(p, q, a, b, strict=True):
-            if u >= 0:
-                out.append(s)
-            if (u > 0 > v) or (u < 0 < v):
-                out.append(s + (t - s) * (u / (u - v)))
-        p = np.array(out).reshape(-1, 2)
-    if len(p) < 3:
-        return 0.0
-    x, y = p[:, 0], p[:, 1]
-    return float((x * np.roll(y, -1) - np.roll(x, -1) * y).sum() / 2)
-
-
-def _overlaps(rings: pd.Series, x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
-    """Area of a polygon within a box; holes are clipped on their own and taken off."""
+def meets_box(rings: str, x0: str, y0: str, x1: str, y1: str) -> Column:
+    """A polygon and a box share area: an edge runs through the box, or none does and the box's middle is inside."""
+    def span(c: str, lo: str, hi: str) -> tuple[str, str]:
+        """Least and greatest place along p to q, from 0 to 1, between two limits of an axis."""
+        d = f"(q.{c} - p.{c})"
+        at = [f"(({b}) - p.{c}) / {d}" for b in (lo, hi)]
+        flat = f"p.{c} > {lo} AND p.{c} < {hi}"
+        return f"if({d} = 0D, if({flat}, 0D, 1D), least({at[0]}, {at[1]}))", f"if({d} = 0D, if({flat}, 1D, 0D), greatest({at[0]}, {at[1]}))"
+
+    (a, b), (c, d) = span("x", x0, x1), span("y", y0, y1)
+    through = f"exists({rings}, r -> exists(zip_with(slice(r, 1, size(r) - 1), slice(r, 2, size(r) - 1), (p, q) -> greatest(0D, {a}, {c}) < least(1D, {b}, {d})), t -> t))"
+    return F.expr(through) | contains_point(rings, f"(({x0}) + ({x1})) / 2", f"(({y0}) + ({y1})) / 2")
+
+
+def edges(rings: list) -> np.ndarray:
+    """(xa, ya, xb, yb) of all ring segments of a polygon given as lists of {x, y}."""
     out = []
-    for polygon, *box in zip(rings, x0, y0, x1, y1, strict=True):
-        total = 0.0
-        for r in polygon if polygon is not None else ():
-            ring = np.array([(p["x"], p["y"]) for p in r], float)
-            total -= _clip(ring[:-1] if len(ring) > 1 and (ring[0] == ring[-1]).all() else ring, *box)
-        out.append(abs(total))
-    return pd.Series(out, dtype=float)
-
-
-def overlap_area(rings: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    """Area of a polygon within a box, in Arrow batches."""
-    return F.pandas_udf(_overlaps, "double")(rings, x0, y0, x1, y1)
+    for r in rings or ():
+        p = np.array([(v["x"], v["y"]) for v in r], float).reshape(-1, 2)
+        if len(p) > 1:
+            out.append(np.c_[p[:-1], p[1:]])
+    return np.concatenate(out) if out else np.zeros((0, 4))
+
+
+def cut_by_lines(e: np.ndarray, axis: int) -> np.ndarray:
+    """Segments cut at every whole number of an axis that they cross."""
+    lo, hi = np.minimum(e[:, axis], e[:, axis + 2]), np.maximum(e[:, axis], e[:, axis + 2])
+    first, last = np.floor(lo) + 1, np.ceil(hi) - 1  # lines strictly between the ends
+    n = np.maximum(0, last - first + 1).astype(np.int64)
+    own = np.repeat(np.arange(len(e)), n + 1)
+    k = np.arange(len(own)) - np.repeat(np.cumsum(n + 1) - (n + 1), n + 1)
+    up = e[own, axis + 2] >= e[own, axis]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        def at(j):  # the place along the segment of its j-th line
+            line = np.where(up, first[own] + j - 1, last[own] - j + 1)
+            return np.where(j <= 0, 0.0, np.where(j > n[own], 1.0, (line - e[own, axis]) / (e[own, axis + 2] - e[own, axis])))
+
+        a, b = at(k), at(k + 1)
+    d = e[own, 2:] - e[own, :2]
+    out = np.c_[e[own, :2] + a[:, None] * d, e[own, :2] + b[:, None] * d]
+    out[k == 0, :2] = e[own[k == 0], :2]
+    out[k == n[own], 2:] = e[own[k == n[own]], 2:]
+    return out
+
+
+def strip_areas(e: np.ndarray, top: int, rows: int, cols: int) -> np.ndarray:
+    """(rows, cols) areas of a polygon within the unit cells of a strip that begins at row top, from its segments in cell units (x right, y down).
+
+    Each piece of an edge adds the area between itself and the right side of its cell, and its height to all cells behind.
+    """
+    low, high = float(top), float(top + rows)
+    e = e[(np.minimum(e[:, 1], e[:, 3]) < high) & (np.maximum(e[:, 1], e[:, 3]) > low)]
+    e = cut_by_lines(cut_by_lines(e, 1), 0)
+    middle = (e[:, :2] + e[:, 2:]) / 2
+    r, c = np.floor(middle[:, 1]).astype(np.int64) - top, np.floor(middle[:, 0]).astype(np.int64)
+    here = (r >= 0) & (r < rows) & (c < cols)
+    r, c, dy, x = r[here], c[here], (e[:, 3] - e[:, 1])[here], middle[here, 0]
+    before = c < 0  # left of the frame: the whole row is behind
+    own, behind = np.zeros((rows, cols)), np.zeros((rows, cols + 1))
+    np.add.at(own, (r[~before], c[~before]), dy[~before] * (c[~before] + 1 - x[~before]))
+    np.add.at(behind, (r, np.where(before, 0, c + 1)), dy)
+    return np.abs(own + np.cumsum(behind, axis=1)[:, :cols])
+
+
+def strip_centres(e: np.ndarray, top: int, rows: int, cols: int) -> np.ndarray:
+    """(rows, cols) whether the centres of a strip's unit cells are inside, by the even-odd rule over all rings."""
+    flips = np.zeros((rows, cols + 1), np.int64)
+    lo, hi = np.minimum(e[:, 1], e[:, 3]), np.maximum(e[:, 1], e[:, 3])
+    first = np.maximum(np.ceil(lo - 0.5), top).astype(np.int64)  # centres y with lo <= y < hi
+    last = np.minimum(np.ceil(hi - 0.5) - 1, top + rows - 1).astype(np.int64)
+    n = np.maximum(0, last - first + 1)
+    own = np.repeat(np.arange(len(e)), n)
+    r = np.repeat(first, n) + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+    x = e[own, 0] + (e[own, 2] - e[own, 0]) * (r + 0.5 - e[own, 1]) / (e[own, 3] - e[own, 1])
+    np.add.at(flips, (r - top, np.clip(np.ceil(x - 0.5), 0, cols).astype(np.int64)), 1)
+    return np.cumsum(flips, axis=1)[:, :cols] % 2 == 1

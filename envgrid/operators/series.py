@@ -54,6 +54,12 @@ def basin_period(series: DataFrame, first: Column | str, last: Column | str) ->
     )
 
 
+def totals_by_kind(series: DataFrame, water: str, day: str = "report_date") -> DataFrame:
+    """(report_date, land, water): volumes in millions of cubic metres by date."""
+    part = lambda hit: F.sum(F.when(hit, F.col("volume_m3"))) / 1e6
+    return series.groupBy(day).agg(part(~F.col(water)).alias("land"), part(F.col(water)).alias("water"))
+
+
 def default_period(series: DataFrame, days: int = 365) -> DataFrame:
     """First and last date, numbers of polygons and dates, and the default first date: the last ``days`` dates, not before the record."""
     return series.agg(F.min("report_date").alias("first"), F.max("report_date").alias("last"), F.countDistinct("basin_id").alias("n_basins"), F.countDistinct("report_date").alias("n_dates")).withColumn("default_first", F.greatest(F.date_sub("last", days - 1), F.col("first")))

@@ -1,49 +1,155 @@
-"""Polygons against cells: burning, area weights, polygon means with completeness, statistics around sites."""
+"""Polygons against cells: burning, area weights, polygon means with completeness, statistics around sites.
+
+A polygon's cells are found strip by strip: its rings go once to each strip of STRIP rows that it reaches, and a strip's
+cells come back from arrays. What is joined afterwards are cells, never rings.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from envgrid.functions import geo
 from envgrid.operators.grid import GridSpec, latest_wins
+from envgrid.sources.stages import stage, unstage
+
+STRIP = 256
+#: Smaller shares of a cell are rounding, not area.
+LEAST_SHARE = 1e-9
 
 
-def candidate_cells(polygons: DataFrame, grid: GridSpec, rings: str = "rings") -> DataFrame:
-    """Each polygon with the cells of its bounding box: cells are listed from the box, not joined by distance."""
+def strips(polygons: DataFrame, grid: GridSpec, rings: str = "rings") -> DataFrame:
+    """Each polygon with the strips of rows that its bounding box reaches within the grid: columns strip (first row), c0 and c1."""
     box = polygons.withColumn("_b", geo.bounds(rings))
-    r0, r1 = grid.row(F.col("_b.y1")), grid.row(F.col("_b.y0"))
-    c0, c1 = grid.col(F.col("_b.x0")), grid.col(F.col("_b.x1"))
-    rows = F.sequence(F.greatest(r0, F.lit(0)), F.least(r1, F.lit(grid.ny - 1)))
-    cols = F.sequence(F.greatest(c0, F.lit(0)), F.least(c1, F.lit(grid.nx - 1)))
+    r0, r1, c0, c1 = grid.row(F.col("_b.y1")), grid.row(F.col("_b.y0")), grid.col(F.col("_b.x0")), grid.col(F.col("_b.x1"))
     seen = (r1 >= 0) & (r0 <= grid.ny - 1) & (c1 >= 0) & (c0 <= grid.nx - 1)
-    return box.where(seen).withColumn("row", F.explode(rows)).withColumn("col", F.explode(cols)).drop("_b")
+    first, last = F.greatest(r0, F.lit(0)), F.least(r1, F.lit(grid.ny - 1))
+    return box.where(seen).withColumn("strip", F.explode(F.sequence(first, last, F.lit(STRIP)))).withColumn("_n", F.least(F.lit(STRIP), last - F.col("strip") + 1)).withColumn("c0", F.greatest(c0, F.lit(0))).withColumn("c1", F.least(c1, F.lit(grid.nx - 1))).drop("_b")
+
+
+def strip_cells(polygons: DataFrame, grid: GridSpec, keep: Sequence[str], cells: Callable[[np.ndarray, int, int, int], np.ndarray], rings: str = "rings") -> DataFrame:
+    """(keep, row, col, value) of the cells of each polygon for which cells(edges, first row, rows, columns) is above 0."""
+    rows = strips(polygons, grid, rings).select(*keep, F.col(rings).alias("_rings"), "strip", "_n", "c0", "c1")
+    types = dict(rows.dtypes)
+
+    def run(batches):
+        for batch in batches:
+            for k, (shape, top, n, c0, c1) in enumerate(zip(*(batch.column(c) for c in ("_rings", "strip", "_n", "c0", "c1")), strict=True)):
+                top, n, c0, c1 = (v.as_py() for v in (top, n, c0, c1))
+                e = geo.edges(shape.as_py())
+                e = np.c_[(e[:, 0] - grid.x0) / grid.res - c0, (grid.y1 - e[:, 1]) / grid.res, (e[:, 2] - grid.x0) / grid.res - c0, (grid.y1 - e[:, 3]) / grid.res]
+                found = cells(e, top, n, c1 - c0 + 1)
+                r, c = np.nonzero(found > 0)
+                take = pa.array(np.full(len(r), k))
+                yield pa.RecordBatch.from_arrays([*(batch.column(x).take(take) for x in keep), pa.array((r + top).astype(np.int32)), pa.array((c + c0).astype(np.int32)), pa.array(found[r, c].astype(float))], names=[*keep, "row", "col", "value"])
+
+    return rows.mapInArrow(run, "".join(f"`{c}` {types[c]}, " for c in keep) + "row int, col int, value double")
+
+
+def centre_cells(polygons: DataFrame, grid: GridSpec, keep: Sequence[str], rings: str = "rings") -> DataFrame:
+    """(keep, row, col) of the cells whose centre lies in a polygon."""
+    return strip_cells(polygons, grid, keep, geo.strip_centres, rings).drop("value")
 
 
 def burn(polygons: DataFrame, grid: GridSpec, value: str, order: str, rings: str = "rings") -> DataFrame:
     """(row, col, value) of the cells whose centre lies in a polygon; of overlapping ones the last in order."""
-    cells = candidate_cells(polygons, grid, rings).withColumn("_x", grid.x(F.col("col"))).withColumn("_y", grid.y(F.col("row")))
-    hit = cells.where(geo.contains_point(rings, "_x", "_y")).select("row", "col", F.col(value).alias("value"), order)
-    return latest_wins(hit, order)
+    both = polygons.select(F.col(value).alias("_value"), F.col(order).alias("_order"), rings)
+    return latest_wins(centre_cells(both, grid, ["_value", "_order"], rings).withColumnRenamed("_value", "value"), "_order")
 
 
 def inside_any(cells: DataFrame, polygons: DataFrame, grid: GridSpec, rings: str = "rings") -> DataFrame:
     """The cells whose centre lies in at least one polygon: a union of polygons without merging their outlines."""
-    return cells.join(burn(polygons.withColumn("_v", F.lit(1)), grid, "_v", "_v", rings).select("row", "col"), ["row", "col"], "left_semi")
+    return cells.join(dissolved(polygons, grid, rings), ["row", "col"], "left_semi")
+
+
+def dissolved(polygons: DataFrame, grid: GridSpec, rings: str = "rings") -> DataFrame:
+    """(row, col) of one region made of many polygons."""
+    return centre_cells(polygons.select(rings), grid, [], rings).distinct()
 
 
 def cell_weights(polygons: DataFrame, grid: GridSpec, key: str, rings: str = "rings") -> DataFrame:
     """(key, row, col, area, poly_area): the area of each polygon within each cell, above 0."""
-    c = candidate_cells(polygons, grid, rings)
-    x0, y1 = grid.x0 + F.col("col") * grid.res, grid.y1 - F.col("row") * grid.res
-    return c.select(key, "row", "col", geo.overlap_area(F.col(rings), x0, y1 - grid.res, x0 + grid.res, y1).alias("area"), F.abs(geo.polygon_area(rings)).alias("poly_area")).where("area > 0")
+    sized = polygons.select(key, rings, F.abs(geo.polygon_area(rings)).alias("poly_area"))
+
+    def areas(e: np.ndarray, top: int, rows: int, cols: int) -> np.ndarray:
+        a = geo.strip_areas(e, top, rows, cols)
+        return np.where(a > LEAST_SHARE, a, 0.0)
 
+    return strip_cells(sized, grid, [key, "poly_area"], areas, rings).select(key, "row", "col", (F.col("value") * grid.res**2).alias("area"), "poly_area")
 
-def intersects_box(rings: str, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    """A polygon and a box share area."""
-    return geo.overlap_area(F.col(rings), x0, y0, x1, y1) > 0
+
+def points_inside(points: DataFrame, polygons: DataFrame, grid: GridSpec, key: str, rings: str = "rings", x: str = "x", y: str = "y") -> DataFrame:
+    """points with the key of each polygon that they lie in (null if in none).
+
+    Points meet polygons by their cell. In cells that a polygon covers in whole the answer is known; only points in cells
+    of its boundary are held against its rings, which join by the polygon's key.
+    """
+    covered = cell_weights(polygons, grid, key, rings).select("row", "col", key, (F.col("area") >= grid.res**2 * (1 - LEAST_SHARE)).alias("_whole"))
+    at = points.withColumn("row", grid.row(F.col(y))).withColumn("col", grid.col(F.col(x)))
+    met = at.join(covered, ["row", "col"])
+    edge = met.where(~F.col("_whole")).join(polygons.select(key, rings), key).where(geo.contains_point(rings, x, y))
+    hit = met.where("_whole").select(*points.columns, key).unionByName(edge.select(*points.columns, key))
+    return points.join(hit, points.columns, "left")
+
+
+def boxes_that_meet(boxes: DataFrame, polygons: DataFrame, grid: GridSpec, key: str, box: str, rings: str = "rings") -> DataFrame:
+    """(box, key): the boxes (x0, y0, x1, y1) and polygons that share area within the grid.
+
+    Both list the cells that they reach. A box that reaches a cell of a polygon's inside meets it; the other pairs, of
+    boundary cells alone, are held against the rings, which join by the polygon's key.
+    """
+    covered = cell_weights(polygons, grid, key, rings).select("row", "col", key, (F.col("area") >= grid.res**2 * (1 - LEAST_SHARE)).alias("_whole"))
+    within = lambda v, n: F.greatest(F.lit(0), F.least(v, F.lit(n - 1)))
+    last = lambda v: (F.ceil(v) - 1).cast("int")
+    rows = F.sequence(within(grid.row(F.col("y1")), grid.ny), within(F.greatest(grid.row(F.col("y1")), last((grid.y1 - F.col("y0")) / grid.res)), grid.ny))
+    cols = F.sequence(within(grid.col(F.col("x0")), grid.nx), within(F.greatest(grid.col(F.col("x0")), last((F.col("x1") - grid.x0) / grid.res)), grid.nx))
+    listed = boxes.select(box, "x0", "y0", "x1", "y1", F.explode(rows).alias("row")).select("*", F.explode(cols).alias("col"))
+    pairs = listed.join(covered, ["row", "col"]).groupBy(box, key).agg(F.bool_or("_whole").alias("_whole"), *[F.first(c).alias(c) for c in ("x0", "y0", "x1", "y1")])
+    edge = pairs.where(~F.col("_whole")).join(polygons.select(key, F.col(rings).alias("_rings")), key).where(geo.meets_box("_rings", "x0", "y0", "x1", "y1"))
+    return pairs.where("_whole").select(box, key).unionByName(edge.select(box, key))
+
+
+def nearest_distance(points: DataFrame, polygons: DataFrame, key: str, res: float, rings: str = "rings", x: str = "x", y: str = "y") -> DataFrame:
+    """(key, distance) of each point to the nearest polygon, 0 inside; null where there is no polygon. key tells points apart.
+
+    Edges are listed in the cells that they reach, and a point meets those of its cell and the eight around. A distance up
+    to the cells' size is final; for the other points the cells grow to double the size, so each round has fewer points
+    and cells, and no point meets all edges.
+    """
+    shapes = polygons.select(rings).withColumn("_id", F.monotonically_increasing_id())
+    shapes = stage(shapes, "shapes")
+    line = stage(shapes.select(F.explode(F.expr(f"flatten(transform({rings}, r -> zip_with(slice(r, 1, size(r) - 1), slice(r, 2, size(r) - 1), (p, q) -> named_struct('ax', p.x, 'ay', p.y, 'bx', q.x, 'by', q.y))))")).alias("e")).select("e.*"), "edges")
+    extent = line.agg(F.min(F.least("ax", "bx")).alias("x0"), F.max(F.greatest("ax", "bx")).alias("x1"), F.min(F.least("ay", "by")).alias("y0"), F.max(F.greatest("ay", "by")).alias("y1")).first()
+    todo = stage(points.select(key, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")), "points")
+    if extent["x0"] is None:
+        return todo.select(key, F.lit(None).cast("double").alias("distance"))
+    far = todo.agg(F.max(F.abs("_x")).alias("a"), F.max(F.abs("_y")).alias("b")).first()
+    reach = 2 * (max(abs(v) for v in extent) + max(far["a"] or 0.0, far["b"] or 0.0)) + res  # no distance is greater
+    frame = GridSpec(extent["x0"], extent["y1"], res, max(1, int((extent["x1"] - extent["x0"]) / res) + 1), max(1, int((extent["y1"] - extent["y0"]) / res) + 1))
+    named = points_inside(todo, shapes, frame, "_id", rings, "_x", "_y")
+    inner = stage(named.where("_id IS NOT NULL").select(key).distinct(), "inside")
+    done = inner.select(key, F.lit(0.0).alias("distance"))
+    todo = todo.join(inner, key, "left_anti")
+    t = "greatest(0D, least(1D, coalesce(((_x - ax) * (bx - ax) + (_y - ay) * (by - ay)) / nullif(power(bx - ax, 2) + power(by - ay, 2), 0D), 0D)))"
+    away = F.expr(f"sqrt(power(_x - ax - {t} * (bx - ax), 2) + power(_y - ay - {t} * (by - ay), 2))")
+    while True:
+        last = res >= reach
+        cell = lambda c: F.floor(F.col(c) / F.lit(res)).cast("long") if isinstance(c, str) else F.floor(c / F.lit(res)).cast("long")  # noqa: B023, E731
+        span = lambda a, b: F.explode(F.sequence(cell(F.least(a, b)), cell(F.greatest(a, b))))  # noqa: B023, E731
+        listed = line.withColumn("cx", span("ax", "bx")).withColumn("cy", span("ay", "by"))
+        around = F.explode(F.array(*[F.struct((cell("_x") + i).alias("cx"), (cell("_y") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("c")
+        near = todo.select(key, "_x", "_y", around).select(key, "_x", "_y", "c.cx", "c.cy").join(listed, ["cx", "cy"]).groupBy(key).agg(F.min(away).alias("distance"))
+        found = stage(near if last else near.where(F.col("distance") <= res), "near")
+        done = done.unionByName(found)
+        rest = stage(todo.join(found, key, "left_anti"), "rest")
+        if last or rest.isEmpty():
+            unstage(line)
+            return done
+        todo, res = rest, 2 * res
 
 
 def polygon_means(field: DataFrame, weights: DataFrame, keys: Sequence[str], poly: str, value: str = "value") -> DataFrame:
@@ -81,16 +187,22 @@ def focal_median(points: DataFrame, cells: DataFrame, radius: int, value: str =
 
 def interior_cells(polygons: DataFrame, grid: GridSpec, key: str, margin: float, rings: str = "rings") -> DataFrame:
     """Cells of each polygon whose centre is at least margin from its boundary."""
-    cells = candidate_cells(polygons, grid, rings).withColumn("_x", grid.x(F.col("col"))).withColumn("_y", grid.y(F.col("row")))
-    return cells.where(geo.contains_point(rings, "_x", "_y") & (geo.boundary_distance(rings, "_x", "_y") >= margin)).select(key, "row", "col")
-
-
-def line_crossings(patch_cells: DataFrame, line: list[tuple[float, float]], grid: GridSpec, step: float | None = None) -> DataFrame:
-    """(label, length) of a line within each patch of cells, from equal steps along it."""
-    step = step or grid.res / 50
-    parts = []
-    for (xa, ya), (xb, yb) in zip(line, line[1:], strict=False):
-        n = max(1, round(((xb - xa) ** 2 + (yb - ya) ** 2) ** 0.5 / step))
-        parts.append(f"SELECT {xa}D + ({xb}D - {xa}D) * (id + 0.5D) / {n} AS x, {ya}D + ({yb}D - {ya}D) * (id + 0.5D) / {n} AS y, {((xb - xa) ** 2 + (yb - ya) ** 2) ** 0.5 / n}D AS len FROM range({n})")
-    walk = patch_cells.sparkSession.sql(" UNION ALL ".join(parts)).select(grid.row(F.col("y")).alias("row"), grid.col(F.col("x")).alias("col"), "len")
-    return walk.join(patch_cells, ["row", "col"]).groupBy("label").agg(F.sum("len").alias("length"))
+    cells = centre_cells(polygons, grid, [key], rings).withColumn("_x", grid.x(F.col("col"))).withColumn("_y", grid.y(F.col("row")))
+    return cells.join(polygons.select(key, rings), key).where(geo.boundary_distance(rings, "_x", "_y") >= margin).select(key, "row", "col")
+
+
+def line_crossings(patch_cells: DataFrame, line: Sequence[tuple[float, float]], grid: GridSpec) -> DataFrame:
+    """(label, length, crossings) of a line within each patch of cells: its exact length in them, and how often it enters.
+
+    The line is cut at the grid's lines, so it is listed by the cells that it runs through, and joined to the patches on them.
+    """
+    p = np.array(line, float)
+    e = np.c_[(p[:-1, 0] - grid.x0) / grid.res, (grid.y1 - p[:-1, 1]) / grid.res, (p[1:, 0] - grid.x0) / grid.res, (grid.y1 - p[1:, 1]) / grid.res]
+    cut = geo.cut_by_lines(geo.cut_by_lines(e, 1), 0)
+    middle, length = (cut[:, :2] + cut[:, 2:]) / 2, np.hypot(*(cut[:, 2:] - cut[:, :2]).T) * grid.res
+    rows = [(k, int(np.floor(y)), int(np.floor(x)), float(n)) for k, ((x, y), n) in enumerate(zip(middle, length, strict=True)) if n > 0]
+    walk = patch_cells.sparkSession.createDataFrame(rows, "k int, row int, col int, len double")
+    # pieces of a line are as many as cells along it; a patch is entered at each piece whose predecessor isn't in it
+    inside = walk.join(patch_cells, ["row", "col"])
+    before = inside.select((F.col("k") + 1).alias("k"), "label", F.lit(1).alias("_in"))
+    return inside.join(before, ["k", "label"], "left").groupBy("label").agg(F.sum("len").alias("length"), F.sum(F.when(F.col("_in").isNull(), 1).otherwise(0)).alias("crossings"))

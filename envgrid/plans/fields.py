@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from envgrid.functions import geo, scalars
 from envgrid.operators import grid, index, series, zonal
-from envgrid.plans.views import BOXES, CELLS, EVENTS, LAYER, Registry, boxes, cells, events, layer, rounded, table
+from envgrid.plans.views import AREA, BOXES, CELLS, EVENTS, LAYER, TRIANGLES, Registry, boxes, cells, events, in_triangle, layer, rounded, table, triangle_area, triangles
 
 reg = Registry()
 SPEC = grid.GridSpec(0.0, 60.0, 1.0, 60, 60)
@@ -68,15 +68,44 @@ def ag12(spark, d):
     return rounded(zonal.polygon_means(layer(spark, d), zonal.cell_weights(boxes(spark, d, 0.5), SPEC, "basin_id"), [], "basin_id"))
 
 
+_SLANTED = f"""{TRIANGLES}, wt AS (SELECT basin_id, 59 - r AS row, c AS col, {triangle_area('c', 'r', 1)} AS area, {AREA} AS poly_area FROM tr, (SELECT unnest(range(60)) AS r) a, (SELECT unnest(range(60)) AS c) b)"""
+
+
+@reg.add("jn14_burn_slanted", f"WITH {TRIANGLES} SELECT 59 - y AS row, x AS col, max(basin_id) AS value FROM tr, (SELECT unnest(range(60)) AS x) a, (SELECT unnest(range(60)) AS y) b WHERE {in_triangle('(x + 0.5)', '(y + 0.5)')} GROUP BY ALL")
+def jn14s(spark, d):
+    """Triangles with holes that overlap: the last one holds."""
+    return zonal.burn(triangles(spark, d), SPEC, "basin_id", "basin_id").select(F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col"), "value")
+
+
+@reg.add("jn16_slanted_weights", f"WITH {_SLANTED} SELECT basin_id, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, round(area, 5) AS area, CAST(poly_area AS DOUBLE) AS poly_area FROM wt WHERE area > 1e-9")
+def jn16s(spark, d):
+    return rounded(zonal.cell_weights(triangles(spark, d), SPEC, "basin_id"), 5)
+
+
+@reg.add("ag12_slanted_means", f"WITH {LAYER}, {_SLANTED} SELECT basin_id, round(sum(area * value) / nullif(sum(CASE WHEN value IS NOT NULL THEN area END), 0), 4) AS mean, round(sum(CASE WHEN value IS NOT NULL THEN area END) / {AREA}, 4) AS cover_frac FROM (SELECT * FROM wt WHERE area > 1e-9) JOIN la USING (row, col) GROUP BY basin_id")
+def ag12s(spark, d):
+    return rounded(zonal.polygon_means(layer(spark, d), zonal.cell_weights(triangles(spark, d), SPEC, "basin_id"), [], "basin_id"))
+
+
+@reg.add("st05_dissolved_region", f"WITH {TRIANGLES} SELECT DISTINCT CAST(59 - y AS INTEGER) AS row, CAST(x AS INTEGER) AS col FROM tr, (SELECT unnest(range(60)) AS x) a, (SELECT unnest(range(60)) AS y) b WHERE {in_triangle('(x + 0.5)', '(y + 0.5)')}")
+def st05(spark, d):
+    return zonal.dissolved(triangles(spark, d), SPEC)
+
+
+@reg.add("wn17_interior_cells", f"WITH {BOXES} SELECT basin_id, CAST(59 - y AS INTEGER) AS row, CAST(x AS INTEGER) AS col FROM bo, (SELECT unnest(range(60)) AS x) a, (SELECT unnest(range(60)) AS y) b WHERE x + 0.5 - x0 BETWEEN 2 AND 10 AND y + 0.5 - y0 BETWEEN 2 AND 10")
+def wn17(spark, d):
+    return zonal.interior_cells(boxes(spark, d), SPEC, "basin_id", 2.0)
+
+
 SERIES = f"""{CELLS}, {BOXES}, se AS (SELECT day AS report_date, basin_id, any_value(kind) AS kind, count(*) AS n_hours, 3 AS n_hours_expected, sum(value) AS mm FROM ce JOIN bo ON col BETWEEN x0 AND x0 + 11 AND 59 - row BETWEEN y0 AND y0 + 11 GROUP BY ALL)"""
 
 
 def basin_series(spark, d):
     """Daily records of each box from the cells in it; three reports make a day complete."""
     hits = zonal.burn(boxes(spark, d), SPEC, "basin_id", "basin_id").withColumnRenamed("value", "basin_id")
-    c = cells(spark, d).join(F.broadcast(hits), ["row", "col"]).groupBy(F.col("day").alias("report_date"), "basin_id").agg(F.count("*").alias("n_hours"), F.sum("value").alias("precip_mm"))
+    c = cells(spark, d).join(hits, ["row", "col"]).groupBy(F.col("day").alias("report_date"), "basin_id").agg(F.count("*").alias("n_hours"), F.sum("value").alias("precip_mm"))
     kinds = boxes(spark, d).select("basin_id", "kind")
-    return c.join(F.broadcast(kinds), "basin_id").withColumn("n_hours_expected", F.lit(3)).withColumn("precip_in", scalars.mm_to_in(F.col("precip_mm"))).withColumn("volume_m3", scalars.volume_m3(F.col("precip_mm"), F.lit(144.0e6))).withColumn("volume_flux_m3s", scalars.flux_m3s(F.col("volume_m3"), F.lit(24)))
+    return c.join(kinds, "basin_id").withColumn("n_hours_expected", F.lit(3)).withColumn("precip_in", scalars.mm_to_in(F.col("precip_mm"))).withColumn("volume_m3", scalars.volume_m3(F.col("precip_mm"), F.lit(144.0e6))).withColumn("volume_flux_m3s", scalars.flux_m3s(F.col("volume_m3"), F.lit(24)))
 
 
 @reg.add("pl05_basin_series", f"WITH {SERIES} SELECT report_date, basin_id, n_hours, round(mm, 4) AS precip_mm, round(mm / 25.4, 4) AS precip_in, round(mm / 1000 * 144e6, 1) AS volume_m3, round(mm / 1000 * 144e6 / 86400, 2) AS volume_flux_m3s FROM se")
@@ -93,10 +122,10 @@ def ag29(spark, d):
 
 @reg.add("jn04_keyed_range_join", f"WITH {SERIES} SELECT concat(n_nationkey, '_', n_regionkey) AS basin_key, report_date, round(mm, 4) AS precip_mm, n_name AS name FROM nation n JOIN se ON concat(n_nationkey, '_', n_regionkey) = concat(se.basin_id, '_', se.kind) WHERE report_date BETWEEN DATE '1995-03-01' AND DATE '1995-03-31' AND n_regionkey = 1")
 def jn04(spark, d):
-    basin_series(spark, d).createOrReplaceTempView("envgrid_series")
-    table(spark, d, "nation").createOrReplaceTempView("envgrid_basins")
-    return spark.sql("""SELECT concat_ws('_', n_nationkey, n_regionkey) AS basin_key, report_date, round(precip_mm, 4) AS precip_mm, n_name AS name FROM envgrid_basins n
-      JOIN envgrid_series s ON concat_ws('_', n_nationkey, n_regionkey) = concat_ws('_', s.basin_id, s.kind) WHERE report_date BETWEEN DATE '1995-03-01' AND DATE '1995-03-31' AND n_regionkey = 1""")
+    s = basin_series(spark, d).withColumn("basin_key", scalars.series_key(F.col("basin_id").cast("string"), F.col("kind").cast("string")))
+    n = table(spark, d, "nation").where("n_regionkey = 1").select(scalars.series_key(F.col("n_nationkey").cast("string"), F.col("n_regionkey").cast("string")).alias("basin_key"), F.col("n_name").alias("name"))
+    some = s.where(F.col("report_date").between("1995-03-01", "1995-03-31"))
+    return n.join(some, "basin_key").select("basin_key", "report_date", F.round("precip_mm", 4).alias("precip_mm"), "name")
 
 
 @reg.add("ag28_completeness", f"WITH {SERIES} SELECT CAST(year(report_date) AS INTEGER) AS year, round(100 * avg(CASE WHEN n_hours = 3 THEN 1.0 ELSE 0.0 END), 4) AS pct_complete FROM se GROUP BY 1")
@@ -104,10 +133,10 @@ def ag28(spark, d):
     return rounded(basin_series(spark, d).groupBy(F.year("report_date").alias("year")).agg((100 * F.avg(F.when(series.complete(), 1.0).otherwise(0.0))).alias("pct_complete")))
 
 
-@reg.add("ag36_totals_by_kind", f"WITH {SERIES} SELECT report_date, round(sum(CASE WHEN kind = 0 THEN mm END) / 1e3, 5) AS land, round(sum(CASE WHEN kind = 1 THEN mm END) / 1e3, 5) AS water FROM se GROUP BY report_date")
+@reg.add("ag36_totals_by_kind", f"WITH {SERIES} SELECT report_date, round(sum(CASE WHEN kind <> 0 THEN mm / 1000 * 144e6 END) / 1e6, 5) AS land, round(sum(CASE WHEN kind = 0 THEN mm / 1000 * 144e6 END) / 1e6, 5) AS water FROM se GROUP BY report_date")
 def ag36(spark, d):
-    w = basin_series(spark, d).groupBy("report_date").pivot("kind", [0, 1]).agg(F.sum("precip_mm"))
-    return w.select("report_date", F.round(F.col("0") / 1e3, 5).alias("land"), F.round(F.col("1") / 1e3, 5).alias("water"))
+    """Regions stand for land and, the first of them, for water."""
+    return rounded(series.totals_by_kind(basin_series(spark, d).withColumn("water", F.col("kind") == 0), "water"), 5)
 
 
 @reg.add("ag38_default_period", f"WITH {SERIES} SELECT min(report_date) AS first, max(report_date) AS last, count(DISTINCT basin_id) AS n_basins, count(DISTINCT report_date) AS n_dates, greatest(max(report_date) - 364, min(report_date)) AS default_first FROM se")
@@ -140,9 +169,11 @@ def io18(spark, d):
     return series.last_dates(series.covered_dates(e.agg(F.min("t").alias("t_min"), F.max("t").alias("t_max"))), 5)
 
 
-@reg.add("wn09_date_runs", "WITH d AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS day FROM lineitem WHERE day(l_shipdate) <= 20), g AS (SELECT day, CASE WHEN day - lag(day) OVER (ORDER BY day) > 3 THEN 1 ELSE 0 END AS s FROM d), r AS (SELECT day, sum(s) OVER (ORDER BY day) AS g FROM g), b AS (SELECT day, g, (row_number() OVER (PARTITION BY g ORDER BY day) - 1) // 12 AS b FROM r) SELECT day, CAST(dense_rank() OVER (ORDER BY g, b) AS INTEGER) AS run FROM b")
+@reg.add("wn09_date_runs", "WITH d AS (SELECT DISTINCT CAST(c AS DATE) AS day FROM (SELECT o_orderdate AS c FROM orders WHERE o_totalprice > 300000 UNION ALL SELECT o_orderdate FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 250000)), g AS (SELECT day, CASE WHEN day - lag(day) OVER (ORDER BY day) > 3 THEN 1 ELSE 0 END AS s FROM d), r AS (SELECT day, sum(s) OVER (ORDER BY day) AS g FROM g), b AS (SELECT day, g, (row_number() OVER (PARTITION BY g ORDER BY day) - 1) // 12 AS b FROM r) SELECT day, CAST(dense_rank() OVER (ORDER BY g, b) AS INTEGER) AS run FROM b")
 def wn09(spark, d):
-    return series_runs(table(spark, d, "lineitem").where("day(l_shipdate) <= 20").select(F.to_date("l_shipdate").alias("day")))
+    """Runs of the dates on which large orders came in."""
+    o = table(spark, d, "orders").where("o_totalprice > 300000 OR (o_orderpriority = '1-URGENT' AND o_totalprice > 250000)")
+    return series_runs(o.select(F.to_date("o_orderdate").alias("day")))
 
 
 def series_runs(dates):
@@ -316,21 +347,21 @@ def wn16(spark, d):
     return zonal.focal_median(p, layer(spark, d), 5)
 
 
-@reg.add("jn13_inside_outside", f"WITH {BOXES}, p AS (SELECT o_orderkey % 700 / 10.0 AS x, o_custkey % 650 / 10.0 + 0.05 AS y FROM orders), h AS (SELECT x, y, max(CASE WHEN basin_id % 2 = 0 THEN 1 ELSE 0 END) AS inside FROM p LEFT JOIN bo ON x >= x0 AND x < x0 + 12 AND y >= y0 AND y < y0 + 12 AND basin_id % 2 = 0 GROUP BY ALL) SELECT count(*) AS n, coalesce(inside, 0) = 1 AS inside FROM h GROUP BY ALL")
+_POINTS = "p AS (SELECT DISTINCT o_orderkey % 7000 / 100.0 + 0.003 AS x, o_custkey * 53 % 6500 / 100.0 + 0.003 AS y FROM orders)"
+
+
+@reg.add("jn13_inside_outside", f"WITH {TRIANGLES}, {_POINTS} SELECT inside, count(*) AS n FROM (SELECT x, y, bool_or({in_triangle('x', 'y')}) AS inside FROM p, tr GROUP BY ALL) GROUP BY inside")
 def jn13(spark, d):
-    p = table(spark, d, "orders").select((F.col("o_orderkey") % 700 / 10.0).alias("x"), (F.col("o_custkey") % 650 / 10.0 + 0.05).alias("y")).distinct()
-    even = boxes(spark, d).where("basin_id % 2 = 0")
-    cell = zonal.candidate_cells(even, grid.GridSpec(0.0, 80.0, 1.0, 80, 80)).select("row", "col", "rings")
-    at = p.withColumn("row", F.floor(80.0 - F.col("y")).cast("int")).withColumn("col", F.floor("x").cast("int"))
-    hit = at.join(F.broadcast(cell), ["row", "col"], "left").groupBy("x", "y").agg(F.coalesce(F.bool_or(geo.contains_point("rings", "x", "y")), F.lit(False)).alias("inside"))
+    p = table(spark, d, "orders").select((F.col("o_orderkey") % 7000 / 100.0 + 0.003).alias("x"), (F.col("o_custkey") * 53 % 6500 / 100.0 + 0.003).alias("y")).distinct()
+    found = zonal.points_inside(p, triangles(spark, d), grid.GridSpec(0.0, 75.0, 1.0, 75, 75), "basin_id")
+    hit = found.groupBy("x", "y").agg(F.bool_or(F.col("basin_id").isNotNull()).alias("inside"))
     return hit.groupBy("inside").agg(F.count("*").alias("n"))
 
 
-@reg.add("jn20_polygon_distance", f"WITH {BOXES}, p AS (SELECT c_custkey AS id, c_custkey * 7 % 900 / 10.0 AS x, c_custkey * 3 % 900 / 10.0 AS y FROM customer) SELECT id, round(sqrt(min(pow(greatest(x0 - x, 0, x - x0 - 12), 2) + pow(greatest(y0 - y, 0, y - y0 - 12), 2))), 4) AS distance FROM p, bo WHERE basin_id % 6 = 0 GROUP BY id")
+@reg.add("jn20_polygon_distance", f"WITH {BOXES}, p AS (SELECT c_custkey AS id, c_custkey * 7 % 1900 / 10.0 - 40 AS x, c_custkey * 3 % 1900 / 10.0 - 40 AS y FROM customer) SELECT id, round(sqrt(min(pow(greatest(x0 - x, 0, x - x0 - 12), 2) + pow(greatest(y0 - y, 0, y - y0 - 12), 2))), 4) AS distance FROM p, bo GROUP BY id")
 def jn20(spark, d):
-    p = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") * 7 % 900 / 10.0).alias("x"), (F.col("c_custkey") * 3 % 900 / 10.0).alias("y"))
-    few = boxes(spark, d).where("basin_id % 6 = 0").select("rings")  # a region's polygons, not rows
-    return p.crossJoin(F.broadcast(few)).groupBy("id").agg(F.round(F.min(geo.polygon_distance("rings", "x", "y")), 4).alias("distance"))
+    p = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") * 7 % 1900 / 10.0 - 40).alias("x"), (F.col("c_custkey") * 3 % 1900 / 10.0 - 40).alias("y"))
+    return rounded(zonal.nearest_distance(p, boxes(spark, d), "id", 4.0))
 
 
 @reg.add("sl03_strided", "WITH r AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS k FROM supplier) SELECT s_suppkey FROM r WHERE k % 13 = 1")

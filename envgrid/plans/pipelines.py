@@ -9,7 +9,7 @@ from envgrid.functions.timebuckets import lead_day, report_day
 from envgrid.operators import grid, index, moisture, series, verify, zonal
 from envgrid.plans.fields import SERIES, SPEC, basin_series
 from envgrid.plans.verification import PEARSON
-from envgrid.plans.views import BOXES, CELLS, DAILY, EVENTS, LAYER, Registry, boxes, cells, daily, events, layer, rounded, table, wall7
+from envgrid.plans.views import BOXES, CELLS, DAILY, EVENTS, LAYER, TRIANGLES, Registry, boxes, cells, daily, events, in_triangle, layer, rounded, table, triangles, wall7
 from envgrid.sources import io
 
 reg = Registry()
@@ -51,18 +51,17 @@ def jn10(spark, d):
     return p.select("id", grid.nearest_index(y, 5012345.6, 1234.5, 150).alias("row"), grid.nearest_index(x, -7959123.4, 1234.5, 150).alias("col"))
 
 
-@reg.add("jn15_masked_layer", f"WITH {LAYER}, {BOXES} SELECT row, col, round(value, 4) AS value FROM la WHERE EXISTS (SELECT 1 FROM bo WHERE basin_id % 4 = 1 AND col >= x0 AND col < x0 + 12 AND 59 - row >= y0 AND 59 - row < y0 + 12)")
+@reg.add("jn15_masked_layer", f"WITH {LAYER}, {TRIANGLES} SELECT row, col, round(value, 4) AS value FROM la WHERE EXISTS (SELECT 1 FROM tr WHERE {in_triangle('(col + 0.5)', '(59.5 - row)')})")
 def jn15(spark, d):
-    return rounded(zonal.inside_any(layer(spark, d), boxes(spark, d).where("basin_id % 4 = 1"), SPEC))
+    return rounded(zonal.inside_any(layer(spark, d), triangles(spark, d), SPEC))
 
 
-@reg.add("jn17_boxes_that_meet", f"WITH {BOXES}, t AS (SELECT s_suppkey AS tile, s_suppkey * 7 % 55 AS x, s_suppkey * 11 % 55 AS y FROM supplier) SELECT tile, basin_id FROM t, bo WHERE x < x0 + 12 AND x + 5 > x0 AND y < y0 + 12 AND y + 5 > y0 AND basin_id % 3 = 0")
+@reg.add("jn17_boxes_that_meet", f"""WITH {TRIANGLES}, t AS (SELECT s_suppkey AS tile, s_suppkey * 7 % 550 / 10.0 AS x, s_suppkey * 11 % 550 / 10.0 AS y FROM supplier) SELECT tile, basin_id FROM t, tr WHERE x + 3 > x0 AND y + 3 > y0 AND greatest(x, x0) - x0 + greatest(y, y0) - y0 < 14
+ AND NOT (x >= x0 + 2 AND x + 3 <= x0 + 4 AND y >= y0 + 2 AND y + 3 <= y0 + 4)""")
 def jn17(spark, d):
-    t = table(spark, d, "supplier").select(F.col("s_suppkey").alias("tile"), (F.col("s_suppkey") * 7 % 55).cast("double").alias("x"), (F.col("s_suppkey") * 11 % 55).cast("double").alias("y"))
-    at = t.withColumn("row", F.explode(F.sequence(F.floor(55 - F.col("y")).cast("int"), F.floor(60 - F.col("y")).cast("int") - 1))).withColumn("col", F.explode(F.sequence(F.floor("x").cast("int"), F.floor(F.col("x") + 5).cast("int") - 1)))
-    near = zonal.candidate_cells(boxes(spark, d).where("basin_id % 3 = 0"), SPEC).select("row", "col", "basin_id", "rings")
-    pairs = at.join(near, ["row", "col"]).select("tile", "x", "y", "basin_id", "rings").dropDuplicates(["tile", "basin_id"])
-    return pairs.where(zonal.intersects_box("rings", F.col("x"), F.col("y"), F.col("x") + 5, F.col("y") + 5)).select("tile", "basin_id")
+    t = table(spark, d, "supplier").select(F.col("s_suppkey").alias("tile"), (F.col("s_suppkey") * 7 % 550 / 10.0).alias("x0"), (F.col("s_suppkey") * 11 % 550 / 10.0).alias("y0"))
+    tiles = t.withColumn("x1", F.col("x0") + 3).withColumn("y1", F.col("y0") + 3)
+    return zonal.boxes_that_meet(tiles, triangles(spark, d), SPEC, "basin_id", "tile")
 
 
 @reg.add("ag13_valid_hours", f"WITH {CELLS}, {BOXES}, h AS (SELECT row, col, l_orderkey % 24 AS time, CASE WHEN value > 10 THEN value END AS v FROM ce) SELECT basin_id, CAST(count(DISTINCT CASE WHEN v IS NOT NULL THEN time END) AS BIGINT) AS n_hours FROM h JOIN bo ON col >= x0 AND col < x0 + 12 AND 59 - row >= y0 AND 59 - row < y0 + 12 GROUP BY basin_id")
@@ -125,11 +124,11 @@ def pl07(spark, d):
     return fine.join(state, "i").join(rain, "i").select("cell", F.round("sm", 6).alias("sm"), F.round("rain_7", 4).alias("rain_7"), F.round("rain_21", 4).alias("rain_21"))
 
 
-@reg.add("pl12_public_land", f"WITH {LAYER}, {BOXES}, o AS (SELECT x0, y0, CASE WHEN n_name LIKE '%A%' THEN 2 ELSE 1 END AS v, basin_id FROM bo JOIN nation ON n_nationkey = basin_id WHERE basin_id % 2 = 0) SELECT coalesce(v, 0) AS code, count(*) AS n, CAST(count(*) * 0.0009 AS DOUBLE) AS km2 FROM la LEFT JOIN o ON col >= x0 AND col < x0 + 12 AND 59 - row >= y0 AND 59 - row < y0 + 12 GROUP BY 1")
+@reg.add("pl12_public_land", f"WITH {LAYER}, {BOXES}, o AS (SELECT x0, y0, CASE WHEN n_name LIKE '%A%' THEN 2 ELSE 1 END AS v, basin_id FROM bo JOIN nation ON n_nationkey = basin_id) SELECT coalesce(v, 0) AS code, count(*) AS n, CAST(count(*) * 0.0009 AS DOUBLE) AS km2 FROM la LEFT JOIN o ON col >= x0 AND col < x0 + 12 AND 59 - row >= y0 AND 59 - row < y0 + 12 GROUP BY 1")
 def pl12(spark, d):
     """Owner patterns on polygons, burnt to cells, counted by code; cells outside all are 0."""
     names = table(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("basin_id"), "n_name")
-    own = boxes(spark, d).where("basin_id % 2 = 0").join(names, "basin_id").withColumn("v", F.when(scalars.like_any(F.col("n_name"), ["%A%"]), 2).otherwise(1))
+    own = boxes(spark, d).join(names, "basin_id").withColumn("v", F.when(scalars.like_any(F.col("n_name"), ["%A%"]), 2).otherwise(1))
     burnt = zonal.burn(own, SPEC, "v", "basin_id").withColumnRenamed("value", "v")
     return layer(spark, d).join(burnt, ["row", "col"], "left").groupBy(F.coalesce("v", F.lit(0)).alias("code")).agg(F.count("*").alias("n")).withColumn("km2", F.round(F.col("n") * 0.0009, 6))
 

@@ -94,12 +94,12 @@ def pl04(spark, d):
     return rounded(verify.full_outer_days([("aorc", aorc), ("gauge", gauge), ("imerg", imerg)]))
 
 
-@reg.add("jn12_nearest_cycle", """WITH w AS (SELECT DISTINCT ts AS wanted FROM events WHERE event_id % 3 = 0), c AS (SELECT DISTINCT ts AS cycle FROM events WHERE event_id % 7 = 1),
+@reg.add("jn12_nearest_cycle", """WITH w AS (SELECT DISTINCT ts AS wanted FROM events WHERE event_type = 'view'), c AS (SELECT DISTINCT ts AS cycle FROM events WHERE event_type = 'purchase'),
  b AS (SELECT wanted, c.cycle AS lo FROM w ASOF LEFT JOIN c ON w.wanted >= c.cycle), a AS (SELECT wanted, c.cycle AS hi FROM w ASOF LEFT JOIN c ON w.wanted <= c.cycle)
  SELECT b.wanted, CASE WHEN hi IS NULL OR epoch_us(wanted) - epoch_us(lo) <= epoch_us(hi) - epoch_us(wanted) THEN lo ELSE hi END AS cycle, b.wanted <> CASE WHEN hi IS NULL OR epoch_us(wanted) - epoch_us(lo) <= epoch_us(hi) - epoch_us(wanted) THEN lo ELSE hi END AS substituted FROM b JOIN a USING (wanted)""")
 def jn12(spark, d):
     e = table(spark, d, "events")
-    return verify.nearest_cycle(e.where("event_id % 3 = 0").select(F.col("ts").alias("wanted")).distinct(), e.where("event_id % 7 = 1").select(F.col("ts").alias("cycle")).distinct())
+    return verify.nearest_cycle(e.where("event_type = 'view'").select(F.col("ts").alias("wanted")).distinct(), e.where("event_type = 'purchase'").select(F.col("ts").alias("cycle")).distinct())
 
 
 @reg.add("pl03_observed_vs_grid", f"""WITH {EVENTS}, o AS (SELECT station, sum(value) AS obs FROM ev WHERE source = 'gauge' AND {wall7('ts')} = DATE '2024-01-15' GROUP BY station), p AS (SELECT station, sum(value) AS est FROM ev WHERE source = 'product' AND {wall7('ts')} = DATE '2024-01-15' GROUP BY station)

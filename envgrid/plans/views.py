@@ -76,6 +76,46 @@ def boxes(spark: SparkSession, d: str, shift: float = 0.0) -> DataFrame:
 BOXES = "bo AS (SELECT CAST(n_nationkey AS INTEGER) AS basin_id, CAST(n_regionkey AS INTEGER) AS kind, (n_nationkey % 5) * 12 AS x0, (n_nationkey // 5) * 12 AS y0 FROM nation)"
 
 
+LEG, AREA = 14, 94.0  # of a triangle, and its area without the hole
+
+
+def triangles(spark: SparkSession, d: str) -> DataFrame:
+    """The nations as right triangles with a square hole, which overlap and partly leave the 60 x 60 frame."""
+    n = table(spark, d, "nation").select(
+        F.col("n_nationkey").cast("int").alias("basin_id"), F.col("n_regionkey").cast("int").alias("kind"), "n_name",
+        ((F.col("n_nationkey") % 5) * 12 + 0.25).alias("x0"), (F.floor(F.col("n_nationkey") / 5) * 12 + 0.25).alias("y0"),
+    )
+    ring = lambda *at: "array(" + ", ".join(f"named_struct('x', x0 + {x}, 'y', y0 + {y})" for x, y in at) + ")"
+    return n.withColumn("rings", F.expr(f"array({ring((0, 0), (0, LEG), (LEG, 0), (0, 0))}, {ring((2, 2), (4, 2), (4, 4), (2, 4), (2, 2))})"))
+
+
+TRIANGLES = "tr AS (SELECT CAST(n_nationkey AS INTEGER) AS basin_id, CAST(n_regionkey AS INTEGER) AS kind, n_name, (n_nationkey % 5) * 12 + 0.25::DOUBLE AS x0, (n_nationkey // 5) * 12 + 0.25::DOUBLE AS y0 FROM nation)"
+
+
+def in_triangle(x: str, y: str) -> str:
+    """SQL of a point inside a triangle of tr."""
+    return f"({x} > x0 AND {y} > y0 AND {x} - x0 + {y} - y0 < {LEG} AND NOT ({x} BETWEEN x0 + 2 AND x0 + 4 AND {y} BETWEEN y0 + 2 AND y0 + 4))"
+
+
+def triangle_area(cx: str, cy: str, r: float) -> str:
+    """SQL of the area of a triangle of tr in the cell of side r with its lower left corner at (cx, cy)."""
+    a, b = f"greatest({cx} - x0, 0)", f"greatest({cy} - y0, 0)"
+    w, h = f"greatest({cx} + {r} - x0 - {a}, 0)", f"greatest({cy} + {r} - y0 - {b}, 0)"
+    half = lambda t: f"power(greatest({LEG} - {a} - {b}{t}, 0), 2) / 2"
+    below = f"({half('')} - {half(f' - {w}')} - {half(f' - {h}')} + {half(f' - {w} - {h}')})"
+    over = lambda c, o: f"greatest(least({c} + {r}, {o} + 4) - greatest({c}, {o} + 2), 0)"
+    return f"({below} - {over(cx, 'x0')} * {over(cy, 'y0')})"
+
+
+def hourly(spark: SparkSession, d: str) -> DataFrame:
+    """(row, col, time (hour-ending), value) of a 12 x 12 grid of 5 x 5 units over the frame, some values missing."""
+    e = table(spark, d, "events").select((F.col("user_id") % 12).cast("int").alias("row"), (F.col("event_id") % 12).cast("int").alias("col"), (F.date_trunc("hour", "ts") + F.expr("interval 1 hour")).alias("time"), F.when(F.col("value") > 2, F.col("value")).alias("value"))
+    return e.groupBy("row", "col", "time").agg(F.sum("value").alias("value"))
+
+
+HOURLY = "ho AS (SELECT CAST(user_id % 12 AS INTEGER) AS row, CAST(event_id % 12 AS INTEGER) AS col, date_trunc('hour', ts) + INTERVAL 1 HOUR AS time, sum(CASE WHEN value > 2 THEN value END) AS value FROM events GROUP BY ALL)"
+
+
 def daily(spark: SparkSession, d: str) -> DataFrame:
     """(user_id, day, rain, n): daily sums on a dense calendar of 30 days, n from 0."""
     e = table(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.sum("value").alias("rain"))
