@@ -194,23 +194,39 @@ def ag25c(spark, d):
     return rounded(zonal.site_statistics(s, layer(spark, d), SPEC, [4.0], circle=True))
 
 
-_NDVI = "CASE WHEN scl IN (2, 4, 5) AND nir + red > 0.05 THEN greatest(-1, least(1, (nir - red) / (nir + red))) END"
+#: Digital numbers of the two bands, and reflectance of the kept scene classes.
+_DN = "dn AS (SELECT row, col, day, scl, CAST(red * 10000 AS INTEGER) * 1e-4 AS red, CAST(nir * 10000 AS INTEGER) * 1e-4 AS nir, red > 0 AS a, nir > 0 AS b FROM ce)"
+_NDVI = "CASE WHEN scl IN (4, 5, 7) AND a AND b AND nir + red > 0.05 THEN greatest(-1, least(1, (nir - red) / (nir + red))) END"
+_COMPOSITE = f"{CELLS}, {_DN}, s AS (SELECT row, col, median(CASE WHEN month(day) BETWEEN 5 AND 9 THEN {_NDVI} END) AS a, median(CASE WHEN month(day) IN (11, 12, 1, 2, 3, 4) THEN {_NDVI} END) AS b, count(CASE WHEN month(day) BETWEEN 5 AND 9 THEN {_NDVI} END) AS n_summer, count(CASE WHEN month(day) IN (11, 12, 1, 2, 3, 4) THEN {_NDVI} END) AS n_leaf_off FROM dn GROUP BY row, col)"
 
 
-@reg.add("ag23_composite", f"WITH {CELLS}, s AS (SELECT row, col, median(CASE WHEN month(day) BETWEEN 5 AND 9 THEN {_NDVI} END) AS a, median(CASE WHEN month(day) NOT BETWEEN 5 AND 9 THEN {_NDVI} END) AS b, count(CASE WHEN month(day) BETWEEN 5 AND 9 THEN {_NDVI} END) AS n_summer FROM ce GROUP BY row, col) SELECT row, col, round(a, 5) AS summer, round(b, 5) AS leaf_off, round(a - b, 5) AS decid, n_summer FROM s")
+def composites(spark, d):
+    """Summer and leaf-off medians of the vegetation index from digital numbers and scene classes."""
+    c = cells(spark, d)
+    red, nir = (scalars.valid_reflectance((F.col(b) * 10000).cast("int"), F.col("scl")) for b in ("red", "nir"))
+    return index.seasonal_composite(c, scalars.ndvi(nir, red), {"summer": (5, 6, 7, 8, 9), "leaf_off": (11, 12, 1, 2, 3, 4)})
+
+
+@reg.add("ag23_composite", f"WITH {_COMPOSITE} SELECT row, col, round(a, 5) AS summer, round(b, 5) AS leaf_off, round(a - b, 5) AS decid, n_summer FROM s")
 def ag23(spark, d):
-    c = cells(spark, d).withColumn("v", F.when(F.col("scl").isin(2, 4, 5), scalars.ndvi(F.col("nir"), F.col("red"))))
-    warm = F.month("day").between(5, 9)
-    # one pass: both windows of the year from the same scan and shuffle
-    both = c.groupBy("row", "col").agg(F.median(F.when(warm, F.col("v"))).alias("summer"), F.median(F.when(~warm, F.col("v"))).alias("leaf_off"), F.count(F.when(warm, F.col("v"))).alias("n_summer"))
-    return rounded(both.withColumn("decid", scalars.decid_index(F.col("summer"), F.col("leaf_off"))), 5)
+    both = composites(spark, d)
+    return rounded(both.select("row", "col", "summer", "leaf_off", scalars.decid_index(F.col("summer"), F.col("leaf_off")).alias("decid"), "n_summer"), 5)
 
 
-@reg.add("pl08_gated_index", f"WITH {CELLS}, s AS (SELECT row, col, median({_NDVI}) AS v, avg(red) AS m FROM ce GROUP BY row, col) SELECT row, col, round(CASE WHEN v > 0.8 AND (row + col) % 5 <> 1 THEN v - m END, 5) AS oak_index FROM s")
+@reg.add("pl08_gated_index", f"""WITH {_COMPOSITE}, {TRIANGLES}, v AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_custkey % 50 <= 20 AND o_custkey % 50 + 8 >= 10), basin AS (SELECT row, col FROM s WHERE EXISTS (SELECT 1 FROM tr WHERE {in_triangle('(col + 0.5)', '(59.5 - row)')})),
+ sd AS (SELECT row, col, median(CASE WHEN month(day) BETWEEN 5 AND 9 THEN {_NDVI} END) AS a, median(CASE WHEN month(day) IN (11, 12, 1, 2, 3, 4) THEN {_NDVI} END) AS b FROM dn JOIN v USING (day) GROUP BY row, col)
+ SELECT row, col, round(CASE WHEN a > 0.6 AND (row + col) % 5 <> 1 THEN a - b END, 5) AS oak_index FROM sd JOIN basin USING (row, col)""")
 def pl08(spark, d):
-    c = cells(spark, d).withColumn("v", F.when(F.col("scl").isin(2, 4, 5), scalars.ndvi(F.col("nir"), F.col("red"))))
-    s = c.groupBy("row", "col").agg(F.median("v").alias("v"), F.avg("red").alias("m"))
-    return rounded(s.select("row", "col", scalars.canopy_gate(F.col("v") - F.col("m"), F.col("v"), F.when((F.col("row") + F.col("col")) % 5 == 1, 1).otherwise(0)).alias("oak_index")), 5)
+    """Scenes of a catalogue to a deciduous index: scene days, masked reflectances, composites, canopy gate, basin mask."""
+    o = table(spark, d, "orders")
+    x = F.col("o_custkey") % 50
+    scenes = o.select(F.col("o_orderdate").alias("datetime"), x.alias("x0"), (x + 8).alias("x1"), F.lit(0).alias("y0"), F.lit(9).alias("y1"), F.lit(0).alias("cloud_cover"))
+    days = index.scene_filter(scenes, (10, 0, 20, 9), "1900-01-01", "2100-01-01", 30).select(F.col("solar_day").alias("day"))
+    red, nir = (scalars.valid_reflectance((F.col(b) * 10000).cast("int"), F.col("scl")) for b in ("red", "nir"))
+    both = index.seasonal_composite(cells(spark, d).join(days, "day", "left_semi"), scalars.ndvi(nir, red), {"summer": (5, 6, 7, 8, 9), "leaf_off": (11, 12, 1, 2, 3, 4)})
+    marsh = F.when((F.col("row") + F.col("col")) % 5 == 1, 1).otherwise(0)
+    gated = both.select("row", "col", scalars.canopy_gate(scalars.decid_index(F.col("summer"), F.col("leaf_off")), F.col("summer"), marsh, 0.6).alias("oak_index"))
+    return rounded(zonal.inside_any(gated, triangles(spark, d), SPEC), 5)
 
 
 @reg.add("ag24_date_curve", "SELECT l_returnflag AS site, CAST(l_shipdate AS DATE) AS date, median(l_discount) AS median, count(l_discount) AS n_valid FROM lineitem GROUP BY ALL HAVING count(l_discount) > 0.5 * 12")
@@ -227,7 +243,7 @@ def ag32(spark, d):
 
 @reg.add("ag16_quantiles", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.1), 4) AS p10, round(quantile_cont(l_extendedprice, 0.25), 4) AS p25, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90, count(*) AS n FROM lineitem GROUP BY l_returnflag HAVING count(*) >= 1000")
 def ag16(spark, d):
-    return rounded(table(spark, d, "lineitem").groupBy("l_returnflag").agg(*index.quantiles("l_extendedprice", [0.1, 0.25, 0.5, 0.9]), F.count("*").alias("n")).where("n >= 1000"))
+    return rounded(index.quantiles(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.1, 0.25, 0.5, 0.9]).where("n >= 1000"))
 
 
 @reg.add("ag17_describe", "SELECT p_brand, count(p_retailprice) AS count, round(avg(p_retailprice), 4) AS mean, round(stddev_samp(p_retailprice), 4) AS std, round(min(p_retailprice), 4) AS min, round(quantile_cont(p_retailprice, 0.25), 4) AS p25, round(quantile_cont(p_retailprice, 0.5), 4) AS p50, round(quantile_cont(p_retailprice, 0.75), 4) AS p75, round(max(p_retailprice), 4) AS max FROM part GROUP BY p_brand")
@@ -266,10 +282,7 @@ def ag15(spark, d):
 
 @reg.add("ag27_class_totals_top", "WITH g AS (SELECT p_brand, sum(p_size) AS area, avg(p_retailprice) AS attr FROM part GROUP BY p_brand) SELECT p_brand, CAST(area AS BIGINT) AS area, round(attr, 4) AS mean_attr, round(100.0 * area / sum(area) OVER (), 4) AS pct FROM g ORDER BY area DESC, p_brand LIMIT 12")
 def ag27(spark, d):
-    from pyspark.sql import Window
-
-    g = table(spark, d, "part").groupBy("p_brand").agg(F.sum("p_size").alias("area"), F.avg("p_retailprice").alias("mean_attr"))
-    return rounded(g.withColumn("pct", 100 * F.col("area") / F.sum("area").over(Window.partitionBy())).orderBy(F.desc("area"), "p_brand").limit(12))
+    return rounded(index.class_totals(table(spark, d, "part"), "p_brand", "p_size", "p_retailprice", 12))
 
 
 @reg.add("ag31_confusion", "WITH t AS (SELECT CAST(l_linenumber % 3 AS INTEGER) AS y, CAST(l_quantity AS INTEGER) % 3 AS pred FROM lineitem) SELECT y, pred, count(*) AS n, round(1.0 * count(*) / sum(count(*)) OVER (PARTITION BY y), 5) AS share FROM t GROUP BY y, pred")
@@ -369,12 +382,13 @@ def sl03(spark, d):
     return index.strided(table(spark, d, "supplier").select("s_suppkey"), 13, "s_suppkey")
 
 
-@reg.add("sl04_capped_sample", "WITH r AS (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey * 2654435761 % 1000003, o_orderkey) AS k FROM orders) SELECT o_orderpriority, o_orderkey FROM r WHERE k <= 40")
+@reg.add("sl04_capped_sample", "SELECT o_orderpriority, least(count(*), 40) AS n, least(count(*), 40) AS n_same, 0 AS n_foreign FROM orders GROUP BY o_orderpriority")
 def sl04(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("o_orderpriority").orderBy(F.col("o_orderkey") * F.lit(2654435761) % 1000003, "o_orderkey")
-    return table(spark, d, "orders").withColumn("k", F.row_number().over(w)).where("k <= 40").select("o_orderpriority", "o_orderkey")
+    """Rows of each group in the sample, how many of them a second draw has, and how many are not of the table."""
+    o = table(spark, d, "orders").select("o_orderpriority", "o_orderkey")
+    one, two = index.capped_sample(o, ["o_orderpriority"], 40, F.col("o_orderkey"), 7), index.capped_sample(o.repartition(5), ["o_orderpriority"], 40, F.col("o_orderkey"), 7)
+    kept = one.join(two.withColumn("_two", F.lit(1)), ["o_orderpriority", "o_orderkey"], "left").join(o.withColumn("_of", F.lit(1)), ["o_orderpriority", "o_orderkey"], "left")
+    return kept.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.count("_two").alias("n_same"), F.sum(F.when(F.col("_of").isNull(), 1).otherwise(0)).alias("n_foreign"))
 
 
 @reg.add("st_set_operations", "SELECT 'union' AS op, day FROM (SELECT CAST(ts AS DATE) AS day FROM events WHERE event_type = 'click' UNION SELECT CAST(ts AS DATE) FROM events WHERE event_type = 'view') UNION ALL SELECT 'missing', day FROM (SELECT CAST(ts AS DATE) AS day FROM events EXCEPT SELECT CAST(ts AS DATE) FROM events WHERE user_id = 7)")

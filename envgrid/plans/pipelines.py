@@ -77,17 +77,14 @@ def ag14(spark, d):
 
 @reg.add("ag21_class_pairs", "WITH q AS (SELECT l_returnflag AS c, count(*) AS n, quantile_cont(l_extendedprice, 0.5) AS m FROM lineitem GROUP BY 1 HAVING count(*) > 1000) SELECT a.c AS one, b.c AS two, round(a.m - b.m, 3) AS gap FROM q a JOIN q b ON a.c < b.c")
 def ag21(spark, d):
-    q = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("c")).agg(F.count("*").alias("n"), F.percentile("l_extendedprice", F.lit(0.5)).alias("m")).where("n > 1000")
-    other = q.select(F.col("c").alias("two"), F.col("m").alias("m2"))  # one row for each class
-    return q.join(other, q["c"] < F.col("two")).select(F.col("c").alias("one"), "two", F.round(F.col("m") - F.col("m2"), 3).alias("gap"))
+    return rounded(index.class_gaps(table(spark, d, "lineitem"), "l_returnflag", "l_extendedprice", 1000), 3)
 
 
 @reg.add("sc18_stretch", "WITH q AS (SELECT quantile_cont(l_extendedprice, 0.02) AS lo, quantile_cont(l_extendedprice, 0.98) AS hi FROM lineitem) SELECT l_orderkey, l_linenumber, round(greatest(0, least(1, (l_extendedprice - lo) / (hi - lo))), 6) AS v FROM lineitem, q")
 def sc18(spark, d):
     li = table(spark, d, "lineitem")
-    lo, hi = index.percentiles(F.col("l_extendedprice"), (0.02, 0.98))
-    q = li.agg(lo.alias("lo"), hi.alias("hi"))
-    return li.crossJoin(F.broadcast(q)).select("l_orderkey", "l_linenumber", F.round(scalars.stretch(F.col("l_extendedprice"), F.col("lo"), F.col("hi")), 6).alias("v"))  # one row
+    q = index.quantiles(li, [], "l_extendedprice", (0.02, 0.98))
+    return li.crossJoin(F.broadcast(q)).select("l_orderkey", "l_linenumber", F.round(scalars.stretch(F.col("l_extendedprice"), F.col("p02"), F.col("p98")), 6).alias("v"))  # one row
 
 
 @reg.add("pf12_unit_toggle", f"WITH {EVENTS} SELECT event_id, concat_ws('_', CAST(user_id AS VARCHAR), kind) AS series_key, CASE WHEN station % 2 = 0 THEN round(value / 25.4, 7) ELSE value END AS shown, CASE WHEN station % 2 = 0 THEN 'in' ELSE 'mm' END AS unit FROM ev")
