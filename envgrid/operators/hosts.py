@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler
@@ -9,8 +11,11 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from envgrid.functions.scalars import embedding_valid
-from envgrid.operators.index import balanced_accuracy, confusion
+from envgrid.functions.scalars import block_id, embedding_valid
+from envgrid.operators.grid import GridSpec
+from envgrid.operators.index import balanced_accuracy, capped_sample, confusion
+from envgrid.operators.zonal import burn
+from envgrid.sources.stages import stage
 
 
 def with_features(df: DataFrame, emb: str = "emb") -> DataFrame:
@@ -18,7 +23,7 @@ def with_features(df: DataFrame, emb: str = "emb") -> DataFrame:
 
 
 def fold_of_blocks(df: DataFrame, folds: int = 5, block: str = "block") -> DataFrame:
-    """(block, fold): blocks by falling size, each to the fold that holds least. The list of blocks is the area's, not the rows'."""
+    """(block, fold): blocks by falling size, each to the fold that holds least. A block is a square of an area, so the list is bounded by the area: 5 km squares of a continent are some hundred thousand."""
     sizes = df.groupBy(block).agg(F.count("*").alias("n")).orderBy(F.desc("n"), block).collect()
     load = [0] * folds
     out = []
@@ -36,9 +41,9 @@ def classifier(n: int, c: float = 0.1, iterations: int = 3000) -> Pipeline:
     return Pipeline(stages=[scale, fit])
 
 
-def out_of_fold(df: DataFrame, folds: int = 5, c: float = 0.1, iterations: int = 100) -> DataFrame:
+def out_of_fold(df: DataFrame, folds: int = 5, c: float = 0.1, iterations: int = 3000) -> DataFrame:
     """df with fold, pred and probability array: each row from the model that has not seen its block."""
-    dealt = with_features(df).join(F.broadcast(fold_of_blocks(df, folds)), "block").persist()
+    dealt = with_features(stage(df.join(fold_of_blocks(df, folds), "block"), "folds"))
     sizes = {r["fold"]: r["n"] for r in dealt.groupBy("fold").agg(F.count("*").alias("n")).collect()}
     total = sum(sizes.values())
     out = None
@@ -52,7 +57,7 @@ def out_of_fold(df: DataFrame, folds: int = 5, c: float = 0.1, iterations: int =
     return out
 
 
-def predict_all(df: DataFrame, sample: DataFrame, c: float = 0.1, iterations: int = 100) -> DataFrame:
+def predict_all(df: DataFrame, sample: DataFrame, c: float = 0.1, iterations: int = 3000) -> DataFrame:
     """df with pred and probability array from one fit on the labelled sample; both are NULL where the embedding is not valid."""
     train = with_features(sample.where(embedding_valid(F.col("emb")) & F.col("y").isNotNull())).persist()
     model = classifier(train.count(), c, iterations).fit(train)
@@ -72,6 +77,41 @@ def report(predicted: DataFrame) -> DataFrame:
     return acc.crossJoin(counts).crossJoin(cells).select(F.to_json(F.struct("balanced_accuracy", "n_per_class", "confusion")).alias("value"))
 
 
+def labelled_cells(embeddings: DataFrame, polygons: DataFrame, grid: GridSpec, label: str, cap: int, seed: int = 0, rings: str = "rings") -> DataFrame:
+    """(row, col, emb, y, block) to learn from: cells of labelled polygons with a valid embedding, at most cap of each label."""
+    burnt = burn(polygons, grid, label, label, rings).withColumnRenamed("value", "y")
+    both = embeddings.where(embedding_valid(F.col("emb"))).join(burnt, ["row", "col"])
+    place = F.xxhash64("row", "col")
+    return capped_sample(both.withColumn("block", block_id(grid.x(F.col("col")), grid.y(F.col("row")), int(max(1, 5 * grid.res)))), ["y"], cap, place, seed)
+
+
+def gradient(df: DataFrame, c: float = 0.1, iterations: int = 3000) -> DataFrame:
+    """(class, feature, slope) of the averaged loss with its penalty at the fitted weights, on standardised features: 0 at the optimum."""
+    train = with_features(df).persist()
+    n = train.count()
+    model = classifier(n, c, iterations).fit(train)
+    fit = model.stages[1]
+    weights = fit.coefficientMatrix.toArray()
+    done = model.transform(train).select(vector_to_array("scaled").alias("x"), vector_to_array("probability").alias("p"), "y")
+    each = done.select(F.posexplode("p").alias("class", "p"), "y", "x").select("class", F.posexplode("x").alias("feature", "x"), (F.col("p") - F.when(F.col("y") == F.col("class"), 1.0).otherwise(0.0)).alias("d"))
+    sums = each.groupBy("class", "feature").agg((F.sum(F.col("d") * F.col("x")) / n).alias("g"))
+    rows = [(k, j, float(weights[k, j] / (c * n))) for k in range(weights.shape[0]) for j in range(weights.shape[1])]  # classes by features, not rows
+    pull = df.sparkSession.createDataFrame(rows, "class int, feature int, w double")
+    return sums.join(pull, ["class", "feature"]).select("class", "feature", (F.col("g") + F.col("w")).alias("slope"))
+
+
+def percent_layers(predicted: DataFrame, classes: Sequence[str], source: GridSpec, shared: GridSpec, tile: str = "tile") -> DataFrame:
+    """(row, col, one percent byte for each class) on the shared grid: the nearest source cell of each of its cells; of overlapping tiles the first."""
+    at = predicted.where(F.col("proba").isNotNull()).groupBy("row", "col").agg(F.min_by(percent_bytes(), tile).alias("b"))
+    # a shared cell takes the source cell that its centre is in; a source cell lists the shared cells with their centre in it
+    k = int(source.res / shared.res) + 1
+    first_row, first_col = shared.row(source.y(F.col("row")) + source.res / 2), shared.col(source.x(F.col("col")) - source.res / 2)
+    span = lambda first: F.explode(F.transform(F.sequence(F.lit(0), F.lit(k)), lambda i: first + i))
+    listed = at.withColumn("_r", span(first_row)).withColumn("_c", span(first_col))
+    mine = listed.where((source.row(shared.y(F.col("_r"))) == F.col("row")) & (source.col(shared.x(F.col("_c"))) == F.col("col")) & shared.inside(F.col("_r"), F.col("_c")))
+    return mine.select(F.col("_r").alias("row"), F.col("_c").alias("col"), *[F.get("b", F.lit(i)).alias(c) for i, c in enumerate(classes)])
+
+
 def percent_bytes(proba: str = "proba") -> F.Column:
     """Probabilities as whole percents."""
     return F.transform(proba, lambda p: F.bround(100 * p).cast("int"))

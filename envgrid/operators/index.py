@@ -162,6 +162,11 @@ def numbered(df: DataFrame, *order: str, name: str = "k") -> DataFrame:
     return running(df.withColumn("_one", F.lit(1).cast("long")), order, "_one", name).drop("_one").withColumn(name, F.col(name) + 1)
 
 
+def first_match(df: DataFrame, condition: Column, *order: str) -> DataFrame:
+    """The first row, by order, that fulfils the condition."""
+    return df.where(condition).orderBy(*order).limit(1)
+
+
 def strided(df: DataFrame, step: int, *order: str) -> DataFrame:
     """Every step-th row of the order, beginning with the first."""
     return numbered(df, *order, name="_k").where(F.col("_k") % step == 1).drop("_k")

@@ -11,6 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from envgrid.functions.scalars import hargreaves, pet_climatology
+from envgrid.sources.stages import stage
+
 SOAK_MM, INTERCEPT, REARM, SPIN_UP, KEEP_DAYS, FROST = 12.7, 0.85, 0.30, 90, 21, -2.0
 
 
@@ -35,13 +38,18 @@ def days_between(df: DataFrame, key: str, day: str, value: str) -> DataFrame:
     return ends.select(key, F.explode(F.sequence("a", "b")).alias(day)).join(df, [key, day], "left").withColumn(value, F.coalesce(value, F.lit(0.0)))
 
 
+def last_days(days: int, key: str, day: str):
+    """The window of the last days by date, whether each has a row or not."""
+    return Window.partitionBy(key).orderBy(F.unix_date(F.col(day).cast("date"))).rangeBetween(1 - days, 0)
+
+
 def trailing_sum(value: str, days: int, key: str, day: str) -> Column:
-    return F.sum(value).over(Window.partitionBy(key).orderBy(day).rowsBetween(1 - days, 0))
+    return F.sum(value).over(last_days(days, key, day))
 
 
 def trailing_mean(value: str, days: int, key: str, day: str) -> Column:
     """Mean of the given values of the last days."""
-    return F.avg(value).over(Window.partitionBy(key).orderBy(day).rowsBetween(1 - days, 0))
+    return F.avg(value).over(last_days(days, key, day))
 
 
 def days_since(event: Column, number: str, key: str) -> Column:
@@ -81,6 +89,30 @@ def pet_with_fallback(temps: DataFrame, hargreaves: Column, climatology: Column)
     return temps.join(whole, "day").withColumn("pet", F.when(F.col("_all"), hargreaves).otherwise(climatology)).drop("_all")
 
 
+def soil_moisture_state(rain: DataFrame, temperature: DataFrame, capacity: DataFrame, days: DataFrame, cell: Sequence[str] = ("i", "j"), rain_hours: int = 24, temperature_hours: int = 20, spin_up: int = SPIN_UP, windows: Sequence[int] = (7, 14, 21, 30)) -> DataFrame:
+    """The state of each cell and capacity after its last complete day.
+
+    rain and temperature are hourly (day, cell, value), capacity is (cell, cap), days the calendar. Complete days of rain
+    are totalled; evapotranspiration follows the days' highest and lowest temperature where every cell has both, else the
+    day of the year; the soil fold gives water, its means and the clocks. Beside them stand the rain of the last days by
+    date, the mean lowest temperature of seven days, and the days since frost.
+    """
+    total = complete_day_totals(rain, rain_hours, cell)
+    extremes = complete_day_extremes(temperature, days, temperature_hours, cell)
+    doy = F.dayofyear("day")
+    pet = pet_with_fallback(extremes, hargreaves(F.col("hi"), F.col("lo"), doy), pet_climatology(doy)).select("day", *cell, "lo", "pet")
+    first = total.agg(F.min("day").alias("_first"))
+    daily = stage(total.join(pet, ["day", *cell], "left").withColumn("pet", F.coalesce("pet", pet_climatology(doy))).crossJoin(F.broadcast(first)).withColumn("n", F.datediff("day", "_first")).drop("_first"), "soil-days")  # one row
+    state = soil_state(daily.select(*cell, "n", F.col("total").alias("p"), "pet"), capacity, cell, spin_up)
+    last = daily.groupBy(*cell).agg(F.max("n").alias("_last"))
+    within = lambda w, v: F.when(F.col("n") > F.col("_last") - w, v)
+    now = daily.join(last, list(cell)).groupBy(*cell).agg(
+        *[F.sum(within(w, F.col("total"))).alias(f"rain_{w}") for w in windows], F.avg(within(7, F.col("lo"))).alias("tmin_7"),
+        (F.max("_last") - F.max(F.when(F.col("lo") <= FROST, F.col("n")))).alias("days_since_frost"),
+    )
+    return state.join(now, list(cell))
+
+
 def date_runs(dates: DataFrame, max_gap: int = 3, max_days: int = 120, day: str = "day") -> DataFrame:
     """(day, run): a run ends where the gap is over max_gap days, and after max_days dates.
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from envgrid.functions import scalars
-from envgrid.functions.timebuckets import expected_hours, window_end, window_start
+from envgrid.functions import geo, scalars
+from envgrid.functions.timebuckets import expected_hours, report_day, window_end, window_start
+from envgrid.operators import zonal
+from envgrid.operators.grid import GridSpec
+from envgrid.sources.stages import stage
 
 
 def parse_dates(spark: SparkSession, spec: str) -> DataFrame:
@@ -36,6 +39,17 @@ def day_records(means: DataFrame, hours: DataFrame, areas: DataFrame, poly: str
     )
 
 
+def basin_daily(hourly: DataFrame, polygons: DataFrame, grid: GridSpec, key: str = "basin_id", unit_m2: float = 1e6, rings: str = "rings") -> DataFrame:
+    """Day records of each polygon from an hourly grid (row, col, time, value): report days, area weights, covered share, valid hours, volumes. unit_m2 is the area of a unit square of the grid."""
+    h = hourly.withColumn("report_date", report_day("time", "wall7_right"))
+    weights = stage(zonal.cell_weights(polygons, grid, key, rings), "weights")
+    daily = h.groupBy("report_date", "row", "col").agg(F.sum("value").alias("value"))  # missing where all hours are
+    means = zonal.polygon_means(daily, weights, ["report_date"], key)
+    hours = zonal.valid_hours(h, weights, ["report_date"], key)
+    areas = polygons.select(key, (F.abs(geo.polygon_area(rings)) * unit_m2).alias("area_m2"))
+    return day_records(means, hours, areas, key)
+
+
 def upsert(old: DataFrame, new: DataFrame, day: str = "report_date") -> DataFrame:
     """All rows of dates that new has come from new, other dates stay."""
     return old.join(new.select(day).distinct(), day, "left_anti").unionByName(new)

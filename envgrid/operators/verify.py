@@ -97,6 +97,15 @@ def hours_histogram(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame
     return df.groupBy(*keys).agg(F.count(value).alias("n_hours")).groupBy("n_hours").agg(F.count("*").alias("n_groups"))
 
 
+def ordered_lookup(ids: Sequence, dimension: DataFrame, key: str) -> DataFrame:
+    """(place, columns of dimension) of each id, in their given order (place, from 1); an id that dimension hasn't is an error. The ids are a list in the program, so they are few."""
+    kind = dimension.schema[key].dataType.simpleString()
+    wanted = dimension.sparkSession.createDataFrame([(k + 1, i) for k, i in enumerate(ids)], f"place int, _want {kind}")
+    found = wanted.join(dimension.withColumn("_has", F.lit(True)), F.col("_want") == F.col(key), "left")
+    known = F.when(F.col("_has"), F.col("place")).otherwise(F.raise_error(F.concat(F.lit(f"no {key} "), F.col("_want").cast("string"))).cast("int"))
+    return found.select(known.alias("place"), *dimension.columns)
+
+
 def missing_stamps(expected: DataFrame, available: DataFrame, key: str = "stamp") -> DataFrame:
     """(day, n_expected, n_missing): stamps of a window that the store has not."""
     return expected.join(available.select(key).distinct().withColumn("_has", F.lit(1)), key, "left").groupBy("day").agg(F.count("*").alias("n_expected"), F.sum(F.when(F.col("_has").isNull(), 1).otherwise(0)).alias("n_missing"))

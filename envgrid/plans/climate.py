@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from envgrid.functions import codes, geo, scalars
-from envgrid.operators import hosts, index, moisture, score
+from envgrid.operators import moisture, score
 from envgrid.plans.views import DAILY, EVENTS, Registry, daily, events, rounded, table
 from envgrid.sources import io
 
@@ -90,19 +90,23 @@ _SCORED = f"""s AS (SELECT *, CASE WHEN host IS NULL OR season IS NULL OR sustai
  li AS (SELECT *, CASE WHEN class IN (1, 2) THEN CASE WHEN host IS NULL THEN 1 WHEN season IS NULL THEN 2 WHEN sustained IS NULL THEN 3 WHEN lag IS NULL THEN 4 WHEN host = {_LEAST} THEN 1 WHEN season = {_LEAST} THEN 2 WHEN sustained = {_LEAST} THEN 3 ELSE 4 END ELSE 0 END AS limiter FROM k)"""
 
 
-def scored(spark, d):
-    """Score, class and limiting term of each cell (an order) and species."""
+def scored_cells(spark, d):
+    """The layers of each cell (an order)."""
     o, li = table(spark, d, "orders").select("o_orderkey"), table(spark, d, "lineitem").select("l_orderkey", "l_discount", "l_tax", "l_quantity")
     key, many = F.col("o_orderkey"), F.count("*")
     la = o.join(li, o.o_orderkey == li.l_orderkey).groupBy("o_orderkey").agg(
         (F.max("l_discount") * 4).alias("oak"), F.when(many > 1, F.least(F.lit(1.0), F.min("l_tax") * 8)).alias("nonhost"), (F.max("l_tax") * 10).alias("evergreen"), (F.min("l_quantity") / 50).alias("sm_14"), (F.avg("l_quantity") / 50).alias("sm_21"),
         F.max("l_quantity").alias("rain_14"), F.sum("l_quantity").alias("rain"), many.alias("n"),
     )
-    cells = la.select(
+    return la.select(
         key.alias("cell"), "oak", "nonhost", "evergreen", "sm_14", "sm_21", "rain_14", F.when(key % 13 > 0, F.col("rain")).alias("rain_21"), F.when(F.col("n") > 2, key % 12).alias("wetup"), F.when(key % 11 > 0, key % 23).alias("tmin7"),
         F.when(key % 7 == 0, key % 60).alias("frost"), (key % 3 > 0).alias("canopy"), F.lit(278).alias("doy"),
     )
-    return score.score_species(cells, score.species_table(spark))
+
+
+def scored(spark, d):
+    """Score, class and limiting term of each cell and species."""
+    return score.score_species(scored_cells(spark, d), score.species_table(spark))
 
 
 @reg.add("pl13_score_species", f"WITH {SPECIES_SQL}, {_LAYERS}, {_TERMS}, {_SCORED} SELECT species, cell, round(CAST(score AS DOUBLE), 7) AS score, class, limiter FROM li")
@@ -212,18 +216,3 @@ def io12(spark, d):
 @reg.add("io19_summary_json", "SELECT concat('{\"station\":', station, ',\"n\":', count(*), '}') AS value FROM (SELECT user_id % 16 AS station FROM events) GROUP BY station")
 def io19(spark, d):
     return io.summary_json(events(spark, d).groupBy("station").agg(F.count("*").alias("n")))
-
-
-@reg.add("ml03_host_report")
-def ml03(spark, d):
-    """Out-of-fold report of the embeddings' labels, folds by blocks of 25 ids."""
-    e = table(spark, d, "embeddings").select(F.col("embedding").alias("emb"), F.col("label").cast("int").alias("y"), F.floor(F.col("vec_id") / 25).alias("block"))
-    return hosts.report(hosts.out_of_fold(e, iterations=50))
-
-
-@reg.add("ml06_percent_bands")
-def ml06(spark, d):
-    """Percent bytes of every embedding, from one fit on at most 3000 of each label."""
-    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("emb"), F.col("label").cast("int").alias("y"))
-    out = hosts.predict_all(e, index.capped_sample(e.where(F.col("y").isNotNull() & scalars.embedding_valid(F.col("emb"))), ["y"], 3000, F.col("vec_id")), iterations=50)
-    return out.select("vec_id", "y", "pred", hosts.percent_bytes().alias("bands"))

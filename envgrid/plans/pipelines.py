@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from envgrid.functions import geo, scalars
+from envgrid.functions import codes, geo, scalars
 from envgrid.functions.timebuckets import lead_day, report_day
-from envgrid.operators import grid, index, moisture, series, verify, zonal
+from envgrid.operators import grid, index, land, moisture, series, verify, zonal
+from envgrid.plans.climate import _RA
 from envgrid.plans.fields import SERIES, SPEC, basin_series
 from envgrid.plans.verification import PEARSON
-from envgrid.plans.views import BOXES, CELLS, DAILY, EVENTS, LAYER, TRIANGLES, Registry, boxes, cells, daily, events, in_triangle, layer, rounded, table, triangles, wall7
+from envgrid.plans.views import AREA, BOXES, CELLS, EVENTS, HOURLY, LAYER, TRIANGLES, Registry, boxes, cells, events, hourly, in_triangle, layer, rounded, table, triangle_area, triangles, wall7
 from envgrid.sources import io
 
 reg = Registry()
@@ -109,16 +110,95 @@ def pl02(spark, d):
     return rounded(out.select("lead", F.when(F.col("pooled") == 1, "ALL").otherwise(F.col("station").cast("string")).alias("who"), "n", "r", "bias"))
 
 
-@reg.add("pl07_moisture_layers", f"""WITH RECURSIVE {DAILY}, fc AS (SELECT user_id % 9 AS i, n, sum(rain) / 20 AS p FROM da GROUP BY ALL), f AS (SELECT i, -1 AS n, 20.0::DOUBLE AS s FROM (SELECT DISTINCT i FROM fc) UNION ALL
- SELECT f.i, d.n, greatest(least(f.s + 0.85::DOUBLE * d.p, 40.0::DOUBLE) - (2.35::DOUBLE + 2.05::DOUBLE * cos(2 * pi() * (d.n + 1 - 196) / 365.25)) * least(f.s + 0.85::DOUBLE * d.p, 40.0::DOUBLE) / 40, 0) FROM f JOIN fc d ON d.i = f.i AND d.n = f.n + 1),
- r AS (SELECT i, sum(CASE WHEN n > 22 THEN p END) AS rain_7, sum(CASE WHEN n > 8 THEN p END) AS rain_21 FROM fc GROUP BY i) SELECT c.c_custkey AS cell, round(f.s / 40, 6) AS sm, round(r.rain_7, 4) AS rain_7, round(r.rain_21, 4) AS rain_21 FROM customer c JOIN f ON f.i = c.c_custkey % 9 AND f.n = 29 JOIN r ON r.i = c.c_custkey % 9""")
+_MOIST = f"""ev AS (SELECT CAST(ts AS DATE) AS day, user_id % 9 AS i, CASE WHEN value > 3 THEN value END AS rain, value * 0.6 - 6 AS temp FROM events),
+ g AS (SELECT day, i, coalesce(sum(rain), 0) AS p, count(rain) AS n FROM ev GROUP BY ALL), t AS (SELECT day, i, max(temp) AS hi, min(temp) AS lo, count(temp) AS n FROM ev GROUP BY ALL),
+ ok AS (SELECT day FROM g GROUP BY day HAVING max(n) >= 4), full_ AS (SELECT day FROM t GROUP BY day HAVING min(n) >= 2), x AS (SELECT t.day, i, CASE WHEN f.day IS NOT NULL THEN hi END AS hi, CASE WHEN f.day IS NOT NULL THEN lo END AS lo FROM t LEFT JOIN full_ f ON f.day = t.day),
+ w AS (SELECT day, bool_and(hi IS NOT NULL AND lo IS NOT NULL) AS whole FROM x GROUP BY day), e AS (SELECT x.day, i, lo, dayofyear(x.day) AS doy, CASE WHEN whole THEN greatest(0.0023 * 0.408 * {_RA.replace("doy", "dayofyear(x.day)")} * ((hi + lo) / 2 + 17.8) * sqrt(hi - lo), 0) ELSE 2.35 + 2.05 * cos(2 * pi() * (dayofyear(x.day) - 196) / 365.25) END AS pet FROM x JOIN w ON w.day = x.day),
+ da AS (SELECT g.i, CAST(g.day - (SELECT min(day) FROM ok) AS INTEGER) AS n, p, e.pet, e.lo, row_number() OVER (PARTITION BY g.i ORDER BY g.day) AS k FROM g JOIN ok ON ok.day = g.day JOIN e ON e.day = g.day AND e.i = g.i)"""
+
+
+@reg.add("pl07_moisture_layers", f"""WITH RECURSIVE {_MOIST}, f AS (SELECT i, 0::BIGINT AS k, 20.0::DOUBLE AS s, TRUE AS armed, CAST(NULL AS INTEGER) AS wet FROM (SELECT DISTINCT i FROM da) UNION ALL
+ SELECT f.i, d.k, greatest(least(f.s + 0.85::DOUBLE * d.p, 40.0) - d.pet * least(f.s + 0.85::DOUBLE * d.p, 40.0) / 40.0, 0), CASE WHEN d.p >= 12.7 AND (f.armed OR f.s / 40 < 0.3) THEN FALSE ELSE f.armed OR f.s / 40 < 0.3 END, CASE WHEN d.p >= 12.7 AND (f.armed OR f.s / 40 < 0.3) THEN d.n ELSE f.wet END FROM f JOIN da d ON d.i = f.i AND d.k = f.k + 1),
+ z AS (SELECT i, max(k) AS k, max(n) AS n FROM da GROUP BY i), r AS (SELECT da.i, {", ".join(f"sum(CASE WHEN da.n > z.n - {w} THEN p END) AS rain_{w}" for w in (7, 14, 21, 30))}, avg(CASE WHEN da.n > z.n - 7 THEN lo END) AS tmin_7, max(z.n) - max(CASE WHEN lo <= -2 THEN da.n END) AS days_since_frost FROM da JOIN z ON z.i = da.i GROUP BY da.i)
+ SELECT c.c_custkey AS cell, round(CAST(f.s / 40 AS DOUBLE), 6) AS sm, CAST(z.n - f.wet AS INTEGER) AS days_since_wetup, {", ".join(f"round(rain_{w}, 4) AS rain_{w}" for w in (7, 14, 21, 30))}, round(tmin_7, 4) AS tmin_7, CAST(days_since_frost AS INTEGER) AS days_since_frost FROM customer c JOIN z ON z.i = c.c_custkey % 9 JOIN f ON f.i = z.i AND f.k = z.k JOIN r ON r.i = z.i""")
 def pl07(spark, d):
-    """Soil water and trailing rain: folded on the coarse cells, then gathered to the fine ones (the customers)."""
-    coarse = daily(spark, d).groupBy((F.col("user_id") % 9).alias("i"), "n").agg((F.sum("rain") / 20).alias("p")).withColumn("pet", scalars.pet_climatology(F.col("n") + 1))
-    state = moisture.soil_state(coarse, coarse.select("i").distinct().withColumn("cap", F.lit(40.0)), ["i"], spin_up=5)
-    rain = coarse.groupBy("i").agg(F.sum(F.when(F.col("n") > 22, F.col("p"))).alias("rain_7"), F.sum(F.when(F.col("n") > 8, F.col("p"))).alias("rain_21"))
+    """Soil water, clocks, trailing rain and cold from hourly rain and temperature: folded on the coarse cells, then gathered to the fine ones (the customers)."""
+    e = table(spark, d, "events").select(F.to_date("ts").alias("day"), (F.col("user_id") % 9).alias("i"), F.when(F.col("value") > 3, F.col("value")).alias("rain"), (F.col("value") * 0.6 - 6).alias("temp"))
+    days = e.select("day").distinct()
+    state = moisture.soil_moisture_state(e.select("day", "i", F.col("rain").alias("value")), e.select("day", "i", F.col("temp").alias("value")), e.select("i").distinct().withColumn("cap", F.lit(40.0)), days, ["i"], 4, 2, spin_up=5)
     fine = table(spark, d, "customer").select(F.col("c_custkey").alias("cell"), (F.col("c_custkey") % 9).alias("i"))
-    return fine.join(state, "i").join(rain, "i").select("cell", F.round("sm", 6).alias("sm"), F.round("rain_7", 4).alias("rain_7"), F.round("rain_21", 4).alias("rain_21"))
+    out = fine.join(state, "i").select("cell", F.round("sm", 6).alias("sm"), "days_since_wetup", *[F.round(f"rain_{w}", 4).alias(f"rain_{w}") for w in (7, 14, 21, 30)], F.round("tmin_7", 4).alias("tmin_7"), "days_since_frost")
+    return out
+
+
+_COARSE = grid.GridSpec(0.0, 60.0, 5.0, 12, 12)
+
+
+@reg.add("pl05_basin_daily", f"""WITH {HOURLY}, {TRIANGLES}, h AS (SELECT *, {wall7("time - INTERVAL 1 MICROSECOND")} AS day FROM ho), dy AS (SELECT day, row, col, sum(value) AS value FROM h GROUP BY ALL),
+ wt AS (SELECT * FROM (SELECT basin_id, r AS row, c AS col, {triangle_area("(5 * c)", "(55 - 5 * r)", 5)} AS area FROM tr, (SELECT unnest(range(12)) AS r) a, (SELECT unnest(range(12)) AS c) b) WHERE area > 1e-7),
+ m AS (SELECT day, basin_id, sum(area * value) / nullif(sum(CASE WHEN value IS NOT NULL THEN area END), 0) AS mean, coalesce(sum(CASE WHEN value IS NOT NULL THEN area END), 0) / {AREA} AS cover FROM dy JOIN wt USING (row, col) GROUP BY ALL),
+ n AS (SELECT day, basin_id, count(DISTINCT CASE WHEN value IS NOT NULL THEN time END) AS n FROM h JOIN wt USING (row, col) GROUP BY ALL)
+ SELECT day AS report_date, basin_id, round_even(mean, 3) AS precip_mm, round_even(mean / 25.4, 4) AS precip_in, round(mean / 1000 * {AREA}e6 / 1000 + 0.0003, 2) AS volume_1000_m3, round_even(mean / 1000 * {AREA}e6 / 86400, 4) AS volume_flux_m3s, round_even(cover, 4) AS cover_frac, n AS n_hours, CAST(24 AS INTEGER) AS n_hours_expected FROM m JOIN n USING (day, basin_id)""")
+def pl05d(spark, d):
+    """An hourly grid to day records of slanted basins with holes: weights, covered share, valid and expected hours, volume, flux."""
+    out = series.basin_daily(hourly(spark, d), triangles(spark, d), _COARSE)
+    return out.withColumn("volume_1000_m3", F.round(F.col("volume_m3") / 1000 + 0.0003, 2)).drop("volume_m3")
+
+
+_OFFS = "(VALUES (0, 0), (0, 1), (1, 0), (0, -1), (-1, 0)) o(a, b)"
+_ERODE = "SELECT row + a AS row, col + b AS col FROM {0}, " + _OFFS + " GROUP BY ALL HAVING count(*) = 5"
+_DILATE = "SELECT DISTINCT row + a AS row, col + b AS col FROM {0}, " + _OFFS
+_WAY = [(0.3, 52.2), (40.7, 3.1), (59.1, 44.6)]
+_WAYS = ", ".join(f"({a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {e}::DOUBLE)" for (a, b), (c, e) in zip(_WAY, _WAY[1:], strict=False))
+
+
+@reg.add("pl11_wet_ground", f"""WITH RECURSIVE {LAYER}, {BOXES}, m0 AS (SELECT row, col FROM la WHERE value > 20 AND row % 20 < 14 AND col % 20 < 13), m1 AS ({_ERODE.format("m0")}), m2 AS ({_DILATE.format("m1")}), m3 AS ({_DILATE.format("m2")}), m4 AS ({_DILATE.format("m3")}), m5 AS ({_ERODE.format("m4")}), m6 AS ({_ERODE.format("m5")}),
+ m AS (SELECT row, col, row::BIGINT * 2147483648 + col AS id FROM m6), r(id, row, col, root) AS (SELECT id, row, col, id FROM m UNION SELECT m.id, m.row, m.col, r.root FROM r JOIN m ON abs(m.row - r.row) + abs(m.col - r.col) = 1), l AS (SELECT id, row, col, min(root) AS label FROM r GROUP BY ALL),
+ p AS (SELECT label, count(*) * 1.0 AS area, avg(value) AS mean, CAST(floor(avg(l.row)) AS INTEGER) AS row, CAST(floor(avg(l.col)) AS INTEGER) AS col FROM l LEFT JOIN la ON la.row = l.row AND la.col = l.col GROUP BY label HAVING count(*) >= 4),
+ f AS (SELECT label, CAST(trunc(coalesce(median(value), -1)) AS INTEGER) AS median FROM p LEFT JOIN la ON (la.row - p.row) * (la.row - p.row) + (la.col - p.col) * (la.col - p.col) <= 25 GROUP BY label),
+ q AS (SELECT label, sqrt(min(pow(greatest(x0 - (col + 0.5), 0, col + 0.5 - x0 - 12), 2) + pow(greatest(y0 - (59.5 - row), 0, 59.5 - row - y0 - 12), 2))) AS distance FROM p, bo WHERE kind = 0 GROUP BY label),
+ s AS (SELECT label, l.col AS x, 59 - l.row AS y FROM l), k AS (SELECT * FROM (VALUES {_WAYS}) t(ax, ay, ex, ey)),
+ t AS (SELECT label, sqrt(power(ex - ax, 2) + power(ey - ay, 2)) AS n, greatest(0, least((x - ax) / (ex - ax), (x + 1 - ax) / (ex - ax)), least((y - ay) / (ey - ay), (y + 1 - ay) / (ey - ay))) AS lo, least(1, greatest((x - ax) / (ex - ax), (x + 1 - ax) / (ex - ax)), greatest((y - ay) / (ey - ay), (y + 1 - ay) / (ey - ay))) AS hi FROM s, k),
+ c AS (SELECT label, sum(n * (hi - lo)) AS length FROM t WHERE hi > lo GROUP BY label)
+ SELECT CAST(p.label AS BIGINT) AS label, CAST(area AS DOUBLE) AS area, round(mean, 4) AS mean, p.row, p.col, median, round(distance, 4) AS distance, round(coalesce(length, 0), 4) AS length FROM p JOIN f USING (label) JOIN q USING (label) LEFT JOIN c USING (label)""")
+def pl11w(spark, d):
+    """Wet ground: opened and closed mask, patches, what is around their middle, how far the water is, how much of a line is in them."""
+    wet = (F.col("value") > 20) & (F.col("row") % 20 < 14) & (F.col("col") % 20 < 13)
+    return rounded(land.wet_patches(layer(spark, d), wet, SPEC, 4.0, boxes(spark, d).where("kind = 0"), _WAY))
+
+
+_SOIL = f"""{TRIANGLES}, u AS (SELECT n_nationkey AS mukey, n_name AS muname, CASE n_nationkey % 8 {" ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(codes.DRAINAGE.values()))} END AS drainage, greatest(CASE WHEN n_nationkey % 3 = 0 THEN n_nationkey % 5 * 10.0 ELSE (n_nationkey % 7 + 1) * 10 * 0.3 END, 8) AS capacity FROM nation),
+ b AS (SELECT x, y, max(basin_id) AS mukey FROM tr, (SELECT unnest(range(60)) AS x) a, (SELECT unnest(range(60)) AS y) c WHERE {in_triangle("(x + 0.5)", "(y + 0.5)")} GROUP BY ALL), l AS (SELECT x, y, u.* FROM b JOIN u USING (mukey))"""
+
+
+def soil(spark, d):
+    """Map units as a header-row table, their triangles, and the layers of both."""
+    n = table(spark, d, "nation")
+    k = F.col("n_nationkey")
+    name = F.get(F.array(*map(F.lit, codes.DRAINAGE)), (k % 8).cast("int"))
+    rows = F.array(k.cast("string"), F.col("n_name"), F.coalesce(name, F.lit("Not rated")), (k % 7 + 1).cast("string"), F.when(k % 3 == 0, (k % 5).cast("string")).otherwise(""))
+    texts = n.select(F.to_json(F.array(F.array(*map(F.lit, ("mukey", "muname", "drainagecl", "aws100", "aws25"))), rows)).alias("value"))
+    polygons = triangles(spark, d).select(F.col("basin_id").cast("string").alias("mukey"), "basin_id", "rings")
+    return land.soil_layers(land.soil_units(texts), polygons, SPEC, "basin_id")
+
+
+@reg.add("pl12_soil_layers", f"WITH {_SOIL} SELECT CAST(59 - y AS INTEGER) AS row, CAST(x AS INTEGER) AS col, CAST(mukey AS VARCHAR) AS mukey, muname, CAST(drainage AS INTEGER) AS drainage, CAST(capacity AS DOUBLE) AS capacity FROM l")
+def pl12s(spark, d):
+    return soil(spark, d)
+
+
+@reg.add("pl12_soil_summary", f"WITH {_SOIL} SELECT 'drainage' AS kind, coalesce(CAST(drainage AS VARCHAR), 'none') AS label, CAST(count(*) AS DOUBLE) AS area, round(avg(capacity), 4) AS mean_attr, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS pct FROM l GROUP BY drainage UNION ALL SELECT * FROM (SELECT 'unit', muname, CAST(count(*) AS DOUBLE), round(avg(capacity), 4), round(100.0 * count(*) / sum(count(*)) OVER (), 4) FROM l GROUP BY muname ORDER BY count(*) DESC, muname LIMIT 12)")
+def pl12t(spark, d):
+    layers = soil(spark, d)
+    one, two = land.soil_summary(layers, SPEC), land.soil_summary(layers, SPEC, "muname", 12)
+    return rounded(one.select(F.lit("drainage").alias("kind"), F.coalesce(F.col("drainage").cast("string"), F.lit("none")).alias("label"), "area", "mean_attr", "pct").unionByName(two.select(F.lit("unit").alias("kind"), F.col("muname").alias("label"), "area", "mean_attr", "pct")))
+
+
+@reg.add("pl12_forest_summary", f"WITH {LAYER}, f AS (SELECT row, col, (row * 7 + col) % 12 * 100 AS code, value FROM la), g AS (SELECT CASE code {' '.join(f'WHEN {k} THEN {chr(39)}{v}{chr(39)}' for k, v in codes.FOREST_TYPE_GROUPS.items())} ELSE concat('unmapped ', code) END AS forest, CASE WHEN value > 22 THEN value END AS s FROM f) SELECT forest, CAST(count(*) * 0.09 AS DOUBLE) AS area, round(avg(s), 4) AS mean_attr, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS pct FROM g GROUP BY forest")
+def pl12f(spark, d):
+    la = layer(spark, d)
+    kinds = la.select("row", "col", ((F.col("row") * 7 + F.col("col")) % 12 * 100).alias("value"))
+    return rounded(land.forest_summary(kinds, la, 0.09, 22.0))
 
 
 @reg.add("pl12_public_land", f"WITH {LAYER}, {BOXES}, o AS (SELECT x0, y0, CASE WHEN n_name LIKE '%A%' THEN 2 ELSE 1 END AS v, basin_id FROM bo JOIN nation ON n_nationkey = basin_id) SELECT coalesce(v, 0) AS code, count(*) AS n, CAST(count(*) * 0.0009 AS DOUBLE) AS km2 FROM la LEFT JOIN o ON col >= x0 AND col < x0 + 12 AND 59 - row >= y0 AND 59 - row < y0 + 12 GROUP BY 1")
@@ -135,11 +215,3 @@ def pl06(spark, d):
     s = basin_series(spark, d)
     last = s.join(F.broadcast(s.agg(F.max("report_date").alias("report_date"))), "report_date")  # one row
     return last.select("basin_id", "precip_mm", (100 * F.try_divide(F.col("n_hours"), F.col("n_hours_expected"))).alias("pct_hours")).orderBy(F.desc("precip_mm"), "basin_id").limit(5).select("basin_id", F.round("precip_mm", 4).alias("precip_mm"), F.round("pct_hours", 3).alias("pct_hours"))
-
-
-@reg.add("sr02_late_revision", f"WITH {SERIES}, old AS (SELECT report_date, basin_id, n_hours, round(mm, 4) AS mm FROM se), late AS (SELECT report_date, basin_id, n_hours + 1 AS n_hours, round(mm + 1, 4) AS mm FROM se WHERE report_date > (SELECT max(report_date) FROM se) - 2) SELECT * FROM old WHERE report_date NOT IN (SELECT report_date FROM late) UNION ALL SELECT * FROM late")
-def sr02(spark, d):
-    s = basin_series(spark, d).select("report_date", "basin_id", "n_hours", F.col("precip_mm").alias("mm"))
-    end = F.broadcast(s.agg(F.max("report_date").alias("_end")))  # one row
-    late = s.crossJoin(end).where(F.col("report_date") > F.date_sub("_end", 2)).select("report_date", "basin_id", (F.col("n_hours") + 1).alias("n_hours"), F.round(F.col("mm") + 1, 4).alias("mm"))
-    return series.upsert(s.withColumn("mm", F.round("mm", 4)), late)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or where it is unset a local folder of this session."""
+    """spark.checkpoint.dir. Where it is unset, a local session gets a local folder and a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -33,8 +36,9 @@ def unstage(df: DataFrame) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stage_once(spark: SparkSession, path: str, make) -> DataFrame:
-    """The table at path, made and written first where it is not there."""
+def stage_once(spark: SparkSession, path: str, make, inputs: str = "") -> DataFrame:
+    """The table at path, made and written first where it is not there. inputs says what it is made from: with other inputs it is another table."""
+    path = f"{path}-{hashlib.sha256(inputs.encode()).hexdigest()[:16]}" if inputs else path
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
