@@ -27,7 +27,7 @@ def pmax(*cols: Column) -> Column:
     return F.when(reduce(lambda a, b: a & b, [c.isNotNull() for c in cols]), F.greatest(*cols))
 
 
-def ramp(x: Column, lo: float, hi: float) -> Column:
+def ramp(x: Column, lo: Column | float, hi: Column | float) -> Column:
     """0 at lo, 1 at hi, linear between (falling if hi < lo), clipped; NULL stays NULL."""
     return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - lo) / (hi - lo))))
 
@@ -94,16 +94,6 @@ def canopy_gate(index: Column, summer: Column, marsh: Column, gate: float = 0.80
     return F.when(index.isNotNull() & summer.isNotNull() & (summer > gate) & (F.coalesce(marsh, F.lit(0)) != 1), index)
 
 
-def host_term(oak: Column, wet: Column, bog: Column, lo: float, hi: float, evergreen: Column | None = None, conifer: bool = False) -> Column:
-    """Ramp of the oak share, less wet and bog; species that also live on conifers take the better of the two."""
-    dry = 1 - F.least(F.lit(1.0), F.coalesce(wet, F.lit(0.0)) + F.coalesce(bog, F.lit(0.0)))
-    base = ramp(oak, lo, hi) * dry
-    if not conifer:
-        return base
-    other = ramp(evergreen, 0.3, 0.7) if evergreen is not None else 1 - ramp(oak, 0.04, 0.22)
-    return F.greatest(base, other)
-
-
 def frost_gate(season: Column, days_since_frost: Column, doy: Column, first_doy: int = 244) -> Column:
     """Season score, 0 if there was a frost since day first_doy of the year."""
     return F.when(F.coalesce(days_since_frost, F.lit(9999)) <= doy - first_doy, 0.0).otherwise(season)

@@ -59,9 +59,8 @@ def out_of_fold(df: DataFrame, folds: int = 5, c: float = 0.1, iterations: int =
 
 def predict_all(df: DataFrame, sample: DataFrame, c: float = 0.1, iterations: int = 3000) -> DataFrame:
     """df with pred and probability array from one fit on the labelled sample; both are NULL where the embedding is not valid."""
-    train = with_features(sample.where(embedding_valid(F.col("emb")) & F.col("y").isNotNull())).persist()
+    train = with_features(stage(sample.where(embedding_valid(F.col("emb")) & F.col("y").isNotNull()), "sample"))
     model = classifier(train.count(), c, iterations).fit(train)
-    train.unpersist()
     valid = F.coalesce(embedding_valid(F.col("emb")), F.lit(False))
     done = model.transform(with_features(df.where(valid))).withColumn("pred", F.col("prediction").cast("int")).withColumn("proba", vector_to_array("probability"))
     rest = df.where(~valid).withColumn("pred", F.lit(None).cast("int")).withColumn("proba", F.lit(None).cast("array<double>"))
@@ -87,7 +86,7 @@ def labelled_cells(embeddings: DataFrame, polygons: DataFrame, grid: GridSpec, l
 
 def gradient(df: DataFrame, c: float = 0.1, iterations: int = 3000) -> DataFrame:
     """(class, feature, slope) of the averaged loss with its penalty at the fitted weights, on standardised features: 0 at the optimum."""
-    train = with_features(df).persist()
+    train = with_features(stage(df, "labelled"))
     n = train.count()
     model = classifier(n, c, iterations).fit(train)
     fit = model.stages[1]

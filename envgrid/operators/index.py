@@ -147,7 +147,7 @@ def balanced_accuracy(conf: DataFrame, truth: str = "y", predicted: str = "pred"
 
 def coverage(df: DataFrame, value: str) -> DataFrame:
     """Share of given values, least, median, greatest, and the number missing."""
-    sums = df.agg((F.count(value) / F.count("*")).alias("given"), F.min(value).alias("min"), F.max(value).alias("max"), F.sum(F.when(F.col(value).isNull(), 1).otherwise(0)).alias("missing"))
+    sums = df.agg(F.try_divide(F.count(value), F.count("*")).alias("given"), F.min(value).alias("min"), F.max(value).alias("max"), F.sum(F.when(F.col(value).isNull(), 1).otherwise(0)).alias("missing"))
     return sums.join(F.broadcast(quantiles(df, [], value, [0.5]).select(F.col("p50").alias("median"))), F.lit(True), "left").select("given", "min", "median", "max", "missing")  # one row
 
 

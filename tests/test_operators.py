@@ -231,7 +231,10 @@ def test_percent_bands_of_every_embedding(spark, tmp_path):
     rng = np.random.default_rng(7)
     rows = [(k, k % 2, [float(k % 2) * 4 + float(x) for x in rng.normal(size=3)]) for k in range(7000)] + [(7000, None, [4.0, 4.0, 4.0]), (7001, 1, None)]
     spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
-    got = {r["vec_id"]: r for r in registry.QUERIES["ml06_percent_bands"](spark, str(tmp_path)).collect()}
+    e = spark.read.parquet(str(tmp_path / "embeddings.parquet")).select("vec_id", F.col("embedding").alias("emb"), F.col("label").alias("y"))
+    done = hosts.predict_all(e, index.capped_sample(e.where("y IS NOT NULL"), ["y"], 3000, F.col("vec_id"))).select("vec_id", "pred", hosts.percent_bytes().alias("bands"))
+    got = {r["vec_id"]: r for r in done.collect()}
+    assert {r["y"]: r["n"] for r in registry.QUERIES["ml06_percent_bands"](spark, str(tmp_path)).collect()} == {0: 3500, 1: 3501, None: 1}
     assert len(got) == 7002 and got[7000]["pred"] == 1 and got[7001]["bands"] is None
     assert all(abs(sum(r["bands"]) - 100) <= 1 for k, r in got.items() if k < 7001)
     assert sum(got[k]["pred"] == k % 2 for k in range(7000)) > 6900
@@ -269,6 +272,86 @@ def test_trailing_and_unique_streams(spark, tmp_path):
     assert got[day(1)] == 5.0 and got[day(2)] == 3.0
 
 
+def clipped(ring, x0, y0, x1, y1):
+    """Area with sign of a ring within a box, edge by edge."""
+    p = [tuple(v) for v in ring[:-1]]
+    for axis, bound, keep in ((0, x0, 1), (0, x1, -1), (1, y0, 1), (1, y1, -1)):
+        out = []
+        for a, b in zip(p, p[1:] + p[:1], strict=True):
+            u, v = keep * (a[axis] - bound), keep * (b[axis] - bound)
+            if u >= 0:
+                out.append(a)
+            if u * v < 0:
+                out.append(tuple(x + (y - x) * u / (u - v) for x, y in zip(a, b, strict=True)))
+        p = out
+    return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(p, p[1:] + p[:1], strict=True)) / 2 if p else 0.0
+
+
+def random_polygons(n, seed=5):
+    """Star-shaped outlines with a hole, some of them reaching out of the frame of 20 x 20."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for k in range(n):
+        cx, cy = rng.uniform(-2, 22, 2)
+        at = np.sort(rng.uniform(0, 2 * np.pi, 9))[::-1]
+        r = rng.uniform(1, 6, 9)
+        ring = [(cx + a * np.cos(t), cy + a * np.sin(t)) for a, t in zip(r, at, strict=True)]
+        hole = [(cx + 0.2 * np.cos(t), cy + 0.2 * np.sin(t)) for t in np.sort(rng.uniform(0, 2 * np.pi, 5))]
+        out.append((k, [[{"x": float(x), "y": float(y)} for x, y in [*q, q[0]]] for q in (ring, hole)]))
+    return out
+
+
+def test_areas_and_centres_of_any_outline(spark, monkeypatch):
+    monkeypatch.setattr(zonal, "STRIP", 7)
+    spec, shapes = grid.GridSpec(0.0, 20.0, 1.0, 20, 20), random_polygons(12)
+    got = {(r["basin_id"], r["row"], r["col"]): r["area"] for r in zonal.cell_weights(polys(spark, shapes), spec, "basin_id").collect()}
+    for k, rings in shapes:
+        for row in range(20):
+            for col in range(20):
+                want = abs(sum(clipped([(v["x"], v["y"]) for v in r], col, 19 - row, col + 1, 20 - row) for r in rings))
+                assert got.get((k, row, col), 0.0) == pytest.approx(want, abs=1e-7), (k, row, col)
+    centres = {(r["basin_id"], r["row"], r["col"]) for r in zonal.centre_cells(polys(spark, shapes), spec, ["basin_id"]).collect()}
+    every = polys(spark, shapes).crossJoin(spark.range(400)).select("basin_id", "rings", (F.col("id") % 20 + 0.5).alias("x"), (F.floor(F.col("id") / 20) + 0.5).alias("y"))
+    want = {(r["basin_id"], 19 - int(r["y"]), int(r["x"])) for r in every.where(geo.contains_point("rings", "x", "y")).collect()}
+    assert centres == want
+
+
+def test_points_boxes_and_distances_of_any_outline(spark):
+    spec, shapes = grid.GridSpec(0.0, 20.0, 1.0, 20, 20), polys(spark, random_polygons(8, 9))
+    rng = np.random.default_rng(2)
+    pts = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, 20, (150, 2)))], "id int, x double, y double")
+    both = pts.crossJoin(shapes)
+    want = {(r["id"], r["basin_id"]) for r in both.where(geo.contains_point("rings", "x", "y")).select("id", "basin_id").collect()}
+    found = zonal.points_inside(pts, shapes, spec, "basin_id").collect()
+    assert {(r["id"], r["basin_id"]) for r in found if r["basin_id"] is not None} == want and {r["id"] for r in found} == set(range(150))
+    far = pts.withColumn("x", 4 * F.col("x") - 30).withColumn("y", 3 * F.col("y") - 20)
+    near = {r["id"]: r["d"] for r in far.crossJoin(shapes).groupBy("id").agg(F.min(geo.polygon_distance("rings", "x", "y")).alias("d")).collect()}
+    got = {r["id"]: r["distance"] for r in zonal.nearest_distance(far, shapes, "id", 0.7).collect()}
+    assert got == pytest.approx(near) and zonal.nearest_distance(far, shapes.limit(0), "id", 1.0).where("distance IS NULL").count() == 150
+    boxes = pts.select("id", F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + 1.3).alias("x1"), (F.col("y") + 0.6).alias("y1")).where("x1 < 20 AND y1 < 20")
+    areas = {(r["id"], k) for r in boxes.collect() for k, rings in random_polygons(8, 9) if abs(sum(clipped([(v["x"], v["y"]) for v in q], r["x0"], r["y0"], r["x1"], r["y1"]) for q in rings)) > 1e-9}
+    assert {tuple(r) for r in zonal.boxes_that_meet(boxes, shapes, spec, "basin_id", "id").collect()} == areas
+
+
+def test_lookup_of_an_unknown_id_fails(spark):
+    dim = spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string")
+    assert [tuple(r) for r in verify.ordered_lookup([2, 1], dim, "id").orderBy("place").collect()] == [(1, 2, "b"), (2, 1, "a")]
+    with pytest.raises(Exception, match="no id 3"):
+        verify.ordered_lookup([2, 3], dim, "id").collect()
+
+
+def test_quantiles_of_groups_and_windows_by_date(spark):
+    rng = np.random.default_rng(4)
+    rows = [("hot", float(v)) for v in rng.integers(0, 40, 4000)] + [("one", 3.0), ("two", 1.0), ("two", 4.0), ("none", None)]
+    got = {r["k"]: r for r in index.quantiles(spark.createDataFrame(rows, "k string, v double").repartition(5), ["k"], "v", [0.1, 0.5, 0.97]).collect()}
+    for k in ("hot", "one", "two"):
+        v = [x for g, x in rows if g == k]
+        assert (got[k]["p10"], got[k]["p50"], got[k]["p97"]) == pytest.approx(tuple(np.percentile(v, [10, 50, 97]))) and got[k]["n"] == len(v)
+    assert "none" not in got and index.coverage(spark.createDataFrame([], "v double"), "v").first()["median"] is None
+    days = spark.createDataFrame([(1, dt.date(2024, 1, n), float(n)) for n in (1, 2, 9, 10)], "k int, day date, v double")
+    assert [r[0] for r in days.orderBy("day").select(moisture.trailing_sum("v", 7, "k", "day")).collect()] == [1.0, 3.0, 9.0, 19.0]
+
+
 def test_numbered_rows(spark):
     df = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("v"))
     assert index.numbered(df.repartition(7), "v").where("k <> v + 1").count() == 0
