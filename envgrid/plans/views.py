@@ -109,11 +109,11 @@ def triangle_area(cx: str, cy: str, r: float) -> str:
 
 def hourly(spark: SparkSession, d: str) -> DataFrame:
     """(row, col, time (hour-ending), value) of a 12 x 12 grid of 5 x 5 units over the frame, some values missing."""
-    e = table(spark, d, "events").select((F.col("user_id") % 12).cast("int").alias("row"), (F.col("event_id") % 12).cast("int").alias("col"), (F.date_trunc("hour", "ts") + F.expr("interval 1 hour")).alias("time"), F.when(F.col("value") > 2, F.col("value")).alias("value"))
+    e = table(spark, d, "events").select((F.col("user_id") % 12).cast("int").alias("row"), (F.col("event_id") % 12).cast("int").alias("col"), (F.date_trunc("hour", "ts") + F.expr("interval 1 hour")).alias("time"), F.when(F.col("value") > 2, F.col("value") * 0.9871313).alias("value"))
     return e.groupBy("row", "col", "time").agg(F.sum("value").alias("value"))
 
 
-HOURLY = "ho AS (SELECT CAST(user_id % 12 AS INTEGER) AS row, CAST(event_id % 12 AS INTEGER) AS col, date_trunc('hour', ts) + INTERVAL 1 HOUR AS time, sum(CASE WHEN value > 2 THEN value END) AS value FROM events GROUP BY ALL)"
+HOURLY = "ho AS (SELECT CAST(user_id % 12 AS INTEGER) AS row, CAST(event_id % 12 AS INTEGER) AS col, date_trunc('hour', ts) + INTERVAL 1 HOUR AS time, sum(CASE WHEN value > 2 THEN value * 0.9871313::DOUBLE END) AS value FROM events GROUP BY ALL)"
 
 
 def daily(spark: SparkSession, d: str) -> DataFrame:
