@@ -108,4 +108,18 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
-QUERIES = {"op3_quality": op3_quality}
+def quality_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base figures alone, which SQL can express."""
+    failed = "n_words < {} OR 100 * n_repeat_words > {} * n_words".format(MIN_WORDS, REPEAT_SHARE)
+    return figures(read(spark, sf_dir, "documents")).selectExpr("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", f"{failed} AS base_failed")
+
+
+QUERIES = {"op3_quality": op3_quality, "quality_figures": quality_figures}
+ORACLES = {
+    "quality_figures": r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ l AS (SELECT doc_id, list_filter(string_split(x, chr(10)), lambda y: regexp_matches(y, '[^\x20\x09-\x0D]')) AS l FROM t),
+ g AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM t WHERE len(w) > 4)), d AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS c FROM g),
+ r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM d, (SELECT unnest(range(5)) AS k) WHERE c > 1 GROUP BY doc_id),
+ f AS (SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words FROM t JOIN l ON l.doc_id = t.doc_id LEFT JOIN r ON r.doc_id = t.doc_id)
+ SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f""",
+}
