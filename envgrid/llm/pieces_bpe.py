@@ -8,7 +8,8 @@ segment once. The agendas of all new segments of an Arrow batch advance together
 segment and round. Characters outside the vocabulary become byte pieces. The sentencepiece library encodes the same new
 segments of each batch, and a difference raises an error.
 
-Null and empty texts have no ids and decode to the empty text. Repeated rows give repeated results, extra columns are
+Null and empty texts have no ids and decode to the empty text; an empty table gives an empty result; pairs of one score
+are merged from the left. Repeated rows give repeated results, extra columns are
 ignored, very long texts are segments like any others. Rows are independent, so nothing shuffles; memory holds a slice
 of a batch and a cache of at most CACHE segments, which affects speed only.
 """

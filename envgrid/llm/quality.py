@@ -7,7 +7,7 @@ and it passes the two base rules. The iterations are one SQL aggregate over the
 reach the driver. Votes and figures are staged once in the shared folder, so texts are read once.
 
 Null texts have no words, as have empty ones: they fail the base rules. Repeated rows give repeated results; extra
-columns are ignored; an empty table gives an empty result. Texts are never shuffled, so a hot source or one of a
+columns are ignored; an empty table gives an empty result; a posterior of just 0.5 keeps. Texts are never shuffled, so a hot source or one of a
 document's repeated lines concentrates nothing; long texts are arrays within their row. Windows and words are told apart
 by 64-bit hashes within a document.
 """

@@ -13,13 +13,17 @@ before it. A state holds, for each suffix that begins a token, its trie node, th
 tokens it has than the least; a transition is annotated with the count that all of them emit. States are compiled when a
 text first reaches them, and the counts of frequent words are kept; both stores are bounded and affect speed only.
 
-Null and empty texts have no tokens. Special tokens inside a text count as the library has it by default, one each.
+A word whose encoding isn't known by neighbours (none of this vocabulary) is encoded by a heap of merges instead.
+
+Null and empty texts have no tokens; an empty table gives an empty result; ties can't arise but between merges of one
+rank, of which the leftmost comes first. Special tokens inside a text count as the library has it by default, one each.
 Repeated rows give repeated results; extra columns are ignored; a text or a word of any length is read once, in whole.
 Rows are independent, so nothing shuffles.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 import unicodedata
@@ -162,14 +166,24 @@ class CountTransducer:
         self.states, self.number, self.step = [first], {first: 0}, {}
 
     def encode(self, symbols: tuple[int, ...]) -> list[int]:
-        """Merges in the order of rank, leftmost first: the definition, for short sequences."""
+        """Merges in the order of rank, leftmost first: the definition, by a heap of neighbours."""
         ids = [self.single[c] for c in symbols]
-        while len(ids) > 1:
-            k, i, made = min(((*self.ranks[p], i) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in self.ranks), default=(0, 0, -1), key=lambda x: (x[0], x[2]))
-            if made < 0:
-                break
-            ids[made : made + 2] = [i]
-        return ids
+        behind, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
+        heap = [(*self.ranks[p], i) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in self.ranks]
+        heap = [(k, i, made, ids[i], ids[i + 1]) for k, made, i in heap]
+        heapq.heapify(heap)
+        while heap:
+            _, i, made, one, two = heapq.heappop(heap)
+            j = behind[i] if ids[i] >= 0 else len(ids)
+            if ids[i] != one or j >= len(ids) or ids[j] != two:
+                continue  # one of the two has been merged since
+            ids[i], ids[j], behind[i] = made, -1, behind[j]
+            if behind[i] < len(ids):
+                before[behind[i]] = i
+            for a, b in ((before[i], i), (i, behind[i])):
+                if a >= 0 and b < len(ids) and (found := self.ranks.get((ids[a], ids[b]))):
+                    heapq.heappush(heap, (found[0], a, found[1], ids[a], ids[b]))
+        return [i for i in ids if i >= 0]
 
     def neighbours(self, a: int, b: int) -> bool:
         found = self.fits.get((a, b))

@@ -3,6 +3,7 @@
 import collections
 import gzip
 import hashlib
+import random
 import re
 import struct
 import time
@@ -54,6 +55,27 @@ def test_token_counts(documents, empty, corpus):
     assert token_counts.count_tokens(empty, path).count() == 0
 
 
+def test_merges_by_a_heap(words):
+    c = token_counts.CountTransducer(public_tokenizers.path("word_bpe_49k.json"))
+
+    def plain(symbols):
+        ids = [c.single[x] for x in symbols]
+        while True:
+            found = [(c.ranks[p][0], i, c.ranks[p][1]) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in c.ranks]
+            if not found:
+                return ids
+            _, i, made = min(found)
+            ids[i : i + 2] = [made]
+
+    for w in [*words[:150], "aaaaaaaaaaaa", "abababababab", "x", "".join(words[:40]), "ß" * 30]:
+        raw = w.lower().encode()
+        symbols = (*raw[:-1], raw[-1] + c.END)
+        assert c.encode(symbols) == plain(symbols), w
+        assert c.count(w.lower()) == len(plain(symbols)), w
+    began = time.time()
+    assert c.encode(tuple(b"ab" * 100_000)) and time.time() - began < 20
+
+
 def test_chunk_maps_compose():
     c = token_counts.char_classes()
     text = ("don't we'll 12 x'y'z '' 're " * 90)[: 3 * token_counts.CHUNK + 7]
@@ -164,3 +186,68 @@ def test_pages(spark):
             assert (got[k]["text"], got[k]["n_chars"]) == (want, len(want)), k
     assert got[6]["text"].startswith(long.strip() + "\nshort one") and "link link" not in got[6]["text"]
     assert html_text.extract_text(df.drop("text").where(F.lit(False))).count() == 0
+
+
+def by_hand(blocks):
+    """The two passes, each block held against all others."""
+    within = any(b.section and not b.zone for b in blocks)
+    full = [b.links > (html_text.LINKS_IN_ARTICLE if b.section else html_text.LINKS) * len(b.text) for b in blocks]
+    first = []
+    for i, b in enumerate(blocks):
+        words = html_text.WORD.findall(b.text.lower())
+        stops = sum(w in html_text.STOP_WORDS for w in words) / max(1, len(words))
+        same = [j for j in (i - 1, i + 1) if 0 <= j < len(blocks) and blocks[j].section == b.section and full[j] and not blocks[j].zone]
+        if b.zone or (within and not b.section):
+            first.append((False, "markup"))
+        elif full[i]:
+            first.append((False, "links") if not b.section or same else (None, ""))
+        elif not b.section and ("©" in b.text or (b.links and len(b.text) < html_text.SHORT)):
+            first.append((False, "links"))
+        elif len(b.text) < html_text.SHORT:
+            first.append((None, ""))
+        elif stops >= html_text.STOP_HIGH and len(b.text) > html_text.LONG:
+            first.append((True, "words"))
+        else:
+            first.append((None, "") if stops >= html_text.STOP_LOW or b.section else (False, "words"))
+    out = []
+    for i, b in enumerate(blocks):
+        speaks = [j for j, (label, why) in enumerate(first) if label is not None and why != "markup" and blocks[j].section == b.section and (label or not b.section or why != "links")]
+        later = [j for j in speaks if j > i]
+        if first[i][0] is not None:
+            out.append(first[i][0])
+        elif b.heading and i + 1 < len(blocks) and first[i + 1] == (False, "links") and blocks[i + 1].section == b.section:
+            out.append(False)
+        elif b.heading and later:
+            out.append(first[later[0]][0])
+        elif speaks:
+            least = min(abs(j - i) for j in speaks)
+            out.append(any(first[j][0] for j in speaks if abs(j - i) == least))
+        else:
+            out.append(b.section > 0)
+    return out
+
+
+def test_two_passes_by_hand():
+    r = random.Random(8)
+    stop, other = ["the", "of", "and", "to", "in"], ["zarp", "blint", "quome", "fendle", "grist"]
+    for _ in range(400):
+        blocks = []
+        for _ in range(r.randrange(1, 14)):
+            text = " ".join(r.choice(stop if r.random() < r.choice((0.05, 0.12, 0.4)) else other) for _ in range(r.choice((2, 5, 14, 40)))) + r.choice(("", "", " ©"))
+            blocks.append(html_text.Block(text, r.choice((0, 0, 0, len(text) // 3, len(text))), r.choice((0, 0, 1, 2)), r.random() < 0.2, r.random() < 0.1))
+        got = html_text.second_pass(blocks, html_text.first_pass(blocks))
+        assert [g for g, _ in got] == by_hand(blocks)
+
+
+def test_pages_whose_markup_misleads_or_says_nothing():
+    main = lambda h: html_text.main_blocks(h)
+    assert main("<article><p>one short</p><p><a href=x>a link alone</a></p><p>two short</p></article>") == ["one short", "a link alone", "two short"]
+    assert main('<article><p>a</p><div class="social-history">b</div><div class="promo-free">c</div><div class="share-buttons">no</div></article>') == ["a", "b", "c"]
+    assert main('<article><p title="' + "x" * 5000 + '>y">z</p></article>') == ["z"] and main('<p class="x"">only</p><article>w</article>') == ["w"]
+    assert main("<article><p>text</p><h3>Related</h3><ul><li><a href=1>A</a><li><a href=2>B</a></ul><p>end</p></article>") == ["text", "end"]
+    long = "the cat of the house and the dog in a box is to be on it " * 4
+    plain = f"<div><div><a href=1>Home</a></div><div><a href=2>News</a></div></div><div>buy it now</div><div><h1>A title</h1><div>{long}</div><div>short words</div><div>{long}</div></div><div>© 2024 us</div>"
+    assert main(plain) == ["A title", long.strip(), "short words", long.strip()]  # no helpful element or name anywhere
+    for h in ("<a " * 30_000, '<a ="' * 30_000, "<" * 100_000, "<p " + "a='b' " * 50_000 + ">end"):
+        began = time.time()
+        assert len(main(h)) <= 1 and time.time() - began < 5
