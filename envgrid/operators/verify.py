@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from envgrid.functions.timebuckets import hourly_stamps, report_day
+from envgrid.operators.grid import GridSpec
+
 
 def pearson(a: str, b: str) -> Column:
     """Correlation over rows where both are given; NULL for one row or a constant column."""
@@ -64,6 +67,29 @@ def full_outer_days(series: Sequence[tuple[str, DataFrame]], key: str = "day") -
     return long.groupBy(key).pivot("series", [n for n, _ in series]).agg(F.first("value"))
 
 
+def pairwise(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(one, two, n, r): days that both of two series have, and their correlation, for each pair of columns; one pass."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    both = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
+    sums = df.agg(*[x for k, (a, b) in enumerate(pairs) for x in (F.count(F.when(both(a, b), 1)).alias(f"n{k}"), pearson(a, b).alias(f"r{k}"))])
+    return sums.select(F.explode(F.array(*[F.struct(F.lit(a).alias("one"), F.lit(b).alias("two"), F.col(f"n{k}").alias("n"), F.col(f"r{k}").alias("r")) for k, (a, b) in enumerate(pairs)])).alias("x")).select("x.*")
+
+
+def day_against_grid(gauges: DataFrame, hourly: DataFrame, grid: GridSpec, day: str, value: str = "value") -> DataFrame:
+    """(station, obs, est, diff, n_missing, r) of one report day: each gauge (station, x, y, obs) beside the total of its grid cell.
+
+    n_missing are the hours of the day that the store has no cell of; r is the correlation over all gauges with both.
+    """
+    date = F.lit(day).cast("date")
+    h = hourly.where(report_day("time", "wall7_right") == date)
+    stamps = hourly.sparkSession.range(1).select(date.alias("day")).select("day", F.explode(hourly_stamps(F.col("day"))).alias("stamp"))
+    missing = missing_stamps(stamps, h.select(F.col("time").alias("stamp"))).select("n_missing")
+    at = gauges.withColumn("row", grid.row(F.col("y"))).withColumn("col", grid.col(F.col("x")))
+    pairs = at.join(h.groupBy("row", "col").agg(F.sum(value).alias("est")), ["row", "col"], "left")
+    facts = missing.crossJoin(F.broadcast(pairs.agg(pearson("obs", "est").alias("r"))))  # one row each
+    return pairs.crossJoin(F.broadcast(facts)).select("station", "obs", "est", (F.col("est") - F.col("obs")).alias("diff"), "n_missing", "r")
+
+
 def nearest_cycle(wanted: DataFrame, cycles: DataFrame, want: str = "wanted", have: str = "cycle") -> DataFrame:
     """For each wanted time the cycle nearest to it (the earlier of two), and whether it stands in for the one asked for.
 

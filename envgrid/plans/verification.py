@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from envgrid.functions.timebuckets import RULES, expected_hours, hourly_stamps, report_day
 from envgrid.operators import verify
-from envgrid.plans.views import EVENTS, Registry, events, rounded, table, wall7
+from envgrid.operators.grid import GridSpec
+from envgrid.plans.views import EVENTS, HOURLY, Registry, events, hourly, rounded, table, wall7
 
 reg = Registry()
 PEARSON = "covar_pop({a}, {b}) / nullif(stddev_pop({a}) * stddev_pop({b}), 0)"
@@ -94,6 +95,27 @@ def pl04(spark, d):
     return rounded(verify.full_outer_days([("aorc", aorc), ("gauge", gauge), ("imerg", imerg)]))
 
 
+_THREE = reg.oracles["pl04_three_sources"]
+
+
+@reg.add("pl04_source_correlations", " UNION ALL ".join(f"SELECT '{a}' AS one, '{b}' AS two, count(CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN 1 END) AS n, round({PEARSON.format(a=f'CASE WHEN {b} IS NOT NULL THEN {a} END', b=f'CASE WHEN {a} IS NOT NULL THEN {b} END')}, 3) AS r FROM ({_THREE})" for a, b in (("aorc", "gauge"), ("aorc", "imerg"), ("gauge", "imerg"))))
+def pl04c(spark, d):
+    """How the three daily series go together, over the days that two have."""
+    return rounded(verify.pairwise(pl04(spark, d), ["aorc", "gauge", "imerg"]), 3)
+
+
+@reg.add("pl03_day_against_grid", f"""WITH {EVENTS}, {HOURLY}, g AS (SELECT station, station * 3.7 AS x, station * station % 60 + 0.3 AS y, sum(value) AS obs FROM ev WHERE source = 'gauge' AND {wall7('ts')} = DATE '2024-01-15' GROUP BY station), h AS (SELECT * FROM ho WHERE {wall7('time - INTERVAL 1 MICROSECOND')} = DATE '2024-01-15'),
+ t AS (SELECT row, col, sum(value) AS est FROM h GROUP BY ALL), p AS (SELECT station, obs, est FROM g LEFT JOIN t ON row = CAST(floor((60 - y) / 5) AS INTEGER) AND col = CAST(floor(x / 5) AS INTEGER)), f AS (SELECT {PEARSON.format(a='CASE WHEN est IS NOT NULL THEN obs END', b='est')} AS r FROM p)
+ SELECT station, round(obs, 4) AS obs, round(est, 4) AS est, round(est - obs, 4) AS diff, 24 - (SELECT count(DISTINCT time) FROM h) AS n_missing, round(r, 3) AS r FROM p, f""")
+def pl03g(spark, d):
+    """One report day of gauges against an hourly grid: nearest cells, missing hours, differences, correlation."""
+    e = events(spark, d).where((F.col("source") == "gauge") & (report_day("ts", "wall7_left") == F.lit("2024-01-15").cast("date")))
+    s = F.col("station")
+    gauges = e.groupBy("station").agg(F.sum("value").alias("obs")).select("station", (s * 3.7).alias("x"), (s * s % 60 + 0.3).alias("y"), "obs")
+    out = verify.day_against_grid(gauges, hourly(spark, d), GridSpec(0.0, 60.0, 5.0, 12, 12), "2024-01-15")
+    return rounded(out.withColumn("r", F.round("r", 3)))
+
+
 @reg.add("jn12_nearest_cycle", """WITH w AS (SELECT DISTINCT ts AS wanted FROM events WHERE event_type = 'view'), c AS (SELECT DISTINCT ts AS cycle FROM events WHERE event_type = 'purchase'),
  b AS (SELECT wanted, c.cycle AS lo FROM w ASOF LEFT JOIN c ON w.wanted >= c.cycle), a AS (SELECT wanted, c.cycle AS hi FROM w ASOF LEFT JOIN c ON w.wanted <= c.cycle)
  SELECT b.wanted, CASE WHEN hi IS NULL OR epoch_us(wanted) - epoch_us(lo) <= epoch_us(hi) - epoch_us(wanted) THEN lo ELSE hi END AS cycle, b.wanted <> CASE WHEN hi IS NULL OR epoch_us(wanted) - epoch_us(lo) <= epoch_us(hi) - epoch_us(wanted) THEN lo ELSE hi END AS substituted FROM b JOIN a USING (wanted)""")
