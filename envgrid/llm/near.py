@@ -41,7 +41,7 @@ PERCENT = 75
 BANDS, ROWS, BITS = 32, 4, 2
 MARGIN = 0.2
 HUB = 0.4
-BLOCK = 512
+BLOCK = 128
 SEED = 20240601
 WORD = re.compile(r"[^ \t-\r]+")
 UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
