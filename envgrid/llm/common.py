@@ -8,7 +8,6 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Bytes of text that a Python step holds as objects at one time.
 PIECE_BYTES = 4 << 20
@@ -99,7 +98,3 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list], dict]], schema:
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), *(v if isinstance(v, pa.Array) else pa.array(v) for v in made.values())], names=[*keep, *made])
 
     return out.mapInArrow(run, schema)
-
-
-def xx(*cols) -> F.Column:
-    return F.xxhash64(*cols)

@@ -4,16 +4,16 @@ The kernel of two words sums lambda^(length spanned) over their common subsequen
 letters put in or left out stays close to itself. Words are lower-cased, stripped to letters and digits and get a front
 mark; runs of single letters are read as one word. Landmarks are words and parts of words that set toxic training texts
 apart, picked so that each covers texts that the others leave. A text's value for a landmark is log(1 + sum) of the kernel
-values of its distinct words, related to the landmark's own and sharpened by a power; the Nyström map (inverse root of
-the landmarks' kernel matrix) makes these values the coordinates of a linear support vector machine with squared hinge
-loss, and a logistic curve fitted to its margins gives the score. Words that hold all letters of a strong landmark in
-their order also have the value of a second kernel, whose decay SLACK hardly counts gaps, and the greater one holds: a
-letter or digit put into every gap of an insult changes little. Training instances are the labelled texts and, of toxic
-ones, the sentences that hold a strong landmark, as they are and with a letter put into each such word.
+values of its distinct words, related to the landmark's own and sharpened by a power. Words that hold all letters of a
+strong landmark in their order also have the value of a second kernel, whose decay SLACK hardly counts gaps: a letter or
+digit put into every gap of an insult changes little. The Nyström map (inverse roots of the landmarks' two kernel
+matrices) makes these values the coordinates of a linear support vector machine with squared hinge loss, and a logistic
+curve fitted to its margins gives the score. Training instances are the labelled texts and, at the weight HEFT, of toxic
+ones the sentences that hold a strong landmark: as they are, with a letter in each such word, and with one in every gap.
 
 The fit takes at most FIT_ROWS labelled rows and FIT_BYTES of text, in the order of a hash of the id, whatever the size of
-the corpus; it runs on the driver. Scoring reads each text in whole, row by row, and shuffles nothing. Values of a third
-or less (in the second kernel, CUT) count as none, so that a long text doesn't add up to an insult from many words that
+the corpus; it runs on the driver. Scoring reads each text in whole, row by row, and shuffles nothing. Values under
+LEAST (in the second kernel, CUT) count as none, so that a long text doesn't add up to an insult from many words that
 are a little like one; nor have words a value that lack most of a landmark's letter pairs (up to GAP letters apart).
 Measured on held-out rows, values without these limits make far more mistakes. Null and empty texts get the score of a
 text without words; without both labels in the training rows all scores are the share of label 1. Repeated rows give
@@ -39,8 +39,9 @@ from envgrid.llm.common import map_texts, read
 FIT_ROWS, FIT_BYTES = 4000, 32 << 20
 LANDMARKS = 48
 ORDER, DECAY, POWER = 3, 0.8, 3
-SLACK = 0.97  # the decay for words with all letters of a strong landmark
-LEAST, CUT = 0.3, 0.4  # smaller values count as none
+HEFT = 0.1  # weight of a sentence beside a text in training
+SLACK = 0.97  # the second kernel's decay, for words with all letters of a strong landmark
+LEAST, CUT = 0.3, 0.6  # smaller values of the two kernels count as none
 GAP, PAIRS = 3, 0.8  # share of a landmark's letter pairs that a word has, up to GAP letters apart
 FRONT = "^"  # stands before each word
 SHORTEST, LONGEST = 4, 10  # characters of a landmark
@@ -122,16 +123,16 @@ class Landmarks:
             for i in mine:
                 self.needs[k, i // 64] |= np.uint64(1 << (i % 64))
             self.least[k] = max(1, math.ceil(PAIRS * len(mine)))
-        self.matrix = self._own_matrix()
-
-    def _own_matrix(self) -> np.ndarray:
-        m = len(self.names)
+        # both kernels of the landmarks with each other, as two blocks
+        m = len(landmarks)
         i, j = np.divmod(np.arange(m * m), m)
-        k = kernel(self.codes[i], self.codes[j]).reshape(m, m)
-        return (k / np.sqrt(np.outer(self.own, self.own))) ** POWER
+        self.matrix = np.zeros((2 * m, 2 * m))
+        for at, decay, own in ((0, DECAY, self.own), (m, SLACK, self.own_slack)):
+            k = kernel(self.codes[i], self.codes[j], decay).reshape(m, m)
+            self.matrix[at : at + m, at : at + m] = (k / np.sqrt(np.outer(own, own))) ** POWER
 
     def values(self, words: list[str]) -> list[tuple[tuple[int, float], ...]]:
-        """For each word of up to WIDTH characters the landmarks that it is close to, with its values."""
+        """For each word of up to WIDTH characters the landmarks that it is close to, with its values; those of the second kernel count on behind the first's."""
         if not words:
             return []
         chars = padded(words)
@@ -164,17 +165,14 @@ class Landmarks:
             hit = np.flatnonzero(whole)
             slack_rows.append(hit)
             slack_marks.append(np.full(len(hit), k))
-        found: dict[tuple[int, int], float] = {}
-        for hits, of, decay, own in ((rows, marks, DECAY, self.own), (slack_rows, slack_marks, SLACK, self.own_slack)):
+        for hits, of, decay, own, least, at0 in ((rows, marks, DECAY, self.own, LEAST, 0), (slack_rows, slack_marks, SLACK, self.own_slack, CUT, len(self.names))):
             row, mark = np.concatenate([np.zeros(0, np.int64), *hits]), np.concatenate([np.zeros(0, np.int64), *of])
             for at in range(0, len(row), 4096):
                 r, k = row[at : at + 4096], mark[at : at + 4096]
                 value = np.minimum(1.0, kernel(chars[r], self.codes[k], decay) / own[k]) ** POWER
                 for i, j, v in zip(r.tolist(), k.tolist(), value.tolist(), strict=True):
-                    if v > (LEAST if decay == DECAY else CUT):
-                        found[i, j] = max(v, found.get((i, j), 0.0))
-        for (i, j), v in found.items():
-            out[i].append((j, v))
+                    if v > least:
+                        out[i].append((at0 + j, v))
         return [tuple(x) for x in out]
 
 class TextValues:
@@ -193,7 +191,7 @@ class TextValues:
         found = iter(self.marks.values([p for w in parts for p in w]))
         for w, p in zip(new, parts, strict=True):
             self.known[w] = tuple(x for _ in p for x in next(found)) or None
-        out = np.zeros((len(texts), len(self.marks.names)))
+        out = np.zeros((len(texts), 2 * len(self.marks.names)))
         for i, s in enumerate(sets):
             for w in s:
                 if v := self.known[w]:
@@ -255,6 +253,11 @@ def disguised(word: str) -> tuple[str, str, str]:
     m = len(word) // 2
     return word[:m] + "x" + word[m:], "x".join(word), word[:m] + word[m + 1 :]
 
+def disguised(word: str) -> tuple[str, str]:
+    """The word with a letter in its middle, and with one in every gap."""
+    m = len(word) // 2
+    return word[:m] + "x" + word[m:], "x".join(word)
+
 class Model:
     """Landmarks, the weights of their values, and the logistic curve over the margin."""
 
@@ -273,14 +276,15 @@ def fit_model(texts: list[str], labels: list[int]) -> Model:
         p = min(max(share, 1e-6), 1 - 1e-6)
         return Model([], [], np.zeros(0), math.log(p / (1 - p)), share)
     of = TextValues(landmarks, strong)
-    firm, more = np.array(strong), []
+    firm, more = np.r_[np.array(strong), np.zeros(len(strong), bool)], []
     for t, l in zip(texts, labels, strict=True):
         parts = SENTENCE.split(t) if l else []
         hits = [p for p, v in zip(parts, of(parts), strict=True) if (v[firm] > 0.5).any()] if parts else []
         for p in hits:
             words = p.split()
             near = of(words)[:, firm].max(axis=1) > 0.5
-            more += [p, " ".join(w[: len(w) // 2] + "x" + w[len(w) // 2 :] if c else w for w, c in zip(words, near, strict=True))]
+            kinds = [disguised(w) if c else (w, w) for w, c in zip(words, near, strict=True)]
+            more += [p, *(" ".join(k[j] for k in kinds) for j in range(2))]
 
     texts, y = [*texts, *more], np.r_[y, np.ones(len(more))]
     share = float(y.mean())
@@ -289,7 +293,7 @@ def fit_model(texts: list[str], labels: list[int]) -> Model:
     root = vec @ np.diag(1 / np.sqrt(np.maximum(lam, 1e-3))) @ vec.T
     z = np.c_[x @ root, np.ones(len(x))]
     sign = 2 * y - 1
-    cost = np.where(y > 0, 0.5 / share, 0.5 / (1 - share))
+    cost = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)) * np.r_[np.ones(len(labels)), np.full(len(more), HEFT)]
     w, hold = np.zeros(z.shape[1]), np.r_[np.ones(z.shape[1] - 1), 1e-6]
     for _ in range(50):  # Newton steps on the squared hinge loss
         inside = sign * (z @ w) < 1

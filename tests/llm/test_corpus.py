@@ -400,29 +400,31 @@ def test_values_map_and_score_by_hand(labelled):
     marks, strong = model.landmarks, model.strong
     assert any(strong)
 
-    def value(word, k):
-        best = 0.0
-        for decay, least in ((toxicity.DECAY, toxicity.LEAST), (toxicity.SLACK, toxicity.CUT)):
-            v = min(1.0, plain(word, marks[k], decay) / plain(marks[k], marks[k], decay)) ** toxicity.POWER
-            if decay == toxicity.DECAY:
-                near = {p for d in range(1, toxicity.GAP + 1) for p in zip(word, word[d:], strict=False)}
-                pairs = set(zip(marks[k], marks[k][1:], strict=False))
-                ok = len(pairs & near) >= max(1, math.ceil(toxicity.PAIRS * len(pairs)))
-            else:
-                ok = strong[k] and all(word.find(a) >= 0 and word.find(a) < word.rfind(b) for a, b in zip(marks[k], marks[k][1:], strict=False))
-            best = max(best, v) if ok and v > least else best
-        return best
+    def value(word, k, decay, least):
+        v = min(1.0, plain(word, marks[k], decay) / plain(marks[k], marks[k], decay)) ** toxicity.POWER
+        if decay == toxicity.DECAY:
+            near = {p for d in range(1, toxicity.GAP + 1) for p in zip(word, word[d:], strict=False)}
+            pairs = set(zip(marks[k], marks[k][1:], strict=False))
+            ok = len(pairs & near) >= max(1, math.ceil(toxicity.PAIRS * len(pairs)))
+        else:
+            ok = strong[k] and all(word.find(a) >= 0 and word.find(a) < word.rfind(b) for a, b in zip(marks[k], marks[k][1:], strict=False))
+        return v if ok and v > least else 0.0
 
     texts = ["a grobbler", "g1r1o1b1b1l1e1r and snarkfist", "w e t n o o d l e", "sxnxaxrxkxfxixsxt", "nothing near", ""]
     got = toxicity.TextValues(marks, strong)(texts)
+    kernels = ((toxicity.DECAY, toxicity.LEAST), (toxicity.SLACK, toxicity.CUT))
     for t, row in zip(texts, got, strict=True):
         words = toxicity.words_of(t)
-        assert row.tolist() == pytest.approx([math.log1p(sum(value(w, k) for w in words)) for k in range(len(marks))])
-    root_free = toxicity.Landmarks(marks, strong).matrix
-    for i, j in itertools.product(range(len(marks)), repeat=2):
-        assert root_free[i, j] == pytest.approx((plain(marks[i], marks[j]) / math.sqrt(plain(marks[i], marks[i]) * plain(marks[j], marks[j]))) ** toxicity.POWER)
+        assert row.tolist() == pytest.approx([math.log1p(sum(value(w, k, d, least) for w in words)) for d, least in kernels for k in range(len(marks))])
+    m, blocks = len(marks), toxicity.Landmarks(marks, strong).matrix
+    for (i, j), (at, (d, _)) in itertools.product(itertools.product(range(m), repeat=2), enumerate(kernels)):
+        assert blocks[at * m + i, at * m + j] == pytest.approx((plain(marks[i], marks[j], d) / math.sqrt(plain(marks[i], marks[i], d) * plain(marks[j], marks[j], d))) ** toxicity.POWER)
+    assert not blocks[:m, m:].any()
     assert model.scores(got).tolist() == pytest.approx([1 / (1 + math.exp(-(sum(x * w for x, w in zip(row, model.weights, strict=True)) + model.bias))) for row in got])
-    assert (model.scores(got)[[1, 3]] > 0.5).all() and (model.scores(got)[4:] < 0.5).all()
+    s = model.scores(got)
+    assert s[1] > 0.5 > s[4:].max() and s[3] > 5 * s[4:].max()
+    two = model.scores(toxicity.TextValues(marks, strong)(["a gxrxoxbxbxlxexr and w1e1t1n1o1o1d1l1e"]))
+    assert two[0] > 0.5
 
 
 def test_kernel_against_a_sum():
