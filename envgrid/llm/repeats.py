@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from envgrid.llm.common import free_name, pieces, read, small_batches, stage, unstage
 
 LENGTH, GRAM = 200, 64
-PIECE, BLOCK = 2 << 20, 512
+PIECE, BLOCK = 2 << 20, 128
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 PLACE = np.uint64((1 << 28) - 1)
 
