@@ -23,7 +23,7 @@ from __future__ import annotations
 import base64
 import re
 from bisect import bisect_left, insort
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 from itertools import combinations
 
@@ -33,11 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from envgrid.llm.common import map_texts, read, stage
+from envgrid.llm.common import map_texts, read, small_batches, stage
 
 LENGTHS = (512, 1024, 2048, 4096)
 OPEN, SQUARE = 32, 24_576
 SHARD = 20_000
+#: How a token is stored while it moves; the result has ints.
+TOKEN = "<u2"
 #: Runs of white space that the tokenizer's own splitting can't take.
 BLANKS = re.compile(r"\s{10000}")
 
@@ -108,6 +110,8 @@ def encoder(path: str) -> Callable[[str], list[int]]:
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    if len(ranks) > 1 << 8 * np.dtype(TOKEN).itemsize:
+        raise ValueError(f"the vocabulary has more entries than {TOKEN} holds")
     found = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     words = regex.compile(public_tokenizers.PATTERN)
 
@@ -126,7 +130,7 @@ def default_tokenizer() -> str:
 
 
 def encode_tokens(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True) -> DataFrame:
-    """(id, n, tokens array<int>) of each text; without ids, (id, n)."""
+    """(_id, n, tokens binary (numbers of type TOKEN)) of each text; without ids, (_id, n)."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def make():
@@ -135,12 +139,12 @@ def encode_tokens(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
         def run(texts: list) -> dict:
             found = [encode(t) if t else [] for t in texts]
             n = pa.array(map(len, found), pa.int64())
-            return {"n": n, "tokens": pa.array(found, pa.list_(pa.int32()))} if ids else {"n": n}
+            return {"n": n, "tokens": pa.array([np.array(f, TOKEN).tobytes() for f in found], pa.binary())} if ids else {"n": n}
 
         return run
 
     # the id goes by a name of its own, so that it can't clash with the added columns
-    out = map_texts(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), make, f"_id {kind}, n long" + (", tokens array<int>" if ids else ""), "_text", ("_id",))
+    out = map_texts(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), make, f"_id {kind}, n long" + (", tokens binary" if ids else ""), "_text", ("_id",))
     return out
 
 
@@ -177,10 +181,21 @@ def pack_sequences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(bin_id, bin_length, bin_tokens, doc_ids, pieces, starts, tokens): one row for each sequence, its contents in order, ready to be trained on."""
     found = stage(encode_tokens(df, tokenizer_path or default_tokenizer(), id_col, text_col).withColumn("place", F.monotonically_increasing_id()), "tokens")
     packed = stage(pack_lengths(found.select("_id", "place", "n"), lengths, shard), "packed")
-    top = max(lengths)
-    cut = packed.join(found.select("place", "tokens"), "place").withColumn("tokens", F.expr(f"slice(tokens, piece * {top} + 1, cast(n_tokens AS int))"))
+    width = np.dtype(TOKEN).itemsize
+    cut = packed.join(found.select("place", "tokens"), "place").withColumn("tokens", F.expr(f"substring(tokens, cast(piece * {max(lengths) * width} + 1 AS int), cast(n_tokens * {width} AS int))"))
     held = cut.groupBy("bin_id", "bin_length", "bin_tokens").agg(F.array_sort(F.collect_list(F.struct("bin_start", "n_tokens", "_id", "piece", "place", "tokens"))).alias("c"))
-    return held.select("bin_id", "bin_length", "bin_tokens", F.col("c._id").alias("doc_ids"), F.col("c.piece").alias("pieces"), F.col("c.bin_start").alias("starts"), F.flatten("c.tokens").alias("tokens"))
+    rows = held.select("bin_id", "bin_length", "bin_tokens", F.col("c._id").alias("doc_ids"), F.col("c.piece").alias("pieces"), F.col("c.bin_start").alias("starts"), F.col("c.tokens").alias("tokens"))
+    kind, names = rows.schema["doc_ids"].dataType.simpleString(), rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = [np.frombuffer(b"".join(parts), TOKEN).astype(np.int32) for parts in batch.column("tokens").to_pylist()]
+            ends = pa.array(np.cumsum([0, *map(len, tokens)]), pa.int32())
+            joined = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int32)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-1]), joined], names=names)
+
+    small_batches(df.sparkSession)
+    return rows.mapInArrow(run, f"bin_id long, bin_length long, bin_tokens long, doc_ids {kind}, pieces array<int>, starts array<long>, tokens array<int>")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
