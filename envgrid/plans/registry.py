@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from envgrid.plans import climate, fields, formats, learning, pipelines, streams, verification
+from envgrid.plans import climate, evaluation, fields, formats, learning, pipelines, streams, verification
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _m in (verification, fields, climate, pipelines, formats, streams, learning):
+for _m in (verification, fields, climate, pipelines, formats, streams, learning, evaluation):
     QUERIES |= _m.reg.queries
     ORACLES |= _m.reg.oracles

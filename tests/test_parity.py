@@ -24,7 +24,7 @@ def canon(df: pd.DataFrame) -> list:
     df = df[sorted(df.columns)]
 
     def one(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return "NULL"
         if isinstance(v, float):
             return f"{v + 0.0:.6f}"
