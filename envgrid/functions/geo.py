@@ -207,3 +207,36 @@ def strip_centres(e: np.ndarray, top: int, rows: int, cols: int) -> np.ndarray:
     x = e[own, 0] + (e[own, 2] - e[own, 0]) * (r + 0.5 - e[own, 1]) / (e[own, 3] - e[own, 1])
     np.add.at(flips, (r - top, np.clip(np.ceil(x - 0.5), 0, cols).astype(np.int64)), 1)
     return np.cumsum(flips, axis=1)[:, :cols] % 2 == 1
+
+
+def strip_near(e: np.ndarray, top: int, rows: int, cols: int, margin: float) -> np.ndarray:
+    """(rows, cols) whether the centres of a strip's unit cells are closer than margin to a segment.
+
+    What is within margin of a segment is convex, so a row of centres meets it in one interval, whose ends come from the two
+    circles and the rectangle between them; intervals are counted up along the row.
+    """
+    e = e[(np.minimum(e[:, 1], e[:, 3]) - margin < top + rows) & (np.maximum(e[:, 1], e[:, 3]) + margin > top)]
+    lo, hi = np.minimum(e[:, 1], e[:, 3]) - margin, np.maximum(e[:, 1], e[:, 3]) + margin
+    first, last = np.maximum(np.ceil(lo - 0.5), top).astype(np.int64), np.minimum(np.floor(hi - 0.5), top + rows - 1).astype(np.int64)
+    n = np.maximum(0, last - first + 1)
+    own = np.repeat(np.arange(len(e)), n)
+    r = np.repeat(first, n) + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+    (ax, ay, bx, by), y = e[own].T, r + 0.5
+    left, right = np.full(len(own), np.inf), np.full(len(own), -np.inf)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        for x, c in ((ax, ay), (bx, by)):
+            half = np.sqrt(margin * margin - (y - c) ** 2)
+            left, right = np.fmin(left, x - half), np.fmax(right, x + half)
+        length = np.hypot(bx - ax, by - ay)
+        ux, uy = -(by - ay) / length * margin, (bx - ax) / length * margin
+        corners = [(ax + ux, ay + uy), (bx + ux, by + uy), (bx - ux, by - uy), (ax - ux, ay - uy)]
+        for (px, py), (qx, qy) in zip(corners, [*corners[1:], corners[0]], strict=True):
+            at = np.where((py - y) * (qy - y) <= 0, px + (qx - px) * (y - py) / (qy - py), np.nan)
+            at = np.where(np.isfinite(at), at, np.nan)
+            left, right = np.fmin(left, at), np.fmax(right, at)
+    a, b = np.floor(left - 0.5) + 1, np.ceil(right - 0.5)  # centres strictly between
+    some = (b > a) & (b > 0) & (a < cols)
+    count = np.zeros((rows, cols + 1), np.int64)
+    np.add.at(count, (r[some] - top, np.clip(a[some], 0, cols).astype(np.int64)), 1)
+    np.add.at(count, (r[some] - top, np.clip(b[some], 0, cols).astype(np.int64)), -1)
+    return np.cumsum(count, axis=1)[:, :cols] > 0

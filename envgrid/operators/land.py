@@ -52,5 +52,6 @@ def wet_patches(layer: DataFrame, wet: Column, spec: cells.GridSpec, least_area:
     at = some.select(F.col("label").alias("id"), "row", "col", spec.x(F.col("col")).alias("x"), spec.y(F.col("row")).alias("y"))
     median = zonal.focal_median(at, layer, radius).withColumnRenamed("id", "label")
     distance = zonal.nearest_distance(at, water, "id", reach).withColumnRenamed("id", "label")
-    length = zonal.line_crossings(labelled, line, spec).select("label", "length")
+    way = layer.sparkSession.createDataFrame([(0, [{"x": float(x), "y": float(y)} for x, y in line])], "line int, points array<struct<x:double,y:double>>")
+    length = zonal.line_crossings(labelled, way, spec).select("label", "length")
     return some.join(median, "label").join(distance, "label").join(length, "label", "left").select("label", "area", "mean", "row", "col", "median", "distance", F.coalesce("length", F.lit(0.0)).alias("length"))

@@ -6,16 +6,17 @@ cells come back from arrays. What is joined afterwards are cells, never rings.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from envgrid.functions import geo
 from envgrid.operators.grid import GridSpec, latest_wins
-from envgrid.sources.stages import stage, unstage
+from envgrid.sources.stages import stage
 
 STRIP = 256
 #: Smaller shares of a cell are rounding, not area.
@@ -86,14 +87,16 @@ def points_inside(points: DataFrame, polygons: DataFrame, grid: GridSpec, key: s
     """points with the key of each polygon that they lie in (null if in none).
 
     Points meet polygons by their cell. In cells that a polygon covers in whole the answer is known; only points in cells
-    of its boundary are held against its rings, which join by the polygon's key.
+    of its boundary are held against its rings, which join by the polygon's key. Points that are equal, or have missing
+    columns, stay rows of their own: each gets a number first. A point without coordinates lies in no polygon.
     """
-    covered = cell_weights(polygons, grid, key, rings).select("row", "col", key, (F.col("area") >= grid.res**2 * (1 - LEAST_SHARE)).alias("_whole"))
-    at = points.withColumn("row", grid.row(F.col(y))).withColumn("col", grid.col(F.col(x)))
+    covered = cell_weights(polygons, grid, key, rings).select("row", "col", F.col(key).alias("_key"), (F.col("area") >= grid.res**2 * (1 - LEAST_SHARE)).alias("_whole"))
+    rows = stage(points.withColumn("_n", F.monotonically_increasing_id()), "points")
+    at = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select("_n", F.col(x).alias("_x"), F.col(y).alias("_y"), grid.row(F.col(y)).alias("row"), grid.col(F.col(x)).alias("col"))
     met = at.join(covered, ["row", "col"])
-    edge = met.where(~F.col("_whole")).join(polygons.select(key, rings), key).where(geo.contains_point(rings, x, y))
-    hit = met.where("_whole").select(*points.columns, key).unionByName(edge.select(*points.columns, key))
-    return points.join(hit, points.columns, "left")
+    edge = met.where(~F.col("_whole")).join(polygons.select(F.col(key).alias("_key"), F.col(rings).alias("_rings")), "_key").where(geo.contains_point("_rings", "_x", "_y"))
+    hit = met.where("_whole").select("_n", "_key").unionByName(edge.select("_n", "_key"))
+    return rows.join(hit, "_n", "left").select(*points.columns, F.col("_key").alias(key))
 
 
 def boxes_that_meet(boxes: DataFrame, polygons: DataFrame, grid: GridSpec, key: str, box: str, rings: str = "rings") -> DataFrame:
@@ -113,43 +116,69 @@ def boxes_that_meet(boxes: DataFrame, polygons: DataFrame, grid: GridSpec, key:
     return pairs.where("_whole").select(box, key).unionByName(edge.select(box, key))
 
 
+#: Levels between the cells around a point that hold its nearest edge and the cells that are told apart by their distance.
+FINER = 5
+
+
+def edge_pieces(polygons: DataFrame, res: float, top: int, rings: str = "rings") -> DataFrame:
+    """(level, cx, cy, ax, ay, bx, by): the edges cut by the cells that they run through, of size res * 2^level for each level up to top."""
+    names = ["level", "cx", "cy", "ax", "ay", "bx", "by"]
+
+    def run(batches):
+        for batch in batches:
+            for shape in batch.column(rings):
+                e = geo.edges(shape.as_py())
+                for level in range(top + 1):
+                    size = res * 2.0**level
+                    cut = geo.cut_by_lines(geo.cut_by_lines(e / size, 1), 0)
+                    at = np.floor((cut[:, :2] + cut[:, 2:]) / 2).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cut), level, np.int32)), pa.array(at[:, 0]), pa.array(at[:, 1]), *(pa.array(cut[:, k] * size) for k in range(4))], names=names)
+
+    return polygons.select(rings).mapInArrow(run, "level int, cx bigint, cy bigint, ax double, ay double, bx double, by double")
+
+
 def nearest_distance(points: DataFrame, polygons: DataFrame, key: str, res: float, rings: str = "rings", x: str = "x", y: str = "y") -> DataFrame:
-    """(key, distance) of each point to the nearest polygon, 0 inside; null where there is no polygon. key tells points apart.
+    """(key, distance) of each point to the nearest polygon, 0 inside; null without coordinates or polygons. key tells points apart.
 
-    Edges are listed in the cells that they reach, and a point meets those of its cell and the eight around. A distance up
-    to the cells' size is final; for the other points the cells grow to double the size, so each round has fewer points
-    and cells, and no point meets all edges.
+    Edges are walked through the cells of a quadtree's levels, each of which doubles the one before. A point looks at all levels
+    at once for the lowest whose cells around it hold an edge; no nearest edge is farther than the cells around it two levels above. Of
+    the cells FINER levels below these only the ones that are nearer than the nearest one's far corner can hold it, and only their pieces of edges are measured.
     """
-    shapes = polygons.select(rings).withColumn("_id", F.monotonically_increasing_id())
-    shapes = stage(shapes, "shapes")
-    line = stage(shapes.select(F.explode(F.expr(f"flatten(transform({rings}, r -> zip_with(slice(r, 1, size(r) - 1), slice(r, 2, size(r) - 1), (p, q) -> named_struct('ax', p.x, 'ay', p.y, 'bx', q.x, 'by', q.y))))")).alias("e")).select("e.*"), "edges")
-    extent = line.agg(F.min(F.least("ax", "bx")).alias("x0"), F.max(F.greatest("ax", "bx")).alias("x1"), F.min(F.least("ay", "by")).alias("y0"), F.max(F.greatest("ay", "by")).alias("y1")).first()
     todo = stage(points.select(key, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")), "points")
-    if extent["x0"] is None:
+    box = polygons.select(geo.bounds(rings).alias("b")).select("b.*")
+    ends = [f(F.col(c)).alias(c) for f, cs in ((F.min, ("x0", "y0")), (F.max, ("x1", "y1"))) for c in cs]
+    far = box.agg(*ends).crossJoin(todo.agg(*[f(c).alias(f"p{n}") for n, f, c in (("x0", F.min, "_x"), ("x1", F.max, "_x"), ("y0", F.min, "_y"), ("y1", F.max, "_y"))])).first()  # one row each
+    if far["x0"] is None or far["px0"] is None:
         return todo.select(key, F.lit(None).cast("double").alias("distance"))
-    far = todo.agg(F.max(F.abs("_x")).alias("a"), F.max(F.abs("_y")).alias("b")).first()
-    reach = 2 * (max(abs(v) for v in extent) + max(far["a"] or 0.0, far["b"] or 0.0)) + res  # no distance is greater
-    frame = GridSpec(extent["x0"], extent["y1"], res, max(1, int((extent["x1"] - extent["x0"]) / res) + 1), max(1, int((extent["y1"] - extent["y0"]) / res) + 1))
-    named = points_inside(todo, shapes, frame, "_id", rings, "_x", "_y")
-    inner = stage(named.where("_id IS NOT NULL").select(key).distinct(), "inside")
-    done = inner.select(key, F.lit(0.0).alias("distance"))
-    todo = todo.join(inner, key, "left_anti")
+    extent = max(max(far[f"{c}1"], far[f"p{c}1"]) - min(far[f"{c}0"], far[f"p{c}0"]) for c in "xy")
+    top = max(0, math.ceil(math.log2(max(1.0, extent / res))))
+    shapes = stage(polygons.select(rings).withColumn("_id", F.monotonically_increasing_id()), "shapes")
+    pieces = stage(edge_pieces(shapes, res, top, rings), "pieces")
+    frame = GridSpec(far["x0"], far["y1"], res, max(1, int((far["x1"] - far["x0"]) / res) + 1), max(1, int((far["y1"] - far["y0"]) / res) + 1))
+    inner = points_inside(todo, shapes, frame, "_id", rings, "_x", "_y").where("_id IS NOT NULL").select(key).distinct().withColumn("_in", F.lit(0.0))
+    held = stage(pieces.select("level", "cx", "cy").distinct(), "cells")
+    size = lambda level: F.lit(float(res)) * F.pow(F.lit(2.0), level)
+    nine = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("q")
+
+    def around(df: DataFrame, level: str) -> DataFrame:
+        """df nine times, with each of the cells (cx, cy) of the level around the point."""
+        return df.select("*", nine).select(*df.columns, *[(F.floor(F.col(v) / size(F.col(level))) + F.col(f"q.{k}")).cast("long").alias(c) for v, k, c in (("_x", "i", "cx"), ("_y", "j", "cy"))])
+
+    levels = around(todo.select("*", F.explode(F.sequence(F.lit(0), F.lit(top))).alias("level")), "level")
+    lowest = levels.join(held, ["level", "cx", "cy"]).groupBy(key, "_x", "_y").agg((F.min("level") + 2).alias("up"))
+    ups = F.when(F.col("level") == 0, F.sequence(F.lit(2), F.lit(FINER))).otherwise(F.array(F.col("level") + FINER))
+    below = held.select("*", F.explode(ups).alias("up")).select("up", F.expr("shiftright(cx, up - level)").alias("px"), F.expr("shiftright(cy, up - level)").alias("py"), "level", "cx", "cy")
+    above = around(lowest, "up").withColumnsRenamed({"cx": "px", "cy": "py"})
+    cells = above.join(below, ["up", "px", "py"])
+    low, high = (lambda c: F.col(c) * size(F.col("level"))), (lambda c: (F.col(c) + 1) * size(F.col("level")))
+    apart = lambda v, c: F.greatest(low(c) - F.col(v), F.lit(0.0), F.col(v) - high(c))
+    reach = lambda v, c: F.greatest(F.col(v) - low(c), high(c) - F.col(v))
+    sized = cells.select(key, "_x", "_y", "level", "cx", "cy", F.hypot(apart("_x", "cx"), apart("_y", "cy")).alias("_near"), F.hypot(reach("_x", "cx"), reach("_y", "cy")).alias("_far"))
+    left = sized.withColumn("_most", F.min("_far").over(Window.partitionBy(key))).where(F.col("_near") <= F.col("_most") * (1 + 1e-9)).select(key, "_x", "_y", "level", "cx", "cy")
     t = "greatest(0D, least(1D, coalesce(((_x - ax) * (bx - ax) + (_y - ay) * (by - ay)) / nullif(power(bx - ax, 2) + power(by - ay, 2), 0D), 0D)))"
     away = F.expr(f"sqrt(power(_x - ax - {t} * (bx - ax), 2) + power(_y - ay - {t} * (by - ay), 2))")
-    while True:
-        last = res >= reach
-        cell = lambda c: F.floor(F.col(c) / F.lit(res)).cast("long") if isinstance(c, str) else F.floor(c / F.lit(res)).cast("long")  # noqa: B023, E731
-        span = lambda a, b: F.explode(F.sequence(cell(F.least(a, b)), cell(F.greatest(a, b))))  # noqa: B023, E731
-        listed = line.withColumn("cx", span("ax", "bx")).withColumn("cy", span("ay", "by"))
-        around = F.explode(F.array(*[F.struct((cell("_x") + i).alias("cx"), (cell("_y") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("c")
-        near = todo.select(key, "_x", "_y", around).select(key, "_x", "_y", "c.cx", "c.cy").join(listed, ["cx", "cy"]).groupBy(key).agg(F.min(away).alias("distance"))
-        found = stage(near if last else near.where(F.col("distance") <= res), "near")
-        done = done.unionByName(found)
-        rest = stage(todo.join(found, key, "left_anti"), "rest")
-        if last or rest.isEmpty():
-            unstage(line)
-            return done
-        todo, res = rest, 2 * res
+    found = left.join(pieces, ["level", "cx", "cy"]).groupBy(key).agg(F.min(away).alias("_d"))
+    return todo.select(key).join(inner, key, "left").join(found, key, "left").select(key, F.coalesce("_in", "_d").alias("distance"))
 
 
 def polygon_means(field: DataFrame, weights: DataFrame, keys: Sequence[str], poly: str, value: str = "value") -> DataFrame:
@@ -186,23 +215,38 @@ def focal_median(points: DataFrame, cells: DataFrame, radius: int, value: str =
 
 
 def interior_cells(polygons: DataFrame, grid: GridSpec, key: str, margin: float, rings: str = "rings") -> DataFrame:
-    """Cells of each polygon whose centre is at least margin from its boundary."""
-    cells = centre_cells(polygons, grid, [key], rings).withColumn("_x", grid.x(F.col("col"))).withColumn("_y", grid.y(F.col("row")))
-    return cells.join(polygons.select(key, rings), key).where(geo.boundary_distance(rings, "_x", "_y") >= margin).select(key, "row", "col")
+    """Cells of each polygon whose centre is at least margin from its boundary: strips less the intervals near an edge."""
+    def cells(e: np.ndarray, top: int, rows: int, cols: int) -> np.ndarray:
+        return geo.strip_centres(e, top, rows, cols) & ~geo.strip_near(e, top, rows, cols, margin / grid.res)
+
+    return strip_cells(polygons, grid, [key], cells, rings).drop("value")
+
+
+def line_walks(lines: DataFrame, grid: GridSpec, key: str, points: str = "points") -> DataFrame:
+    """(key, k, row, col, len): the cells that each line (array of x, y) runs through, in order, with its exact length in each."""
+    rows = lines.select(key, points)
+
+    def run(batches):
+        for batch in batches:
+            for i, line in enumerate(batch.column(points)):
+                p = np.array([(v["x"], v["y"]) for v in line.as_py() or []], float).reshape(-1, 2)
+                if len(p) < 2:
+                    continue
+                e = np.c_[(p[:-1, 0] - grid.x0) / grid.res, (grid.y1 - p[:-1, 1]) / grid.res, (p[1:, 0] - grid.x0) / grid.res, (grid.y1 - p[1:, 1]) / grid.res]
+                cut = geo.cut_by_lines(geo.cut_by_lines(e, 1), 0)
+                length = np.hypot(*(cut[:, 2:] - cut[:, :2]).T) * grid.res
+                cut, length = cut[length > 0], length[length > 0]
+                at = np.floor((cut[:, :2] + cut[:, 2:]) / 2).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(np.full(len(cut), i))), pa.array(np.arange(len(cut))), pa.array(at[:, 1]), pa.array(at[:, 0]), pa.array(length)], names=[key, "k", "row", "col", "len"])
+
+    return rows.mapInArrow(run, f"`{key}` {dict(rows.dtypes)[key]}, k bigint, row int, col int, len double")
 
 
-def line_crossings(patch_cells: DataFrame, line: Sequence[tuple[float, float]], grid: GridSpec) -> DataFrame:
-    """(label, length, crossings) of a line within each patch of cells: its exact length in them, and how often it enters.
+def line_crossings(patch_cells: DataFrame, lines: DataFrame, grid: GridSpec, key: str = "line", points: str = "points") -> DataFrame:
+    """(key, label, length, crossings) of each line within each patch of cells (row, col, label): its exact length, and how often it enters.
 
-    The line is cut at the grid's lines, so it is listed by the cells that it runs through, and joined to the patches on them.
+    Lines are walked cell by cell in tasks; what is joined are cells. A patch is entered at each piece whose predecessor on the line isn't in it.
     """
-    p = np.array(line, float)
-    e = np.c_[(p[:-1, 0] - grid.x0) / grid.res, (grid.y1 - p[:-1, 1]) / grid.res, (p[1:, 0] - grid.x0) / grid.res, (grid.y1 - p[1:, 1]) / grid.res]
-    cut = geo.cut_by_lines(geo.cut_by_lines(e, 1), 0)
-    middle, length = (cut[:, :2] + cut[:, 2:]) / 2, np.hypot(*(cut[:, 2:] - cut[:, :2]).T) * grid.res
-    rows = [(k, int(np.floor(y)), int(np.floor(x)), float(n)) for k, ((x, y), n) in enumerate(zip(middle, length, strict=True)) if n > 0]
-    walk = patch_cells.sparkSession.createDataFrame(rows, "k int, row int, col int, len double")
-    # pieces of a line are as many as cells along it; a patch is entered at each piece whose predecessor isn't in it
-    inside = walk.join(patch_cells, ["row", "col"])
-    before = inside.select((F.col("k") + 1).alias("k"), "label", F.lit(1).alias("_in"))
-    return inside.join(before, ["k", "label"], "left").groupBy("label").agg(F.sum("len").alias("length"), F.sum(F.when(F.col("_in").isNull(), 1).otherwise(0)).alias("crossings"))
+    inside = line_walks(lines, grid, key, points).join(patch_cells, ["row", "col"])
+    before = inside.select(key, "label", (F.col("k") + 1).alias("k"), F.lit(1).alias("_in"))
+    return inside.join(before, [key, "label", "k"], "left").groupBy(key, "label").agg(F.sum("len").alias("length"), F.sum(F.when(F.col("_in").isNull(), 1).otherwise(0)).alias("crossings"))

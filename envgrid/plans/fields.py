@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from envgrid.functions import scalars
 from envgrid.operators import grid, index, series, zonal
-from envgrid.plans.views import AREA, BOXES, CELLS, EVENTS, LAYER, TRIANGLES, Registry, boxes, cells, events, in_triangle, layer, rounded, table, triangle_area, triangles
+from envgrid.plans.views import AREA, BOXES, CELLS, EVENTS, LAYER, LEG, TRIANGLES, Registry, boxes, cells, events, in_triangle, layer, rounded, table, triangle_area, triangles
 
 reg = Registry()
 SPEC = grid.GridSpec(0.0, 60.0, 1.0, 60, 60)
@@ -97,6 +97,17 @@ def wn17(spark, d):
     return zonal.interior_cells(boxes(spark, d), SPEC, "basin_id", 2.0)
 
 
+_TO = lambda ax, ay, bx, by: f"sqrt(power(greatest({ax} - px, 0, px - ({bx})), 2) + power(greatest({ay} - py, 0, py - ({by})), 2))"
+_HOLE = "CASE WHEN px BETWEEN x0 + 2 AND x0 + 4 AND py BETWEEN y0 + 2 AND y0 + 4 THEN 0 ELSE " + _TO("x0 + 2", "y0 + 2", "x0 + 4", "y0 + 4") + " END"
+
+
+@reg.add("wn17_interior_slanted", f"""WITH {TRIANGLES}, c AS (SELECT basin_id, x, y, x0, y0, x + 0.5 AS px, y + 0.5 AS py FROM tr, (SELECT unnest(range(60)) AS x) a, (SELECT unnest(range(60)) AS y) b WHERE {in_triangle('(x + 0.5)', '(y + 0.5)')})
+ SELECT basin_id, CAST(59 - y AS INTEGER) AS row, CAST(x AS INTEGER) AS col FROM c WHERE least(px - x0, py - y0, ({LEG} - (px - x0) - (py - y0)) / sqrt(2), {_HOLE}) >= 1.1""")
+def wn17s(spark, d):
+    """Cells of slanted outlines with holes that keep 1.1 from the boundary: inside, the nearest of the sides and the hole decides."""
+    return zonal.interior_cells(triangles(spark, d), SPEC, "basin_id", 1.1)
+
+
 SERIES = f"""{CELLS}, {BOXES}, se AS (SELECT day AS report_date, basin_id, any_value(kind) AS kind, count(*) AS n_hours, 3 AS n_hours_expected, sum(value) AS mm FROM ce JOIN bo ON col BETWEEN x0 AND x0 + 11 AND 59 - row BETWEEN y0 AND y0 + 11 GROUP BY ALL)"""
 
 
@@ -360,15 +371,15 @@ def wn16(spark, d):
     return zonal.focal_median(p, layer(spark, d), 5)
 
 
-_POINTS = "p AS (SELECT DISTINCT o_orderkey % 7000 / 100.0 + 0.003 AS x, o_custkey * 53 % 6500 / 100.0 + 0.003 AS y FROM orders)"
-
-
-@reg.add("jn13_inside_outside", f"WITH {TRIANGLES}, {_POINTS} SELECT inside, count(*) AS n FROM (SELECT x, y, bool_or({in_triangle('x', 'y')}) AS inside FROM p, tr GROUP BY ALL) GROUP BY inside")
+@reg.add("jn13_inside_outside", f"""WITH {TRIANGLES}, p AS (SELECT CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS tag, o_orderkey % 7000 / 100.0 + 0.003 AS x, o_custkey * 53 % 6500 / 100.0 + 0.003 AS y FROM orders)
+ SELECT tag, basin_id, count(*) AS n FROM p LEFT JOIN tr ON {in_triangle('x', 'y')} GROUP BY tag, basin_id""")
 def jn13(spark, d):
-    p = table(spark, d, "orders").select((F.col("o_orderkey") % 7000 / 100.0 + 0.003).alias("x"), (F.col("o_custkey") * 53 % 6500 / 100.0 + 0.003).alias("y")).distinct()
+    """Points of any number at one place, some with missing columns, by the polygons that they lie in; null: outside of all."""
+    p = table(spark, d, "orders").select(
+        F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderpriority")).alias("tag"), (F.col("o_orderkey") % 7000 / 100.0 + 0.003).alias("x"), (F.col("o_custkey") * 53 % 6500 / 100.0 + 0.003).alias("y")
+    )
     found = zonal.points_inside(p, triangles(spark, d), grid.GridSpec(0.0, 75.0, 1.0, 75, 75), "basin_id")
-    hit = found.groupBy("x", "y").agg(F.bool_or(F.col("basin_id").isNotNull()).alias("inside"))
-    return hit.groupBy("inside").agg(F.count("*").alias("n"))
+    return found.groupBy("tag", "basin_id").agg(F.count("*").alias("n"))
 
 
 @reg.add("jn20_polygon_distance", f"WITH {BOXES}, p AS (SELECT c_custkey AS id, c_custkey * 7 % 1900 / 10.0 - 40 AS x, c_custkey * 3 % 1900 / 10.0 - 40 AS y FROM customer) SELECT id, round(sqrt(min(pow(greatest(x0 - x, 0, x - x0 - 12), 2) + pow(greatest(y0 - y, 0, y - y0 - 12), 2))), 4) AS distance FROM p, bo GROUP BY id")

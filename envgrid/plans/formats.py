@@ -212,17 +212,23 @@ def sc16_utm(spark, d):
     return lonlat(spark, d).select("id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
 
 
-_LINE = [(0.3, 58.2), (40.7, 3.1), (59.1, 50.6)]
-_LEGS = ", ".join(f"({a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {e}::DOUBLE)" for (a, b), (c, e) in zip(_LINE, _LINE[1:], strict=False))
+_LEGS = """SELECT CAST(n_nationkey AS INTEGER) AS line, n_nationkey * 7 % 59 + 0.31::DOUBLE AS ax, n_nationkey * 11 % 59 + 0.23::DOUBLE AS ay, (n_nationkey * 23 + 17) % 59 + 0.57::DOUBLE AS bx, (n_nationkey * 29 + 31) % 59 + 0.71::DOUBLE AS "by",
+ (n_nationkey * 41 + 5) % 59 + 0.13::DOUBLE AS cx, (n_nationkey * 13 + 47) % 59 + 0.89::DOUBLE AS cy FROM nation"""
 
 
-@reg.add("jn21_line_in_patches", f"""WITH {TRIANGLES}, c AS (SELECT basin_id AS label, x, y FROM tr, (SELECT unnest(range(60)) AS x) a, (SELECT unnest(range(60)) AS y) b WHERE {in_triangle('(x + 0.5)', '(y + 0.5)')}), l AS (SELECT * FROM (VALUES {_LEGS}) t(ax, ay, ex, ey)),
- t AS (SELECT label, sqrt(power(ex - ax, 2) + power(ey - ay, 2)) AS n, greatest(0, least((x - ax) / (ex - ax), (x + 1 - ax) / (ex - ax)), least((y - ay) / (ey - ay), (y + 1 - ay) / (ey - ay))) AS lo, least(1, greatest((x - ax) / (ex - ax), (x + 1 - ax) / (ex - ax)), greatest((y - ay) / (ey - ay), (y + 1 - ay) / (ey - ay))) AS hi FROM c, l)
- SELECT label, round(sum(n * (hi - lo)), 5) AS length FROM t WHERE hi > lo GROUP BY label""")
+@reg.add("jn21_line_in_patches", f"""WITH {TRIANGLES}, c AS (SELECT basin_id AS label, x, y FROM tr, (SELECT unnest(range(60)) AS x) a, (SELECT unnest(range(60)) AS y) b WHERE {in_triangle('(x + 0.5)', '(y + 0.5)')}), w AS ({_LEGS}),
+ l AS (SELECT line, 0 AS leg, ax, ay, bx AS ex, "by" AS ey FROM w UNION ALL SELECT line, 1, bx, "by", cx, cy FROM w),
+ t AS (SELECT line, leg, label, sqrt(power(ex - ax, 2) + power(ey - ay, 2)) AS n, greatest(0, least((x - ax) / (ex - ax), (x + 1 - ax) / (ex - ax)), least((y - ay) / (ey - ay), (y + 1 - ay) / (ey - ay))) AS lo, least(1, greatest((x - ax) / (ex - ax), (x + 1 - ax) / (ex - ax)), greatest((y - ay) / (ey - ay), (y + 1 - ay) / (ey - ay))) AS hi FROM c, l),
+ p AS (SELECT line, label, n * (hi - lo) AS len, leg + lo AS s, lag(leg + hi) OVER (PARTITION BY line, label ORDER BY leg + lo) AS before FROM t WHERE hi > lo)
+ SELECT line, label, round(sum(len), 5) AS length, CAST(sum(CASE WHEN before IS NULL OR s > before + 1e-9 THEN 1 ELSE 0 END) AS BIGINT) AS crossings FROM p GROUP BY line, label""")
 def jn21(spark, d):
-    """Length of a bent line within patches of cells."""
+    """Length of bent lines within patches of cells, and how often each enters."""
+    n = F.col("n_nationkey")
+    at = lambda k, a, x: ((n * k + a) % 59 + x).cast("double")
+    corners = [(at(7, 0, 0.31), at(11, 0, 0.23)), (at(23, 17, 0.57), at(29, 31, 0.71)), (at(41, 5, 0.13), at(13, 47, 0.89))]
+    lines = table(spark, d, "nation").select(n.cast("int").alias("line"), F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in corners]).alias("points"))
     cells = zonal.centre_cells(triangles(spark, d), SPEC, ["basin_id"]).withColumnRenamed("basin_id", "label")
-    return rounded(zonal.line_crossings(cells, _LINE, SPEC).select("label", "length"), 5)
+    return rounded(zonal.line_crossings(cells, lines, SPEC), 5)
 
 
 @reg.add("sl01_sorted", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey) AS place FROM orders")

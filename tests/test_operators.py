@@ -93,8 +93,10 @@ def test_burn_and_interior(spark):
     assert got[(5, 5)] == 2 and got[(9, 0)] == 1 and len(got) == 36 + 16 - 4
     assert zonal.interior_cells(df.where("basin_id = 1"), spec, "basin_id", 2.0).count() == 4
     assert zonal.inside_any(spark.createDataFrame([(9, 0), (0, 9)], "row int, col int"), df, spec).count() == 1
-    line = zonal.line_crossings(spark.createDataFrame([(9, 0, 7), (9, 1, 7)], "row int, col int, label int"), [(0.5, 0.5), (5.5, 0.5)], spec).first()
-    assert line["length"] == pytest.approx(1.5, abs=0.03)
+    ways = [(1, [(0.5, 0.5), (5.5, 0.5)]), (2, [(0.5, 0.5), (4.5, 0.5), (4.5, 0.7), (0.5, 0.7)]), (3, [(9.5, 9.5), (8.5, 9.5)]), (4, None), (5, [(0.5, 0.5), (0.5, 0.5), (0.7, 0.5)])]
+    lines = spark.createDataFrame([(k, p and [{"x": x, "y": y} for x, y in p]) for k, p in ways], "line int, points array<struct<x:double,y:double>>")
+    got = {r["line"]: (r["length"], r["crossings"]) for r in zonal.line_crossings(spark.createDataFrame([(9, 0, 7), (9, 1, 7)], "row int, col int, label int"), lines, spec).collect()}
+    assert got == {1: (pytest.approx(1.5), 1), 2: (pytest.approx(3.0), 2), 5: (pytest.approx(0.2), 1)}
 
 
 def test_morphology_and_patches(spark):
@@ -324,10 +326,21 @@ def test_points_boxes_and_distances_of_any_outline(spark):
     want = {(r["id"], r["basin_id"]) for r in both.where(geo.contains_point("rings", "x", "y")).select("id", "basin_id").collect()}
     found = zonal.points_inside(pts, shapes, spec, "basin_id").collect()
     assert {(r["id"], r["basin_id"]) for r in found if r["basin_id"] is not None} == want and {r["id"] for r in found} == set(range(150))
+    # equal points, missing columns and missing coordinates stay rows of their own
+    odd = spark.createDataFrame([(None, 3.3, 3.4), (None, 3.3, 3.4), (7, 3.3, 3.4), (7, 19.9, 0.1), (8, None, 1.0)], "tag int, x double, y double").withColumn("basin_id", F.lit("theirs")).drop("basin_id")
+    inside = {k for k, rings in random_polygons(8, 9) if spark.createDataFrame([(3.3, 3.4)], "x double, y double").crossJoin(polys(spark, [(k, rings)])).where(geo.contains_point("rings", "x", "y")).count()}
+    rows = [tuple(r) for r in zonal.points_inside(odd, shapes, spec, "basin_id").where("x = 3.3 OR x IS NULL").collect()]
+    assert sorted(map(repr, rows)) == sorted([*(repr((t, 3.3, 3.4, k)) for t in (None, None, 7) for k in (inside or {None})), repr((8, None, 1.0, None))])
     far = pts.withColumn("x", 4 * F.col("x") - 30).withColumn("y", 3 * F.col("y") - 20)
     near = {r["id"]: r["d"] for r in far.crossJoin(shapes).groupBy("id").agg(F.min(geo.polygon_distance("rings", "x", "y")).alias("d")).collect()}
     got = {r["id"]: r["distance"] for r in zonal.nearest_distance(far, shapes, "id", 0.7).collect()}
     assert got == pytest.approx(near) and zonal.nearest_distance(far, shapes.limit(0), "id", 1.0).where("distance IS NULL").count() == 150
+    assert {r["id"]: r["distance"] for r in zonal.nearest_distance(far.withColumn("x", F.col("x") * 1000 + 1e5), shapes, "id", 0.01).collect()} == pytest.approx(
+        {r["id"]: r["d"] for r in far.withColumn("x", F.col("x") * 1000 + 1e5).crossJoin(shapes).groupBy("id").agg(F.min(geo.polygon_distance("rings", "x", "y")).alias("d")).collect()}
+    )
+    for margin in (0.4, 1.7, 3.0):
+        every = shapes.crossJoin(spark.range(400)).select("basin_id", "rings", (F.col("id") % 20 + 0.5).alias("x"), (F.floor(F.col("id") / 20) + 0.5).alias("y")).where(geo.contains_point("rings", "x", "y") & (geo.boundary_distance("rings", "x", "y") >= margin))
+        assert {tuple(r) for r in zonal.interior_cells(shapes, spec, "basin_id", margin).collect()} == {(r["basin_id"], 19 - int(r["y"]), int(r["x"])) for r in every.collect()}
     boxes = pts.select("id", F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + 1.3).alias("x1"), (F.col("y") + 0.6).alias("y1")).where("x1 < 20 AND y1 < 20")
     areas = {(r["id"], k) for r in boxes.collect() for k, rings in random_polygons(8, 9) if abs(sum(clipped([(v["x"], v["y"]) for v in q], r["x0"], r["y0"], r["x1"], r["y1"]) for q in rings)) > 1e-9}
     assert {tuple(r) for r in zonal.boxes_that_meet(boxes, shapes, spec, "basin_id", "id").collect()} == areas
