@@ -7,10 +7,9 @@ shares no token of B with its successor, both end at the same byte, and a group
 groups, transposed for A, times that for B gives the shared-group links: for each pair of ids how often they stand in one
 group. The matrices of all texts of a slice are one, with rows by text; products are made in blocks of bounded size.
 
-Both encoders work word by word: a tokenizer never merges across the words of its pattern (A) or across the front of a blank
-and a word (B). New words of a slice are encoded by the tokenizers' own libraries, known ones come from a store of bounded
-size, which affects speed only. Characters on whose class the library and the pattern disagree are found by asking the
-library about each new character; texts that hold one are encoded by it in whole.
+Words are encoded by the tokenizers' own libraries. For B, where no piece goes on over the front of a blank and a word, new
+words of a slice are encoded and known ones come from a store of bounded size, which affects speed only. For A a faster
+library with the same merges does the work, but for texts with a character on whose class the two disagree.
 
 How many documents hold a pair of ids linked is counted over the whole corpus. Counts come back to the documents in two
 ways: the HEAD most frequent pairs, chosen by a count that at most HEAD pairs reach, are sent to all tasks as a sorted array
@@ -25,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -40,9 +40,11 @@ from envgrid.llm.token_counts import byte_signs
 
 BLANK = "▁"
 #: Words of a store, ids of a store, and products that are held before they are summed.
-WORDS, IDS, PRODUCTS = 400_000, 4_000_000, 4_000_000
+WORDS, IDS, PRODUCTS = 400_000, 4_000_000, 1 << 19
 #: Characters of a text whose words are objects at one time.
 CHARS = 4 << 20
+#: Bytes of texts that are aligned together.
+SLICE = 1 << 20
 #: Most pairs that are sent to all tasks: 16 bytes each.
 HEAD = 1 << 20
 
@@ -63,12 +65,12 @@ class Store:
         if len(self.number) > WORDS or len(self.ids) > IDS:
             self.reset()
         new = list(set(words).difference(self.number))
-        for w, ids in zip(new, self.encode(new), strict=True):
-            k = self.number[w] = len(self.ends) - 1
-            self.ids.extend(ids)
-            self.ends.append(len(self.ids))
-            if b"".join([self.bytes_of[i] for i in ids]) != self.plain(w):
-                self.wrong.append(k)
+        made, first = self.encode(new), len(self.ends) - 1
+        self.number.update(zip(new, range(first, first + len(new)), strict=True))
+        self.ids.extend(chain.from_iterable(made))
+        self.ends.extend((self.ends[-1] + np.cumsum([len(x) for x in made], dtype=np.int64)).tolist())
+        if b"".join([self.bytes_of[i] for i in chain.from_iterable(made)]) != b"".join(map(self.plain, new)):
+            self.wrong += [first + k for k, (w, ids) in enumerate(zip(new, made, strict=True)) if b"".join([self.bytes_of[i] for i in ids]) != self.plain(w)]
         numbers = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
         ptr = np.frombuffer(self.ends, np.int64)
         ids = gathered(np.frombuffer(self.ids, np.int32), ptr, numbers) if len(self.ids) else np.zeros(0, np.int32)
@@ -81,123 +83,118 @@ def gathered(values: np.ndarray, ptr: np.ndarray, rows: np.ndarray) -> np.ndarra
     return values[np.repeat(ptr[rows] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
 
 
-class Side:
-    """One tokenizer: its words, their ids, and each id's bytes."""
+class ByteSide:
+    """A byte-level tokenizer of the tokenizers library; it reads a blank and the text.
 
-    def __init__(self, bytes_of: list[bytes], encode, plain):
-        self.bytes_of, self.store = bytes_of, Store(encode, plain, bytes_of)
-        self.size = np.array([len(b) for b in bytes_of], np.int64)
-        self.names = [f"{i}{sign}" for i in range(len(bytes_of)) for sign in ",|;"]
-
-    def words(self, text: str) -> Iterator[list[str]]:
-        """The words of a text, in lists of bounded size."""
-        if len(text) <= CHARS:
-            yield self.pattern.findall(text)
-        else:
-            found = (m.group() for m in self.pattern.finditer(text))
-            while some := list(islice(found, CHARS // 4)):
-                yield some
-
-    def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids of all texts, number of ids of each, whether they are the text's bytes)."""
-        out, counts, good, waiting, held = [], np.zeros(len(texts), np.int64), np.ones(len(texts), bool), [], 0
-
-        def flush() -> None:
-            ids, n, right = self.store.tokens(list(chain.from_iterable(w for _, w in waiting)))
-            text = np.repeat([k for k, _ in waiting], [len(w) for _, w in waiting]).astype(np.int64)
-            np.add.at(counts, text, n)
-            good[text[~right]] = False
-            out.append(ids)
-            waiting.clear()
-
-        for k, text in enumerate(texts):
-            if (ids := self.apart(text)) is not None:
-                flush()
-                out.append(np.array(ids, np.int32))
-                counts[k], good[k] = len(ids), b"".join([self.bytes_of[i] for i in ids]) == (" " + text).encode()
-                continue
-            for w in self.words(self.written(text)):
-                waiting.append((k, w))
-                held += len(w)
-                if held > CHARS // 4:
-                    flush()
-                    held = 0
-        flush()
-        return np.concatenate(out).astype(np.int64), counts, good
-
-
-class ByteSide(Side):
-    """A byte-level tokenizer of the tokenizers library; it reads a blank and the text."""
+    tiktoken encodes with the same merges as ranks, which is faster. The libraries' tables of letters and numbers may differ: each
+    new character is shown to both, and a text with one that they cut otherwise is encoded by the tokenizers library.
+    """
 
     def __init__(self, path: str):
-        import regex
+        import tiktoken
         from tokenizers import Tokenizer
 
         spec = json.load(open(path, encoding="utf-8"))
         if spec["normalizer"] or spec["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
             raise ValueError("only byte-level tokenizers without normalizer or added blank are supported")
-        self.library = library = Tokenizer.from_file(path)
-        library.encode_special_tokens = True
+        self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = True
         signs = {s: b for b, s in enumerate(byte_signs())}
-        entries = [""] * library.get_vocab_size(with_added_tokens=True)
-        for t, i in library.get_vocab(with_added_tokens=False).items():
-            entries[i] = t
-        super().__init__([bytes(signs.get(c, 63) for c in t) for t in entries], lambda new: [e.ids for e in library.encode_batch_fast(new, add_special_tokens=False)], str.encode)
+        vocab, added = spec["model"]["vocab"], {t["content"] for t in spec["added_tokens"]}
+        ranks = {bytes(signs[c] for c in t): i for t, i in vocab.items() if t not in added}
+        made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in spec["model"]["merges"]]
+        if made != sorted(made) or len(ranks) != len(made) + 256:
+            raise ValueError("only vocabularies in the order of their merges are supported")
         # Fixed value: the word pattern of byte-level vocabularies.
-        self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-        self.kinds = [regex.compile(p) for p in (r"\p{L}", r"\p{N}", r"\s")]
+        self.ranked = tiktoken.Encoding("ranked", pat_str=r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+", mergeable_ranks=ranks, special_tokens={})
+        self.bytes_of = [b""] * (max(vocab.values()) + 1)
+        for b, i in ranks.items():
+            self.bytes_of[i] = b
+        self.size = np.array([len(b) for b in self.bytes_of], np.int64)
         self.asked, self.odd = {chr(c) for c in range(128)}, set()
 
+    def by_library(self, text: str) -> list[int]:
+        return self.library.encode(text, add_special_tokens=False).ids
+
     def ask(self, chars: set[str]) -> None:
-        """Notes the characters of which the library makes other words than the pattern."""
+        """Notes the characters of which the libraries make different words."""
         for c in chars - self.asked:
             self.asked.add(c)
-            for probe in (f"a{c}a", f"1{c}1", f".{c}.", f"a{c} {c}{c}a"):
-                cut = [probe[i:j] for _, (i, j) in self.library.pre_tokenizer.pre_tokenize_str(probe)]
-                if cut != self.pattern.findall(probe):
-                    self.odd.add(c)
+            probe = f"a{c}a 1{c}1 .{c}. a{c} {c}{c}a{c}\n{c}1"
+            if self.by_library(probe) != self.ranked.encode_ordinary(probe):
+                self.odd.add(c)
 
     def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each, whether they are the text's bytes)."""
         self.ask(set().union(*texts))
-        return super().tokens(texts)
-
-    def apart(self, text: str) -> list[int] | None:
-        """Ids of a text with an odd character, by the library in whole."""
-        if self.odd and not self.odd.isdisjoint(text):
-            return self.library.encode(" " + text, add_special_tokens=False).ids
-        return None
+        out = []
+        for text in texts:
+            if self.odd and not self.odd.isdisjoint(text):
+                out.append(np.array(self.by_library(" " + text), np.int64))
+            else:
+                out.append(self.ranked.encode_to_numpy(" " + text, disallowed_special=()).astype(np.int64))
+        ids, given, good = np.concatenate(out), [(" " + text).encode() for text in texts], np.ones(len(texts), bool)
+        if b"".join(map(self.bytes_of.__getitem__, ids.tolist())) != b"".join(given) or any(int(self.size[x].sum()) != len(g) for x, g in zip(out, given, strict=True)):
+            good = np.array([b"".join(map(self.bytes_of.__getitem__, x.tolist())) == g for x, g in zip(out, given, strict=True)], bool)
+        return ids, np.array([len(x) for x in out], np.int64), good
 
-    def written(self, text: str) -> str:
-        return " " + text
 
+class PieceSide:
+    """A sentencepiece tokenizer, which adds a blank before the text. Words are blanks and what follows them up to the next."""
 
-class PieceSide(Side):
-    """A sentencepiece tokenizer, which adds a blank before the text."""
+    pattern = re.compile("▁+[^▁]*")
 
     def __init__(self, path: str):
-        import re
-
         import sentencepiece
 
-        self.library = sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
-        made = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(map(sp.id_to_piece, range(n)))]
+        self.bytes_of = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(map(sp.id_to_piece, range(n)))]
         if any(BLANK in sp.id_to_piece(i).lstrip(BLANK) for i in range(n)):
             raise ValueError("a piece holds a blank after another character")
+        self.size = np.array([len(b) for b in self.bytes_of], np.int64)
         alone = sp.piece_to_id(BLANK)
 
         def encode(new: list[str]) -> list[list[int]]:
             # the library adds a word's first blank itself
             return [[alone] if w == BLANK else ids for w, ids in zip(new, sp.encode([w[1:] for w in new], num_threads=1), strict=True)] if new else []
 
-        super().__init__(made, encode, lambda w: w.replace(BLANK, " ").encode())
-        self.pattern = re.compile("▁+[^▁]*")
+        self.store = Store(encode, lambda w: w.replace(BLANK, " ").encode(), self.bytes_of)
 
-    def apart(self, text: str) -> list[int] | None:
-        return [] if BLANK in text else None  # the sign of a blank would come back as one
+    def words(self, text: str) -> Iterator[list[str]]:
+        """The words of a text, in lists of bounded size."""
+        text = (BLANK + text.replace(" ", BLANK)) if text else ""
+        if len(text) <= CHARS:
+            yield self.pattern.findall(text)
+        else:
+            found = (m.group() for m in self.pattern.finditer(text))
+            while some := list(islice(found, CHARS // 4)):
+                yield some
+
+    def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each, whether they are the text's bytes)."""
+        out, counts, good, waiting, held = [], np.zeros(len(texts), np.int64), np.ones(len(texts), bool), [], 0
 
-    def written(self, text: str) -> str:
-        return (BLANK + text.replace(" ", BLANK)) if text else ""
+        def flush() -> None:
+            ids, n, right = self.store.tokens(list(chain.from_iterable(w for _, w in waiting)))
+            text = np.repeat([k for k, _ in waiting], [len(w) for _, w in waiting]).astype(np.int64)
+            np.add.at(counts, text, n)
+            good[text[~right]] = False
+            out.append(ids)
+            waiting.clear()
+
+        for k, text in enumerate(texts):
+            if BLANK in text:  # the sign of a blank would come back as one
+                good[k] = False
+                continue
+            for w in self.words(text):
+                waiting.append((k, w))
+                held += len(w)
+                if held > CHARS // 4:
+                    flush()
+                    held = 0
+        flush()
+        return np.concatenate(out).astype(np.int64), counts, good
 
 
 class Csr:
@@ -216,7 +213,7 @@ class Csr:
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
         val = np.add.reduceat(val, first) if len(key) else val
         row, col = np.divmod(key[first], cols)
-        return Csr(np.searchsorted(row, np.arange(rows + 1)), col, val)
+        return Csr(np.r_[0, np.cumsum(np.bincount(row, minlength=rows))], col, val)
 
     def rows(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.ptr) - 1), np.diff(self.ptr))
@@ -262,6 +259,8 @@ class Aligner:
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = ByteSide(path_a), PieceSide(path_b)
         self.n_b = len(self.b.bytes_of)
+        #: Each id with the sign that follows it: within its group's tokens, behind those of A, behind those of B.
+        self.names = [f"{i}{sign}" for side in (self.a, self.b) for i in range(len(side.bytes_of)) for sign in ",|;"]
 
     def align(self, texts: list[str | None]) -> dict:
         """Tokens, groups and links of texts, with rows (texts) given by numbers of tokens, groups and links."""
@@ -296,19 +295,15 @@ class Aligner:
         ga, gb = made["group_a"], made["group_b"]
         end_a, end_b = np.r_[ga[1:] != ga[:-1], True][: len(ga)], np.r_[gb[1:] != gb[:-1], True][: len(gb)]
         code_a, code_b = made["ids_a"] * 3 + end_a, made["ids_b"] * 3 + 2 * end_b
-        before = np.searchsorted(gb, ga)  # tokens of B in the groups before
-        up_to = np.searchsorted(ga, gb, "right")
+        groups = int(ga[-1]) + 1 if len(ga) else 0
+        before = np.r_[0, np.cumsum(np.bincount(gb, minlength=groups))][ga]  # tokens of B in the groups before
+        up_to = np.cumsum(np.bincount(ga, minlength=groups))[gb]
         code = np.empty(len(ga) + len(gb), np.int64)
-        is_a = np.zeros(len(code), bool)
-        code[np.arange(len(ga)) + before], is_a[np.arange(len(ga)) + before] = code_a, True
-        code[np.arange(len(gb)) + up_to] = code_b
-        names_a, names_b = self.a.names, self.b.names
-        out, at = [], 0
-        for n in (made["n_a"] + made["n_b"]).tolist():
-            some = [names_a[c] if a else names_b[c] for c, a in zip(code[at : at + n].tolist(), is_a[at : at + n].tolist(), strict=True)]
-            out.append("".join(some)[:-1])
-            at += n
-        return out
+        code[np.arange(len(ga)) + before] = code_a
+        code[np.arange(len(gb)) + up_to] = code_b + 3 * len(self.a.bytes_of)
+        signs = list(map(self.names.__getitem__, code.tolist()))
+        ends = np.cumsum(made["n_a"] + made["n_b"]).tolist()
+        return ["".join(signs[i:j])[:-1] for i, j in zip([0, *ends], ends, strict=False)]
 
 
 @lru_cache(maxsize=1)
@@ -332,7 +327,7 @@ def align_texts(df: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = loaded(path_a, path_b)
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", SLICE):
                 made = aligner.align(part.column("text").to_pylist())
                 over, n_a, n_b = made["overlaps"], made["n_a"], made["n_b"]
                 first_a, first_b, ends = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b, np.cumsum(n_a)
@@ -360,7 +355,7 @@ def link_rows(df: DataFrame, path_a: str, path_b: str, id_col: str, text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = loaded(path_a, path_b)
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", SLICE):
                 made = aligner.align(part.column("text").to_pylist())
                 sha = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in aligner.written_groups(made)]
                 ends = np.cumsum(made["n_a"])

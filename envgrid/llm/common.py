@@ -69,12 +69,12 @@ def unstage(*tables: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def pieces(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Consecutive slices of batch, each with about PIECE_BYTES of column, or one longer row."""
+def pieces(batch: pa.RecordBatch, column: str, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Consecutive slices of batch, each with about most bytes of column, or one longer row."""
     at, held = 0, 0
     for i, n in enumerate(batch.column(column)):
         n = len(n.as_buffer()) if n.is_valid else 0
-        if held and held + n > PIECE_BYTES:
+        if held and held + n > most:
             yield batch.slice(at, i - at)
             at, held = i, 0
         held += n
