@@ -131,18 +131,21 @@ def pl07(spark, d):
     return out
 
 
-_COARSE = grid.GridSpec(0.0, 60.0, 5.0, 12, 12)
+COARSE = grid.GridSpec(0.0, 60.0, 5.0, 12, 12)
 
 
-@reg.add("pl05_basin_daily", f"""WITH {HOURLY}, {TRIANGLES}, h AS (SELECT *, {wall7("time - INTERVAL 1 MICROSECOND")} AS day FROM ho), dy AS (SELECT day, row, col, sum(value) AS value FROM h GROUP BY ALL),
+BASIN_DAYS = f"""{HOURLY}, {TRIANGLES}, h AS (SELECT *, {wall7("time - INTERVAL 1 MICROSECOND")} AS day FROM ho), dy AS (SELECT day, row, col, sum(value) AS value FROM h GROUP BY ALL),
  wt AS (SELECT * FROM (SELECT basin_id, r AS row, c AS col, {triangle_area("(5 * c)", "(55 - 5 * r)", 5)} AS area FROM tr, (SELECT unnest(range(12)) AS r) a, (SELECT unnest(range(12)) AS c) b) WHERE area > 1e-7),
  m AS (SELECT day, basin_id, sum(area * value) / nullif(sum(CASE WHEN value IS NOT NULL THEN area END), 0) AS mean, coalesce(sum(CASE WHEN value IS NOT NULL THEN area END), 0) / {AREA} AS cover FROM dy JOIN wt USING (row, col) GROUP BY ALL),
- n AS (SELECT day, basin_id, count(DISTINCT CASE WHEN value IS NOT NULL THEN time END) AS n FROM h JOIN wt USING (row, col) GROUP BY ALL)
+ n AS (SELECT day, basin_id, count(DISTINCT CASE WHEN value IS NOT NULL THEN time END) AS n FROM h JOIN wt USING (row, col) GROUP BY ALL)"""
+
+
+@reg.add("pl05_basin_daily", f"""WITH {BASIN_DAYS}
  SELECT day AS report_date, basin_id, round_even(mean, 3) AS precip_mm, round_even(mean / 25.4, 4) AS precip_in, round_even(mean / 1000 * {AREA} * 1000003.0, 1) AS volume_m3, round_even(mean / 1000 * {AREA} * 1000003.0 / 86400, 4) AS volume_flux_m3s, round(round_even(cover, 4), 2) AS cover_frac, n AS n_hours, CAST(24 AS INTEGER) AS n_hours_expected FROM m JOIN n USING (day, basin_id)""")
 def pl05d(spark, d):
     """An hourly grid to day records of slanted basins with holes: weights, covered share, valid and expected hours, volume, flux."""
     # an odd unit and fewer decimals of the share: nothing lies half-way between two decimals
-    return series.basin_daily(hourly(spark, d), triangles(spark, d), _COARSE, unit_m2=1000003.0).withColumn("cover_frac", F.round("cover_frac", 2))
+    return series.basin_daily(hourly(spark, d), triangles(spark, d), COARSE, unit_m2=1000003.0).withColumn("cover_frac", F.round("cover_frac", 2))
 
 
 _OFFS = "(VALUES (0, 0), (0, 1), (1, 0), (0, -1), (-1, 0)) o(a, b)"

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from envgrid.operators import zonal
 from envgrid.plans.fields import SERIES, basin_series
 from envgrid.plans.formats import folder
-from envgrid.plans.views import DAILY, Registry, daily, rounded, table, wall7
-from envgrid.sources import io, stages
+from envgrid.plans.pipelines import BASIN_DAYS, COARSE
+from envgrid.plans.views import DAILY, Registry, daily, hourly, rounded, table, triangles, wall7
+from envgrid.sources import io, stages, versions
 from envgrid.streaming import refresh
 
 reg = Registry()
@@ -73,7 +75,10 @@ def sr03(spark, d):
     return drained(spark, refresh.soil_stream(stream), "soil").select("cell", "n", F.round("s", 6).alias("s"), "armed", "wet")
 
 
-@reg.add("sr02_late_revision", f"WITH {SERIES}, old AS (SELECT report_date, basin_id, n_hours, round(mm, 4) AS mm FROM se), late AS (SELECT report_date, basin_id, n_hours + 1 AS n_hours, round(mm + 1, 4) AS mm FROM se WHERE report_date > (SELECT max(report_date) FROM se) - 2) SELECT * FROM old WHERE report_date NOT IN (SELECT report_date FROM late) UNION ALL SELECT * FROM late")
+_REVISED = f"WITH {SERIES}, old AS (SELECT report_date, basin_id, n_hours, round(mm, 4) AS mm FROM se), late AS (SELECT report_date, basin_id, n_hours + 1 AS n_hours, round(mm + 1, 4) AS mm FROM se WHERE report_date > (SELECT max(report_date) FROM se) - 2) SELECT * FROM old WHERE report_date NOT IN (SELECT report_date FROM late) UNION ALL SELECT * FROM late"
+
+
+@reg.add("sr02_late_revision", _REVISED)
 def sr02(spark, d):
     """The last two dates come again as a stream, whose batches replace them in the stored series."""
     path, later = folder(spark, "series"), folder(spark, "late")
@@ -85,3 +90,53 @@ def sr02(spark, d):
     stream = spark.readStream.schema(s.schema).parquet(later)
     stream.writeStream.foreachBatch(refresh.upsert_batches(path)).option("checkpointLocation", f"{later}-log").trigger(availableNow=True).start().awaitTermination()
     return io.read_series(spark, path, columns=("report_date", "basin_id", "n_hours", "mm"))
+
+
+@reg.add("io17_versioned_commit", _REVISED)
+def io17v(spark, d):
+    """The same revision as commits of a versioned table: a batch that comes twice and one that dies before its commit change nothing."""
+    path, later = folder(spark, "versioned"), folder(spark, "late")
+    s = stages.stage(basin_series(spark, d).select("report_date", "basin_id", "n_hours", F.round("precip_mm", 4).alias("mm")), "series")
+    versions.commit(s, path, "record")
+    end = F.broadcast(s.agg(F.max("report_date").alias("_end")))  # one row
+    late = s.crossJoin(end).where(F.col("report_date") > F.date_sub("_end", 2)).select("report_date", "basin_id", (F.col("n_hours") + 1).alias("n_hours"), F.round(F.col("mm") + 1, 4).alias("mm"))
+    late.write.parquet(later)
+    stream = spark.readStream.schema(s.schema).parquet(later)
+    stream.writeStream.foreachBatch(versions.commit_batches(path, "late")).option("checkpointLocation", f"{later}-log").trigger(availableNow=True).start().awaitTermination()
+    versions.commit(s.withColumn("mm", F.lit(-1.0)), path, "late/0")
+    versions.write_rows(s.withColumn("mm", F.lit(-2.0)), path, "dead", "report_date")
+    return versions.read_table(spark, path).select("report_date", "basin_id", "n_hours", "mm")
+
+
+@reg.add("sr01_basin_stream", f"""WITH {BASIN_DAYS}, e AS (SELECT max(CAST(timezone('UTC', timezone('America/New_York', CAST(day AS TIMESTAMP) + INTERVAL 7 HOUR)) AS TIMESTAMP)) - INTERVAL 2 DAY AS mark FROM h)
+ SELECT day AS report_date, basin_id, round(mean, 4) AS mean, round(cover, 2) AS cover_frac, n AS n_hours FROM m JOIN n USING (day, basin_id), e WHERE CAST(timezone('UTC', timezone('America/New_York', CAST(day AS TIMESTAMP) + INTERVAL 7 HOUR)) AS TIMESTAMP) <= mark""")
+def sr01b(spark, d):
+    """Days of slanted basins from a stream of hourly cells: stored weights, covered share and valid hours, as the watermark closes them."""
+    path = folder(spark, "hours")
+    hourly(spark, d).write.parquet(path)
+    weights = stages.stage(zonal.cell_weights(triangles(spark, d), COARSE, "basin_id"), "weights")
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    days = refresh.basin_days(stream, weights).select("report_date", "basin_id", "mean", "cover_frac", "n_hours")
+    return rounded(drained(spark, days, "basins").withColumn("cover_frac", F.round("cover_frac", 2)))
+
+
+_GONE = "(user_id * 3 + n) % 7 = 2"
+
+
+@reg.add("sr03_soil_gaps", f"""WITH RECURSIVE {DAILY}, k AS (SELECT user_id, n, rain, row_number() OVER (PARTITION BY user_id ORDER BY n) AS i FROM da WHERE NOT {_GONE}),
+ f AS (SELECT user_id, 0 AS i, -1 AS n, 20.0::DOUBLE AS s, TRUE AS armed, CAST(NULL AS INTEGER) AS wet FROM (SELECT DISTINCT user_id FROM da)
+ UNION ALL SELECT f.user_id, d.i, d.n, greatest(least(f.s + 0.85::DOUBLE * d.rain, 40.0) - 3.0::DOUBLE * least(f.s + 0.85::DOUBLE * d.rain, 40.0) / 40.0, 0), CASE WHEN d.rain >= 12.7 AND (f.armed OR f.s / 40 < 0.3) THEN FALSE ELSE f.armed OR f.s / 40 < 0.3 END,
+ CASE WHEN d.rain >= 12.7 AND (f.armed OR f.s / 40 < 0.3) THEN d.n ELSE f.wet END FROM f JOIN k d ON d.user_id = f.user_id AND d.i = f.i + 1),
+ w AS (SELECT user_id, min(n) AS stop FROM da WHERE {_GONE} AND n > 29 - 2 GROUP BY user_id)
+ SELECT f.user_id AS cell, n, round(CAST(s AS DOUBLE), 6) AS s, armed, CAST(wet AS INTEGER) AS wet FROM f LEFT JOIN w USING (user_id) WHERE n >= 0 AND n < coalesce(stop, 30)""")
+def sr03g(spark, d):
+    """The soil fold where every cell lacks a seventh of its days: they are passed over when the watermark has, and refused when they come after all."""
+    path = folder(spark, "rain")
+    gone = (F.col("user_id") * 3 + F.col("n")) % 7 == 2
+    rain = stages.stage(daily(spark, d), "daily")
+    shown = lambda df: df.select(F.col("user_id").alias("cell"), F.col("n").cast("int").alias("n"), F.col("day").cast("timestamp").alias("day"), F.col("rain").alias("p"), F.lit(3.0).alias("pet"), F.lit(40.0).alias("cap"))
+    # three files, read one after the other; the last one brings missing days of the first, with other rain
+    for part in (rain.where(~gone & (F.col("n") < 10)), rain.where(~gone & F.col("n").between(10, 19)), rain.where(~gone & (F.col("n") > 19)).unionByName(rain.where(gone & (F.col("n") < 10)).withColumn("rain", F.lit(99.0)))):
+        shown(part).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return drained(spark, refresh.soil_stream(stream, day="day"), "soil").select("cell", "n", F.round("s", 6).alias("s"), "armed", "wet")

@@ -34,6 +34,24 @@ def trailing_totals(stream: DataFrame, key: str, days: int = 21, day: str = "day
     return (stream.withWatermark(day, late) if late else stream).groupBy(w, key).agg(F.sum(value).alias("total"))
 
 
+def basin_days(stream: DataFrame, weights: DataFrame, key: str = "basin_id", time: str = "time", value: str = "value", late: str = "2 days", tz: str = TZ) -> DataFrame:
+    """(window_end, report_date, key, mean, cover_frac, n_hours) of polygons from a stream of hourly cells (row, col, time, value).
+
+    Hours become report days for each cell first, then cells become polygons by their stored area weights; both aggregations
+    follow the same watermark, so a day is given once, when it is over. Beside its sum a cell carries which of its hours had a
+    value, a bit for each; a polygon's valid hours are the bits that any of its cells has. weights is (row, col, key, area, poly_area).
+    """
+    day = report_day(F.col(time), "wall7_right", tz)
+    ended = stream.withColumn("window_end", window_end(day, tz)).withWatermark("window_end", late).dropDuplicates(["window_end", "row", "col", time])
+    hour = F.expr(f"shiftleft(1, cast((unix_seconds(window_end) - unix_seconds(`{time}`)) / 3600 AS int))")
+    cells = ended.groupBy("window_end", "row", "col").agg(F.sum(value).alias("_v"), F.bit_or(F.when(F.col(value).isNotNull(), hour).otherwise(0)).alias("_h"))
+    have = F.sum(F.when(F.col("_v").isNotNull(), F.col("area")))
+    basins = cells.join(weights, ["row", "col"]).groupBy("window_end", key).agg(
+        (F.sum(F.col("area") * F.col("_v")) / F.nullif(have, F.lit(0.0))).alias("mean"), (F.coalesce(have, F.lit(0.0)) / F.max("poly_area")).alias("cover_frac"), F.bit_count(F.bit_or("_h")).cast("long").alias("n_hours")
+    )
+    return basins.withColumn("report_date", F.to_date(F.from_utc_timestamp("window_end", tz)))
+
+
 def gap_alerts(totals: DataFrame, tz: str = TZ) -> DataFrame:
     """Closed windows with fewer hours than they have."""
     day = F.to_date(F.from_utc_timestamp("window_end", tz))
@@ -48,25 +66,59 @@ def upsert_batches(path: str, day: str = "report_date"):
     return write
 
 
+DAY_MS = 86_400_000
+
+
 class SoilBucket(StatefulProcessor):
     """The soil fold for one cell: days are kept until they come in order, then folded one by one.
 
-    Input: key, n (day number), p, pet, cap. Output: one row for each folded day with the state after it.
+    Input: key, n (day number), p, pet, cap and, if timed, day (the timestamp of day n). Output: one row for each folded day with
+    the state after it. If timed, a day that the watermark has passed is missing for good: a timer at its date lets the fold
+    go on with the next day that is there, as a fold over the days of a table does. A day that comes after that is refused. So the
+    days that wait are those within the watermark's delay.
     """
 
+    def __init__(self, timed: bool = False):
+        self.timed = timed
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "next int, s double, armed boolean, wet int, soak int, k array<double>")
+        self.handle = handle
+        self.state = handle.getValueState("state", "next int, s double, armed boolean, wet int, soak int, k array<double>, origin bigint, timer bigint")
         self.waiting = handle.getMapState("waiting", "n int", "p double, pet double, cap double")
 
+    def held(self):
+        return self.state.get() if self.state.exists() else (0, None, True, None, None, [], None, None)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = self.held()
+        at, origin = held[0], held[6]
+        passed = timerValues.getCurrentWatermarkInMs() if self.timed else 0
         for df in rows:
             for r in df.itertuples():
-                self.waiting.updateValue((int(r.n),), (float(r.p), float(r.pet), None if pd.isna(r.cap) else float(r.cap)))
-        at, s, armed, wet, soak, k = self.state.get() if self.state.exists() else (0, None, True, None, None, [])
+                if origin is None and self.timed:
+                    origin = int(pd.Timestamp(r.day).timestamp() * 1000) - int(r.n) * DAY_MS
+                if int(r.n) >= at and not (self.timed and origin + int(r.n) * DAY_MS <= passed):
+                    self.waiting.updateValue((int(r.n),), (float(r.p), float(r.pet), None if pd.isna(r.cap) else float(r.cap)))
+        yield self.folded(key, (*held[:6], origin, held[7]), timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self.folded(key, (*self.held()[:7], None), timerValues)
+
+    def folded(self, key, held: tuple, timerValues) -> pd.DataFrame:
+        """Folds the days that are next, over missing ones that the watermark has passed."""
+        at, s, armed, wet, soak, k, origin, timer = held
+        passed = timerValues.getCurrentWatermarkInMs() if self.timed and origin is not None else None
         out = []
-        while self.waiting.containsKey((at,)):
+        while True:
+            if not self.waiting.containsKey((at,)):
+                later = [n for (n,) in self.waiting.keys()] if passed is not None else []
+                last = min((passed - origin) // DAY_MS + 1, min(later)) if later else at
+                if last <= at:
+                    break
+                at = last
+                continue
             p, pet, cap = self.waiting.getValue((at,))
-            if at == 0 and cap is not None:
+            if s is None and cap is not None:
                 s = 0.5 * cap
             armed = armed or (cap is not None and s / cap < REARM)
             hit = p >= SOAK_MM
@@ -82,13 +134,24 @@ class SoilBucket(StatefulProcessor):
             self.waiting.removeKey((at,))
             out.append((*key, at, s, armed, wet, soak))
             at += 1
-        self.state.update((at, s, armed, wet, soak, list(k)))
-        yield pd.DataFrame(out, columns=["cell", "n", "s", "armed", "wet", "soak"])
+        if self.timed and origin is not None and next(iter(self.waiting.keys()), None) is not None:
+            due = origin + at * DAY_MS
+            if timer != due:
+                if timer is not None:
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(due)
+                timer = due
+        self.state.update((at, s, armed, wet, soak, list(k), origin, timer))
+        return pd.DataFrame(out, columns=["cell", "n", "s", "armed", "wet", "soak"])
 
     def close(self) -> None:
         pass
 
 
-def soil_stream(stream: DataFrame, key: str = "cell") -> DataFrame:
-    """State of each cell after each day; needs the RocksDB state store provider."""
-    return stream.groupBy(key).transformWithStateInPandas(SoilBucket(), f"cell {stream.schema[key].dataType.simpleString()}, n int, s double, armed boolean, wet int, soak int", "append", "none")
+def soil_stream(stream: DataFrame, key: str = "cell", day: str | None = None, late: str = "2 days") -> DataFrame:
+    """State of each cell after each day; needs the RocksDB state store provider.
+
+    With day, the column of the days' dates, days that don't come are passed over once the watermark says so; without it the fold waits for each day.
+    """
+    rows = stream if day is None else stream.withColumnRenamed(day, "day").withWatermark("day", late)
+    return rows.groupBy(key).transformWithStateInPandas(SoilBucket(day is not None), f"cell {stream.schema[key].dataType.simpleString()}, n int, s double, armed boolean, wet int, soak int", "append", "none" if day is None else "eventTime")

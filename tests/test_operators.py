@@ -170,6 +170,88 @@ def test_soil_stream_equals_fold(spark, tmp_path):
     assert got == pytest.approx(want)
 
 
+def test_soil_stream_over_gaps(spark, tmp_path):
+    """Dropped and late days: the fold goes on as over a table without them, and what waits stays within the watermark's delay."""
+    rng = np.random.default_rng(5)
+    rows = {(c, n): float(rng.gamma(0.5, 20)) for c in (1, 2, 3) for n in range(60) if (c * n) % 5 != 3 and not (c == 2 and n < 4)}
+    schema = "cell int, n int, day timestamp, p double, pet double, cap double"
+    row = lambda c, n, p: (c, n, dt.datetime(2024, 1, 1) + dt.timedelta(days=n), p, 3.0, None if c == 3 else 40.0)
+    for k in range(6):
+        part = [row(c, n, p) for (c, n), p in rows.items() if n // 10 == k] + [row(c, n, 500.0) for c in (1, 2, 3) for n in range(10 * k - 18, 10 * k - 12) if n >= 0 and (c, n) not in rows]
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = refresh.soil_stream(stream, day="day").writeStream.format("memory").queryName("gaps").option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    got = {(r["cell"], r["n"]): (r["s"], r["wet"]) for r in spark.table("gaps").collect()}
+    assert set(got) >= {k for k in rows if k[1] < 57} and set(got) <= set(rows) and len(got) == spark.table("gaps").count()
+    held = max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress)
+    assert held < 60  # of three cells: their state and the days of a batch, not the days of the record
+    for last in (9, 30, 56):
+        f = spark.createDataFrame([(c, n, p, 3.0) for (c, n), p in rows.items() if n <= last and c < 3], "cell int, n int, p double, pet double")
+        for r in moisture.soil_state(f, f.select("cell", F.lit(40.0).alias("cap")).distinct(), ["cell"]).collect():
+            n = max(n for c, n in rows if c == r["cell"] and n <= last)
+            assert got[r["cell"], n][0] == pytest.approx(r["sm"] * 40)
+
+
+def test_basin_stream_equals_batch(spark, tmp_path):
+    """Missing hours and cells, repeated reports and a clock change."""
+    rng = np.random.default_rng(6)
+    spec = grid.GridSpec(0.0, 6.0, 1.0, 6, 6)
+    shapes = polys(spark, [(1, [[{"x": 0.5, "y": 0.5}, {"x": 0.5, "y": 4.5}, {"x": 4.5, "y": 0.5}, {"x": 0.5, "y": 0.5}]]), (2, square(2.0, 2.0, 3.5))])
+    start = dt.datetime(2024, 3, 8, 13)
+    rows = [(r, c, start + dt.timedelta(hours=h), None if (r + c + h) % 5 == 0 or (h % 24 > 20 and c < 4) or r == 3 else float(rng.gamma(1, 2))) for r in range(6) for c in range(6) for h in range(150) if (r, c) != (4, 4)]
+    h = spark.createDataFrame(rows, "row int, col int, time timestamp, value double")
+    h.union(h.where("row = 2")).repartition(4).write.parquet(str(tmp_path / "h"))
+    stream = spark.readStream.schema(h.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "h"))
+    q = refresh.basin_days(stream, zonal.cell_weights(shapes, spec, "basin_id"), late="30 days").writeStream.format("memory").queryName("basins").option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    assert spark.table("basins").count() == 0  # nothing is over yet
+    end = spark.createDataFrame([(0, 0, dt.datetime(2024, 6, 1), 1.0)], h.schema)
+    end.write.mode("append").parquet(str(tmp_path / "h"))
+    q = refresh.basin_days(stream, zonal.cell_weights(shapes, spec, "basin_id"), late="30 days").writeStream.format("memory").queryName("basins2").option("checkpointLocation", str(tmp_path / "ck2")).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    want = {(r["report_date"], r["basin_id"]): r for r in series.basin_daily(h, shapes, spec).collect()}
+    got = {(r["report_date"], r["basin_id"]): r for r in spark.table("basins2").collect()}
+    assert set(got) == set(want) and {w["n_hours_expected"] for w in want.values()} == {23, 24}
+    for k, w in want.items():
+        assert (got[k]["n_hours"], round(got[k]["cover_frac"], 4)) == (w["n_hours"], pytest.approx(w["cover_frac"], abs=1e-4)) and got[k]["mean"] == pytest.approx(w["precip_mm"], abs=1e-3)
+
+
+def test_versioned_commits(spark, tmp_path):
+    from envgrid.sources import versions
+
+    path = str(tmp_path / "table")
+    rows = lambda *x: spark.createDataFrame([(dt.date(2024, 1, d), b, v) for d, b, v in x], "report_date date, basin_id int, v double")
+    read = lambda **k: sorted((r["report_date"].day, r["basin_id"], r["v"]) for r in versions.read_table(spark, path, **k).collect())
+    with pytest.raises(ValueError):
+        versions.read_table(spark, path)
+    assert versions.commit(rows((1, 1, 1.0), (2, 1, 1.0), (2, 2, 1.0)), path, "a") == 1
+    before = versions.read_table(spark, path)
+    assert versions.commit(rows((2, 1, 5.0), (3, 1, 5.0)), path, "b") == 2
+    assert read() == [(1, 1, 1.0), (2, 1, 5.0), (3, 1, 5.0)] and read(version=1) == [(1, 1, 1.0), (2, 1, 1.0), (2, 2, 1.0)]
+    assert before.count() == 3  # a reader keeps the state that it began with
+    assert versions.commit(rows((1, 9, 9.0)), path, "b") == 2 and len(read()) == 3  # the same batch again
+    versions.write_rows(rows((1, 7, 7.0)), path, "dead", "report_date")  # a writer that died before its commit
+    assert read() == [(1, 1, 1.0), (2, 1, 5.0), (3, 1, 5.0)] and read(first="2024-01-02", last="2024-01-02") == [(2, 1, 5.0)]
+    # another writer takes the next version while this one writes: it goes on from that one's state
+    publish, raced = versions.publish, []
+
+    def race(s, p, state):
+        if not raced:
+            raced.append(publish(s, p, {**versions.manifest(s, p), "version": state["version"], "batches": ["a", "b", "other"]}))
+        publish(s, p, state)
+
+    versions.publish = race
+    try:
+        assert versions.commit(rows((4, 1, 4.0)), path, "c", dates=rows((4, 0, 0.0), (3, 0, 0.0))) == 4
+    finally:
+        versions.publish = publish
+    assert versions.manifest(spark, path)["batches"] == ["a", "b", "other", "c"] and read() == [(1, 1, 1.0), (2, 1, 5.0), (4, 1, 4.0)]
+    with pytest.raises(versions.Conflict):
+        versions.publish(spark, path, {**versions.manifest(spark, path)})
+    assert versions.vacuum(spark, path) > 0 and read() == [(1, 1, 1.0), (2, 1, 5.0), (4, 1, 4.0)] and versions.versions(spark, path) == [4]
+
+
 def test_report_day_stream(spark, tmp_path):
     hours = [(dt.datetime(2024, 3, 9, 12) + dt.timedelta(hours=h), 1, 1.0) for h in range(1, 24)] + [(dt.datetime(2024, 3, 9, 13), 1, 1.0), (dt.datetime(2024, 3, 20), 1, 0.0)]
     spark.createDataFrame(hours, "time timestamp, cell int, value double").coalesce(1).write.parquet(str(tmp_path / "h"))
