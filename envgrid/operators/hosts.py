@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from envgrid.functions.scalars import block_id, embedding_valid
 from envgrid.operators.grid import GridSpec
-from envgrid.operators.index import balanced_accuracy, capped_sample, confusion
+from envgrid.operators.index import balanced_accuracy, capped_sample, confusion, numbered
 from envgrid.operators.zonal import burn
 from envgrid.sources.stages import stage
 
@@ -22,16 +22,73 @@ def with_features(df: DataFrame, emb: str = "emb") -> DataFrame:
     return df.withColumn("features", array_to_vector(F.col(emb).cast("array<double>")))
 
 
+def dealt_runs(sizes: Sequence[tuple[int, int]], folds: int) -> list[tuple[int, int, int, list[int]]]:
+    """(size, first, count, order): how blocks are dealt, the largest first and each to the lightest fold, given (size, number of blocks) by falling size.
+
+    Blocks first up to first + count - 1 of a size go to the folds in order, again and again. Blocks of one size fill the lightest
+    folds in turn until these reach the next one, so a size has a few runs, however many blocks it has.
+    """
+    load, out = [0] * folds, []
+    for size, n in sizes:
+        at = 0
+        while at < n:
+            order, trial = [], list(load)
+            while len(order) < n - at:
+                k = min(range(folds), key=lambda i: (trial[i], i))
+                if k in order:
+                    break
+                order.append(k)
+                trial[k] += size
+            others = [i for i in range(folds) if i not in order]
+            # further rounds are the same while no other fold is as light as one of the round's at its turn
+            same = [(load[i] - load[k] - (i < k)) // size if size else 0 for i in others for k in order]
+            rounds = max(1, min([(n - at) // len(order), *(x + 1 for x in same)]))
+            out.append((size, at, rounds * len(order), order))
+            for k in order:
+                load[k] += rounds * size
+            at += rounds * len(order)
+    return out
+
+
 def fold_of_blocks(df: DataFrame, folds: int = 5, block: str = "block") -> DataFrame:
-    """(block, fold): blocks by falling size, each to the fold that holds least. A block is a square of an area, so the list is bounded by the area: 5 km squares of a continent are some hundred thousand."""
-    sizes = df.groupBy(block).agg(F.count("*").alias("n")).orderBy(F.desc("n"), block).collect()
-    load = [0] * folds
-    out = []
-    for r in sizes:
-        k = min(range(folds), key=lambda i: (load[i], i))
-        load[k] += r["n"]
-        out.append((r[block], k))
-    return df.sparkSession.createDataFrame(out, f"{block} {df.schema[block].dataType.simpleString()}, fold int")
+    """(block, fold): blocks by falling size, then by name, each to the fold that holds least.
+
+    The driver sees how many blocks have each size, at most as many rows as a block has cells, and never the blocks. From
+    these numbers follows which fold each place in the order belongs to; places come from running counts along range partitions.
+    """
+    sizes = stage(df.groupBy(block).agg(F.count("*").alias("n")), "blocks")
+    known = [(r["n"], r["k"]) for r in sizes.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).collect()]
+    runs = df.sparkSession.createDataFrame(dealt_runs(known, folds), "n bigint, first bigint, count bigint, order array<int>").groupBy("n").agg(F.collect_list(F.struct("first", "count", "order")).alias("runs"))
+    before, skip = {}, 0
+    for n, k in known:
+        before[n], skip = skip, skip + k
+    base = df.sparkSession.createDataFrame(list(before.items()), "n bigint, before bigint")
+    placed = numbered(sizes.withColumn("_less", -F.col("n")), "_less", block, name="k").join(F.broadcast(base), "n").withColumn("at", F.col("k") - 1 - F.col("before"))
+    run = F.get(F.filter("runs", lambda r: (r["first"] <= F.col("at")) & (F.col("at") < r["first"] + r["count"])), F.lit(0))
+    dealt = placed.join(F.broadcast(runs), "n").withColumn("run", run)
+    return dealt.select(block, F.get(F.col("run.order"), ((F.col("at") - F.col("run.first")) % F.size("run.order")).cast("int")).alias("fold"))
+
+
+def linear_probabilities(df: DataFrame, weights: Sequence[Sequence[float]], bias: Sequence[float], emb: str = "emb") -> DataFrame:
+    """df with pred and proba, the softmax of a given linear model; both NULL where the embedding is not valid.
+
+    The model is classes by features, so it goes into the plan; nothing shuffles and no Python runs.
+    """
+    valid = F.coalesce(embedding_valid(F.col(emb)), F.lit(False))
+    score = [F.aggregate(F.zip_with(F.col(emb).cast("array<double>"), F.array(*[F.lit(float(v)) for v in w]), lambda x, v: x * v), F.lit(float(b)), lambda a, x: a + x) for w, b in zip(weights, bias, strict=True)]
+    scored = df.withColumn("_z", F.when(valid, F.array(*score))).withColumn("_e", F.transform("_z", lambda z: F.exp(z - F.array_max("_z"))))
+    proba = scored.withColumn("proba", F.transform("_e", lambda e: e / F.aggregate("_e", F.lit(0.0), lambda a, x: a + x)))
+    return proba.withColumn("pred", (F.array_position("_z", F.array_max("_z")) - 1).cast("int")).select(*df.columns, "pred", "proba")
+
+
+def fold_gradients(df: DataFrame, folds: int = 5, c: float = 0.1, iterations: int = 3000) -> DataFrame:
+    """(fold, class, feature, slope): for each fold's model the slope of its training loss with its penalty at its weights, 0 at the optimum."""
+    dealt = stage(df.join(fold_of_blocks(df, folds), "block"), "folds")
+    out = None
+    for k in range(folds):
+        part = gradient(dealt.where(F.col("fold") != k), c, iterations).withColumn("fold", F.lit(k))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def classifier(n: int, c: float = 0.1, iterations: int = 3000) -> Pipeline:

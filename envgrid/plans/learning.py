@@ -88,3 +88,47 @@ def pl10(spark, d):
 def pl10r(spark, d):
     """Rows of each class among the out-of-fold predictions: each row is predicted once, by a model that hasn't seen its block."""
     return rounded(hosts.out_of_fold(embedded(spark, d).select("vec_id", "emb", "y", "block")).dropDuplicates(["vec_id"]).groupBy("y").agg(F.count("*").alias("n")))
+
+
+#: A given model: classes by features, from a rule.
+def _weight(c, j):
+    return ((c * 37 + j * 53) % 41 - 20) / 15
+
+
+def given(spark, d):
+    """The embeddings' classes by a model of given weights."""
+    width = len(table(spark, d, "embeddings").first()["embedding"])
+    return hosts.linear_probabilities(embedded(spark, d), [[_weight(c, j) for j in range(width)] for c in range(5)], [c / 10 for c in range(5)])
+
+
+_GIVEN = """z AS (SELECT vec_id, label, list_transform(range(5), lambda c: list_sum(list_transform(range(len(embedding)), lambda j: embedding[j + 1]::DOUBLE * ((c * 37 + j * 53) % 41 - 20) / 15)) + c / 10) AS z FROM embeddings WHERE isfinite(embedding[1]) AND list_max(list_transform(embedding, lambda x: abs(x))) > 0),
+ x AS (SELECT vec_id, label, z, list_transform(z, lambda v: exp(v - list_max(z))) AS e FROM z), p AS (SELECT vec_id, label % 5 AS y, CAST(list_position(z, list_max(z)) - 1 AS INTEGER) AS pred, list_transform(e, lambda v: v / list_sum(e)) AS p FROM x)"""
+
+
+@reg.add("ml06_band_values", f"WITH {_GIVEN} SELECT vec_id, pred, " + ", ".join(f"CAST(round_even(100 * p[{k + 1}], 0) AS INTEGER) AS c{k}" for k in range(5)) + " FROM p")
+def ml06v(spark, d):
+    """Each embedding's class and percent bytes under a given model."""
+    b = hosts.percent_bytes()
+    return given(spark, d).where("proba IS NOT NULL").select("vec_id", "pred", *[F.get(b, F.lit(k)).alias(f"c{k}") for k in range(5)])
+
+
+@reg.add("ml05_report_values", f"""WITH {_GIVEN}, c AS (SELECT y, pred, count(*) AS n FROM p GROUP BY ALL), t AS (SELECT y, sum(n) AS n, sum(CASE WHEN y = pred THEN n ELSE 0 END) AS hit FROM c GROUP BY y)
+ SELECT c.y, c.pred, c.n, CAST(t.n AS BIGINT) AS n_class, round((SELECT avg(hit / n) FROM t), 8) AS balanced_accuracy FROM c JOIN t USING (y)""")
+def ml05v(spark, d):
+    """The report of a given model's predictions, read back: confusion, rows of each class, balanced accuracy."""
+    schema = "balanced_accuracy double, n_per_class map<string, bigint>, confusion array<struct<y: int, pred: int, n: bigint>>"
+    predicted = given(spark, d).where("proba IS NOT NULL").select((F.col("y") % 5).alias("y"), "pred")
+    r = hosts.report(predicted).select(F.from_json("value", schema).alias("r")).select("r.*").select("*", F.explode("confusion").alias("x"))
+    return r.select("x.y", "x.pred", "x.n", F.col("n_per_class")[F.col("x.y").cast("string")].alias("n_class"), F.round("balanced_accuracy", 8).alias("balanced_accuracy"))
+
+
+@reg.add("pl10_layer_values", f"WITH {_GIVEN}, t AS (SELECT vec_id // 60 % 60 AS col, vec_id % 60 AS row, min_by(p, vec_id) AS p FROM p GROUP BY ALL) SELECT CAST(2 * row + a AS INTEGER) AS row, CAST(2 * col + b AS INTEGER) AS col, " + ", ".join(f"CAST(round_even(100 * p[{k + 1}], 0) AS INTEGER) AS c{k}" for k in range(5)) + " FROM t, (VALUES (0), (1)) q(a), (VALUES (0), (1)) r(b)")
+def pl10v(spark, d):
+    """Percent layers of a given model on a grid twice as fine; of embeddings of one cell the first tile holds."""
+    return hosts.percent_layers(given(spark, d).withColumn("tile", F.col("vec_id")), [f"c{k}" for k in range(5)], SPEC, grid.GridSpec(0.0, 60.0, 0.5, 120, 120))
+
+
+@reg.add("ml05_folds_at_the_optimum", "SELECT CAST(k AS INTEGER) AS fold, CAST(c AS INTEGER) AS class, CAST(f AS INTEGER) AS feature, TRUE AS flat FROM (SELECT unnest(range(5)) AS k) z, (SELECT unnest(range((SELECT max(label) + 1 FROM embeddings))) AS c) a, (SELECT unnest(range((SELECT max(len(embedding)) FROM embeddings))) AS f) b")
+def ml05o(spark, d):
+    """Slopes of each fold's penalised loss at its fitted weights, which are 0 at its optimum."""
+    return hosts.fold_gradients(embedded(spark, d)).select("fold", "class", "feature", (F.abs("slope") < 2e-4).alias("flat"))

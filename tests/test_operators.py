@@ -252,6 +252,32 @@ def test_versioned_commits(spark, tmp_path):
     assert versions.vacuum(spark, path) > 0 and read() == [(1, 1, 1.0), (2, 1, 5.0), (4, 1, 4.0)] and versions.versions(spark, path) == [4]
 
 
+def test_blocks_dealt_as_one_by_one(spark):
+    """Runs of blocks of one size against dealing them one by one, for few and many, equal and very different sizes."""
+    def one_by_one(sizes, folds):
+        load, out = [0] * folds, []
+        for size, n in sizes:
+            for _ in range(n):
+                k = min(range(folds), key=lambda i: (load[i], i))
+                load[k] += size
+                out.append(k)
+        return out
+
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        folds = int(rng.integers(1, 7))
+        sizes = sorted({int(x): int(rng.integers(1, 40)) for x in rng.choice([1, 2, 3, 5, 8, 40, 41, 1000], rng.integers(1, 6))}.items(), reverse=True)
+        runs = hosts.dealt_runs(sizes, folds)
+        got = [order[j % len(order)] for _, _, n, order in runs for j in range(n)]
+        assert got == one_by_one(sizes, folds), (sizes, folds)
+    assert len(hosts.dealt_runs([(250_000, 1), (1, 2_000_000)], 5)) < 20
+    rows = [(b, i) for b, n in enumerate([9, 1, 4, 4, 7, 1, 1, 2, 30, 4, 1]) for i in range(n)]
+    df = spark.createDataFrame(rows, "block int, id int")
+    order = sorted(range(11), key=lambda b: (-[9, 1, 4, 4, 7, 1, 1, 2, 30, 4, 1][b], b))
+    sizes = [(30, 1), (9, 1), (7, 1), (4, 3), (2, 1), (1, 4)]
+    assert {r["block"]: r["fold"] for r in hosts.fold_of_blocks(df).collect()} == dict(zip(order, one_by_one(sizes, 5), strict=True))
+
+
 def test_report_day_stream(spark, tmp_path):
     hours = [(dt.datetime(2024, 3, 9, 12) + dt.timedelta(hours=h), 1, 1.0) for h in range(1, 24)] + [(dt.datetime(2024, 3, 9, 13), 1, 1.0), (dt.datetime(2024, 3, 20), 1, 0.0)]
     spark.createDataFrame(hours, "time timestamp, cell int, value double").coalesce(1).write.parquet(str(tmp_path / "h"))
