@@ -64,6 +64,26 @@ def block_mean(layer: DataFrame, k: int, least: int = 1, ny: int | None = None,
     return layer.groupBy(F.expr(f"row div {k}").alias("row"), F.expr(f"col div {k}").alias("col")).agg(F.when(F.count("value") >= least, F.avg("value")).alias("value"), F.count("value").alias("n"))
 
 
+def area_average(layer: DataFrame, source: GridSpec, target: GridSpec) -> DataFrame:
+    """(row, col, value, covered) on a target grid of any size and place: the mean of the source cells by the area that they share, and the share of the target cell that cells with a value cover.
+
+    Shared areas are products of shared lengths, so rows are summed up first and columns after them; each source cell
+    goes to the target rows that it reaches and what is left of it to the target columns.
+    """
+    def reached(df: DataFrame, at: str, first: float, size: float, start: float, step: float, n: int, sign: int) -> DataFrame:
+        """df once for each target place that its source place reaches, with the length that they share."""
+        lo = sign * (first - start) + F.col(at) * size  # measured from the target's edge
+        a, b = F.greatest(F.lit(0), F.floor(lo / step + 1e-9)), F.least(F.lit(n - 1), F.ceil((lo + size) / step - 1e-9) - 1)
+        far = df.where(a <= b).withColumn("_lo", lo).select("*", F.explode(F.sequence(a.cast("int"), b.cast("int"))).alias("_at"))
+        return far.withColumn("_len", F.least(F.col("_lo") + size, (F.col("_at") + 1) * step) - F.greatest("_lo", F.col("_at") * step)).drop(at, "_lo").withColumnRenamed("_at", at)
+
+    rows = reached(layer.where(F.col("value").isNotNull()).select("row", "col", "value"), "row", source.y1, source.res, target.y1, target.res, target.ny, -1)
+    summed = rows.groupBy("row", "col").agg(F.sum(F.col("value") * F.col("_len")).alias("_v"), F.sum("_len").alias("_w"))
+    both = reached(summed, "col", source.x0, source.res, target.x0, target.res, target.nx, 1)
+    whole = F.sum(F.col("_w") * F.col("_len"))
+    return both.groupBy("row", "col").agg((F.sum(F.col("_v") * F.col("_len")) / whole).alias("value"), (whole / target.res**2).alias("covered"))
+
+
 def gather_coarse(fine: DataFrame, coarse: DataFrame, k: int, keep: Sequence[str]) -> DataFrame:
     """Each fine cell with the values of the coarse cell (k times as wide) that it lies in."""
     at = fine.withColumn("_r", F.expr(f"row div {k}")).withColumn("_c", F.expr(f"col div {k}"))

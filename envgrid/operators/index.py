@@ -28,8 +28,8 @@ def seasonal_composite(scenes: DataFrame, value: Column, seasons: dict[str, Sequ
 
 
 def date_curve(scenes: DataFrame, value: str, pixels: int, share: float, keys: Sequence[str] = ("site", "date")) -> DataFrame:
-    """Spatial median of each date on which over ``share`` of the pixels are valid."""
-    return scenes.groupBy(*keys).agg(F.median(value).alias("median"), F.count(value).alias("n_valid")).where(F.col("n_valid") > share * pixels)
+    """Spatial median of each date on which over ``share`` of the pixels are valid; by value counts, so that no task holds a scene."""
+    return quantiles(scenes, list(keys), value, [0.5]).where(F.col("n") > share * pixels).select(*keys, F.col("p50").alias("median"), F.col("n").alias("n_valid"))
 
 
 def scene_filter(catalogue: DataFrame, bbox: tuple[float, float, float, float], first: str, last: str, cloud: float) -> DataFrame:

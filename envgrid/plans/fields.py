@@ -50,6 +50,18 @@ def jn18(spark, d):
     return rounded(grid.bilinear(p, layer(spark, d)), 7)
 
 
+_SEVEN = grid.GridSpec(-0.3, 60.5, 7 / 3, 27, 26)
+
+
+@reg.add("jn18_average", f"""WITH {LAYER}, f AS (SELECT row, col, CASE WHEN (row * 7 + col * 3) % 13 > 2 THEN value END AS value FROM la), t AS (SELECT r, c, 60.5 - (r + 1) * 7.0::DOUBLE / 3 AS y0, -0.3 + c * 7.0::DOUBLE / 3 AS x0, 7.0::DOUBLE / 3 AS s FROM (SELECT unnest(range(26)) AS r) a, (SELECT unnest(range(27)) AS c) b),
+ w AS (SELECT r, c, value, greatest(0, least(x0 + s, col + 1) - greatest(x0, col)) * greatest(0, least(y0 + s, 60 - row) - greatest(y0, 59 - row)) AS a, s FROM t, f WHERE value IS NOT NULL)
+ SELECT CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col, round(sum(a * value) / sum(a), 4) AS value, round(sum(a) / any_value(s * s), 4) AS covered FROM w WHERE a > 1e-9 GROUP BY ALL""")
+def jn18a(spark, d):
+    """Area averages on a grid of 7 to 3 that doesn't nest, with missing cells."""
+    holes = layer(spark, d).withColumn("value", F.when((F.col("row") * 7 + F.col("col") * 3) % 13 > 2, F.col("value")))
+    return rounded(grid.area_average(holes, SPEC, _SEVEN))
+
+
 @reg.add("jn14_burn_latest", f"WITH {BOXES} SELECT y AS row, x AS col, max(basin_id) AS value FROM (SELECT basin_id, unnest(range(y0, y0 + 12)) AS yy, x0 FROM bo) t, range(60) g(x), (SELECT unnest(range(60)) AS y) h WHERE 59 - y = yy AND x BETWEEN x0 AND x0 + 11 GROUP BY ALL")
 def jn14(spark, d):
     return zonal.burn(boxes(spark, d), SPEC, "basin_id", "basin_id").select(F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col"), "value")
