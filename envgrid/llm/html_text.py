@@ -1,13 +1,16 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags (and at two line breaks in a row). Pass one labels each by link density,
-length and stop-word density: good, bad, or undecided (short, or too few stop words for its length). Markup is a hint
-beside it: blocks in parts that it names as no part of the article (menus, headers, footers, side bars, notices, adverts,
-forms, comments, hidden parts) are bad, as are blocks outside the article where a page has one, and such blocks say
-nothing about others. In pass two undecided blocks take the label of the nearest decided block of the same section; of
-two equally near ones the good one counts. A heading takes the label of the next decided block. Inside an article a
-link-filled block is bad only next to another one, bad labels pass on to headings only, and where no block is decided
-all are good; outside of one such blocks are bad. Without any helpful markup the two passes decide alone.
+A page is cut into blocks at block-level tags (and at two line breaks in a row). Markup decides first where it speaks: blocks in
+parts that it names as no part of the article (menus, headers, footers, side bars, notices, adverts, forms, comments, hidden
+parts) are bad, and where a page has an article, so is what lies outside of it, but for a lead before it that pass one would
+call good. All other blocks are labelled by the passes. Pass one takes link density, length and stop-word density: good, bad, or
+undecided (short, some links in a sentence, or too few stop words for its length). Where no list of stop words fits (no longer block of the
+page has a share of them, or most of a block's letters are of another script), length and sentence marks stand for them. Where no
+block is good, the page is measured by itself: undecided blocks of at least half the longest one's length are good. In pass
+two undecided blocks take the label of the nearest decided block of the same section; of two equally near ones the good one
+counts. A heading takes the label of the next decided block. Inside an article a link-filled block is bad only next to another
+one, bad labels pass on to headings only, and where no block is decided all are good; so no page with unlinked text outside of
+named parts is emptied. Outside of articles a block that begins with a copyright sign is a notice and counts as links.
 
 Null, empty and text-free pages give the empty text. Repeated rows give repeated results, extra columns are ignored
 (those to keep are named), ties are as said above, long pages, tags and attributes are read in whole in one linear scan,
@@ -58,6 +61,8 @@ BESIDE = frozenset(
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 WORD = re.compile(r"[^\W\d_]+")
+SENTENCE = re.compile(r"[.!?…。！？؟।]")
+NOTICE = re.compile(r"\s*(?:©|\(c\)\s)", re.I)
 
 
 def _marks(value: str) -> bool:
@@ -181,34 +186,60 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
+def stop_share(text: str) -> float:
+    words = WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
+def other_script(text: str) -> bool:
+    """Most letters are of a script that none of the lists of stop words is written in."""
+    letters = [c for c in text if c.isalpha()]
+    return 2 * sum(c > "\u024f" for c in letters) > len(letters)
+
+
+def by_words(text: str, listed: bool) -> tuple[bool | None, str]:
+    """The label of a block of at least SHORT characters with few links."""
+    wide = other_script(text)
+    if wide or not listed:
+        return (True, "words") if len(text) > (LONG // 2 if wide else LONG) and SENTENCE.search(text) else (None, "")
+    stops = stop_share(text)
+    if stops >= STOP_HIGH and len(text) > LONG:
+        return True, "words"
+    return (None, "") if stops >= STOP_LOW else (False, "words")
+
+
 def first_pass(blocks: list[Block]) -> list[tuple[bool | None, str]]:
     """(label, what decided it) of each block: good (True), bad (False) or undecided (None)."""
     within = any(b.section and not b.zone for b in blocks)
-    filled = [b.links > (LINKS_IN_ARTICLE if b.section else LINKS) * len(b.text) for b in blocks]
+    lead = next((i for i, b in enumerate(blocks) if b.section and not b.zone), 0)
+    filled = [b.links > LINKS_IN_ARTICLE * len(b.text) for b in blocks]
+    listed = any(stop_share(b.text) >= STOP_LOW for b in blocks if not b.zone and len(b.text) >= SHORT)
     out: list[tuple[bool | None, str]] = []
     for i, b in enumerate(blocks):
         n = len(b.text)
-        if b.zone or (within and not b.section):
+        if b.zone:
             out.append((False, "markup"))
-            continue
-        if filled[i]:
+        elif within and not b.section:
+            out.append((True, "words") if i < lead and not b.links and n >= SHORT and by_words(b.text, listed)[0] else (False, "markup"))
+        elif filled[i]:
             beside = any(0 <= j < len(blocks) and filled[j] and blocks[j].section == b.section and not blocks[j].zone for j in (i - 1, i + 1))
             out.append((None, "") if b.section and not beside else (False, "links"))
-            continue
-        if not b.section and ("©" in b.text or (b.links and n < SHORT)):
+        elif not b.section and NOTICE.match(b.text):
             out.append((False, "links"))
-            continue
-        if n < SHORT:
-            out.append((None, ""))
-            continue
-        words = WORD.findall(b.text.lower())
-        stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-        if stops >= STOP_HIGH and n > LONG:
-            out.append((True, "words"))
-        elif stops >= STOP_LOW or b.section:
+        elif n < SHORT:
+            linked = b.links > LINKS * n and not SENTENCE.search(b.text[-2:])
+            out.append((False, "links") if not b.section and linked else (None, ""))
+        elif b.links > LINKS * n and not b.section:
             out.append((None, ""))
         else:
-            out.append((False, "words"))
+            label = by_words(b.text, listed)
+            out.append((None, "") if b.section and not label[0] else label)
+    if not within and not any(label for label, _ in out):
+        free = [i for i, (label, _) in enumerate(out) if label is None and blocks[i].links <= LINKS * len(blocks[i].text)]
+        longest = max((len(blocks[i].text) for i in free), default=0)
+        for i in free:
+            if 2 * len(blocks[i].text) >= longest:
+                out[i] = (True, "words")
     return out
 
 
