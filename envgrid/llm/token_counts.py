@@ -15,7 +15,7 @@ text first reaches them, and the counts of frequent words are kept; both stores
 
 A word whose encoding isn't known by neighbours (none of this vocabulary) is encoded by a heap of merges instead.
 
-Null and empty texts have no tokens; an empty table gives an empty result; ties can't arise but between merges of one
+Classes of characters are the tokenizer library's own. Null and empty texts have no tokens; an empty table gives an empty result; ties can't arise but between merges of one
 rank, of which the leftmost comes first. Special tokens inside a text count as the library has it by default, one each.
 Repeated rows give repeated results; extra columns are ignored; a text or a word of any length is read once, in whole.
 Rows are independent, so nothing shuffles.
@@ -41,19 +41,65 @@ WORDS = 400_000
 TRANSITIONS = 400_000
 LIMIT = 2048
 
-# The classes of characters, the states of the word transducer, and Unicode's white space.
+# The classes of characters and the states of the word transducer.
 LETTER, NUMBER, SPACE, OTHER, QUOTE, STMD, R, V, LL, E = range(10)
 FREE, LETTERS, OTHERS, QUOTED, QUOTED_R, QUOTED_V, QUOTED_L = range(7)
-WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
 
-def char_classes() -> np.ndarray:
-    kind = {"L": LETTER, "N": NUMBER}
-    t = np.array([kind.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)], np.uint8)
-    t[WHITE] = SPACE
-    for chars, k in (("'", QUOTE), ("stmd", STMD), ("r", R), ("v", V), ("l", LL), ("e", E)):
-        t[[ord(c) for c in chars]] = k
-    return t
+#: A character whose class has not been asked for.
+UNKNOWN = 255
+
+
+class Characters:
+    """Classes of characters and the normal form of texts, as the tokenizer's own library has them.
+
+    Each character that is not ASCII is shown to the library's pre-tokenizer when a text first holds it; whatever Unicode version the
+    library knows, its classes hold. Texts are normalised by the interpreter's tables, which is faster, but for those
+    with a character that the two treat otherwise, or that the interpreter doesn't know: these are normalised by the library.
+    """
+
+    def __init__(self, library):
+        self.library = library
+        self.classes = np.full(0x110000, UNKNOWN, np.uint8)
+        for c in range(128):
+            self.classes[c] = self.asked(chr(c))
+        for chars, k in (("'", QUOTE), ("stmd", STMD), ("r", R), ("v", V), ("l", LL), ("e", E)):
+            self.classes[[ord(c) for c in chars]] = k
+        self.seen, self.odd = {chr(c) for c in range(128)}, set()
+
+    def asked(self, c: str) -> int:
+        cut = lambda s: {at for _, at in self.library.pre_tokenizer.pre_tokenize_str(s)}
+        if (0, 2) in cut("x" + c):
+            return LETTER
+        beside = cut("!" + c)
+        return OTHER if (0, 2) in beside else NUMBER if (1, 2) in beside else SPACE
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        out = self.classes[codes]
+        if (out == UNKNOWN).any():
+            for c in np.unique(codes[out == UNKNOWN]).tolist():
+                self.classes[c] = self.asked(chr(c))
+            out = self.classes[codes]
+        return out
+
+    @staticmethod
+    def folded(text: str) -> str:
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+    def normal(self, text: str) -> str:
+        for c in set(text) - self.seen:
+            self.seen.add(c)
+            probe = f"a{c}\u0323 \u0301{c}\u0323"
+            if unicodedata.category(c) == "Cn" or self.words(self.library.normalizer.normalize_str(probe)) != self.words(self.folded(probe)):
+                self.odd.add(c)
+        if self.odd and not self.odd.isdisjoint(text):
+            return self.library.normalizer.normalize_str(text)
+        return self.folded(text)
+
+    @staticmethod
+    def words(text: str) -> list[str]:
+        """Without white space, which the library writes as blanks."""
+        return text.split()
 
 
 def word_transducer() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,12 +147,12 @@ def entry_states(classes: np.ndarray) -> np.ndarray:
     return out
 
 
-def cut_words(text: str, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def cut_words(text: str, characters: Characters) -> tuple[np.ndarray, np.ndarray]:
     """(starts, ends) of the words of text, in characters."""
     codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     n = len(codes)
     c = np.full(-(-n // CHUNK) * CHUNK + CHUNK, SPACE, np.uint8)
-    c[:n] = classes[codes]
+    c[:n] = characters.of(codes)
     state = entry_states(c.reshape(-1, CHUNK)).ravel()
     at = state.astype(np.int64) * 10 + c
     start = HERE.ravel()[at].astype(bool)
@@ -236,47 +282,56 @@ class CountTransducer:
             return len(self.encode((*raw[:-1], raw[-1] + self.END)))
 
 
+class TextCounter:
+    """Both transducers and the counts of known words."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.machine, self.characters = CountTransducer(path), Characters(Tokenizer.from_file(path))
+        self.known: dict[str, int] = {}
+        self.special = re.compile("|".join(map(re.escape, self.machine.specials))) if self.machine.specials else None
+
+    def plain(self, text: str | None) -> tuple[str, int]:
+        """Normalised as the tokenizer does it, and the number of special tokens, which part a text."""
+        if not text:
+            return "", 0
+        if self.special and self.special.search(text):
+            parts = self.special.split(text)
+            return "\n".join(self.characters.normal(p) for p in parts), len(parts) - 1
+        return self.characters.normal(text), 0
+
+    def counts(self, texts: list) -> np.ndarray:
+        known, made = self.known, [self.plain(t) for t in texts]
+        whole = "\n".join(t for t, _ in made)
+        starts, ends = cut_words(whole, self.characters)
+        words = [whole[i:j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
+        new = set(words).difference(known)
+        if len(known) + len(new) > WORDS:
+            now = set(words)
+            for w in [w for w in known if w not in now]:
+                del known[w]
+        for w in new:
+            known[w] = self.machine.count(w)
+        counts = np.concatenate([[0], np.cumsum(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))])
+        for w in new:
+            if len(w) > 64:
+                del known[w]
+        at = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t, _ in made)]))
+        return counts[at[1:]] - counts[at[:-1]] + np.array([k for _, k in made], np.int64)
+
+
 @lru_cache(maxsize=1)
-def compiled(tokenizer_path: str) -> tuple[CountTransducer, np.ndarray, dict[str, int]]:
+def compiled(tokenizer_path: str) -> TextCounter:
     """The transducers and the known words of a Python worker; later tasks of the worker go on with them."""
-    return CountTransducer(tokenizer_path), char_classes(), {}
+    return TextCounter(tokenizer_path)
 
 
 def count_tokens(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) of each text."""
     def make():
-        machine, classes, known = compiled(tokenizer_path)
-        special = re.compile("|".join(map(re.escape, machine.specials)))
-
-        def plain(text: str | None) -> tuple[str, int]:
-            """Normalised as the tokenizer does it, and the number of special tokens, which part a text."""
-            if not text:
-                return "", 0
-            if special.search(text):
-                parts = special.split(text)
-                return "\n".join(plain(p)[0] for p in parts), len(parts) - 1
-            return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower(), 0
-
-        def run(texts: list) -> dict:
-            made = [plain(t) for t in texts]
-            whole = "\n".join(t for t, _ in made)
-            starts, ends = cut_words(whole, classes)
-            words = [whole[i:j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
-            new = set(words).difference(known)
-            if len(known) + len(new) > WORDS:
-                now = set(words)
-                for w in [w for w in known if w not in now]:
-                    del known[w]
-            for w in new:
-                known[w] = machine.count(w)
-            counts = np.concatenate([[0], np.cumsum(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))])
-            for w in new:
-                if len(w) > 64:
-                    del known[w]
-            at = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t, _ in made)]))
-            return {"n_tokens": pa.array(counts[at[1:]] - counts[at[:-1]] + np.array([k for _, k in made], np.int64), pa.int64())}
-
-        return run
+        counter = compiled(tokenizer_path)
+        return lambda texts: {"n_tokens": pa.array(counter.counts(texts), pa.int64())}
 
     kind = df.schema[id_col].dataType.simpleString()
     sized = df.select(id_col, F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias("text"))

@@ -77,13 +77,29 @@ def test_merges_by_a_heap(words):
 
 
 def test_chunk_maps_compose():
-    c = token_counts.char_classes()
+    from tokenizers import Tokenizer
+
+    c = token_counts.Characters(Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")))
     text = ("don't we'll 12 x'y'z '' 're " * 90)[: 3 * token_counts.CHUNK + 7]
     s, e = token_counts.cut_words(text, c)
     pattern = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
     assert [text[i:j] for i, j in zip(s, e, strict=True)] == pattern.findall(text)
 
 
+def test_token_counts_of_all_characters():
+    """Every code point alone, within words and numbers, and before combining signs: the library's counts."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, counter = Tokenizer.from_file(path), token_counts.TextCounter(path)
+    chars = [chr(c) for c in (*range(0xD800), *range(0xE000, 0x32000), *range(0xE0000, 0xE0200), *range(0x100000, 0x110000, 97))]
+    texts = [f"{c} a{c}b 1{c}2 {c}{c} {c}'s it'{c} e{c}\u0301\u0323.{c}" for c in chars]
+    for at in range(0, len(texts), 20_000):
+        want = [len(e.ids) for e in library.encode_batch_fast(texts[at : at + 20_000], add_special_tokens=False)]
+        got = counter.counts(texts[at : at + 20_000]).tolist()
+        assert got == want, [(hex(ord(chars[at + k])), g, w) for k, (g, w) in enumerate(zip(got, want, strict=True)) if g != w][:20]
+
+
 def test_media_round_trip(documents, empty, corpus):
     got = rows(media.sniff_media(media.write_wav(documents)))
     for i, t in enumerate(corpus):
