@@ -52,17 +52,67 @@ def wav_chunks(b: bytes, at: int = 0) -> tuple[int, tuple, bytes] | None:
         if tag == b"fmt " and n >= 16:
             fmt = struct.unpack_from("<HHIIHH", b, i + 8)
         elif tag == b"data":
-            data = b[i + 8 : i + 8 + n]
+            data = (i + 8, i + 8 + n)
         i += 8 + n + (n & 1)
-    return (end - at, fmt, data) if fmt and data is not None else None
+    return (end - at, fmt, b[data[0] : data[1]]) if fmt and data is not None else None
+
+
+class Chunks:
+    """The RIFF chunks that walks through a file's bytes have met, each of which leads to one place behind it.
+
+    Walks from different places share what they have in common: a place holds a pointer to the next one and one that jumps
+    further, so the last chunk before a limit is found in a logarithmic number of steps, whatever other walks ran through it.
+    """
+
+    def __init__(self, b: bytes):
+        self.b, self.next, self.jump, self.deep, self.fmt, self.data = b, {}, {}, {}, {}, {}
+
+    def walk(self, start: int) -> None:
+        way, i = [], start
+        while i not in self.deep:
+            way.append(i)
+            if i + 8 > len(self.b):
+                break
+            n = struct.unpack_from("<I", self.b, i + 4)[0]
+            self.next[i] = i + 8 + n + (n & 1)
+            i = self.next[i]
+        for i in reversed(way):
+            if i not in self.next:  # too near the end for a chunk
+                self.deep[i], self.jump[i], self.fmt[i], self.data[i] = 0, i, 0, 0
+                continue
+            to, tag = self.next[i], self.b[i : i + 4]
+            far = self.jump[to]
+            self.deep[i] = self.deep[to] + 1
+            self.jump[i] = self.jump[far] if self.deep[to] - self.deep[far] == self.deep[far] - self.deep[self.jump[far]] else to
+            self.fmt[i] = self.fmt[to] + (tag == b"fmt " and to - i >= 24)
+            self.data[i] = self.data[to] + (tag == b"data")
+
+    def length(self, at: int) -> int:
+        """Length of a RIFF/WAVE file at an offset, 0 if its structure is broken."""
+        if self.b[at + 8 : at + 12] != b"WAVE":
+            return 0
+        end, start = at + 8 + struct.unpack_from("<I", self.b, at + 4)[0], at + 12
+        if end > len(self.b) or start + 8 > end:
+            return 0
+        self.walk(start)
+        i = start
+        while (to := self.next.get(i)) is not None and to + 8 <= end:
+            i = self.jump[i] if self.jump[i] + 8 <= end else to
+        if i + 8 + struct.unpack_from("<I", self.b, i + 4)[0] > end:
+            return 0
+        behind = self.next[i]
+        whole = self.fmt[start] > self.fmt[behind] and self.data[start] > self.data[behind]
+        return end - at if whole else 0
 
 
 class Scan:
-    """What one pass over a file's bytes has found: the places of end marks, and where walks have led nowhere."""
+    """What one pass over a file's bytes has found: the places of end marks, the chunks, and where walks have led nowhere."""
 
-    def __init__(self) -> None:
+    def __init__(self, b: bytes) -> None:
         self.ends: dict[bytes, list[int]] = {m: [] for m in MARKS}
         self.dead: dict[str, set[int]] = {}
+        self.chunks = Chunks(b)
+        self.packed: dict[int, bool] = {}
 
     def walk(self, kind: str, at: int, start: int, step: Callable[[int], tuple[int, bool]]) -> int:
         """Length of a file at an offset: steps from a place to (next place, done), a next place of 0 being a broken structure."""
@@ -81,8 +131,7 @@ MARKS = (b"%%EOF", b"startxref")
 
 
 def _wav(b: bytes, at: int, scan: Scan) -> int:
-    found = wav_chunks(b, at)
-    return found[0] if found else 0
+    return scan.chunks.length(at)
 
 
 def _png(b: bytes, at: int, scan: Scan) -> int:
@@ -150,8 +199,24 @@ def _bmp(b: bytes, at: int, scan: Scan) -> int:
     return n if head >= 40 and planes == 1 and bits in (1, 4, 8, 16, 24, 32) and 54 <= start <= n and start + rows <= n and at + n <= len(b) else 0
 
 
-def _gzip(b: bytes, at: int, scan: Scan) -> int:
-    z, part = zlib.decompressobj(31), 1 << 16
+def _gzip_body(b: bytes, at: int) -> int:
+    """Where the packed data of a gzip file begin, 0 if its header is broken."""
+    if at + 18 > len(b) or b[at + 3] & 0xE0:
+        return 0
+    flags, i = b[at + 3], at + 10
+    if flags & 4:
+        i += 2 + struct.unpack_from("<H", b, i)[0]
+    for bit in (8, 16):  # name and comment
+        if flags & bit:
+            i = b.find(b"\0", i) + 1
+            if not i:
+                return 0
+    i += 2 * (flags >> 1 & 1)
+    return i if i + 8 < len(b) else 0
+
+
+def _inflated(z, b: bytes, at: int, part: int = 1 << 16) -> int:
+    """The place behind a packed stream, 0 if it is broken or doesn't end."""
     try:
         for i in range(at, len(b), part):
             rest = b[i : i + part]
@@ -159,12 +224,32 @@ def _gzip(b: bytes, at: int, scan: Scan) -> int:
                 z.decompress(rest, 1 << 20)
                 rest = z.unconsumed_tail
             if z.eof:
-                return min(len(b), i + part) - len(z.unused_data) - at
+                return min(len(b), i + part) - len(z.unused_data)
     except zlib.error:
         pass
     return 0
 
 
+def _gzip(b: bytes, at: int, scan: Scan) -> int:
+    """Stored blocks begin at whole bytes, so those of different files share their walk; a packed block at such a place is tried once with every distance allowed, and where even that fails no file comes through it."""
+    def step(i: int) -> tuple[int, bool]:
+        if i + 5 > len(b):
+            return 0, False
+        if b[i] & 6:
+            if i not in scan.packed:
+                scan.packed[i] = bool(_inflated(zlib.decompressobj(-15, bytes(32768)), b, i))
+            return (i, True) if scan.packed[i] else (0, False)
+        n, m = struct.unpack_from("<HH", b, i + 1)
+        end = i + 5 + n
+        return (end, bool(b[i] & 1)) if n ^ m == 0xFFFF and end <= len(b) else (0, False)
+
+    start = _gzip_body(b, at)
+    if not start or not scan.walk("gzip", at, start, step):
+        return 0
+    end = _inflated(zlib.decompressobj(31), b, at)
+    return end - at if end else 0
+
+
 def _pdf(b: bytes, at: int, scan: Scan) -> int:
     ends, tables = (scan.ends[m] for m in MARKS)
     k = bisect_left(ends, at)
@@ -196,7 +281,7 @@ def automaton() -> ahocorasick.Automaton:
 
 def sniff(b: bytes, words: ahocorasick.Automaton) -> list[tuple[str, int, int]]:
     """(type, offset, length) of every confirmed medium, outermost first; hits inside a carved medium are skipped, but for the file at offset 0."""
-    scan, hits = Scan(), []
+    scan, hits = Scan(b), []
     for end, k in words.iter(b.decode("latin-1")):
         if k < len(SIGNATURES):
             hits.append((end + 1 - len(SIGNATURES[k][0]), k))

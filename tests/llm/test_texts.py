@@ -128,6 +128,25 @@ def test_sniffing_and_carving():
     assert media.sniff(b"a" + pdf + b"b", scan) == [("application/pdf", 1, len(pdf))] and media.sniff(b"%PDF-1 %%EOF startxref %%EOF", scan) == []
     big = gzip.compress(bytes(range(256)) * 40_000, 0)
     assert media.sniff(b"-" + big + b"tail", scan) == [("application/gzip", 1, len(big))] and media.sniff(big[:-9], scan) == []
+    # files that share their chunks or blocks: each is walked once
+    chunks = b"".join(b"RIFF" + struct.pack("<I", 0x7A7A) + b"WAVE" for _ in range(80_000))
+    nested = b"".join(b"RIFF" + struct.pack("<I", (1 << 20) - 12 * k - 8 - 4) + b"WAVE" for k in range(40_000)) + b"junk" + struct.pack("<I", 9) * 100_000
+    blocks = (b"\x1f\x8b\x08\0\0\0\0\0\0\3" + b"\0\x0a\0\xf5\xff" + b"\x1f\x8b\x08\0\0\0\0\0\0\3") * 40_000
+    for hits in (chunks, nested, blocks):
+        began = time.time()
+        assert media.sniff(hits, scan) == [] and time.time() - began < 5
+    r = random.Random(12)
+    for _ in range(300):  # against a walk for each file
+        parts = [b"RIFF" + struct.pack("<I", r.randrange(20, 160)) + b"WAVE", b"fmt " + struct.pack("<I", 16) + bytes(16), b"data" + struct.pack("<I", r.randrange(0, 40)), b"LIST" + struct.pack("<I", r.randrange(0, 30)), bytes(r.randrange(0, 12))]
+        b = b"".join(r.choice(parts) for _ in range(r.randrange(2, 14)))
+        chained = media.Scan(b)
+        for at in range(len(b)):
+            if b[at : at + 4] == b"RIFF" and len(b) >= at + 12:
+                plain = media.wav_chunks(b, at)
+                assert media._wav(b, at, chained) == (plain[0] if plain else 0)
+    for level in (0, 1, 9):
+        packed = gzip.compress(bytes(range(256)) * 300 + b"abc" * 50_000, level)
+        assert media.sniff(b"x" * 7 + packed + packed, scan) == [("application/gzip", 7, len(packed)), ("application/gzip", 7 + len(packed), len(packed))]
     for hits in (b"%PDF-" * 200_000, b"GIF89a" * 50_000, (b"GIF89a" + b"\0" * 7 + b"!\0\1\0") * 30_000, b"\xff\xd8\xff\xe0\0\2" * 50_000, b"BM" * 200_000):  # many hits that lead nowhere
         began = time.time()
         assert media.sniff(hits, scan) == [] and time.time() - began < 5
