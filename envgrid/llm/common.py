@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a Python step holds as objects at one time.
 PIECE_BYTES = 4 << 20
@@ -15,6 +16,14 @@ PIECE_BYTES = 4 << 20
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
+KEYS = ("rid", "rid2")
+
+
+def row_keys(id_col: str, text_col: str, names: tuple[str, ...] = KEYS) -> list:
+    """A row's identity: two hashes of its id and text, 128 bits together."""
+    return [F.xxhash64(id_col, text_col).alias(names[0]), F.xxhash64(F.lit(1), text_col, id_col).alias(names[1])]
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the corpus."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -20,8 +20,8 @@ documents, so the rule is the same at every size.
 Null texts stay null; empty texts and lines without a word stay as they are, as do lines of variables alone. Lines and
 texts of any length are parsed in whole. Ties: a line that has several templates goes if one of them recurs. Rows that
 repeat an id with the same text are one document and are cut alike. An empty table gives an empty result. Extra columns
-are kept with their values; an added column whose name is taken gets an underscore behind it. Templates are compared by
-64-bit hashes (steps by 32-bit ones). Counts are aggregated before each shuffle, by template and never within one task
+are kept with their values; an added column whose name is taken gets an underscore behind it. Lines are told apart by
+64-bit hashes, templates by 62 bits and their kind (steps by 32-bit ones), documents by 128 bits of id and text. Counts are aggregated before each shuffle, by template and never within one task
 by document, so a line that a third of the documents has is a few rows for each task.
 """
 
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from envgrid.llm.common import free_name, map_texts, read, small_batches, stage, unstage
+from envgrid.llm.common import KEYS, free_name, map_texts, read, row_keys, small_batches, stage, unstage
 
 PARTS, WINDOW = 6, 4
 STEPS = PARTS + 2
@@ -44,8 +44,6 @@ SHORT, WIDE = 5, STEPS
 DOCS, SHARE = 5, 0.5
 #: Documents that share all but a quarter of their tokens or less may be near copies at 0.75; with more of their own they are none.
 OWN = 0.25
-#: The low bits of a line's hash hold its number of tokens.
-SIZE = (1 << 16) - 1
 #: The low two bits of a key: a whole line, a window of a line, a template with variables.
 LINE, WINDOWS, TEMPLATE = range(3)
 #: The steps in a third: any two variable steps leave one third whole.
@@ -116,8 +114,7 @@ def line_table(texts: list[bytes]) -> dict[str, np.ndarray]:
         some = words[head + n] > words[head]
         head, n, line = head[some], n[some], line_of[head][some]
         sums = Sums(h)
-        whole = mixed(sums.between(head, head + n) + n.astype(U))
-        w = (whole & ~U(SIZE)) | np.minimum(n, SIZE).astype(U)
+        w = mixed(sums.between(head, head + n) + n.astype(U))
         # edges of the steps: each token of a short line, else the two leading tokens and the rest in parts
         k = np.arange(STEPS + 1)
         edges = np.where((n <= WIDE)[:, None], np.minimum(k, n[:, None]), np.where(k < 3, k, 2 + (n[:, None] - 2) * np.maximum(k - 2, 0) // PARTS)) + head[:, None]
@@ -145,16 +142,16 @@ def line_table(texts: list[bytes]) -> dict[str, np.ndarray]:
 
 
 def parse_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(rid, total, lines array<struct<i, w, n, first, s1..s4, t1..t3, a, b>>) of each text; w is a line's hash with its size, s its steps in pairs, t their thirds, a and b its windows; total is the tokens of its different lines."""
-    rows = df.where(F.col(text_col).isNotNull()).select(F.xxhash64(id_col, text_col).alias("rid"), F.col(text_col).alias("text"))
+    """(rid, rid2, total, lines array<struct<i, w, n, first, s1..s4, t1..t3, a, b>>) of each text; w is a line's hash, n its tokens, s its steps in pairs, t their thirds, a and b its windows; total is the tokens of its different lines."""
+    rows = df.where(F.col(text_col).isNotNull()).select(*row_keys(id_col, text_col), F.col(text_col).alias("text"))
 
     def make():
         def run(texts: list) -> dict:
             found = line_table([t.encode() for t in texts])
             n, wide = found["n"], found["n"] >= SHORT
             pairs = np.ascontiguousarray(found["steps"]).view(np.int64)
-            total = np.bincount(found["doc"], np.where(found["first"], np.minimum(n, SIZE), 0), len(texts)).astype(np.int64)
-            columns = {"i": found["i"].astype(np.int32), "w": found["w"].view(np.int64), "n": np.minimum(n, SIZE).astype(np.int32), "first": found["first"]}
+            total = np.bincount(found["doc"], np.where(found["first"], n, 0), len(texts)).astype(np.int64)
+            columns = {"i": found["i"].astype(np.int32), "w": found["w"].view(np.int64), "n": n.astype(np.int32), "first": found["first"]}
             columns |= {f"s{j + 1}": np.where(wide, pairs[:, j], 0) for j in range(STEPS // 2)}
             thirds, windows = (np.ascontiguousarray(found[c]).view(np.int64) for c in ("thirds", "windows"))
             columns |= {f"t{j + 1}": thirds[:, j] for j in range(3)} | {"a": windows[:, 0], "b": windows[:, 1]}
@@ -164,7 +161,7 @@ def parse_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
         return run
 
-    return map_texts(rows, make, "rid long, total long, lines array<struct<i:int,w:long,n:int,first:boolean,s1:long,s2:long,s3:long,s4:long,t1:long,t2:long,t3:long,a:long,b:long>>", "text", ("rid",))
+    return map_texts(rows, make, "rid long, rid2 long, total long, lines array<struct<i:int,w:long,n:int,first:boolean,s1:long,s2:long,s3:long,s4:long,t1:long,t2:long,t3:long,a:long,b:long>>", "text", KEYS)
 
 
 def template_keys(steps: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -205,11 +202,11 @@ def witnesses(batch: pa.RecordBatch, docs: int, share: float) -> pa.RecordBatch:
     total = batch.column("total").to_numpy(zero_copy_only=False).astype(np.int64)
     doc = np.repeat(np.arange(batch.num_rows), np.diff(found.offsets.to_numpy()))
     parts = found.flatten()
-    w, key, n = (parts.field(c).to_numpy(zero_copy_only=False) for c in ("w", "key", "n"))
+    w, key, n, sizes = (parts.field(c).to_numpy(zero_copy_only=False) for c in ("w", "key", "n", "size"))
     # lines, as common as the most common of their keys, in order of that within their document
     by_line = np.lexsort((w, doc))
     starts = np.flatnonzero(np.r_[True, (np.diff(doc[by_line]) != 0) | (np.diff(w[by_line]) != 0)])
-    common, line_doc, size = np.maximum.reduceat(n[by_line], starts), doc[by_line][starts], w[by_line][starts] & SIZE
+    common, line_doc, size = np.maximum.reduceat(n[by_line], starts), doc[by_line][starts], sizes[by_line][starts]
     order = np.lexsort((common, line_doc))
     common, line_doc, size = common[order], line_doc[order], size[order]
     upto = np.r_[0, np.cumsum(size)]
@@ -241,20 +238,20 @@ def wide_templates(kinds: DataFrame, docs: int = DOCS) -> DataFrame:
 
 
 def keyed_lines(parsed: DataFrame, docs: int = DOCS) -> DataFrame:
-    """(rid, total, found array<struct<i, w, key, n>>), staged: the keys of each text's lines that n texts have (two or more; docs or more for templates with variables)."""
-    lines = parsed.select("rid", "total", F.explode("lines").alias("x")).select("rid", "total", "x.*")
+    """(rid, rid2, total, found array<struct<i, w, size, key, n>>), staged: the keys of each text's lines that n texts have (two or more; docs or more for templates with variables)."""
+    lines = parsed.select(*KEYS, "total", F.explode("lines").alias("x")).select(*KEYS, "total", "x.*")
     values = ("n", "s1", "s2", "s3", "s4", "t1", "t2", "t3")
     kinds = stage(lines.where("first").groupBy("w").agg(F.count("*").alias("docs"), *[F.max(c).alias(c) for c in values]), "kinds")
     wide = wide_templates(kinds, docs)
     whole = kinds.where("docs > 1").selectExpr("w", f"w & ~3L | {LINE}L AS key", "docs AS n").join(wide, "w", "full")
     known = stage(whole.selectExpr("w", "concat(CASE WHEN key IS NOT NULL THEN array(struct(key, n)) ELSE array() END, coalesce(found, array())) AS found"), "known")
     # windows are counted once a text
-    windows = parsed.select("rid", F.explode(F.array_distinct(F.flatten(F.transform(F.filter("lines", lambda x: x["n"] >= WIDE), lambda x: F.array(x["a"], x["b"]))))).alias("window"))
+    windows = parsed.select(F.explode(F.array_distinct(F.flatten(F.transform(F.filter("lines", lambda x: x["n"] >= WIDE), lambda x: F.array(x["a"], x["b"]))))).alias("window"))
     shared = stage(windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1"), "windows")
-    seen = lines.where(f"n >= {WIDE}").select("rid", "total", "i", "w", F.explode(F.array("a", "b")).alias("window")).join(shared, "window")
-    rows = lines.select("rid", "total", "i", "w").join(known, "w").select("rid", "total", "i", "w", F.explode("found").alias("x")).select("rid", "total", "i", "w", "x.key", "x.n")
-    both = rows.unionByName(seen.selectExpr("rid", "total", "i", "w", f"window & ~3L | {WINDOWS}L AS key", "n"))
-    out = stage(both.groupBy("rid").agg(F.max("total").alias("total"), F.collect_set(F.struct("i", "w", "key", "n")).alias("found")), "keyed")
+    seen = lines.where(f"n >= {WIDE}").select(*KEYS, "total", "i", "w", F.col("n").alias("size"), F.explode(F.array("a", "b")).alias("window")).join(shared, "window")
+    rows = lines.select(*KEYS, "total", "i", "w", F.col("n").alias("size")).join(known, "w").select(*KEYS, "total", "i", "w", "size", F.explode("found").alias("x")).select(*KEYS, "total", "i", "w", "size", "x.key", "x.n")
+    both = rows.unionByName(seen.selectExpr(*KEYS, "total", "i", "w", "size", f"window & ~3L | {WINDOWS}L AS key", "n"))
+    out = stage(both.groupBy(*KEYS).agg(F.max("total").alias("total"), F.collect_set(F.struct("i", "w", "size", "key", "n")).alias("found")), "keyed")
     unstage(kinds, wide, known, shared)
     return out
 
@@ -274,19 +271,19 @@ def recurring(keyed: DataFrame, docs: int = DOCS, share: float = SHARE) -> DataF
 
 
 def template_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs: int = DOCS, share: float = SHARE) -> tuple[DataFrame, DataFrame]:
-    """(lines to drop (rid, i, w, key, n_docs), keyed lines); rid is xxhash64(id, text), i a line's place."""
+    """(lines to drop (rid, rid2, i, w, key, n_docs), keyed lines); row_keys gives rid and rid2, i is a line's place."""
     parsed = stage(parse_lines(df, id_col, text_col), "lines")
     keyed = keyed_lines(parsed, docs)
     unstage(parsed)
     found = stage(recurring(keyed, docs, share), "templates")
-    return keyed.select("rid", F.explode("found").alias("x")).where("x.key & 1 = 0").select("rid", "x.i", "x.w", "x.key").join(found, "key"), keyed
+    return keyed.select(*KEYS, F.explode("found").alias("x")).where("x.key & 1 = 0").select(*KEYS, "x.i", "x.w", "x.key").join(found, "key"), keyed
 
 
 def templates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs: int = DOCS, share: float = SHARE) -> DataFrame:
     """(template, n_docs): the recurring templates as texts, tokens that differ among a template's lines written as <*>."""
     gone, _ = template_lines(df, id_col, text_col, docs, share)
-    texts = df.select(F.xxhash64(id_col, text_col).alias("rid"), F.split(text_col, "\n").alias("lines")).dropDuplicates(["rid"])
-    named = gone.join(texts, "rid").select("key", "n_docs", F.expr("array_remove(split(regexp_replace(lines[i], '[^\\\\x20\\\\x09-\\\\x0D]*[0-9][^\\\\x20\\\\x09-\\\\x0D]*', '<*>'), '[\\\\x20\\\\x09-\\\\x0D]+'), '')").alias("t"))
+    texts = df.select(*row_keys(id_col, text_col), F.split(text_col, "\n").alias("lines")).dropDuplicates([*KEYS])
+    named = gone.join(texts, list(KEYS)).select("key", "n_docs", F.expr("array_remove(split(regexp_replace(lines[i], '[^\\\\x20\\\\x09-\\\\x0D]*[0-9][^\\\\x20\\\\x09-\\\\x0D]*', '<*>'), '[\\\\x20\\\\x09-\\\\x0D]+'), '')").alias("t"))
     tokens = named.select("key", "n_docs", F.posexplode("t").alias("k", "t")).groupBy("key", "n_docs", "k").agg(F.when(F.min("t") == F.max("t"), F.min("t")).otherwise("<*>").alias("t"))
     whole = tokens.groupBy("key", "n_docs").agg(F.array_join(F.array_sort(F.collect_list(F.struct("k", "t")))["t"], " ").alias("template"))
     return whole.groupBy("template").agg(F.max("n_docs").alias("n_docs"))  # several ways down the tree may hold the same lines
@@ -295,10 +292,10 @@ def templates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", doc
 def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs: int = DOCS, share: float = SHARE, counts: bool = True) -> DataFrame:
     """df with recurring lines cut from the text, and (with counts) n_lines and n_dropped."""
     taken = [*df.columns]
-    rid, gone, n_lines, n_dropped = (free_name(taken, c) for c in ("rid", "gone", "n_lines", "n_dropped"))
+    rid, rid2, gone, n_lines, n_dropped = (free_name(taken, c) for c in (*KEYS, "gone", "n_lines", "n_dropped"))
     found, _ = template_lines(df, id_col, text_col, docs, share)
-    cut = found.groupBy(F.col("rid").alias(rid)).agg(F.collect_set("i").alias(gone))
-    marked = df.withColumn(rid, F.xxhash64(id_col, text_col)).join(cut, rid, "left")
+    cut = found.groupBy(F.col("rid").alias(rid), F.col("rid2").alias(rid2)).agg(F.collect_set("i").alias(gone))
+    marked = df.select("*", *row_keys(id_col, text_col, (rid, rid2))).join(cut, [rid, rid2], "left")
     kept = F.expr(f"CASE WHEN `{gone}` IS NULL THEN `{text_col}` ELSE array_join(filter(split(`{text_col}`, '\\n'), (l, i) -> NOT array_contains(`{gone}`, i)), '\\n') END")
     out = [kept.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns]
     if counts:

@@ -7,7 +7,8 @@ anchor's context. Copies of a whole context are found first, by 64-bit hashes wi
 aggregated before they are shuffled. Of contexts that differ around a shared anchor, each once, the bytes are brought
 together, at most PIECE bytes at a time in whole groups. Their strings are put in suffix order to a depth of LENGTH by
 prefix doubling, with the common prefixes of neighbours; the previous and the next smaller place in this order give each
-string's longest previous factor, and it has an earlier match if and only if that reaches LENGTH.
+string's longest previous factor, and it has an earlier match if and only if that reaches LENGTH. The mirror of the array, longest
+next factors, tells of later ones; a string also starts elsewhere if and only if one of the two reaches LENGTH.
 
 A group of more than BLOCK contexts is split before it is brought together, by longer prefixes of the order: the strings
 around an anchor are halved by how far they start before it, and each half is grouped by all bytes that its strings must
@@ -16,7 +17,7 @@ group is too large, at the end down to the single strings, so no group is too la
 
 ``keep="none"`` marks every occurrence of a repeated string, ``keep="first"`` all but the first by id and place. Strings
 are judged on the input. Null texts are empty (and stay null); texts under LENGTH bytes have no such string; texts of any
-length are read in whole, and matches never cross texts. Ties don't arise: places differ. Rows that repeat an id with the
+length are read in whole, in stretches, and matches never cross texts. Ties don't arise: places differ. Rows that repeat an id with the
 same text are occurrences like others (with ``keep="first"`` they are the same occurrence). An empty table gives an empty
 result. Extra columns are kept with their values; an added column whose name is taken gets an underscore behind it.
 """
@@ -32,12 +33,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from envgrid.llm.common import free_name, pieces, read, small_batches, stage, unstage
+from envgrid.llm.common import KEYS, free_name, pieces, read, row_keys, small_batches, stage, unstage
 
 LENGTH, GRAM = 200, 64
 PIECE, BLOCK = 2 << 20, 128
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-PLACE = np.uint64((1 << 28) - 1)
+#: Strings of a text whose anchors are found together, and the bits of a place among them.
+STRETCH = 1 << 22
+PLACE = np.uint64((1 << 24) - 1)
 
 
 def gram_hashes(b: np.ndarray) -> np.ndarray:
@@ -53,7 +56,10 @@ def gram_hashes(b: np.ndarray) -> np.ndarray:
 
 
 def anchors(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first start, last start, hash of the anchor) of the runs of strings that share an anchor."""
+    """(first start, last start, hash of the anchor) of the runs of strings that share an anchor; long texts go by stretches of STRETCH strings."""
+    if len(b) - LENGTH + 1 > STRETCH:
+        parts = [(k, anchors(b[k : k + STRETCH + LENGTH - 1])) for k in range(0, len(b) - LENGTH + 1, STRETCH)]
+        return tuple(np.concatenate(x) for x in zip(*((lo + k, hi + k, h) for k, (lo, hi, h) in parts), strict=True))
     with np.errstate(over="ignore"):
         h = gram_hashes(b)
     m, n, width = (h & ~PLACE) | np.arange(len(h), dtype=np.uint64), 1, LENGTH - GRAM + 1
@@ -67,9 +73,9 @@ def anchors(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def anchor_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, rid, lo, n, anchor, context) of each run: n further starts follow lo; context is a hash of the bytes covered."""
+    """(id, rid, rid2, lo, n, anchor, context) of each run: n further starts follow lo; context is a hash of the bytes covered."""
     small_batches(df.sparkSession)
-    rows = df.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("rid"), F.col(text_col).alias("text")).where(F.octet_length("text") >= LENGTH)
+    rows = df.select(F.col(id_col).alias("id"), *row_keys(id_col, text_col), F.col(text_col).alias("text")).where(F.octet_length("text") >= LENGTH)
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,11 +92,11 @@ def anchor_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     hs.append(h)
                 take = pa.array(np.concatenate(who))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id").take(take), part.column("rid").take(take), pa.array(np.concatenate(los).astype(np.int32)), pa.array(np.concatenate(ns).astype(np.int16)), pa.array(np.concatenate(hs)), pa.array(np.array(cs, np.uint64).view(np.int64))],
-                    names=["id", "rid", "lo", "n", "anchor", "context"],
+                    [*(part.column(c).take(take) for c in ("id", *KEYS)), pa.array(np.concatenate(los).astype(np.int32)), pa.array(np.concatenate(ns).astype(np.int16)), pa.array(np.concatenate(hs)), pa.array(np.array(cs, np.uint64).view(np.int64))],
+                    names=["id", *KEYS, "lo", "n", "anchor", "context"],
                 )
 
-    return rows.mapInArrow(run, f"id {kind}, rid long, lo int, n smallint, anchor long, context long")
+    return rows.mapInArrow(run, f"id {kind}, rid long, rid2 long, lo int, n smallint, anchor long, context long")
 
 
 def doubled_ranks(b: np.ndarray) -> tuple[dict[int, np.ndarray], np.ndarray]:
@@ -162,54 +168,55 @@ def earlier_and_elsewhere(b: np.ndarray, starts: np.ndarray, order: np.ndarray)
     rank, eight = doubled_ranks(b)
     sa = np.lexsort((order, suffix_ranks(rank, starts)))
     common = np.r_[0, common_prefixes(rank, eight, starts[sa[:-1]], starts[sa[1:]])]
-    earlier, elsewhere = np.empty(len(sa), bool), np.empty(len(sa), bool)
+    earlier, later = np.empty(len(sa), bool), np.empty(len(sa), bool)
     earlier[sa] = longest_previous_factors(order[sa], common) >= LENGTH
-    elsewhere[sa] = np.maximum(common, np.r_[common[1:], 0]) >= LENGTH
-    return earlier, elsewhere
+    later[sa] = longest_previous_factors(-order[sa], common) >= LENGTH  # the mirror: longest next factors
+    return earlier, earlier | later
 
 
-def _spans(rid: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rid, first byte, byte behind the last) of runs of starts that are sorted within each rid's stretch."""
-    cut = np.r_[True, (rid[1:] != rid[:-1]) | (start[1:] != start[:-1] + 1)]
+def _spans(own: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, first byte, byte behind the last) of runs of starts that are sorted within each context's stretch."""
+    cut = np.r_[True, (own[1:] != own[:-1]) | (start[1:] != start[:-1] + 1)]
     first = np.flatnonzero(cut)
     last = np.r_[first[1:] - 1, len(start) - 1]
-    return rid[first], start[first], start[last] + LENGTH
+    return own[first], start[first], start[last] + LENGTH
 
 
 def compare_contexts(contexts: DataFrame, keep: str) -> DataFrame:
-    """(rid, s, e) of repeats in contexts (id, rid, lo, n, anchor, bytes), by suffix order over whole groups of an anchor."""
+    """(rid, rid2, s, e) of repeats in contexts (id, rid, rid2, lo, n, anchor, bytes), by suffix order over whole groups of an anchor."""
     def solve(held: list[tuple]) -> pa.RecordBatch:
         # a context's place in the order by id and place, and its strings' starts in the joined bytes
-        rank_of = {k: i for i, k in enumerate(sorted(range(len(held)), key=lambda i: held[i][:3]))}
-        size = np.array([len(x[5]) for x in held])
+        rank_of = {k: i for i, k in enumerate(sorted(range(len(held)), key=lambda i: (held[i][0] is not None, held[i][:4]) if held[i][0] is not None else (False, held[i][1:4])))}
+        size = np.array([len(x[6]) for x in held])
         base = np.cumsum(size) - size
-        n = np.array([x[3] + 1 for x in held])
+        n = np.array([x[4] + 1 for x in held])
         own = np.repeat(np.arange(len(held)), n)
         inner = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
         place = np.array([rank_of[i] for i in range(len(held))])
-        earlier, elsewhere = earlier_and_elsewhere(np.frombuffer(b"".join(x[5] for x in held), np.uint8), base[own] + inner, place[own] * (1 << 20) + inner)
+        earlier, elsewhere = earlier_and_elsewhere(np.frombuffer(b"".join(x[6] for x in held), np.uint8), base[own] + inner, place[own] * (1 << 20) + inner)
         hit = np.flatnonzero(earlier if keep == "first" else elsewhere)
-        rid, s, e = _spans(np.array([x[1] for x in held])[own[hit]], np.array([x[2] for x in held])[own[hit]] + inner[hit]) if len(hit) else (np.zeros(0, np.int64),) * 3
-        return pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], names=["rid", "s", "e"])
+        at, s, e = _spans(own[hit], np.array([x[3] for x in held])[own[hit]] + inner[hit]) if len(hit) else (np.zeros(0, np.int64),) * 3
+        rids = [pa.array(np.array([x[k] for x in held], np.int64)[at]) for k in (1, 2)]
+        return pa.RecordBatch.from_arrays([*rids, pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], names=[*KEYS, "s", "e"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         group: list[tuple] = []
         total = 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("id", "rid", "lo", "n", "anchor", "bytes")), strict=True):
-                if group and group[-1][4] != row[4]:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("id", *KEYS, "lo", "n", "anchor", "bytes")), strict=True):
+                if group and group[-1][5] != row[5]:
                     held += group
                     group = []
                     if total > PIECE:
                         yield solve(held)
                         held, total = [], 0
                 group.append(row)
-                total += len(row[5])
+                total += len(row[6])
         if held or group:
             yield solve(held + group)
 
-    return contexts.repartition("anchor").sortWithinPartitions("anchor", "id", "rid", "lo").select("id", "rid", "lo", "n", "anchor", "bytes").mapInArrow(run, "rid long, s int, e int")
+    return contexts.repartition("anchor").sortWithinPartitions("anchor", "id", *KEYS, "lo").select("id", *KEYS, "lo", "n", "anchor", "bytes").mapInArrow(run, "rid long, rid2 long, s int, e int")
 
 
 def anchor_place(raw: bytes, n: int, anchor: int) -> int:
@@ -237,9 +244,9 @@ def halves(contexts: DataFrame) -> DataFrame:
                             x.append(v)
             take = pa.array(out[0], pa.int64())
             made = [pa.array(x, t) for x, t in zip(out[1:], (pa.int32(), pa.int16(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32()), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("rid").take(take), *made], names=["id", "rid", "lo", "n", "anchor", "bytes", "p", "x0", "x1"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("id", *KEYS)), *made], names=["id", *KEYS, "lo", "n", "anchor", "bytes", "p", "x0", "x1"])
 
-    return contexts.select("id", "rid", "lo", "n", "anchor", "bytes", "p", "x0", "x1").mapInArrow(run, f"id {kind}, rid long, lo int, n smallint, anchor long, bytes binary, p int, x0 int, x1 int")
+    return contexts.select("id", *KEYS, "lo", "n", "anchor", "bytes", "p", "x0", "x1").mapInArrow(run, f"id {kind}, rid long, rid2 long, lo int, n smallint, anchor long, bytes binary, p int, x0 int, x1 int")
 
 
 def compare_groups(contexts: DataFrame, keep: str) -> DataFrame:
@@ -255,29 +262,29 @@ def compare_groups(contexts: DataFrame, keep: str) -> DataFrame:
         if many.isEmpty():
             return spans
         cut = stage(halves(rows.join(many, "anchor")), "halves")
-        same = stage(cut.groupBy("anchor", "bytes").agg(F.count("*").alias("c"), F.min(F.struct("id", "rid", "lo")).alias("f")), "same")
-        told = stage(cut.join(same, ["anchor", "bytes"]).withColumn("first", F.struct("id", "rid", "lo") == F.col("f")).drop("f"), "told")
+        same = stage(cut.groupBy("anchor", "bytes").agg(F.count("*").alias("c"), F.min(F.struct("id", *KEYS, "lo")).alias("f")), "same")
+        told = stage(cut.join(same, ["anchor", "bytes"]).withColumn("first", F.struct("id", *KEYS, "lo") == F.col("f")).drop("f"), "told")
         unstage(cut, same)
-        copies = told.where(F.col("c") > 1 if keep == "none" else ~F.col("first")).select("rid", F.col("lo").alias("s"), (F.col("lo") + F.col("n") + LENGTH).cast("int").alias("e"))
+        copies = told.where(F.col("c") > 1 if keep == "none" else ~F.col("first")).select(*KEYS, F.col("lo").alias("s"), (F.col("lo") + F.col("n") + LENGTH).cast("int").alias("e"))
         spans = spans.unionByName(copies)
         rows = told.where("first").drop("c", "first")
 
 
 def repeat_spans(df: DataFrame, keep: str = "none", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(rid, spans array<struct<s,e>>) of the texts with repeats: stretches of bytes to remove, sorted, possibly overlapping; rid is xxhash64(id, text)."""
+    """(rid, rid2, spans array<struct<s,e>>) of the texts with repeats: stretches of bytes to remove, sorted, possibly overlapping; row_keys gives rid and rid2."""
     found = anchor_rows(df, id_col, text_col)
     shared = found.groupBy("anchor").agg(F.count("*").alias("c"), F.min("context").alias("a"), F.max("context").alias("b")).where("c > 1").select("anchor", (F.col("a") < F.col("b")).alias("mixed"))
     # both sides of the join come from tables, so that a frequent anchor's partition can be split
     rows = stage(found.join(stage(shared, "shared"), "anchor"), "anchors")
-    whole = rows.groupBy("anchor", "context").agg(F.count("*").alias("c"), F.min(F.struct("id", "rid", "lo")).alias("f"))
-    told = stage(rows.join(stage(whole, "whole"), ["anchor", "context"]).withColumn("first", F.struct("id", "rid", "lo") == F.col("f")).select("id", "rid", "lo", "n", "anchor", "mixed", "c", "first"), "contexts")
-    copies = told.where(F.col("c") > 1 if keep == "none" else ~F.col("first")).select("rid", F.col("lo").alias("s"), (F.col("lo") + F.col("n") + LENGTH).cast("int").alias("e"))
+    whole = rows.groupBy("anchor", "context").agg(F.count("*").alias("c"), F.min(F.struct("id", *KEYS, "lo")).alias("f"))
+    told = stage(rows.join(stage(whole, "whole"), ["anchor", "context"]).withColumn("first", F.struct("id", *KEYS, "lo") == F.col("f")).select("id", *KEYS, "lo", "n", "anchor", "mixed", "c", "first"), "contexts")
+    copies = told.where(F.col("c") > 1 if keep == "none" else ~F.col("first")).select(*KEYS, F.col("lo").alias("s"), (F.col("lo") + F.col("n") + LENGTH).cast("int").alias("e"))
     # the bytes of each different context around a shared anchor
-    edges = told.where("mixed AND first").groupBy("rid").agg(F.collect_set(F.struct("lo", "n", "anchor")).alias("edges"))
-    texts = df.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("rid"), F.col(text_col).alias("text")).where(F.octet_length("text") >= LENGTH).join(edges, "rid")
-    parts = texts.select("id", "rid", F.encode("text", "UTF-8").alias("raw"), F.explode("edges").alias("x")).select("id", "rid", "x.lo", "x.n", "x.anchor", F.expr(f"substring(raw, x.lo + 1, x.n + {LENGTH})").alias("bytes")).dropDuplicates(["rid", "lo"])
+    edges = told.where("mixed AND first").groupBy(*KEYS).agg(F.collect_set(F.struct("lo", "n", "anchor")).alias("edges"))
+    texts = df.select(F.col(id_col).alias("id"), *row_keys(id_col, text_col), F.col(text_col).alias("text")).where(F.octet_length("text") >= LENGTH).join(edges, list(KEYS))
+    parts = texts.select("id", *KEYS, F.encode("text", "UTF-8").alias("raw"), F.explode("edges").alias("x")).select("id", *KEYS, "x.lo", "x.n", "x.anchor", F.expr(f"substring(raw, x.lo + 1, x.n + {LENGTH})").alias("bytes")).dropDuplicates([*KEYS, "lo"])
     fine = compare_groups(stage(parts, "edges"), keep)
-    return copies.unionByName(fine).groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans"))
+    return copies.unionByName(fine).groupBy(*KEYS).agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans"))
 
 
 def cut(raw: bytes, spans: list) -> tuple[bytes, int, int]:
@@ -300,11 +307,11 @@ def remove_repeats(df: DataFrame, keep: str = "none", id_col: str = "doc_id", te
     """df with the remaining text (characters that lost a byte go too) or, with digest, kept_sha256 of the remaining bytes instead of it, and (with counts) n_bytes, n_removed, n_spans."""
     small_batches(df.sparkSession)
     rest = [c for c in df.columns if c != text_col]
-    rid, found, n_bytes, n_removed, n_spans = (free_name(df.columns, c) for c in ("rid", "spans", "n_bytes", "n_removed", "n_spans"))
+    rid, rid2, found, n_bytes, n_removed, n_spans = (free_name(df.columns, c) for c in (*KEYS, "spans", "n_bytes", "n_removed", "n_spans"))
     out = free_name(df.columns, "kept_sha256") if digest else text_col
-    spans = repeat_spans(df, keep, id_col, text_col).select(F.col("rid").alias(rid), F.col("spans").alias(found))
+    spans = repeat_spans(df, keep, id_col, text_col).select(F.col("rid").alias(rid), F.col("rid2").alias(rid2), F.col("spans").alias(found))
     row = F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row")  # given columns travel as one, whatever their names
-    joined = df.withColumn(rid, F.xxhash64(id_col, text_col)).join(spans, rid, "left").select(row, F.col(f"`{text_col}`").alias("text"), F.col(found).alias("spans"))
+    joined = df.select("*", *row_keys(id_col, text_col, (rid, rid2))).join(spans, [rid, rid2], "left").select(row, F.col(f"`{text_col}`").alias("text"), F.col(found).alias("spans"))
     kind = joined.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

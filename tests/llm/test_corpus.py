@@ -143,6 +143,38 @@ def test_suffix_order_and_longest_previous_factors():
     assert longest.tolist() == [max((shared(cut[sa[k]], cut[sa[j]]) for j in range(len(sa)) if place[j] < place[k]), default=0) for k in range(len(sa))]
 
 
+def test_anchors_by_stretches(monkeypatch):
+    """A text in stretches has the anchors of the whole one, string by string."""
+    r = np.random.default_rng(4)
+    b = np.r_[r.integers(0, 3, 3000), np.zeros(700), r.integers(0, 200, 1500)].astype(np.uint8)
+
+    def each():
+        lo, hi, h = repeats.anchors(b)
+        assert lo[0] == 0 and hi[-1] == len(b) - repeats.LENGTH and (lo[1:] == hi[:-1] + 1).all()
+        return np.repeat(h, hi - lo + 1)
+
+    whole = each()
+    for n in (1, 64, 333, 5000):
+        monkeypatch.setattr(repeats, "STRETCH", n)
+        assert np.array_equal(each(), whole)
+
+
+def test_rows_without_id_and_one_id_for_two_texts(spark, words):
+    """Null ids and an id of several texts: every row is cut by its own places, in lines and in passages."""
+    r = random.Random(23)
+    line = lambda n: " ".join(r.choice(words) for _ in range(n))
+    passage = line(80)
+    texts = [line(20) + "\n" + passage + "\n" + line(15 + k) for k in range(6)]
+    df = spark.createDataFrame([(None if k < 2 else 7, t) for k, t in enumerate(texts)], "doc_id int, text string")
+    got = {x["text"] for x in repeats.remove_repeats(df).collect()}
+    want = set()
+    for t, m in zip(texts, brute_repeats([t.encode() for t in texts], False), strict=True):
+        want.add(np.frombuffer(t.encode(), np.uint8)[~m].tobytes().decode("utf-8", "ignore"))
+    assert got == want and len(got) == 6
+    kept = {x["text"] for x in lines.drop_lines(df).collect()}
+    assert kept == {"\n".join(x for x in t.split("\n") if x != passage) for t in texts}
+
+
 def test_a_large_group_is_halved(spark, words, monkeypatch):
     """One passage between different neighbours in many texts, against brute force, with groups of up to three contexts."""
     monkeypatch.setattr(repeats, "BLOCK", 3)
