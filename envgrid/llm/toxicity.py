@@ -46,7 +46,8 @@ GAP, PAIRS = 3, 0.8  # share of a landmark's letter pairs that a word has, up to
 FRONT = "^"  # stands before each word
 SHORTEST, LONGEST = 4, 10  # characters of a landmark
 STRONG = 30  # times as frequent in texts of label 1: such a landmark marks the sentence that it is in
-WIDTH = 24  # longer words are cut into windows that overlap by half
+WIDTH = 24  # longer words are cut into windows
+STEP = WIDTH - (2 * LONGEST - 2)  # between windows: a landmark with a letter in every gap lies whole in one of them
 KNOWN = 300_000
 
 LETTERS = re.compile(r"[^\W_]+")
@@ -74,7 +75,7 @@ def words_of(text: str) -> set[str]:
     return out
 
 def windows(word: str) -> list[str]:
-    return [word] if len(word) <= WIDTH else [word[i : i + WIDTH] for i in range(0, len(word) - WIDTH // 2, WIDTH // 2)]
+    return [word] if len(word) <= WIDTH else [word[i : i + WIDTH] for i in range(0, len(word) - WIDTH + STEP, STEP)]
 
 def padded(words: list[str]) -> np.ndarray:
     """Code points of words of up to WIDTH characters, 0 behind."""
@@ -176,7 +177,7 @@ class Landmarks:
         return [tuple(x) for x in out]
 
 class TextValues:
-    """Values of texts: for each landmark the largest over the text's words. Keeps the values of frequent words."""
+    """Values of texts: for each landmark the sum over the text's different words, of a long word's windows the largest, on a logarithmic scale. Keeps the values of frequent words."""
 
     def __init__(self, landmarks: list[str], strong: list[bool]):
         self.marks, self.known = Landmarks(landmarks, strong), {}
@@ -190,7 +191,10 @@ class TextValues:
         parts = [windows(w) for w in new]
         found = iter(self.marks.values([p for w in parts for p in w]))
         for w, p in zip(new, parts, strict=True):
-            self.known[w] = tuple(x for _ in p for x in next(found)) or None
+            best: dict[int, float] = {}
+            for k, x in (x for _ in p for x in next(found)):
+                best[k] = max(x, best.get(k, 0.0))
+            self.known[w] = tuple(best.items()) or None
         out = np.zeros((len(texts), 2 * len(self.marks.names)))
         for i, s in enumerate(sets):
             for w in s:
@@ -248,11 +252,6 @@ def pick_landmarks(texts: list[str], labels: list[int]) -> tuple[list[str], list
         covered[holds[p]] += 1
     return out, [seen[p] * n_clean >= STRONG * max(1, against[p]) * n_toxic for p in out]
 
-def disguised(word: str) -> tuple[str, str, str]:
-    """The word with a letter in its middle, with one in every gap, and with a letter left out behind its middle."""
-    m = len(word) // 2
-    return word[:m] + "x" + word[m:], "x".join(word), word[:m] + word[m + 1 :]
-
 def disguised(word: str) -> tuple[str, str]:
     """The word with a letter in its middle, and with one in every gap."""
     m = len(word) // 2

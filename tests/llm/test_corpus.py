@@ -416,6 +416,18 @@ def test_toxicity(labelled, empty):
     assert toxicity.train(docs, labels.where(F.lit(False))).landmarks == []
 
 
+def test_insults_anywhere_in_long_words():
+    """A landmark with a letter in every gap has its value at every place of a word of any length; a long word's value is its best window's."""
+    of = toxicity.TextValues(["wetnoodle", "badlandmar"], [True, True])
+    for insult in ("x".join("wetnoodle"), "x".join("badlandmar"), "wetnoodle"):
+        least = of([insult]).sum()
+        assert least > 0
+        for n in (24, 25, 31, 48, 90):
+            for at in range(0, n - len(insult) + 1):
+                assert of(["q" * at + insult + "q" * (n - len(insult) - at)]).sum() > 0, (insult, n, at)
+    assert of(["wetnoodle" * 20]).sum() <= 2 * of(["wetnoodle wetnoodles"]).sum()
+
+
 def plain(s, t, decay=toxicity.DECAY):
     total = 0.0
     for a in itertools.combinations(range(len(s)), toxicity.ORDER):
