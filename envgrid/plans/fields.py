@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from envgrid.functions import scalars
-from envgrid.operators import grid, index, series, zonal
+from envgrid.operators import focal, grid, index, series, zonal
 from envgrid.plans.views import AREA, BOXES, CELLS, EVENTS, LAYER, LEG, TRIANGLES, Registry, boxes, cells, events, in_triangle, layer, rounded, table, triangle_area, triangles
 
 reg = Registry()
@@ -383,6 +383,19 @@ def wn16(spark, d):
     return zonal.focal_median(p, layer(spark, d), 5)
 
 
+@reg.add("wn16_focal_statistics", f"WITH {LAYER}, f AS (SELECT row, col, CASE WHEN (row * 5 + col) % 11 > 1 THEN value * 0.9871313::DOUBLE END AS value FROM la), r AS (SELECT unnest([2.0, 4.5]) AS radius) SELECT a.row, a.col, CAST(radius AS DOUBLE) AS radius, count(b.value) AS n, round(median(b.value), 4) AS median, round(avg(b.value), 4) AS mean FROM f a, r, f b WHERE power(a.row - b.row, 2) + power(a.col - b.col, 2) <= radius * radius GROUP BY ALL")
+def wn16s(spark, d):
+    """Number, median and mean of the disks around all cells, at two radii, some cells missing."""
+    holes = layer(spark, d).withColumn("value", F.when((F.col("row") * 5 + F.col("col")) % 11 > 1, F.col("value") * 0.9871313))
+    return rounded(focal.focal_statistics(holes, [2.0, 4.5]))
+
+
+@reg.add("ag25_box_statistics", f"WITH {LAYER}, f AS (SELECT row, col, value * 0.9871313::DOUBLE AS value FROM la), r AS (SELECT unnest([1, 3, 7]) AS radius) SELECT a.row, a.col, CAST(radius AS DOUBLE) AS radius, count(b.value) AS n, round(median(b.value), 4) AS median, round(avg(b.value), 4) AS mean FROM f a, r, f b WHERE abs(a.row - b.row) <= radius AND abs(a.col - b.col) <= radius GROUP BY ALL")
+def ag25b(spark, d):
+    """The boxes around all cells, at three radii."""
+    return rounded(focal.focal_statistics(layer(spark, d).withColumn("value", F.col("value") * 0.9871313), [1, 3, 7], circle=False))
+
+
 @reg.add("jn13_inside_outside", f"""WITH {TRIANGLES}, p AS (SELECT CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS tag, o_orderkey % 7000 / 100.0 + 0.003 AS x, o_custkey * 53 % 6500 / 100.0 + 0.003 AS y FROM orders)
  SELECT tag, basin_id, count(*) AS n FROM p LEFT JOIN tr ON {in_triangle('x', 'y')} GROUP BY tag, basin_id""")
 def jn13(spark, d):
