@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from envgrid.functions import geo, scalars
@@ -79,6 +79,26 @@ def default_period(series: DataFrame, days: int = 365) -> DataFrame:
     return series.agg(F.min("report_date").alias("first"), F.max("report_date").alias("last"), F.countDistinct("basin_id").alias("n_basins"), F.countDistinct("report_date").alias("n_dates")).withColumn("default_first", F.greatest(F.date_sub("last", days - 1), F.col("first")))
 
 
+def explorer(series: DataFrame, water: str, days: int = 365, top: int = 5, first: Column | str | None = None, last: Column | str | None = None) -> dict[str, DataFrame]:
+    """The explorer's tables of a daily series: extent, period, years, totals and latest.
+
+    The period is the one given or the last days of the record. extent has one row; period one for each polygon, with the share of
+    complete days; years the percent of complete basin-days of each year; totals land and water by date within the period; latest the
+    top polygons of the last date by depth, with the percent of hours that they have and their rank. The period's bounds come
+    from the extent, one row, so the series is read once for it and once for each table.
+    """
+    extent = default_period(series, days)
+    bounds = extent.select((F.col("default_first") if first is None else F.lit(first).cast("date")).alias("_from"), (F.col("last") if last is None else F.lit(last).cast("date")).alias("_to"), F.col("last").alias("_last"))
+    within = series.crossJoin(F.broadcast(bounds))  # one row
+    inside = within.where(F.col("report_date").between(F.col("_from"), F.col("_to")))
+    period = basin_period(inside, F.col("_from"), F.col("_to")).withColumn("pct_complete", 100 * (1 - F.col("n_partial") / F.col("n_days")))
+    years = series.groupBy(F.year("report_date").alias("year")).agg((100 * F.avg(F.when(complete(), 1.0).otherwise(0.0))).alias("pct_complete"), F.count("*").alias("n"))
+    hours = 100 * F.try_divide(F.col("n_hours"), F.col("n_hours_expected"))
+    latest = within.where(F.col("report_date") == F.col("_last")).select("basin_id", "report_date", "precip_mm", hours.alias("pct_hours")).orderBy(F.desc_nulls_last("precip_mm"), "basin_id").limit(top)
+    ranked = latest.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("precip_mm"), "basin_id")))  # top rows
+    return {"extent": extent, "period": period, "years": years, "totals": totals_by_kind(inside, water), "latest": ranked}
+
+
 def violations(df: DataFrame, key: list[str], domain: tuple[str, list] | None = None, expected: DataFrame | None = None) -> DataFrame:
     """(rule, detail, n) of broken rules: keys that repeat, values outside their domain, expected ids that are missing."""
     text = lambda cols: F.concat_ws("|", *[F.col(c).cast("string") for c in cols])

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from envgrid.functions.timebuckets import hourly_stamps, report_day
-from envgrid.operators.grid import GridSpec
+from envgrid.functions.geo import to_hrrr
+from envgrid.functions.timebuckets import TZ, hourly_stamps, lead_day, report_day
+from envgrid.operators.grid import GridSpec, nearest_index
 
 
 def pearson(a: str, b: str) -> Column:
@@ -113,6 +115,37 @@ def nearest_cycle(wanted: DataFrame, cycles: DataFrame, want: str = "wanted", ha
     return near.select(F.col("t").alias(want), pick.alias(have)).withColumn("substituted", F.col(want) != F.col(have))
 
 
+@dataclass(frozen=True)
+class ForecastGrid:
+    """A forecast's regular grid on its Lambert projection: the centre of cell (0, 0), the step, and its size."""
+
+    y0: float
+    x0: float
+    step: float
+    ny: int
+    nx: int
+
+
+def verify_forecast(cube: DataFrame, stations: DataFrame, gauge: DataFrame, grid: ForecastGrid, first: str, last: str, hour: int = 12, before: int = 3, leads: Sequence[int] = (1, 2), tz: str = TZ) -> DataFrame:
+    """A pooled row and one for each station, n, r and bias of each lead side by side, for report days from first to last.
+
+    cube is (init, lead_h, row, col, value), stations (station, lon, lat), gauge (station, day, obs). Each station takes the cell
+    nearest to it on the projection. Of each day from ``before`` days before the first one the cycle of ``hour`` UTC is asked for, and the nearest one that the
+    cube has stands in for a missing one, once; the hours of a cycle are totalled by report day and lead class.
+    """
+    x, y = to_hrrr(F.col("lon"), F.col("lat"))
+    at = stations.select("station", nearest_index(y, grid.y0, grid.step, grid.ny).alias("row"), nearest_index(x, grid.x0, grid.step, grid.nx).alias("col"))
+    dates = F.explode(F.sequence(F.date_sub(F.lit(first).cast("date"), before), F.lit(last).cast("date"))).alias("day")
+    wanted = cube.sparkSession.range(1).select(dates).select((F.col("day").cast("timestamp") + F.make_dt_interval(hours=F.lit(hour))).alias("wanted"))
+    kept = nearest_cycle(wanted, cube.select(F.col("init").alias("cycle")).distinct()).select(F.col("cycle").alias("init")).distinct()
+    # cycles are as many as days, stations a roster
+    valid = cube.join(F.broadcast(kept), "init").withColumn("lead", lead_day(F.col("lead_h"))).where(F.col("lead").isin(*leads)).join(at, ["row", "col"])
+    stamp = F.col("init") + F.make_dt_interval(hours=F.col("lead_h"))
+    est = valid.groupBy("station", "lead", report_day(stamp, "wall7_right", tz).alias("day")).agg(F.sum("value").alias("est"))
+    pairs = est.join(gauge, ["station", "day"]).where(F.col("day").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+    return lead_summary(pairs, stations.select("station"), leads)
+
+
 def short_days(df: DataFrame, keys: Sequence[str], value: str, least: int = 23) -> DataFrame:
     """Groups with fewer than ``least`` given values."""
     return df.groupBy(*keys).agg(F.count(value).alias("n_hours")).where(F.col("n_hours") < least)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from envgrid.functions import codes, geo, scalars
@@ -218,3 +221,47 @@ def pl06(spark, d):
     s = basin_series(spark, d)
     last = s.join(F.broadcast(s.agg(F.max("report_date").alias("report_date"))), "report_date")  # one row
     return last.select("basin_id", "precip_mm", (100 * F.try_divide(F.col("n_hours"), F.col("n_hours_expected"))).alias("pct_hours")).orderBy(F.desc("precip_mm"), "basin_id").limit(5).select("basin_id", F.round("precip_mm", 4).alias("precip_mm"), F.round("pct_hours", 3).alias("pct_hours"))
+
+
+@reg.add("pl06_explorer_tables", f"""WITH {SERIES}, x AS (SELECT min(report_date) AS first, max(report_date) AS last, count(DISTINCT basin_id) AS n_basins, greatest(max(report_date) - 364, min(report_date)) AS "from" FROM se), i AS (SELECT se.* FROM se, x WHERE report_date BETWEEN "from" AND last),
+ l AS (SELECT basin_id, mm, 100.0 * n_hours / n_hours_expected AS h FROM se WHERE report_date = (SELECT last FROM x) ORDER BY mm DESC, basin_id LIMIT 5)
+ SELECT 'extent' AS part, CAST("from" AS VARCHAR) AS key, CAST(n_basins AS DOUBLE) AS a, CAST(last - first AS DOUBLE) AS b FROM x UNION ALL
+ SELECT 'period', CAST(basin_id AS VARCHAR), round(sum(mm), 4), round(100 * avg(CASE WHEN n_hours = n_hours_expected THEN 1.0 ELSE 0.0 END), 4) FROM i GROUP BY basin_id UNION ALL
+ SELECT 'years', CAST(year(report_date) AS VARCHAR), round(100 * avg(CASE WHEN n_hours = n_hours_expected THEN 1.0 ELSE 0.0 END), 4), count(*) FROM se GROUP BY year(report_date) UNION ALL
+ SELECT 'totals', CAST(report_date AS VARCHAR), round(sum(CASE WHEN kind <> 0 THEN mm / 1000 * 144e6 END) / 1e6, 4), round(sum(CASE WHEN kind = 0 THEN mm / 1000 * 144e6 END) / 1e6, 4) FROM i GROUP BY report_date UNION ALL
+ SELECT 'latest', CAST(basin_id AS VARCHAR), round(mm, 4), round(h, 4) FROM l""")
+def pl06t(spark, d):
+    """All tables of the explorer by one operator, one below the other."""
+    t = series.explorer(basin_series(spark, d).withColumn("water", F.col("kind") == 0), "water")
+    shown = {
+        "extent": ("default_first", F.col("n_basins"), F.datediff("last", "first")), "period": ("basin_id", F.col("total_mm"), F.col("pct_complete")), "years": ("year", F.col("pct_complete"), F.col("n")),
+        "totals": ("report_date", F.col("land"), F.col("water")), "latest": ("basin_id", F.col("precip_mm"), F.col("pct_hours")),
+    }
+    rows = [t[part].select(F.lit(part).alias("part"), F.col(key).cast("string").alias("key"), a.cast("double").alias("a"), b.cast("double").alias("b")) for part, (key, a, b) in shown.items()]
+    return rounded(reduce(DataFrame.unionByName, rows))
+
+
+#: Twelve o'clock cycles with every fifth day's missing, on a forecast grid of 3 km; stations in it.
+_CYCLE = "date_trunc('day', ts) + INTERVAL 12 HOUR"
+_HRRR = """sp AS (SELECT CAST(n_nationkey AS INTEGER) AS station, -71.5 + n_nationkey * 17 % 25 * 0.04 AS lon, radians(41.0 + n_nationkey * 11 % 25 * 0.03) AS lat FROM nation WHERE n_nationkey < 16), k AS (SELECT sin(radians(38.5)) AS n, 6371229.0 AS a, cos(radians(38.5)) * power(tan(pi() / 4 + radians(38.5) / 2), sin(radians(38.5))) / sin(radians(38.5)) AS f),
+ q AS (SELECT station, a * f / power(tan(pi() / 4 + lat / 2), n) AS r, a * f / power(tan(pi() / 4 + radians(38.5) / 2), n) AS r0, n * (radians(lon) - radians(-97.5)) AS t FROM sp, k),
+ st AS (SELECT station, CAST(least(greatest(round_even((r0 - r * cos(t) - 600000) / 60000, 0), 0), 3) AS INTEGER) AS row, CAST(least(greatest(round_even((r * sin(t) - 2100000) / 60000, 0), 0), 3) AS INTEGER) AS col FROM q)"""
+
+
+@reg.add("pl02_forecast_table", f"""WITH {EVENTS}, {_HRRR}, cu AS (SELECT {_CYCLE} AS init, CAST(event_id // 16 % 50 AS INTEGER) AS lead_h, event_id % 4 AS row, event_id // 4 % 4 AS col, avg(value) AS value FROM ev WHERE dayofyear(ts) % 5 <> 0 GROUP BY ALL),
+ w AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-02 12:00:00', TIMESTAMP '2024-01-25 12:00:00', INTERVAL 1 DAY)) AS wanted), c AS (SELECT DISTINCT init FROM cu), n AS (SELECT DISTINCT arg_min(init, (abs(epoch(init) - epoch(wanted)), init)) AS init FROM w, c GROUP BY wanted),
+ f AS (SELECT st.station, CASE WHEN lead_h BETWEEN 1 AND 24 THEN 1 WHEN lead_h BETWEEN 25 AND 48 THEN 2 END AS lead, {wall7("(init + to_hours(lead_h) - INTERVAL 1 MICROSECOND)")} AS day, sum(value) AS est FROM cu JOIN n USING (init) JOIN st ON st.row = cu.row AND st.col = cu.col WHERE lead_h BETWEEN 1 AND 48 GROUP BY ALL),
+ g AS (SELECT station, {wall7('ts')} AS day, sum(value) AS obs FROM ev WHERE source = 'gauge' GROUP BY ALL), pr AS (SELECT * FROM f JOIN g USING (station, day) WHERE day BETWEEN DATE '2024-01-05' AND DATE '2024-01-25'),
+ s AS (SELECT lead, CASE WHEN grouping(station) = 1 THEN 'ALL' ELSE CAST(station AS VARCHAR) END AS who, count(*) AS n, {PEARSON.format(a='obs', b='est')} AS r, avg(est - obs) AS bias FROM pr GROUP BY GROUPING SETS ((lead), (lead, station))),
+ o AS (SELECT CAST(station AS VARCHAR) AS who FROM sp UNION ALL SELECT 'ALL')
+ SELECT who, CAST(coalesce(max(CASE WHEN lead = 1 THEN n END), 0) AS BIGINT) AS n_lead1, round(max(CASE WHEN lead = 1 THEN r END), 4) AS r_lead1, round(max(CASE WHEN lead = 1 THEN bias END), 4) AS bias_lead1, CAST(coalesce(max(CASE WHEN lead = 2 THEN n END), 0) AS BIGINT) AS n_lead2, round(max(CASE WHEN lead = 2 THEN r END), 4) AS r_lead2, round(max(CASE WHEN lead = 2 THEN bias END), 4) AS bias_lead2 FROM o LEFT JOIN s USING (who) GROUP BY who""")
+def pl02t(spark, d):
+    """From a projected forecast cube with missing cycles and stations by longitude and latitude to the table of leads."""
+    e = events(spark, d)
+    k = F.col("event_id")
+    cube = e.where(F.dayofyear("ts") % 5 != 0).groupBy((F.date_trunc("day", "ts") + F.expr("interval 12 hours")).alias("init"), (F.floor(k / 16) % 50).cast("int").alias("lead_h"), (k % 4).cast("int").alias("row"), (F.floor(k / 4) % 4).cast("int").alias("col")).agg(F.avg("value").alias("value"))
+    n = F.col("n_nationkey")
+    stations = table(spark, d, "nation").where("n_nationkey < 16").select(n.cast("int").alias("station"), (-71.5 + n * 17 % 25 * 0.04).alias("lon"), (41.0 + n * 11 % 25 * 0.03).alias("lat"))
+    gauge = e.where("source = 'gauge'").groupBy("station", report_day("ts", "wall7_left").alias("day")).agg(F.sum("value").alias("obs"))
+    axes = verify.ForecastGrid(600000.0, 2100000.0, 60000.0, 4, 4)
+    return rounded(verify.verify_forecast(cube, stations, gauge, axes, "2024-01-05", "2024-01-25"))
