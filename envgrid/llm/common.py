@@ -60,6 +60,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Staged tables of this program that are still there.
+STAGED: dict[str, SparkSession] = {}
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there and lost executors cost no recomputation."""
     spark = df.sparkSession
@@ -67,15 +71,32 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
+    STAGED[path] = spark
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def unstage(*tables: DataFrame) -> None:
     """Deletes the files of staged tables that later ones have taken the place of."""
     for df in tables:
-        spark = df.sparkSession
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.staged_at)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        STAGED.pop(df.staged_at, None)
+        delete(df.sparkSession, df.staged_at)
+
+
+def clear_staged() -> int:
+    """Deletes all tables that this program's operators have staged; returns how many.
+
+    Results are read from staged tables when they are written, so this is for the time after that, between jobs.
+    """
+    n = len(STAGED)
+    while STAGED:
+        path, spark = STAGED.popitem()
+        delete(spark, path)
+    return n
 
 
 def pieces(batch: pa.RecordBatch, column: str, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -97,3 +97,16 @@ def test_list_ranking(spark, monkeypatch, stall):
     got = {(x["c"], x["s"]): (x["leaves"], x["saved"], x["nodes"]) for x in pt.ranked(spark.createDataFrame(rows, "c bigint, s bigint, nc bigint, ns bigint, leaves bigint, saved bigint, nodes bigint")).collect()}
     n = len(names)
     assert got == {x: (sum(range(i, n)), 2 * (n - i), n - i) for i, x in enumerate(names)}
+
+
+def test_staged_tables_are_cleared(spark):
+    import glob
+
+    from envgrid.llm import common
+
+    left = lambda: set(glob.glob(f"{common.shared_dir(spark)}/stage-*"))
+    common.clear_staged()
+    before = left()
+    df = spark.createDataFrame([(1, 0, "u", "x", "d", 1)], SCHEMA)
+    assert pt.conversation_trie(df).count() == 2
+    assert left() > before and common.clear_staged() > 0 and left() == before
