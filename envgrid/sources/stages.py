@@ -20,20 +20,38 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Staged tables of this program that are still there.
+STAGED: dict[str, SparkSession] = {}
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back, which ends its lineage."""
     path = f"{shared_dir(df.sparkSession)}/grid-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.staged_at = path
+    STAGED[path] = df.sparkSession
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def unstage(df: DataFrame) -> None:
     """Deletes the files of a staged table that a later one has taken the place of."""
-    spark = df.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.staged_at)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    STAGED.pop(df.staged_at, None)
+    delete(df.sparkSession, df.staged_at)
+
+
+def clear_staged() -> int:
+    """Deletes all tables that this program's operators have staged; returns how many. For the time after a result is written, between jobs."""
+    n = len(STAGED)
+    while STAGED:
+        path, spark = STAGED.popitem()
+        delete(spark, path)
+    return n
 
 
 def stage_once(spark: SparkSession, path: str, make, inputs: str = "") -> DataFrame:

@@ -278,6 +278,17 @@ def test_blocks_dealt_as_one_by_one(spark):
     assert {r["block"]: r["fold"] for r in hosts.fold_of_blocks(df).collect()} == dict(zip(order, one_by_one(sizes, 5), strict=True))
 
 
+def test_staged_tables_are_cleared(spark):
+    import glob
+
+    left = lambda: set(glob.glob(f"{stages.shared_dir(spark)}/grid-*"))
+    stages.clear_staged()
+    before = left()
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0)], "g string, v double")
+    assert index.quantiles(df, ["g"], "v", [0.5]).first()["p50"] == 1.5
+    assert left() > before and stages.clear_staged() > 0 and left() == before and stages.clear_staged() == 0
+
+
 def test_report_day_stream(spark, tmp_path):
     hours = [(dt.datetime(2024, 3, 9, 12) + dt.timedelta(hours=h), 1, 1.0) for h in range(1, 24)] + [(dt.datetime(2024, 3, 9, 13), 1, 1.0), (dt.datetime(2024, 3, 20), 1, 0.0)]
     spark.createDataFrame(hours, "time timestamp, cell int, value double").coalesce(1).write.parquet(str(tmp_path / "h"))
