@@ -87,10 +87,10 @@ def ordered_turns(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role
     role, text = F.coalesce(role, F.lit("")), F.coalesce(text, F.lit(""))
     rows = df.where(F.col(conv).isNotNull()).select(
         F.col(conv).cast("long").alias("conv"), F.col(turn).alias("turn"), role.alias("role"), F.xxhash64(F.lit(1), F.length(role), role, text).alias("ha"), F.xxhash64(F.lit(2), role, F.length(role), text).alias("hb"),
-        F.length(text).cast("long").alias("chars"), F.substring(text, 1, 64).alias("front"), F.lit(1).cast("long").alias("one"),
+        F.length(text).cast("long").alias("chars"), F.substring(text, 1, 64).alias("front"), F.monotonically_increasing_id().alias("tie"), F.lit(1).cast("long").alias("one"),
     )
-    # windows put null first in ascending order, as the range partitions do
-    made = running(rows, ["conv"], ["turn", "role", "front", "ha", "hb"], ["one"], "turns")
+    # windows put null first in ascending order, as the range partitions do; equal rows may lie in several partitions
+    made = running(rows, ["conv"], ["turn", "role", "front", "ha", "hb", "tie"], ["one"], "turns")
     return made.select("conv", F.col("one_before").alias("at"), "ha", "hb", "chars")
 
 
