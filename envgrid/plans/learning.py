@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from envgrid.functions import scalars
-from envgrid.operators import grid, hosts, index
+from envgrid.operators import folds, grid, hosts, index
 from envgrid.plans.fields import SPEC
 from envgrid.plans.views import TRIANGLES, Registry, in_triangle, rounded, table, triangles
 
@@ -132,3 +132,16 @@ def pl10v(spark, d):
 def ml05o(spark, d):
     """Slopes of each fold's penalised loss at its fitted weights, which are 0 at its optimum."""
     return hosts.fold_gradients(embedded(spark, d)).select("fold", "class", "feature", (F.abs("slope") < 2e-4).alias("flat"))
+
+
+@reg.add("ml05_all_folds_together", "WITH n AS (SELECT max(label) + 1 AS c, max(len(embedding)) AS d FROM embeddings) SELECT 'slope' AS what, CAST(k AS INTEGER) AS part, CAST(c * (d + 1) AS BIGINT) AS n, CAST(c * (d + 1) AS BIGINT) AS n_right FROM n, (SELECT unnest(range(5)) AS k) UNION ALL SELECT 'class', CAST(label AS INTEGER), count(*), count(*) FROM embeddings GROUP BY label")
+def ml05t(spark, d):
+    """Five folds fitted in the same passes: slopes that are 0 at each optimum, and rows of each class whose probabilities are those of five fits one after the other."""
+    e = embedded(spark, d).select("vec_id", "emb", "y", "block")
+    dealt, models = folds.fit_folds(e)
+    flat = [(k, models.slopes[k].size, int((abs(models.slopes[k]) < 1e-5).sum())) for k in range(len(models.slopes))]
+    slopes = spark.createDataFrame([("slope", *x) for x in flat], "what string, part int, n bigint, n_right bigint")
+    both = folds.predicted(dealt, models).select("vec_id", "y", "proba").join(hosts.out_of_fold(e).select("vec_id", F.col("proba").alias("other")), "vec_id")
+    near = F.aggregate(F.zip_with("proba", "other", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, x: F.greatest(a, x)) < 0.01
+    rows = both.groupBy(F.col("y").alias("part")).agg(F.count("*").alias("n"), F.sum(F.when(near, 1).otherwise(0)).alias("n_right")).select(F.lit("class").alias("what"), "part", "n", "n_right")
+    return slopes.unionByName(rows)
