@@ -112,10 +112,10 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = PIECE_BYTES) -> Itera
         yield batch.slice(at)
 
 
-def map_texts(df: DataFrame, make: Callable[[], Callable[[list], dict]], schema: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), arrow: pa.Schema | None = None) -> DataFrame:
+def map_texts(df: DataFrame, make: Callable[[], Callable[[list], dict]], schema: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), most: int = PIECE_BYTES) -> DataFrame:
     """Keeps the columns in keep and adds those that make()(texts) returns for the texts of a slice (a list with None for nulls).
 
-    make runs once in each task; schema is the DDL of all columns of the result.
+    make runs once in each task; a slice has about most bytes of text; schema is the DDL of all columns of the result.
     """
     small_batches(df.sparkSession)
     out = df.select(*keep, text)
@@ -123,7 +123,7 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list], dict]], schema:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
-            for part in pieces(batch, text):
+            for part in pieces(batch, text, most):
                 made = fn(part.column(text).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), *(v if isinstance(v, pa.Array) else pa.array(v) for v in made.values())], names=[*keep, *made])
 

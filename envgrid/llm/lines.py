@@ -48,6 +48,8 @@ OWN = 0.25
 LINE, WINDOWS, TEMPLATE = range(3)
 #: The steps in a third: any two variable steps leave one third whole.
 THIRDS = ((0, 3), (3, 6), (6, 8))
+#: Bytes of texts that are parsed together: the arrays of a slice take some hundred times as much.
+SLICE = 1 << 20
 SPACES = np.isin(np.arange(256), [*range(9, 14), 32])
 U = np.uint64
 
@@ -161,7 +163,7 @@ def parse_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
         return run
 
-    return map_texts(rows, make, "rid long, rid2 long, total long, lines array<struct<i:int,w:long,n:int,first:boolean,s1:long,s2:long,s3:long,s4:long,t1:long,t2:long,t3:long,a:long,b:long>>", "text", KEYS)
+    return map_texts(rows, make, "rid long, rid2 long, total long, lines array<struct<i:int,w:long,n:int,first:boolean,s1:long,s2:long,s3:long,s4:long,t1:long,t2:long,t3:long,a:long,b:long>>", "text", KEYS, SLICE)
 
 
 def template_keys(steps: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

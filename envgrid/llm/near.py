@@ -18,8 +18,9 @@ band finds it or its estimate is that far off (chances below 1e-5 each at simila
 by joining each class with the least id near it until nothing changes, staged after each round.
 
 Documents without words have an empty set and are linked with nothing; with fewer than five words the whole sequence is
-the one shingle. Null texts have no words. Ids are those of documents: a row that is given twice adds nothing but itself;
-ties go to the smallest id. Texts of any length are read in whole; extra columns are ignored; an empty table gives an
+the one shingle. Null texts have no words. Ids are those of documents: a row that is given twice adds nothing but itself; rows of one
+id with different texts are one document, linked with what any of its texts is linked with; a row without an id is a text that
+others may be linked through, with a null kept; ties go to the smallest id. Texts of any length are read in whole; extra columns are ignored; an empty table gives an
 empty result. Sets are compared by 64-bit hashes of their shingles within a root, as strings between roots.
 """
 
