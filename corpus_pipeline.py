@@ -44,11 +44,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """The document of least id of each group of near copies."""
     kept = stage(near.near_components(docs).where("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n")), "kept")
     of = docs["doc_id"] == kept["_id"]
-    again = kept.where("n > 1")
+    again, unnamed = kept.where("n > 1"), docs.where(docs["doc_id"].isNull())
     if again.isEmpty():
-        return docs.join(kept, of, "left_semi")
+        return docs.join(kept, of, "left_semi").unionByName(unnamed)
     # ids that several rows have: of rows with the same text one stays
-    return docs.join(kept.where("n = 1"), of, "left_semi").unionByName(docs.join(again, of, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return docs.join(kept.where("n = 1"), of, "left_semi").unionByName(docs.join(again, of, "left_semi").dropDuplicates(["doc_id", "text"])).unionByName(unnamed)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
