@@ -96,19 +96,22 @@ def nearest_cycle(wanted: DataFrame, cycles: DataFrame, want: str = "wanted", ha
     """For each wanted time the cycle nearest to it (the earlier of two), and whether it stands in for the one asked for.
 
     As-of in both directions on one merged order: the last cycle at or before and the first one after, without a cross join.
-    Times are dealt by day, and each day knows the last and first cycle of the days around it, so no single task sorts all.
+    Times are dealt by hour, and each hour knows the last and first cycle of the hours around it, so no single task sorts all.
+    The first one after is the last one before in the reversed order: frames that end at the current row grow row by row,
+    while those that begin there are gone through anew for each row.
     """
     from pyspark.sql import Window
 
-    merged = wanted.select(F.col(want).alias("t"), F.lit(1).alias("w"), F.lit(None).cast(cycles.schema[have].dataType).alias("c")).unionByName(cycles.select(F.col(have).alias("t"), F.lit(0).alias("w"), F.col(have).alias("c"))).withColumn("day", F.to_date("t"))
-    days = merged.groupBy("day").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-    by_day = Window.orderBy("day")  # one row for each day
-    around = days.select("day", F.last("hi", True).over(by_day.rowsBetween(Window.unboundedPreceding, -1)).alias("before_day"), F.first("lo", True).over(by_day.rowsBetween(1, Window.unboundedFollowing)).alias("after_day"))
-    inside = Window.partitionBy("day").orderBy("t", "w")
-    near = merged.join(around, "day").select(
+    merged = wanted.select(F.col(want).alias("t"), F.lit(1).alias("w"), F.lit(None).cast(cycles.schema[have].dataType).alias("c")).unionByName(cycles.select(F.col(have).alias("t"), F.lit(0).alias("w"), F.col(have).alias("c"))).withColumn("hour", F.date_trunc("hour", "t"))
+    hours = merged.groupBy("hour").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    up, down = (Window.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("hour"), F.desc("hour")))  # one row for each hour
+    around = hours.select("hour", F.last("hi", True).over(up).alias("before_hour"), F.last("lo", True).over(down).alias("after_hour"))
+    inside = Window.partitionBy("hour")
+    past, coming = (inside.orderBy(o("t"), o("w")).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc, F.desc))
+    near = merged.join(around, "hour").select(
         "t", "w",
-        F.coalesce(F.last("c", True).over(inside.rowsBetween(Window.unboundedPreceding, 0)), "before_day").alias("before"),
-        F.coalesce(F.first("c", True).over(inside.rowsBetween(0, Window.unboundedFollowing)), "after_day").alias("after"),
+        F.coalesce(F.last("c", True).over(past), "before_hour").alias("before"),
+        F.coalesce(F.last("c", True).over(coming), "after_hour").alias("after"),
     ).where("w = 1")
     gap = lambda c: F.abs(F.unix_micros(F.col(c).cast("timestamp")) - F.unix_micros(F.col("t").cast("timestamp")))
     pick = F.when(F.col("after").isNull() | (gap("before") <= gap("after")), F.col("before")).otherwise(F.coalesce("after", "before"))

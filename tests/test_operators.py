@@ -306,6 +306,18 @@ def test_nearest_cycle_without_neighbours(spark):
     assert {r["cycle"] for r in verify.nearest_cycle(w, c).collect()} == {dt.datetime(2024, 1, 3, 12)}
 
 
+def test_nearest_cycle_in_both_directions(spark, capsys):
+    """Many times of one hour, equal times, hours without cycles; no frame of the plan begins at its row, which costs the square of an hour's times."""
+    rng = np.random.default_rng(12)
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=int(s))
+    cycles = sorted({at(s) for s in [*rng.integers(7200, 9000, 40), *rng.integers(200000, 400000, 20)]})
+    wanted = {at(s) for s in [*rng.integers(7000, 9500, 150), *rng.integers(0, 500000, 100)]} | set(cycles[::7])
+    got = verify.nearest_cycle(spark.createDataFrame([(t,) for t in wanted], "wanted timestamp"), spark.createDataFrame([(t,) for t in cycles], "cycle timestamp"))
+    assert {(r["wanted"], r["cycle"], r["substituted"]) for r in got.collect()} == {(t, c := min(cycles, key=lambda x: (abs(x - t), x)), c != t) for t in wanted}
+    got.explain(True)
+    assert "unboundedfollowing" not in capsys.readouterr().out.lower()
+
+
 def test_dates_and_upsert(spark, tmp_path):
     assert series.parse_dates(spark, "2024-01-03,2024-02-01:2024-02-03,2024-02-02").count() == 4
     old = spark.createDataFrame([(dt.date(2024, 1, 1), 1, 1.0), (dt.date(2024, 1, 2), 1, 1.0), (dt.date(2024, 1, 2), 2, 1.0)], "report_date date, basin_id int, v double")
