@@ -70,8 +70,11 @@ def sr04(spark, d):
 def sr03(spark, d):
     """Soil water and the wet-spell clock as state of each cell, its days coming from a table of daily rain."""
     path = folder(spark, "rain")
-    daily(spark, d).select(F.col("user_id").alias("cell"), F.col("n").cast("int").alias("n"), F.col("rain").alias("p"), F.lit(3.0).alias("pet"), F.lit(40.0).alias("cap")).write.parquet(path)
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 4).parquet(path)
+    rain = stages.stage(daily(spark, d).select(F.col("user_id").alias("cell"), F.col("n").cast("int").alias("n"), F.col("rain").alias("p"), F.lit(3.0).alias("pet"), F.lit(40.0).alias("cap")), "daily")
+    # ten days after ten days, each dealt by cell: a cell is in one file of each, however many there are
+    for first in (0, 10, 20):
+        rain.where(F.col("n").between(first, first + 9)).repartition("cell").write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rain.schema).option("maxFilesPerTrigger", 4).parquet(path)
     return drained(spark, refresh.soil_stream(stream), "soil").select("cell", "n", F.round("s", 6).alias("s"), "armed", "wet")
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -67,15 +69,20 @@ def upsert_batches(path: str, day: str = "report_date"):
 
 
 DAY_MS = 86_400_000
+#: Days of a cell that wait within its state.
+NEAR = 64
 
 
 class SoilBucket(StatefulProcessor):
-    """The soil fold for one cell: days are kept until they come in order, then folded one by one.
+    """The soil fold for one cell: days that are next are folded as they come, others are kept until they are.
 
     Input: key, n (day number), p, pet, cap and, if timed, day (the timestamp of day n). Output: one row for each folded day with
     the state after it. If timed, a day that the watermark has passed is missing for good: a timer at its date lets the fold
     go on with the next day that is there, as a fold over the days of a table does. A day that comes after that is refused. So the
     days that wait are those within the watermark's delay.
+
+    A cell's state is read and written once a batch, whatever the number of its days: the next NEAR days that wait are in it,
+    four numbers each. Only those beyond are rows of their own, each written, read and removed once; the state knows how many.
     """
 
     def __init__(self, timed: bool = False):
@@ -83,41 +90,52 @@ class SoilBucket(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", "next int, s double, armed boolean, wet int, soak int, k array<double>, origin bigint, timer bigint")
+        self.state = handle.getValueState("state", "next int, s double, armed boolean, wet int, soak int, k array<double>, origin bigint, timer bigint, held int, near array<double>")
         self.waiting = handle.getMapState("waiting", "n int", "p double, pet double, cap double")
 
-    def held(self):
-        return self.state.get() if self.state.exists() else (0, None, True, None, None, [], None, None)
+    def held(self) -> tuple:
+        return self.state.get() or (0, None, True, None, None, [], None, None, 0, [])
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.held()
-        at, origin = held[0], held[6]
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        before = self.held()
+        at, origin = before[0], before[6]
         passed = timerValues.getCurrentWatermarkInMs() if self.timed else 0
-        for df in rows:
-            for r in df.itertuples():
-                if origin is None and self.timed:
-                    origin = int(pd.Timestamp(r.day).timestamp() * 1000) - int(r.n) * DAY_MS
-                if int(r.n) >= at and not (self.timed and origin + int(r.n) * DAY_MS <= passed):
-                    self.waiting.updateValue((int(r.n),), (float(r.p), float(r.pet), None if pd.isna(r.cap) else float(r.cap)))
-        yield self.folded(key, (*held[:6], origin, held[7]), timerValues)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self.folded(key, (*self.held()[:7], None), timerValues)
-
-    def folded(self, key, held: tuple, timerValues) -> pd.DataFrame:
-        """Folds the days that are next, over missing ones that the watermark has passed."""
-        at, s, armed, wet, soak, k, origin, timer = held
+        number = lambda v: math.nan if v is None else float(v)
+        fresh = {}
+        for r in rows:
+            if origin is None and self.timed:
+                origin = int(pd.Timestamp(r.day).timestamp() * 1000) - r.n * DAY_MS
+            if r.n >= at and not (self.timed and origin + r.n * DAY_MS <= passed):
+                fresh[r.n] = (number(r.p), number(r.pet), None if r.cap is None or r.cap != r.cap else float(r.cap))
+        return self.folded(key, (*before[:6], origin, *before[7:]), fresh, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        before = self.held()
+        return self.folded(key, (*before[:7], None, *before[8:]), {}, timerValues)
+
+    def folded(self, key, before: tuple, fresh: dict[int, tuple], timerValues) -> Iterator[Row]:
+        """Folds the days that are next, over missing ones that the watermark has passed; fresh ones that are not next wait."""
+        at, s, armed, wet, soak, k, origin, timer, held, near = before
+        k, ahead, out = list(k), None, []
+        fresh = {int(near[j]): tuple(near[j + 1 : j + 4]) for j in range(0, len(near), 4)} | fresh
         passed = timerValues.getCurrentWatermarkInMs() if self.timed and origin is not None else None
-        out = []
         while True:
-            if not self.waiting.containsKey((at,)):
-                later = [n for (n,) in self.waiting.keys()] if passed is not None else []
-                last = min((passed - origin) // DAY_MS + 1, min(later)) if later else at
+            day, old = fresh.pop(at, None), self.waiting.getValue((at,)) if held else None
+            if old is not None:
+                self.waiting.removeKey((at,))
+                held -= 1
+                day = day or old  # a day that comes again takes the place of the one that waits
+            if day is None:
+                if passed is None or not (held or fresh):
+                    break
+                if ahead is None:
+                    ahead = sorted({*fresh, *((n for (n,) in self.waiting.keys()) if held else ())})
+                last = min((passed - origin) // DAY_MS + 1, ahead[bisect_left(ahead, at)])
                 if last <= at:
                     break
                 at = last
                 continue
-            p, pet, cap = self.waiting.getValue((at,))
+            p, pet, cap = day
             if s is None and cap is not None:
                 s = 0.5 * cap
             armed = armed or (cap is not None and s / cap < REARM)
@@ -131,18 +149,22 @@ class SoilBucket(StatefulProcessor):
                 s = max(full - pet * full / cap, 0.0)
             if at >= SPIN_UP:
                 k = [*k, None if cap is None else s / cap][-KEEP_DAYS:]
-            self.waiting.removeKey((at,))
-            out.append((*key, at, s, armed, wet, soak))
+            out.append(Row(cell=key[0], n=at, s=None if s != s else s, armed=armed, wet=wet, soak=soak))
             at += 1
-        if self.timed and origin is not None and next(iter(self.waiting.keys()), None) is not None:
+        waits = sorted(fresh)
+        for n in waits[NEAR:]:
+            held += not (held and self.waiting.containsKey((n,)))
+            self.waiting.updateValue((n,), fresh[n])
+        near = [float(x) if x is not None else None for n in waits[:NEAR] for x in (n, *fresh[n])]
+        if self.timed and origin is not None and (held or near):
             due = origin + at * DAY_MS
             if timer != due:
                 if timer is not None:
                     self.handle.deleteTimer(timer)
                 self.handle.registerTimer(due)
                 timer = due
-        self.state.update((at, s, armed, wet, soak, list(k), origin, timer))
-        return pd.DataFrame(out, columns=["cell", "n", "s", "armed", "wet", "soak"])
+        self.state.update((at, s, armed, wet, soak, k, origin, timer, held, near))
+        return iter(out)
 
     def close(self) -> None:
         pass
@@ -154,4 +176,4 @@ def soil_stream(stream: DataFrame, key: str = "cell", day: str | None = None, la
     With day, the column of the days' dates, days that don't come are passed over once the watermark says so; without it the fold waits for each day.
     """
     rows = stream if day is None else stream.withColumnRenamed(day, "day").withWatermark("day", late)
-    return rows.groupBy(key).transformWithStateInPandas(SoilBucket(day is not None), f"cell {stream.schema[key].dataType.simpleString()}, n int, s double, armed boolean, wet int, soak int", "append", "none" if day is None else "eventTime")
+    return rows.groupBy(key).transformWithState(SoilBucket(day is not None), f"cell {stream.schema[key].dataType.simpleString()}, n int, s double, armed boolean, wet int, soak int", "append", "none" if day is None else "eventTime")

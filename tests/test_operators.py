@@ -4,6 +4,7 @@ import datetime as dt
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from envgrid.functions import codes, geo, scalars
@@ -193,6 +194,37 @@ def test_soil_stream_over_gaps(spark, tmp_path):
             assert got[r["cell"], n][0] == pytest.approx(r["sm"] * 40)
 
 
+def test_soil_bucket_touches_its_state_once_a_batch():
+    """The calls to the state store don't grow with the days of a batch; days before their turn wait, and come back in theirs."""
+    calls, value, kept = [], [None], {}
+
+    class Value:
+        get = lambda self: calls.append("get") or value[0]
+        exists = lambda self: calls.append("exists") or value[0] is not None
+        update = lambda self, v: calls.append("update") or value.__setitem__(0, v)
+
+    class Waiting:
+        containsKey = lambda self, n: calls.append("contains") or n in kept
+        getValue = lambda self, n: calls.append("value") or kept.get(n)
+        updateValue = lambda self, n, v: calls.append("put") or kept.__setitem__(n, v)
+        removeKey = lambda self, n: calls.append("remove") or kept.pop(n)
+        keys = lambda self: calls.append("keys") or iter(list(kept))
+
+    handle = type("Handle", (), {"getValueState": lambda self, *a: Value(), "getMapState": lambda self, *a: Waiting()})()
+    bucket = refresh.SoilBucket()
+    bucket.init(handle)
+    days = lambda ns: iter([Row(cell=1, n=n, p=n % 7 * 4.0, pet=3.0, cap=40.0) for n in ns])
+    first = list(bucket.handleInputRows((1,), days(range(300)), None))
+    assert [r.n for r in first] == list(range(300)) and len(calls) <= 3
+    calls.clear()
+    assert list(bucket.handleInputRows((1,), days([301, 303, 302]), None)) == [] and kept == {} and len(calls) == 2
+    assert list(bucket.handleInputRows((1,), days(range(450, 303, -1)), None)) == [] and len(kept) == 150 - refresh.NEAR
+    rest = list(bucket.handleInputRows((1,), days([300]), None))
+    assert [r.n for r in rest] == list(range(300, 451)) and kept == {}
+    value[0] = None
+    assert list(bucket.handleInputRows((1,), days(range(451)), None)) == first + rest
+
+
 def test_basin_stream_equals_batch(spark, tmp_path):
     """Missing hours and cells, repeated reports and a clock change."""
     rng = np.random.default_rng(6)
