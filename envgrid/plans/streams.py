@@ -22,13 +22,15 @@ def event_stream(spark, d) -> DataFrame:
     return e.select((F.col("user_id") % 16).alias("station"), F.col("ts").cast("timestamp").alias("ts"), (F.date_trunc("hour", "ts") + F.expr("interval 1 hour")).alias("time"), F.col("event_type").alias("kind"), "value")
 
 
-def drained(spark, stream: DataFrame, name: str) -> DataFrame:
-    """What a stream has written when all of its input is read."""
+def drained(spark, stream: DataFrame, name: str, arrivals=(lambda: None,)) -> DataFrame:
+    """What a stream has written when all of its input is read. Each of arrivals is called before a run that goes on where the last one ended."""
     path, key = folder(spark, name), "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-log").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        for arrive in arrivals:
+            arrive()
+            stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-log").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set(key, before)
     return spark.read.schema(stream.schema).parquet(path)
@@ -138,8 +140,9 @@ def sr03g(spark, d):
     gone = (F.col("user_id") * 3 + F.col("n")) % 7 == 2
     rain = stages.stage(daily(spark, d), "daily")
     shown = lambda df: df.select(F.col("user_id").alias("cell"), F.col("n").cast("int").alias("n"), F.col("day").cast("timestamp").alias("day"), F.col("rain").alias("p"), F.lit(3.0).alias("pet"), F.lit(40.0).alias("cap"))
-    # three files, read one after the other; the last one brings missing days of the first, with other rain
-    for part in (rain.where(~gone & (F.col("n") < 10)), rain.where(~gone & F.col("n").between(10, 19)), rain.where(~gone & (F.col("n") > 19)).unionByName(rain.where(gone & (F.col("n") < 10)).withColumn("rain", F.lit(99.0)))):
-        shown(part).coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
-    return drained(spark, refresh.soil_stream(stream, day="day"), "soil").select("cell", "n", F.round("s", 6).alias("s"), "armed", "wet")
+    # three arrivals, each a run of the stream; the last one brings missing days of the first, with other rain
+    parts = (rain.where(~gone & (F.col("n") < 10)), rain.where(~gone & F.col("n").between(10, 19)), rain.where(~gone & (F.col("n") > 19)).unionByName(rain.where(gone & (F.col("n") < 10)).withColumn("rain", F.lit(99.0))))
+    arrivals = [lambda part=part: shown(part).repartition("cell").write.mode("append").parquet(path) for part in parts]
+    shown(rain).where("false").write.parquet(path)  # the folder must be there
+    stream = spark.readStream.schema(shown(rain).schema).parquet(path)
+    return drained(spark, refresh.soil_stream(stream, day="day"), "soil", arrivals).select("cell", "n", F.round("s", 6).alias("s"), "armed", "wet")

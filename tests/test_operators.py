@@ -225,6 +225,29 @@ def test_soil_bucket_touches_its_state_once_a_batch():
     assert list(bucket.handleInputRows((1,), days(range(451)), None)) == first + rest
 
 
+def test_soil_bucket_waits_within_its_state():
+    """Days behind a gap that the watermark has not passed cost no calls each, nor does the timer that lets them go on."""
+    calls, value = [], [None]
+
+    class Value:
+        get = lambda self: calls.append("get") or value[0]
+        exists = lambda self: calls.append("exists") or value[0] is not None
+        update = lambda self, v: calls.append("update") or value.__setitem__(0, v)
+
+    timer = lambda name: lambda self, *a: calls.append(name)
+    handle = type("Handle", (), {"getValueState": lambda self, *a: Value(), "getMapState": lambda self, *a: None, "registerTimer": timer("register"), "deleteTimer": timer("delete")})()
+    at = lambda n: type("Times", (), {"getCurrentWatermarkInMs": lambda self: 1704067200000 + n * refresh.DAY_MS if n else 0})()
+    bucket = refresh.SoilBucket(timed=True)
+    bucket.init(handle)
+    days = lambda ns: iter([Row(cell=1, n=n, day=dt.datetime(2024, 1, 1) + dt.timedelta(days=n), p=5.0, pet=3.0, cap=40.0) for n in ns])
+    ns = [n for n in range(40) if n % 7 != 3]
+    out = list(bucket.handleInputRows((1,), days(ns), at(0)))
+    assert [r.n for r in out] == [0, 1, 2] and calls == ["get", "register", "update"]
+    out = list(bucket.handleExpiredTimer((1,), at(38), None))
+    assert [r.n for r in out] == [n for n in ns if n > 3] and calls[3:] == ["get", "update"]
+    assert list(bucket.handleInputRows((1,), days([3, 38]), at(38))) == []
+
+
 def test_basin_stream_equals_batch(spark, tmp_path):
     """Missing hours and cells, repeated reports and a clock change."""
     rng = np.random.default_rng(6)
