@@ -228,19 +228,26 @@ def witnesses(batch: pa.RecordBatch, docs: int, share: float) -> pa.RecordBatch:
 
 
 def wide_templates(kinds: DataFrame, docs: int = DOCS) -> DataFrame:
-    """(w, found array<struct<key, n>>): the templates with variables of kinds of lines (w, n, docs, steps, thirds) that at least docs documents have, and more than have the line itself."""
+    """(w, found array<struct<key, n>>): the templates with variables of kinds of lines (w, n, docs, steps, thirds) that at least docs documents have, and more than have the line itself.
+
+    Templates of the very same lines recur together or not at all, in the same documents, and read the same: they go by the
+    least key of them. So a line has a row for each different set of lines that it shares a template with, not for each of 28 ways to it.
+    """
     thirds = kinds.where(f"n >= {SHORT}").select("w", "docs", F.explode(F.array("t1", "t2", "t3")).alias("third"))
     likely = stage(thirds.groupBy("third").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= docs).select("third"), "likely")
     some = thirds.select("w", "third").join(likely, "third", "left_semi").select("w").distinct()
     each = stage(template_rows(kinds.join(some, "w", "left_semi")), "wide")
-    often = stage(each.groupBy("key").agg(F.sum("docs").alias("n"), F.count("*").alias("lines")).where((F.col("n") >= docs) & (F.col("lines") > 1)).select("key", "n"), "often")
+    # sets of lines are told apart by their size, their documents and 128 bits
+    of = [F.bit_xor(F.xxhash64("w", F.lit(j))).alias(f"of{j}") for j in (1, 2)]
+    shared = each.groupBy("key").agg(F.sum("docs").alias("n"), F.count("*").alias("lines"), *of).where((F.col("n") >= docs) & (F.col("lines") > 1))
+    often = stage(shared.groupBy("n", "lines", "of1", "of2").agg(F.min("key").alias("key")).select("key", "n"), "often")
     out = stage(each.join(often, "key").where("n > docs").groupBy("w").agg(F.collect_list(F.struct("key", "n")).alias("found")), "templates")
     unstage(likely, each, often)
     return out
 
 
-def keyed_lines(parsed: DataFrame, docs: int = DOCS) -> DataFrame:
-    """(rid, rid2, total, found array<struct<i, w, size, key, n>>), staged: the keys of each text's lines that n texts have (two or more; docs or more for templates with variables)."""
+def keyed_lines(parsed: DataFrame, docs: int = DOCS) -> tuple[DataFrame, DataFrame]:
+    """(rid, rid2, total, found array<struct<i, w, size, key, n>>), staged: the keys of each text's lines that n texts have (two or more; docs or more for templates with variables); and (w, found array<struct<key, n>>), staged: those of each kind of line, without windows."""
     lines = parsed.select(*KEYS, "total", F.explode("lines").alias("x")).select(*KEYS, "total", "x.*")
     values = ("n", "s1", "s2", "s3", "s4", "t1", "t2", "t3")
     kinds = stage(lines.where("first").groupBy("w").agg(F.count("*").alias("docs"), *[F.max(c).alias(c) for c in values]), "kinds")
@@ -254,8 +261,8 @@ def keyed_lines(parsed: DataFrame, docs: int = DOCS) -> DataFrame:
     rows = lines.select(*KEYS, "total", "i", "w", F.col("n").alias("size")).join(known, "w").select(*KEYS, "total", "i", "w", "size", F.explode("found").alias("x")).select(*KEYS, "total", "i", "w", "size", "x.key", "x.n")
     both = rows.unionByName(seen.selectExpr(*KEYS, "total", "i", "w", "size", f"window & ~3L | {WINDOWS}L AS key", "n"))
     out = stage(both.groupBy(*KEYS).agg(F.max("total").alias("total"), F.collect_set(F.struct("i", "w", "size", "key", "n")).alias("found")), "keyed")
-    unstage(kinds, wide, known, shared)
-    return out
+    unstage(kinds, wide, shared)
+    return out, known
 
 
 def recurring(keyed: DataFrame, docs: int = DOCS, share: float = SHARE) -> DataFrame:
@@ -273,17 +280,19 @@ def recurring(keyed: DataFrame, docs: int = DOCS, share: float = SHARE) -> DataF
 
 
 def template_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs: int = DOCS, share: float = SHARE) -> tuple[DataFrame, DataFrame]:
-    """(lines to drop (rid, rid2, i, w, key, n_docs), keyed lines); row_keys gives rid and rid2, i is a line's place."""
+    """(places of known lines (rid, rid2, i, w), the recurring templates of each kind of line (w, key, n_docs)); row_keys gives rid and rid2, i is a line's place."""
     parsed = stage(parse_lines(df, id_col, text_col), "lines")
-    keyed = keyed_lines(parsed, docs)
+    keyed, known = keyed_lines(parsed, docs)
     unstage(parsed)
     found = stage(recurring(keyed, docs, share), "templates")
-    return keyed.select(*KEYS, F.explode("found").alias("x")).where("x.key & 1 = 0").select(*KEYS, "x.i", "x.w", "x.key").join(found, "key"), keyed
+    places = keyed.select(*KEYS, F.explode(F.expr("array_distinct(transform(filter(found, x -> x.key & 1 = 0), x -> struct(x.i, x.w)))")).alias("x")).select(*KEYS, "x.i", "x.w")
+    return places, known.select("w", F.explode("found").alias("x")).select("w", "x.key").join(found, "key")
 
 
 def templates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs: int = DOCS, share: float = SHARE) -> DataFrame:
     """(template, n_docs): the recurring templates as texts, tokens that differ among a template's lines written as <*>."""
-    gone, _ = template_lines(df, id_col, text_col, docs, share)
+    places, of = template_lines(df, id_col, text_col, docs, share)
+    gone = places.join(of, "w")
     texts = df.select(*row_keys(id_col, text_col), F.split(text_col, "\n").alias("lines")).dropDuplicates([*KEYS])
     named = gone.join(texts, list(KEYS)).select("key", "n_docs", F.expr("array_remove(split(regexp_replace(lines[i], '[^\\\\x20\\\\x09-\\\\x0D]*[0-9][^\\\\x20\\\\x09-\\\\x0D]*', '<*>'), '[\\\\x20\\\\x09-\\\\x0D]+'), '')").alias("t"))
     tokens = named.select("key", "n_docs", F.posexplode("t").alias("k", "t")).groupBy("key", "n_docs", "k").agg(F.when(F.min("t") == F.max("t"), F.min("t")).otherwise("<*>").alias("t"))
@@ -295,8 +304,9 @@ def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", do
     """df with recurring lines cut from the text, and (with counts) n_lines and n_dropped."""
     taken = [*df.columns]
     rid, rid2, gone, n_lines, n_dropped = (free_name(taken, c) for c in (*KEYS, "gone", "n_lines", "n_dropped"))
-    found, _ = template_lines(df, id_col, text_col, docs, share)
-    cut = found.groupBy(F.col("rid").alias(rid), F.col("rid2").alias(rid2)).agg(F.collect_set("i").alias(gone))
+    # a line goes by its kind, once, however many of its templates recur
+    places, of = template_lines(df, id_col, text_col, docs, share)
+    cut = places.join(of.select("w").distinct(), "w").groupBy(F.col("rid").alias(rid), F.col("rid2").alias(rid2)).agg(F.collect_set("i").alias(gone))
     marked = df.select("*", *row_keys(id_col, text_col, (rid, rid2))).join(cut, [rid, rid2], "left")
     kept = F.expr(f"CASE WHEN `{gone}` IS NULL THEN `{text_col}` ELSE array_join(filter(split(`{text_col}`, '\\n'), (l, i) -> NOT array_contains(`{gone}`, i)), '\\n') END")
     out = [kept.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns]

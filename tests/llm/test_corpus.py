@@ -223,6 +223,19 @@ def test_lines_of_blocks_short_documents_and_copies(spark, words):
         assert got[i]["text"] == "\n".join(x for x in t.split("\n") if i >= len(texts) or x not in gone), (i, t)
 
 
+def test_lines_go_once_whatever_templates_they_have(spark, words):
+    """A line that differs in one word among 30 documents has seven templates of the same lines: one is kept, and a place is one row."""
+    r = random.Random(31)
+    line = lambda n: " ".join(r.choice(words) for _ in range(n))
+    names = sorted({w.title() for w in words})[:30]
+    texts = [line(30) + "\n" + f"this page was printed for {name} last night" for name in names]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    places, of = lines.template_lines(df)
+    assert places.count() == of.count() == of.select("w").distinct().count() == 30 and {x["n_docs"] for x in of.collect()} == {30}
+    assert {x["text"] for x in lines.drop_lines(df).collect()} == {t.split("\n")[0] for t in texts}
+    assert [(x["template"], x["n_docs"]) for x in lines.templates(df).collect()] == [("this page was printed for <*> last night", 30)]
+
+
 def test_line_templates_with_variables(spark, words):
     """Against brute force: a line goes if five texts have lines of its size that equal it in all steps but two (one below eight tokens)."""
     r = random.Random(21)
