@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 from envgrid.llm.common import KEYS, free_name, pieces, read, row_keys, small_batches, stage, unstage
 
 LENGTH, GRAM = 200, 64
-PIECE, BLOCK = 2 << 20, 128
+#: The suffix order of PIECE bytes takes some 110 times as many of a Python worker's memory.
+PIECE, BLOCK = 1 << 18, 128
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 #: Strings of a text whose anchors are found together, and the bits of a place among them.
 STRETCH = 1 << 22

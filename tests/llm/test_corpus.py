@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -143,6 +144,23 @@ def test_suffix_order_and_longest_previous_factors():
     assert longest.tolist() == [max((shared(cut[sa[k]], cut[sa[j]]) for j in range(len(sa)) if place[j] < place[k]), default=0) for k in range(len(sa))]
 
 
+def test_suffix_order_memory():
+    """A slice's suffix order stays small beside an executor's heap: two workers hold one each, and keep what they took."""
+    n = repeats.PIECE // 268
+    b = np.random.default_rng(3).integers(97, 123, 268 * n, dtype=np.uint8)
+    for k in range(0, n - 1, 2):
+        b[268 * (k + 1) : 268 * (k + 1) + 240] = b[268 * k : 268 * k + 240]
+        b[268 * (k + 1) + 240] = 0  # the pair differs from here on
+    own, inner = np.repeat(np.arange(n), 69), np.tile(np.arange(69), n)
+    tracemalloc.start()
+    earlier, elsewhere = repeats.earlier_and_elsewhere(b, own * 268 + inner, own * (1 << 20) + inner)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    paired = (own < n - n % 2) & (inner <= 40)
+    assert (earlier == (paired & (own % 2 == 1))).all() and (elsewhere == paired).all()
+    assert peak < 48 << 20
+
+
 def test_anchors_by_stretches(monkeypatch):
     """A text in stretches has the anchors of the whole one, string by string."""
     r = np.random.default_rng(4)
